@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rootweave.llm.fingerprint_index import dedupe_windows
+from rootweave.llm.prefix_encode import encode_texts
 from rootweave.llm.suffix_dedup import dedupe_substrings
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return dedupe_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return dedupe_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_sentencepiece": op9_sentencepiece,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}

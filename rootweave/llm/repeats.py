@@ -19,8 +19,16 @@ from rootweave.llm import arrays as A
 
 #: Anchors that a task sorts at once.
 HELD = 1 << 20
+#: Bytes of contexts that a task compares at once, whole anchor groups at least.
+BLOCK_BYTES = 1 << 20
+#: Rows of one anchor above which its contexts are dealt by the symbols common to each run of PART windows.
+HOT, PART = 500, 12
+PIECE = "h long, doc_id long, lo int, rel int, body binary"
+PIECES = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("rel", pa.int32()), ("body", pa.binary())])
+INTERVAL = "doc_id long, lo int, n int"
+FOUND = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 ANCHORS = "h long, c long, doc_id long, lo int, n int, rel int, seen int"
-#: ``seen``: the context is known to be a copy of an earlier one. 0: not known, 1: it is.
+#: ``seen``: 0: it isn't known whether the context is a copy; 1: it is; 2: it is what the same text's context at ``c`` is.
 KIND = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("rel", pa.int32()), ("seen", pa.int32())])
 
 
@@ -58,7 +66,7 @@ def scan(symbols: Callable, width: int, gram: int, same_text: bool) -> Callable[
     """For mapInArrow over (doc_id, text): the contexts of each task, equal ones combined.
 
     Of equal contexts the first goes on; later ones are known copies at once. With ``same_text`` a repeat within one
-    text counts as a copy; without it, it is sent on as it is, to be judged by what other texts hold.
+    text counts as a copy; without it, it is noted as equal to the text's first such context.
     """
 
     def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -74,9 +82,11 @@ def scan(symbols: Callable, width: int, gram: int, same_text: bool) -> Callable[
             twice[1:] = same[1:] & (doc[1:] == doc[:-1]) & (lo[1:] == lo[:-1])
             seen, keep = same & ((doc != doc[head]) | (lo != lo[head])), ~twice
         else:
-            seen, keep = same & ~again, np.ones(len(h), bool)
+            twice = again & (lo == lo[head])
+            seen, keep = np.where(again, 2, same), ~twice
+            c = np.where(again, lo[head].astype(A.U64), c)
         # known copies need no partner any more: spread them evenly
-        h = np.where(seen, A.mix(doc.astype(A.U64) * A.U64(31) + lo.astype(A.U64)), h)
+        h = np.where(seen > 0, A.mix(doc.astype(A.U64) * A.U64(31) + lo.astype(A.U64)), h)
         arrays = [h.view(np.int64), c.view(np.int64), doc, lo.astype(np.int32), n.astype(np.int32), rel.astype(np.int32), seen.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in arrays], schema=KIND)
 
@@ -135,3 +145,101 @@ def interval_arrays(runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     flat = runs.flatten()
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     return offsets, flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def as_runs(ids: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Window starts as runs of consecutive ones."""
+    order = np.lexsort((at, ids))
+    ids, at = ids[order], at[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + 1)
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(ids)) - 1 if len(ids) else head
+    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(at[head].astype(np.int32)), pa.array((at[tail] - at[head] + 1).astype(np.int32))], schema=FOUND)
+
+
+def as_binary(joined: np.ndarray, size: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(joined))]).cast(pa.binary())
+
+
+def take_bytes(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    return as_binary(data[A.concat_ranges(begin, size)], size)
+
+
+def take_words(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Words joined by one space."""
+    starts, ends, _ = A.word_spans(data, offsets, ~A.SPACE[data])
+    words = A.concat_ranges(begin, size)
+    lengths = ends[words] - starts[words] + 1
+    joined = np.append(data, np.uint8(0x20))[np.minimum(A.concat_ranges(starts[words], lengths), len(data))]
+    stops = np.cumsum(lengths)
+    joined[stops - 1] = 0x20
+    last = np.cumsum(size) - 1
+    totals = np.diff(np.concatenate([[0], stops[last]])) if len(size) else size
+    return as_binary(joined, totals)
+
+
+def cut(symbols: Callable, take: Callable, width: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (doc_id, text, items): the symbols of each listed context, with the key that deals them out.
+
+    That is the anchor's hash. Contexts of an anchor with over ``hot`` rows are dealt in parts: all windows that start in
+    one cell of PART places before the anchor hold the cell's common symbols, whose hash is then the key.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in A.slices(batch, "text"):
+                data, bounds = A.text_bytes(piece.column("text"))
+                symbol, offsets = symbols(data, bounds)
+                items = piece.column("items")
+                counts = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = items.flatten()
+                h, lo, n, rel, rivals = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
+                row = np.repeat(np.arange(len(counts)), counts)
+                # the text may be another than the one the context is of, where texts share a doc_id
+                fits = lo + n + width - 1 <= np.diff(offsets)[row]
+                h, lo, n, rel, rivals, row = (x[fits] for x in (h, lo, n, rel, rivals, row))
+                cells = np.where(rivals > hot, rel // PART - (rel - n + 1) // PART + 1, 1)
+                of = np.repeat(np.arange(len(h)), cells)
+                split = (rivals > hot)[of]
+                cell = A.concat_ranges((rel - n + 1) // PART, cells)
+                anchor = lo[of] + rel[of]
+                first = np.where(split, anchor - np.minimum(cell * PART + PART - 1, rel[of]), lo[of])
+                last = np.where(split, anchor - np.maximum(cell * PART, rel[of] - n[of] + 1), lo[of] + n[of] - 1)
+                key = A.mix(h[of].view(A.U64))
+                if split.any():
+                    common = np.where(split, offsets[row[of]] + anchor - cell * PART, 0)
+                    edge = np.where(split, common - (PART - 1) + width, 0)
+                    key = np.where(split, A.mix(A.span_hash(A.prefix_hash(symbol), common, edge) + key + cell.astype(A.U64)), key)
+                bodies = take(data, bounds, offsets[row[of]] + first, last - first + width)
+                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[of]]), pa.array(first.astype(np.int32)), pa.array((anchor - first).astype(np.int32)), bodies], schema=PIECES)
+
+    return run
+
+
+def blocks(compare: Callable[[pa.Table, int], pa.RecordBatch], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over pieces sorted by h: blocks of whole groups through ``compare``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.column("body").nbytes
+            if size < BLOCK_BYTES:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            h = table["h"].to_numpy()
+            whole = int(np.searchsorted(h, h[-1]))  # the last group may go on
+            if whole:
+                yield compare(table.slice(0, whole), width)
+                held = table.slice(whole).combine_chunks().to_batches()
+                size = sum(x.column("body").nbytes for x in held)
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks(), width)
+
+    return run

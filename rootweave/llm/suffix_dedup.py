@@ -5,7 +5,7 @@ A task takes blocks of whole anchor groups and builds each block's Burrows-Wheel
 puts the next symbol, from the right, of every string in front of its suffix, and the transform's own stable order by
 symbol gives all places of the next round. Neighbours of the final order that agree on 100 bytes are equal windows.
 
-Where external files would hold the transform, Spark's shuffle does: a block is bounded (``BLOCK_BYTES``), so its columns
+Where external files would hold the transform, Spark's shuffle does: a block is bounded (``repeats.BLOCK_BYTES``), so its columns
 stay in memory and a lost executor's blocks are made again from the shuffle.
 """
 
@@ -24,13 +24,7 @@ from rootweave.llm import repeats as R
 from rootweave.llm.session import documents, small_batches, stored
 
 WIDTH, GRAM = 100, 32
-BLOCK_BYTES = 1 << 20
-#: Rows of one anchor above which its contexts are dealt by the bytes common to each run of PART windows.
-HOT = 500
-PART = 12
 
-PIECES = pa.schema([("deal", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("rel", pa.int32()), ("body", pa.binary())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -75,19 +69,19 @@ def equal_neighbours(body: np.ndarray, order: np.ndarray, width: int) -> np.ndar
 def shared_parts(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rel: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of the strings in which some window may equal another string's: (string, first window, windows).
 
-    Windows that start in one cell of PART places before the anchor all hold the cell's common bytes, so a cell whose
+    Windows that start in one cell of R.PART places before the anchor all hold the cell's common bytes, so a cell whose
     common bytes no other string of the group has holds no equal windows.
     """
     windows = lengths - width + 1
     sums = A.prefix_hash(body)
     # distance of a window to its anchor: rel - k; cells are aligned to it
     low, high = rel - windows + 1, rel
-    cells = high // PART - low // PART + 1
+    cells = high // R.PART - low // R.PART + 1
     string = np.repeat(np.arange(len(starts)), cells)
-    cell = A.concat_ranges(low // PART, cells)
-    far, near = np.minimum(cell * PART + PART - 1, high[string]), np.maximum(cell * PART, low[string])
+    cell = A.concat_ranges(low // R.PART, cells)
+    far, near = np.minimum(cell * R.PART + R.PART - 1, high[string]), np.maximum(cell * R.PART, low[string])
     anchor = starts[string] + rel[string]
-    begin, end = anchor - cell * PART, anchor - cell * PART - (PART - 1) + width
+    begin, end = anchor - cell * R.PART, anchor - cell * R.PART - (R.PART - 1) + width
     # where a string lacks some of a cell's windows, the bytes common to the whole cell still lie in it
     key = A.mix(A.span_hash(sums, begin, end) + A.mix(group[string].view(A.U64)) + cell.astype(A.U64))
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -111,7 +105,7 @@ def later_windows(block: pa.Table, width: int) -> pa.RecordBatch:
     doc, lo, rel = (block[c].to_numpy().astype(np.int64) for c in ("doc_id", "lo", "rel"))
     string, skip, count = shared_parts(body, starts, lengths, rel, block["h"].to_numpy(), width)
     if not len(string):
-        return pa.RecordBatch.from_pylist([], schema=FOUND)
+        return pa.RecordBatch.from_pylist([], schema=R.FOUND)
     size = count + width - 1
     packed = body[A.concat_ranges(starts[string] + skip, size)]
     begins = np.cumsum(size) - size
@@ -130,79 +124,7 @@ def later_windows(block: pa.Table, width: int) -> pa.RecordBatch:
     first[1:] = klass[1:] != klass[:-1]
     head = np.maximum.accumulate(np.where(first, np.arange(len(klass)), 0))
     later = ~first & ((ids != ids[head]) | (at != at[head]))
-    ids, at = ids[later], at[later]
-    order = np.lexsort((at, ids))
-    ids, at = ids[order], at[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (at[1:] > at[:-1] + 1)
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(ids)) - 1 if len(ids) else head
-    return pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(at[head].astype(np.int32)), pa.array((at[tail] - at[head] + 1).astype(np.int32))], schema=FOUND)
-
-
-def cut(width: int, hot: int):
-    """For mapInArrow over (doc_id, text, items): the bytes of each listed context, with the key that deals them out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in A.slices(batch, "text"):
-                data, offsets = A.text_bytes(piece.column("text"))
-                items = piece.column("items")
-                counts = items.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = items.flatten()
-                h, lo, n, rel, rivals = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
-                row = np.repeat(np.arange(len(counts)), counts)
-                # the text may be another than the one the context is of, where texts share a doc_id
-                fits = lo + n + width - 1 <= np.diff(offsets)[row]
-                h, lo, n, rel, rivals, row = (x[fits] for x in (h, lo, n, rel, rivals, row))
-                much = rivals > hot
-                cells = np.where(much, rel // PART - (rel - n + 1) // PART + 1, 1)
-                of = np.repeat(np.arange(len(h)), cells)
-                split = much[of]
-                cell = A.concat_ranges((rel - n + 1) // PART, cells)
-                anchor = lo[of] + rel[of]
-                first = np.where(split, anchor - np.minimum(cell * PART + PART - 1, rel[of]), lo[of])
-                last = np.where(split, anchor - np.maximum(cell * PART, rel[of] - n[of] + 1), lo[of] + n[of] - 1)
-                begin = offsets[row[of]] + first
-                size = last - first + width
-                key = A.mix(h[of].view(A.U64))
-                if split.any():
-                    common = offsets[row[of]] + anchor - cell * PART
-                    sums = A.prefix_hash(data)
-                    common, edge = np.where(split, common, 0), np.where(split, common - (PART - 1) + width, 0)
-                    key = np.where(split, A.mix(A.span_hash(sums, common, edge) + key + cell.astype(A.U64)), key)
-                joined = data[A.concat_ranges(begin, size)]
-                bodies = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(joined)]).cast(pa.binary())
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(key.view(np.int64)), pa.array(ids[row[of]]), pa.array(first.astype(np.int32)), pa.array((anchor - first).astype(np.int32)), bodies], schema=PIECES)
-
-    return run
-
-
-def blocks(width: int):
-    """For mapInArrow over pieces sorted by h: blocks of whole groups through ``later_windows``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            size += batch.column("body").nbytes
-            if size < BLOCK_BYTES:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            h = table["h"].to_numpy()
-            whole = int(np.searchsorted(h, h[-1]))  # the last group may go on
-            if whole:
-                yield later_windows(table.slice(0, whole), width)
-                held = table.slice(whole).combine_chunks().to_batches()
-                size = sum(x.column("body").nbytes for x in held)
-        if held:
-            yield later_windows(pa.Table.from_batches(held).combine_chunks(), width)
-
-    return run
+    return R.as_runs(ids[later], at[later])
 
 
 def remove(width: int):
@@ -228,7 +150,7 @@ def remove(width: int):
     return run
 
 
-def dedupe_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def dedupe_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot: int = R.HOT) -> DataFrame:
     """Each text without the bytes of every ``width``-byte string that starts earlier in the corpus.
 
     Earlier: in a text of smaller doc_id, or earlier in the same text. Texts are UTF-8 bytes; strings do not cross
@@ -245,7 +167,7 @@ def dedupe_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot
     anchors = named.mapInArrow(R.scan(R.byte_symbols, width, gram, True), R.ANCHORS).repartition("h")
     found = stored(R.judged(anchors, True), "contexts")
     wanted = found.where("seen = 0").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "rel", "rivals")).alias("items"))
-    pieces = named.join(wanted, "doc_id").mapInArrow(cut(width, hot), "deal long, h long, doc_id long, lo int, rel int, body binary")
-    partial = pieces.repartition("deal").sortWithinPartitions("h").mapInArrow(blocks(width), "doc_id long, lo int, n int")
+    pieces = named.join(wanted, "doc_id").mapInArrow(R.cut(R.byte_symbols, R.take_bytes, width, hot), R.PIECE)
+    partial = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
     runs = R.per_document(found.where("seen = 1").select("doc_id", "lo", "n").unionByName(partial))
     return named.join(runs, "doc_id", "left").unionByName(nameless).mapInArrow(remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
