@@ -10,16 +10,18 @@ anchor without being equal are compared word for word at the end.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.llm import arrays as A
 from rootweave.llm import repeats as R
-from rootweave.llm.session import documents, small_batches, stored
+from rootweave.llm.session import documents, shared_dir, small_batches, stored
 
 WIDTH, GRAM = 50, 8
 BATCHES = 3
@@ -30,54 +32,74 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 
 
 class FingerprintIndex:
-    """Runs of (h, c) with the smallest doc_id that has it; the driver holds their frames, never their rows."""
+    """Runs of (h, c) with the first text that has it; the driver holds their names, never their rows.
 
-    def __init__(self) -> None:
+    All runs have as many buckets by h, sorted within, so that a merge join of two reads them as they lie.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
     @property
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
-    @staticmethod
-    def sorted_run(rows: DataFrame) -> DataFrame:
-        first = rows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo", "n", "rel")).alias("first"))
-        return stored(first.select("h", "c", "first.*").sortWithinPartitions("h", "c"), "run")
+    def sorted_table(self, rows: DataFrame) -> DataFrame:
+        name = f"run_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{name}"
+        rows.write.bucketBy(self.buckets, "h").sortBy("h", "c").option("path", path).saveAsTable(name)
+        return self.spark.table(name)
 
-    def add(self, rows: DataFrame) -> None:
-        """Adds a batch as a run; two runs of one level become one of the next."""
-        run = self.sorted_run(rows)
+    @staticmethod
+    def firsts(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("h", "c", "first.*")
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Takes in a batch and returns its contexts that a smaller doc_id in the index has."""
+        batch = self.sorted_table(rows.repartition(self.buckets, "h"))
+        run = self.sorted_table(self.firsts(batch))
+        copies = batch
+        for k, other in enumerate([run, *self.runs]):
+            copies = copies.join(other.select("h", "c", F.col("doc_id").alias(f"first{k}")).hint("merge"), ["h", "c"], "left")
+        earliest = [F.col(f"first{k}") for k in range(1 + len(self.runs))]
+        copies = stored(copies.where((F.least(*earliest) if len(earliest) > 1 else earliest[0]) < F.col("doc_id")).select("doc_id", "at"), "copies")
+        old = [batch]
         for level in range(64):
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < FAN:
                 break
-            merged = self.levels[level]
-            self.levels[level] = []
-            both = merged[0]
-            for other in merged[1:]:
-                both = both.unionByName(other)
-            run = self.sorted_run(both)
-
-    def copies(self, rows: DataFrame) -> DataFrame:
-        """Rows whose context a smaller doc_id in the index has."""
-        first = rows
-        for k, run in enumerate(self.runs):
-            first = first.join(run.select("h", "c", F.col("doc_id").alias(f"first{k}")).hint("merge"), ["h", "c"], "left")
-        firsts = [F.col(f"first{k}") for k in range(len(self.runs))]
-        earliest = F.least(*firsts) if len(firsts) > 1 else firsts[0]
-        return first.where(earliest < F.col("doc_id"))
+            merged, self.levels[level] = self.levels[level], []
+            run = self.sorted_table(self.firsts(reduce(DataFrame.unionByName, merged)))
+            old += merged
+        for table in old:
+            self.drop(table)
+        return copies
+
+    def drop(self, table: DataFrame) -> None:
+        """Removes a table that a compaction or the end of a batch has left without readers."""
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def rivals(self) -> DataFrame:
         """Contexts that share their anchor with different ones."""
-        every = self.runs[0]
-        for run in self.runs[1:]:
-            every = every.unionByName(run)
+        every = reduce(DataFrame.unionByName, self.runs)
         if len(self.runs) > 1:
-            every = every.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo", "n", "rel")).alias("first")).select("h", "c", "first.*")
+            every = self.firsts(every)
         several = every.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1")
-        return every.join(several, "h").select("h", "doc_id", "lo", "n", "rel", "rivals")
+        return every.join(several, "h").select("h", "doc_id", *located(), "rivals")
+
+
+#: A context's first window, windows and place of the anchor, in one number (windows of up to 4,095 words).
+PACKED = "shiftleft(cast(lo as long), 24) + shiftleft(cast(n as long), 12) + rel"
+
+
+def located() -> list[Column]:
+    return [F.shiftright("at", 24).cast("int").alias("lo"), F.shiftright("at", 12).bitwiseAND(4095).cast("int").alias("n"), F.col("at").bitwiseAND(4095).cast("int").alias("rel")]
 
 
 def later_windows(block: pa.Table, width: int) -> pa.RecordBatch:
@@ -155,7 +177,7 @@ def dedupe_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     at = [k / batches for k in range(1, batches)]
     cuts = named.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(1000))).first()[0] if at else None
     edges = sorted({int(x) for x in cuts or []})  # none for an empty table
-    index, known = FingerprintIndex(), []
+    index, known = FingerprintIndex(spark), []
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         batch = named
         if low is not None:
@@ -163,10 +185,9 @@ def dedupe_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         if high is not None:
             batch = batch.where(F.col("doc_id") <= high)
         contexts = stored(batch.mapInArrow(R.scan(R.word_symbols, width, gram, False), R.ANCHORS), "fingerprints")
-        fresh = contexts.where("seen = 0").select("h", "c", "doc_id", "lo", "n", "rel")
-        index.add(fresh)
         known.append(contexts.where("seen > 0").select("doc_id", "lo", "n", F.when(F.col("seen") == 2, F.col("c")).otherwise(-1).alias("like")))
-        known.append(index.copies(fresh).select("doc_id", "lo", "n", F.lit(-1).cast("long").alias("like")))
+        copies = index.add(contexts.where("seen = 0").select("h", "c", "doc_id", F.expr(PACKED).alias("at")))
+        known.append(copies.select("doc_id", *located()[:2], F.lit(-1).cast("long").alias("like")))
     wanted = index.rivals().groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "rel", "rivals")).alias("items"))
     pieces = named.join(wanted, "doc_id").mapInArrow(R.cut(R.word_symbols, R.take_words, width, hot), R.PIECE)
     partial = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
