@@ -23,8 +23,10 @@ from rootweave.llm.session import stored
 NEAREST = 20
 #: Vectors that centroids and codebooks are fitted on, in the order of a hash of vec_id.
 SAMPLE = 16_384
-#: Lists visited, and members of each cell that are scored again.
-PROBES, AGAIN = 40, 64
+#: Lists that a query visits: this share of them, but so many at least. Vectors without clusters need a large share.
+SHARE, LEAST = 0.6, 64
+#: Members of each cell that are scored again, besides as many as a result has.
+AGAIN = 12
 PARTS, CODES = 16, 256
 #: Members and queries of a cell.
 MEMBERS, QUERIES = 2048, 512
@@ -70,8 +72,12 @@ class Quantiser:
         probes = min(probes, products.shape[1])
         return np.argpartition(-products, probes - 1, axis=1)[:, :probes]
 
-    def tables(self, query: np.ndarray) -> np.ndarray:
-        return np.stack([book @ query[a:b] for (a, b), book in zip(self.spans, self.books, strict=True)])
+    def products(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
+        """Estimated products of queries with members of one list: tables of query parts by codewords, looked up by code."""
+        sums = np.repeat((queries @ self.coarse[of])[:, None], len(codes), 1)
+        for i, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
+            sums += (queries[:, a:b] @ book.T)[:, codes[:, i]]
+        return sums
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -89,7 +95,7 @@ def clean(vectors: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = NEAREST, probes: int = PROBES, lists: int | None = None) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = NEAREST, share: float = SHARE, lists: int | None = None) -> DataFrame:
     """The ``k`` nearest rows found for each query row: query_id, rank (from 1), vec_id and score.
 
     Nearness is the inner product in double precision on the original vectors; ties go to the smaller vec_id; a query is
@@ -106,6 +112,7 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()["vector"]
     sample = np.stack(sample.to_numpy()).astype(np.float32)
     lists = min(lists or int(2 * lengths["n"] ** 0.5), max(1, len(sample) // 16))
+    probes = max(LEAST, int(share * lists))
     quantiser = spark.sparkContext.broadcast(Quantiser(sample, lists))
 
     same = Window.partitionBy("vector").orderBy("vec_id")
@@ -143,19 +150,21 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
             mine, theirs = group.filter(pa.array(kind == 0)), group.filter(pa.array(kind == 1))
             if not mine.num_rows or not theirs.num_rows:
                 continue
-            codes = np.frombuffer(b"".join(mine["codes"].to_pylist()), np.uint8).reshape(mine.num_rows, -1).astype(np.int64)
-            vectors, ids = matrix(mine["vector"]).astype(np.float64), [np.array(x) for x in mine["ids"].to_pylist()]
-            centre = quantiser.value.coarse[mine["list"][0].as_py()]
+            codes = np.frombuffer(b"".join(mine["codes"].to_pylist()), np.uint8).reshape(mine.num_rows, -1)
+            vectors, copies = matrix(mine["vector"]).astype(np.float64), mine["ids"].combine_chunks()
+            sizes, ids = copies.value_lengths().to_numpy(), copies.flatten().to_numpy()
+            first = np.cumsum(sizes) - sizes
+            asking, queries = theirs["id"].to_numpy(), matrix(theirs["vector"])
+            guess = quantiser.value.products(queries, mine["list"][0].as_py(), codes)
+            most = min(k + AGAIN, len(codes))
+            some = np.argpartition(-guess, most - 1, axis=1)[:, :most]
+            queries = queries.astype(np.float64)
             out: list[tuple[np.ndarray, ...]] = []
-            at = np.arange(codes.shape[1])
-            for query_id, query in zip(theirs["id"].to_pylist(), matrix(theirs["vector"]), strict=True):
-                guess = quantiser.value.tables(query)[at, codes].sum(1) + centre @ query
-                some = np.argpartition(-guess, AGAIN)[:AGAIN] if len(guess) > AGAIN else np.arange(len(guess))
-                score = (vectors[some] * query.astype(np.float64)).sum(1)
-                found = np.concatenate([ids[m] for m in some])
-                score = np.repeat(score, [len(ids[m]) for m in some])
-                found, score = found[found != query_id], score[found != query_id]
-                best = np.lexsort((found, -score))[:k]
+            for query_id, query, again in zip(asking.tolist(), queries, some, strict=True):
+                score = (vectors[again] * query).sum(1)
+                found, score = ids[A.concat_ranges(first[again], sizes[again])], np.repeat(score, sizes[again])
+                best = np.lexsort((found, -score))[: k + 1]
+                best = best[found[best] != query_id][:k]
                 out.append((np.full(len(best), query_id), found[best], score[best]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
 

@@ -63,7 +63,7 @@ class View:
     shift: float = 0.0
 
     def fit(self, rows: DataFrame, label: str, penalty: float) -> View:
-        self.model = LogisticRegression(featuresCol=self.column, labelCol=label, weightCol="weight", regParam=penalty, maxIter=40, standardization=False).fit(rows)
+        self.model = LogisticRegression(featuresCol=self.column, labelCol=label, weightCol="weight", regParam=penalty, maxIter=25, standardization=False).fit(rows)
         return self
 
     def odds(self, rows: DataFrame, to: str) -> DataFrame:
@@ -73,7 +73,7 @@ class View:
 
     def calibrate(self, held: DataFrame, label: str) -> None:
         scored = VectorAssembler(inputCols=["x"], outputCol="one").transform(self.odds(held, "x"))
-        line = LogisticRegression(featuresCol="one", labelCol=label, regParam=1e-3).fit(scored)
+        line = LogisticRegression(featuresCol="one", labelCol=label, regParam=1e-3, maxIter=15).fit(scored)
         if line.numClasses == 2 and line.coefficients[0] > 0:
             self.slope, self.shift = float(line.coefficients[0]), float(line.intercept)
 
@@ -124,7 +124,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
     assembler = VectorAssembler(inputCols=list(NUMBERS), outputCol="numbers")
     scaler = StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True).fit(assembler.transform(known))
     features = PipelineModel([*stages, assembler, scaler, VectorAssembler(inputCols=["kinds", "scaled"], outputCol="page_view")])
-    seen = stored(features.transform(rows).select("doc_id", "text_view", "page_view", "quality", "toxic", "weight", "held"), "features").cache()
+    seen = stored(features.transform(rows).select("doc_id", "text_view", "page_view", "quality", "toxic", "weight", "held"), "features").coalesce(4).cache()
     train, held, free = seen.where("quality is not null and not held"), seen.where("quality is not null and held"), seen.where("quality is null")
 
     words, page = View("text_view"), View("page_view")

@@ -7,9 +7,44 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rootweave.llm import chat
+from rootweave.llm.decontaminate import find_contamination
 from rootweave.llm.fingerprint_index import dedupe_windows
+from rootweave.llm.licenses import scan_licenses
+from rootweave.llm.near_dedup import near_duplicates
+from rootweave.llm.neighbours import nearest_neighbours
 from rootweave.llm.prefix_encode import encode_texts
+from rootweave.llm.quality import classify_quality
 from rootweave.llm.suffix_dedup import dedupe_substrings
+from rootweave.llm.surrogates import replace_entities
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_entities(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +62,18 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_substring_dedup": op8_substring_dedup,
-    "op9_sentencepiece": op9_sentencepiece,
-    "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_pii_surrogates,
+        op3_minhash_near_dedup,
+        op4_chat_formatting,
+        op5_nearest_neighbours,
+        op6_quality_classifier,
+        op7_license_scan,
+        op8_substring_dedup,
+        op9_sentencepiece,
+        op10_suffix_array_dedup,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL}
