@@ -4,16 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from rootweave.llm.decontaminate import find_contamination
+from rootweave.llm.near_dedup import near_duplicates
+from rootweave.llm.prefix_encode import encode_texts
+from rootweave.llm.quality import classify_quality
+from rootweave.llm.session import stored, without
+from rootweave.llm.surrogates import replace_entities
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    scores = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return without(docs, scores.where("not kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id are one document."""
+    groups = stored(near_duplicates(docs), "groups")
+    kept = without(docs, groups.where("not kept"))
+    if groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without(docs, find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data get surrogates; n_chars follows the text."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    new = replace_entities(docs, carry=others)
+    counted = new.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in others else new
+    return counted.select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of what is left, ready to train on, with the digests that prove their round trip."""
+    coded = encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("PII", pii),
+    ("SentencePiece encoding and decoding", tokens),
+]
 #: Training, sketches and tokenisation are not SQL; tests compare with brute-force versions.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what each keeps is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

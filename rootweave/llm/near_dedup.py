@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from rootweave.llm import arrays as A
 from rootweave.llm.components import components
-from rootweave.llm.session import documents, small_batches, stored
+from rootweave.llm.session import documents, listed_ids, small_batches, stored
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
@@ -32,8 +32,6 @@ BITS = 64 * LONGS
 SLACK = 0.2
 #: Members and probes of a cell.
 MEMBERS, PROBES = 512, 2048
-#: Ids that may be broadcast (8 bytes each) to pick their texts; more are joined by a shuffle.
-PICKED = 500_000
 
 FACTORS = A.mix(np.arange(1, SAMPLES + 1, dtype=A.U64)) | A.U64(1)
 SKETCH = "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"
@@ -138,16 +136,11 @@ def across(threshold: int):
     return run
 
 
-def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the listed ids; a list of proven size is broadcast, any other is joined by a shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "doc_id", "left_semi")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Pairs whose full sets are as similar as asked."""
     pairs = stored(pairs.distinct(), "pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = stored(picked(docs, ids).mapInArrow(listed(size), "doc_id long, shingles array<long>"), "sets")
+    ids = listed_ids(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(listed(size), "doc_id long, shingles array<long>"), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))

@@ -62,8 +62,8 @@ class View:
     slope: float = 1.0
     shift: float = 0.0
 
-    def fit(self, rows: DataFrame, label: str, penalty: float) -> View:
-        self.model = LogisticRegression(featuresCol=self.column, labelCol=label, weightCol="weight", regParam=penalty, maxIter=25, standardization=False).fit(rows)
+    def fit(self, rows: DataFrame, label: str, penalty: float, sparse: float = 0.0) -> View:
+        self.model = LogisticRegression(featuresCol=self.column, labelCol=label, weightCol="weight", regParam=penalty, elasticNetParam=sparse, maxIter=25, standardization=False).fit(rows)
         return self
 
     def odds(self, rows: DataFrame, to: str) -> DataFrame:
@@ -134,7 +134,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED,
         page.fit(train.unionByName(to_page), "quality", 0.001)
         if turn < rounds:
             to_page, to_words = sure_of(words, free), sure_of(page, free)
-    toxic = View("text_view").fit(train, "toxic", 0.003)
+    toxic = View("text_view").fit(train, "toxic", 0.002, 1.0)
     for view, label in ((words, "quality"), (page, "quality"), (toxic, "toxic")):
         view.calibrate(held, label)
     good = held.agg(F.avg("quality")).first()[0] or 0.5

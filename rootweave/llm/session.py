@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch of whole texts; ``arrays.slices`` cuts further by bytes.
 TEXT_ROWS = 256
@@ -38,3 +39,18 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 def documents(frame: DataFrame, *more: str) -> DataFrame:
     """doc_id and text, and no other columns unless named, so that further columns can't clash."""
     return frame.select(frame["doc_id"].cast("long").alias("doc_id"), frame["text"].cast("string").alias("text"), *[frame[c] for c in more])
+
+
+#: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
+PICKED = 500_000
+
+
+def listed_ids(ids: DataFrame) -> DataFrame:
+    """A written list of distinct doc_ids, to be broadcast only if its size is proven."""
+    ids = stored(ids.select("doc_id").where("doc_id is not null").distinct(), "ids")
+    return F.broadcast(ids) if ids.count() <= PICKED else ids
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """All rows but those whose doc_id is listed."""
+    return docs.join(listed_ids(ids), "doc_id", "left_anti").select(docs.columns)

@@ -8,12 +8,13 @@ entity stands gets its one surrogate, in the case it is written in.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootweave.llm.session import documents, stored
+from rootweave.llm.session import stored
 
 # First names and family names by gender and script, and titles by gender.
 FIRST_NAMES = {
@@ -176,14 +177,15 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise AssertionError("not reached")
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str = KEY, carry: Sequence[str] = ()) -> DataFrame:
     """Texts with every detected entity replaced by its surrogate.
 
-    Returns one row for each row of ``docs``: doc_id, text and n_entities (places replaced); further columns are left
-    out, so that they can't clash. Equal entities get equal surrogates all over the corpus, different ones of a type
+    Returns one row for each row of ``docs``: doc_id, text, n_entities (places replaced) and the columns named in
+    ``carry``; others are left out, so that they can't clash. Equal entities get equal surrogates all over the corpus, different ones of a type
     different ones. A null text stays null, an empty one empty; doc_id may be null or repeat.
     """
-    plain = documents(docs)
+    carried = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
+    plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), carried.alias("carried"))
     # copies of a text are one: what is found in a text goes by its hash
     plain = plain.withColumn("hash", F.md5("text"))
     safe = F.replace(F.replace("text", F.lit(ESCAPE), F.lit(ESCAPE + "b")), F.lit(MARK), F.lit(ESCAPE + "a"))
@@ -201,4 +203,4 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     whole = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.get(F.col("new.surrogate"), ((i - 1) / 2).cast("int"))).otherwise(x)), "")
     unmarked = F.replace(F.replace(whole, F.lit(ESCAPE + "a"), F.lit(MARK)), F.lit(ESCAPE + "b"), F.lit(ESCAPE))
     text = F.when(F.col("new").isNull(), F.col("text")).when(marked, unmarked).otherwise(whole)
-    return plain.join(listed, "hash", "left").select("doc_id", text.alias("text"), F.coalesce(F.size("new"), F.lit(0)).alias("n_entities"))
+    return plain.join(listed, "hash", "left").select("doc_id", text.alias("text"), F.coalesce(F.size("new"), F.lit(0)).alias("n_entities"), *[F.col(f"carried.c{i}").alias(c) for i, c in enumerate(carry)])
