@@ -1,0 +1 @@
+"""Root causes from event streams over typed topologies, as Spark jobs."""
