@@ -181,10 +181,10 @@ TIMING = SESSIONS + """, spaced AS (SELECT *, (raised_us - lag(raised_us) OVER (
 ), timing AS (SELECT trail_id, session, (max(raised_us) - min(raised_us)) / 1000 AS timeframe_ms, quantile_cont(g, 0.5) AS median_ms, max(g) AS max_gap_ms, stddev_pop(g) AS stddev_ms FROM spaced GROUP BY ALL) """
 
 
-@query(TIMING + "SELECT trail_id, session, round(timeframe_ms, 3) AS timeframe_ms, round(median_ms, 6) AS median_ms, round(max_gap_ms, 3) AS max_gap_ms, round(stddev_ms, 2) AS stddev_ms FROM timing")
+@query(TIMING + "SELECT trail_id, session, round(timeframe_ms, 3) AS timeframe_ms, round(median_ms, 6) AS median_ms, round(max_gap_ms, 3) AS max_gap_ms, round(stddev_ms, 4) AS stddev_ms FROM timing")
 def session_timing(spark: SparkSession, d: str) -> DataFrame:
     t = mining.timing(sessions(spark, d), ["trail_id", "session"])
-    return t.select("trail_id", "session", *[F.round(c, {"stddev_ms": 2, "median_ms": 6}.get(c, 3)).alias(c) for c in ("timeframe_ms", "median_ms", "max_gap_ms", "stddev_ms")])
+    return t.select("trail_id", "session", *[F.round(c, {"stddev_ms": 4, "median_ms": 6}.get(c, 3)).alias(c) for c in ("timeframe_ms", "median_ms", "max_gap_ms", "stddev_ms")])
 
 
 @query(TIMING + """SELECT trail_id, session, CAST(greatest(5000, least(1800000, greatest(ceil(1.5 * coalesce(timeframe_ms, 0)), ceil(2 * coalesce(max_gap_ms, 0))))) AS BIGINT) AS window_ms,
