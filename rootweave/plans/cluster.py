@@ -31,8 +31,9 @@ def clustered(rows: DataFrame, eps_us: int = EPS_US, fewest: int = FEWEST) -> Da
     # the last core point before, for core points; equal times are one place
     before = F.max(F.when(F.col("_core"), F.col("raised_us"))).over(order.rangeBetween(Window.unboundedPreceding, -1))
     fresh = F.col("_core") & (before.isNull() | (F.col("raised_us") - before > eps_us))
-    places = dense.withColumn("_new", fresh)
-    starts = F.size(F.collect_set(F.when(F.col("_new"), F.col("raised_us"))).over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    first = F.coalesce(F.lag("raised_us").over(order) != F.col("raised_us"), F.lit(True))
+    places = dense.withColumn("_new", F.when(fresh & first, 1).otherwise(0))
+    starts = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))
     chained = places.withColumn("_chain", F.when(F.col("_core"), starts - 1))
     return chained.withColumn("cluster", F.min("_chain").over(near)).drop("_core", "_new", "_chain")
 
