@@ -523,3 +523,71 @@ def generated_corpus(spark: SparkSession, d: str) -> DataFrame:
     starts = generate.instances(v, kinds, 6, HOUR, 1234)
     signal = generate.cascade(starts, e, effects, 1234)
     return signal.select("alarm_id", "moid", "alarm_type", "raised_us").unionByName(generate.noise(v, signal, ["Chatter", "Flap"], 40, HOUR, 1234, 0.25).select("alarm_id", "moid", "alarm_type", "raised_us"))
+
+
+# rules, structure and conflicts
+@query("SELECT DISTINCT moid AS record_id, alarm_type AS term FROM alarms WHERE alarm_type NOT IN ('click', 'view', 'error')")
+def unknown_references(spark: SparkSession, d: str) -> DataFrame:
+    records = alarms(spark, d).groupBy(F.col("moid").alias("record_id")).agg(F.collect_set("alarm_type").alias("terms"))
+    return validate.unknown_references(records, F.col("terms"), spark.createDataFrame([("click",), ("view",), ("error",)], "term string"))
+
+
+@query("SELECT json_extract_string(vendor_raw, '$.k') AS value, count(*) AS parameters FROM alarms WHERE CAST(json_extract_string(vendor_raw, '$.k') AS DOUBLE) NOT BETWEEN 10 AND 90 GROUP BY ALL")
+def out_of_bounds(spark: SparkSession, d: str) -> DataFrame:
+    given = alarms(spark, d).select(F.lit("k").alias("name"), F.get_json_object("vendor_raw", "$.k").alias("value"))
+    return validate.out_of_bounds(given, spark.createDataFrame([("k", 10.0, 90.0)], "name string, low double, high double")).groupBy("value").agg(F.count("*").alias("parameters"))
+
+
+AUDIT = ", audit AS (SELECT moid AS pattern_id, CASE source WHEN 'src0' THEN 'draft' WHEN 'src1' THEN 'approved' ELSE 'deprecated' END AS state, raised_us AS changed_us FROM alarms) "
+
+
+@query(AUDIT + "SELECT pattern_id, max_by(state, struct_pack(a := changed_us, b := state)) AS state, count(*) AS changes FROM audit GROUP BY ALL")
+def pattern_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    state = F.expr("case source when 'src0' then 'draft' when 'src1' then 'approved' else 'deprecated' end")
+    return govern.lifecycle(alarms(spark, d).select(F.col("moid").alias("pattern_id"), state.alias("state"), F.col("raised_us").alias("changed_us")))
+
+
+@query(SESSIONS + """, m AS (SELECT trail_id || '/' || session AS pattern_id, alarm_type, length(alarm_type) AS hops, raised_us FROM sessioned
+), s AS (SELECT *, percent_rank() OVER (PARTITION BY pattern_id ORDER BY hops) + 0.5 * percent_rank() OVER (PARTITION BY pattern_id ORDER BY raised_us) AS score FROM m)
+SELECT pattern_id, alarm_type AS root_alarm_type FROM (SELECT *, row_number() OVER (PARTITION BY pattern_id ORDER BY score, raised_us, alarm_type) AS n FROM s) WHERE n = 1""")
+def root_causes(spark: SparkSession, d: str) -> DataFrame:
+    members = sessions(spark, d).select(F.concat_ws("/", "trail_id", "session").alias("pattern_id"), "alarm_type", F.length("alarm_type").alias("hops"), "raised_us")
+    return govern.root_causes(members)
+
+
+@query("SELECT concat('P', c_custkey) AS pattern_id, concat('Nation:', (c_nationkey + 1) % 25) AS root, concat('Customer:', c_custkey) AS moid FROM customer WHERE c_custkey % 5 = 0", True)
+def unconnected_members(spark: SparkSession, d: str) -> DataFrame:
+    v = vertices(spark, d)
+    root = F.when(F.col("c_custkey") % 5 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
+    members = table(spark, d, "customer").select(F.concat(F.lit("P"), "c_custkey").alias("pattern_id"), F.concat(F.lit("Nation:"), root).alias("root"), F.concat(F.lit("Customer:"), "c_custkey").alias("moid"))
+    reached = graph.traverse(v, edges(spark, d), graph.nodes_of(v, "Nation").select("id"), ["HOSTED_ON"], 2)
+    return govern.unconnected(members, reached).select("pattern_id", "root", "moid")
+
+
+@query(""", lines AS (SELECT concat('I', l_orderkey) AS incident_id, concat('S', l_suppkey) AS alarm_id, count(*) OVER (PARTITION BY l_orderkey) AS size, CAST(l_quantity AS DOUBLE) AS confidence FROM lineitem
+), c AS (SELECT incident_id, alarm_id, size, max(confidence) AS confidence FROM lines GROUP BY ALL)
+SELECT alarm_id, incident_id, size, confidence FROM (SELECT *, row_number() OVER (PARTITION BY alarm_id ORDER BY size DESC, confidence DESC, incident_id) AS n FROM c) WHERE n = 1""")
+def conflict_winners(spark: SparkSession, d: str) -> DataFrame:
+    lines = table(spark, d, "lineitem").withColumn("size", F.count("*").over(Window.partitionBy("l_orderkey")))
+    found = lines.groupBy(F.concat(F.lit("I"), "l_orderkey").alias("incident_id"), F.concat(F.lit("S"), "l_suppkey").alias("alarm_id"), "size").agg(F.max(F.col("l_quantity").cast("double")).alias("confidence"))
+    return correlate.winners(found).select("alarm_id", "incident_id", "size", "confidence")
+
+
+@query("SELECT concat('Supplier:', s_suppkey) AS id, concat('n', s_suppkey) AS name, round(CAST(s_suppkey AS DOUBLE) / 8, 6) AS lat, NULL::DOUBLE AS lon FROM supplier", True)
+def site_projection(spark: SparkSession, d: str) -> DataFrame:
+    text = F.to_json(F.struct(F.concat(F.lit("n"), "s_suppkey").alias("name"), (F.col("s_suppkey") / 8).alias("latitude"), F.lit("east").alias("longitude")))
+    site = layers.site_of(text, F.lit(None).cast("string"))
+    return table(spark, d, "supplier").select(F.concat(F.lit("Supplier:"), "s_suppkey").alias("id"), site["name"].alias("name"), F.round(site["lat"], 6).alias("lat"), site["lon"].alias("lon"))
+
+
+@query("SELECT moid, alarm_type, severity FROM alarms WHERE source = 'src1' UNION SELECT moid, alarm_type, severity FROM alarms WHERE source = 'src2' EXCEPT SELECT moid, alarm_type, severity FROM alarms WHERE source = 'src0'")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    part = lambda s: alarms(spark, d).where(F.col("source") == s).select("moid", "alarm_type", "severity")
+    return part("src1").union(part("src2")).distinct().subtract(part("src0"))
+
+
+@query("SELECT a.moid AS moid, a.alarm_id AS alarm_id, b.alarm_id AS latest FROM alarms a JOIN (SELECT moid, max_by(alarm_id, struct_pack(x := raised_us, y := alarm_id)) AS alarm_id FROM alarms GROUP BY moid) b ON a.moid = b.moid WHERE a.state = 'cleared'")
+def clears_with_latest(spark: SparkSession, d: str) -> DataFrame:
+    rows = alarms(spark, d)
+    latest = rows.groupBy("moid").agg(F.max_by("alarm_id", F.struct("raised_us", "alarm_id")).alias("latest"))
+    return rows.where("state = 'cleared'").join(latest, "moid").select("moid", "alarm_id", "latest")
