@@ -36,9 +36,13 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def documents(frame: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text, and no other columns unless named, so that further columns can't clash."""
-    return frame.select(frame["doc_id"].cast("long").alias("doc_id"), frame["text"].cast("string").alias("text"), *[frame[c] for c in more])
+def documents(frame: DataFrame) -> DataFrame:
+    """doc_id (long) and text (string), and no other columns, so that further ones can't clash.
+
+    A column of the right type is taken as it is: two joins of one table then share its shuffle.
+    """
+    kinds = {"doc_id": "bigint", "text": "string"}
+    return frame.select(*[frame[c] if dict(frame.dtypes).get(c) == kind else frame[c].cast(kind).alias(c) for c, kind in kinds.items()])
 
 
 #: Ids that may be broadcast (8 bytes each); more are joined by a shuffle.
