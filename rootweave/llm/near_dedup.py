@@ -6,7 +6,7 @@ similarity from its population count. Links are confirmed on full sets.
 
 Buckets are never expanded into all pairs. Each member is first held against its bucket's smallest one; the confirmed
 links join most of a group of copies. Then only members of different components need comparing: those outside the
-bucket's largest component are compared with the bucket, cell by bounded cell.
+bucket's largest component are compared with the bucket, cell by bounded cell, and give only links that join components.
 """
 
 from __future__ import annotations
@@ -118,29 +118,51 @@ def close(sketch: Column, other: Column, n: Column, m: Column, threshold: int) -
 
 
 def across(threshold: int):
-    """For mapInArrow over cells (cell, probe, rep, comp, n, sketch): pairs of a probe and a member that may be linked."""
+    """For mapInArrow over cells (cell, probe, rep, comp, n, sketch, shingles): confirmed links of probes with members.
+
+    What the cell has linked so far is one component, and nothing within a component is compared again, so that a cell
+    gives fewer links than it has rows.
+    """
     most = most_odd(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in A.groups(batches, "cell"):
             probe = cell["probe"].to_numpy().astype(bool)
-            rep, comp, n = (cell[c].to_numpy() for c in ("rep", "comp", "n"))
+            rep, n = cell["rep"].to_numpy(), cell["n"].to_numpy()
+            comp = cell["comp"].to_numpy().copy()
             bits = cell["sketch"].combine_chunks().flatten().to_numpy().view(A.U64).reshape(-1, LONGS)
-            members = np.flatnonzero(~probe)
+            lists = cell["shingles"].combine_chunks()
+            flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+            first = np.cumsum(size) - size
+            members, links = np.flatnonzero(~probe), []
             for x in np.flatnonzero(probe):
                 y = members[(comp[members] != comp[x]) & (100 * np.minimum(n[members], n[x]) >= threshold * np.maximum(n[members], n[x]))]
                 y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= most]
-                if len(y):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[y], rep[x])), pa.array(np.maximum(rep[y], rep[x]))], schema=PAIRS)
+                if not len(y):
+                    continue
+                mine = np.sort(flat[first[x] : first[x] + size[x]])
+                theirs = flat[A.concat_ranges(first[y], size[y])]
+                held = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                shared = np.add.reduceat(held.astype(np.int64), np.cumsum(size[y]) - size[y])
+                for z in y[100 * shared >= threshold * (size[y] + size[x] - shared)].tolist():
+                    if comp[z] != comp[x]:
+                        links.append((rep[z], rep[x]))
+                        comp[comp == comp[z]] = comp[x]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*links, strict=True)], schema=PAIRS)
 
     return run
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and shingles of the listed documents."""
+    return stored(docs.join(listed_ids(ids), "doc_id", "left_semi").mapInArrow(listed(size), "doc_id long, shingles array<long>"), "sets")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Pairs whose full sets are as similar as asked."""
     pairs = stored(pairs.distinct(), "pairs")
-    ids = listed_ids(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    sets = stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(listed(size), "doc_id long, shingles array<long>"), "sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
@@ -177,11 +199,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     largest = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
     cells = F.ceil(F.col("all") / MEMBERS), F.ceil((F.col("all") - F.col("top.m")) / PROBES)
     open_ = placed.join(largest.select("key", "top.comp", *(c.cast("int").alias(x) for c, x in zip(cells, ("wide", "deep"), strict=True))).withColumnRenamed("comp", "main"), "key").join(sketch, "rep")
+    open_ = stored(open_, "open")
+    sets = sets_of(open_.select(F.col("rep").alias("doc_id")), plain, shingle)
+    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
+    open_ = open_.join(sets, "rep")
     member = open_.select("*", F.lit(0).alias("probe"), F.pmod(F.xxhash64("rep"), "wide").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("j"))
     probe = open_.where("comp <> main").select("*", F.lit(1).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), "deep").cast("int").alias("j"))
-    dealt = member.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("cell"), "probe", "rep", "comp", "n", "sketch")
-    pairs = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(across(threshold), "a long, b long")
-    more = confirmed(pairs.join(stars, ["a", "b"], "left_anti"), plain, shingle, threshold)
+    dealt = member.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("cell"), "probe", "rep", "comp", "n", "sketch", "shingles")
+    more = stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(across(threshold), "a long, b long"), "links")
     joined = components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
 
     found = classes.join(joined, "rep", "left").select("k1", "k2", "n", F.coalesce("comp", "rep").alias("component_id"))

@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from rootweave.llm.session import documents, small_batches
 
 SPACE = "▁"
-#: Words and pairs that a task remembers before it starts anew.
-REMEMBERED = 150_000
+#: Words (twice as many, by generations), stretches and pairs that a worker remembers before it starts anew.
+WORDS, STRETCHES, PAIRS = 300_000, 500_000, 300_000
 LONGEST = 64
 NEVER = float("-inf")
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded", pa.string()), ("decoded_sha256", pa.string())])
@@ -96,7 +96,7 @@ class PrefixEncoder:
         if left[-1] + right[0] not in self.joined:
             return True
         if (known := self.compatible.get((left, right))) is None:
-            if len(self.compatible) > REMEMBERED:
+            if len(self.compatible) > PAIRS:
                 self.compatible.clear()
             known = self.compatible[left, right] = self.undisturbed(self.growth(left)[1], self.growth(right)[0])
         return known
@@ -140,7 +140,7 @@ class PrefixEncoder:
                 if (pieces := self.parts.get(part)) is None:
                     pieces = self.table(part) if len(part) > 1 else [part]
                     if len(part) <= LONGEST:
-                        if len(self.parts) > REMEMBERED:
+                        if len(self.parts) > STRETCHES:
                             self.parts.clear()
                         self.parts[part] = pieces
                 out += pieces
@@ -190,7 +190,7 @@ class PrefixEncoder:
             ids = self.word(text)
             found = pack(f"<{len(ids)}I", *ids), self.decode(ids)
         if len(text) <= LONGEST:
-            if len(self.words) > REMEMBERED:
+            if len(self.words) > WORDS:
                 self.older, self.words = self.words, {}
             self.words[text] = found
         return found
