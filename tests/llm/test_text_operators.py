@@ -66,11 +66,12 @@ def test_contamination(spark):
         (5, " ".join(items[4][:30])),
         (6, None),
         (7, ""),
+        (8, " ".join(items[4][2:58])),  # 52 of 56 shingles, in a text shorter than the item
     ]
     bench = [(i, " ".join(x)) for i, x in enumerate(items)] + [(8, None), (9, " .,")]
     docs, benchmark = corpus.frame(spark, texts), spark.createDataFrame([(*x, "t", 1) for x in bench], "item_id long, text string, doc_id string, n int")
     got = {(r.doc_id, r.item_id, r.first_word) for r in find_contamination(docs, benchmark).collect()}
-    assert got == {(1, 3, 50), (2, 3, 0), (3, 0, 20), (3, 2, 25)}
+    assert got == {(1, 3, 50), (2, 3, 0), (3, 0, 20), (3, 2, 25), (8, 4, 0)}
     assert find_contamination(corpus.empty(spark), benchmark).count() == 0
     assert find_contamination(docs, benchmark.limit(0)).count() == 0
 
