@@ -22,9 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(docs, scores.where("not kept"))
 
 
+#: Words in a shingle and similarity (per cent) of the stage; near_duplicates' own defaults are the contract of op3 alone.
+SHINGLE, SIMILAR = 5, 80
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id are one document."""
-    groups = stored(near_duplicates(docs), "groups")
+    groups = stored(near_duplicates(docs, shingle=SHINGLE, threshold=SIMILAR), "groups")
     kept = without(docs, groups.where("not kept"))
     if groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return kept

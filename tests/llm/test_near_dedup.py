@@ -1,5 +1,6 @@
 from collections import Counter
 
+import corpus_pipeline
 from rootweave.llm.components import components
 from rootweave.llm.near_dedup import near_duplicates
 
@@ -53,3 +54,16 @@ def test_a_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (501, 500), (700, 700)], "a long, b long")
     got = {(r.node, r.component) for r in components(links).collect()}
     assert got == {(i, 0) for i in range(301)} | {(500, 500), (501, 500)}
+
+
+def test_the_stage_takes_five_words_and_80_per_cent(spark):
+    base = [[f"b{k}w{i}" for i in range(300)] for k in range(3)]
+    edited = [f"e{i}" if i % 38 == 17 else w for i, w in enumerate(base[2])]  # 0.851 with three words, 0.762 with five
+    rows = list(enumerate(" ".join(w) for w in (base[0], base[0][:246], base[1], base[1][:200], base[2], edited)))
+    kept = {d for d, _, _, k in by_hand(rows, 5, 80) if k}
+    assert kept == {0, 2, 3, 4, 5}
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(kept)
+    odd = corpus.rows(11, 200, words=[f"w{i}" for i in range(40)], longest=120)
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(odd, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == {d for d, _, _, k in by_hand(odd, 5, 80) if k}
