@@ -1,9 +1,10 @@
 """Licence scan by rare words and their places.
 
 Every text gives the words that stand in licence templates, with their places. Document frequencies of these words over
-all texts tell which of a text's licence words are rarest; their postings in the templates are looked up, and the
-difference between the place in the text and the place in the template is counted: a licence that really stands there
-gives one difference again and again. A template so aligned counts only if its mandatory key phrase stands in the text.
+all texts tell which of a template's words in the text are rarest; these are looked up for each template, so that other
+notices and prose take no place from it, and the difference between the place in the text and the place in the template
+is counted: a licence that really stands there gives one difference again and again. A template so aligned counts only
+if its mandatory key phrase stands in the text.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ TEMPLATES = [
 ]
 #: Words too common in any text to look up.
 COMMON = "a an and any are be by can for free in is it made of or source the this to use used with without you work person forms terms under files copy version charge fee purpose".split()
+#: Words of each template that are looked up in a text.
 RAREST = 6
 #: The least share of a template's weight that must be aligned.
 ALIGNED = 0.6
@@ -101,15 +103,16 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     weight = postings.groupBy("template").agg(F.sum("idf").alias("weight"))
     postings = stored(postings.join(F.broadcast(weight), "template"), "postings")
 
-    placed = seen.where(F.size("hits") > 1).select("row", "held", F.explode("hits").alias("hit")).select("row", "held", "hit.word", "hit.at")
-    rare = placed.select("row", "word").distinct().join(F.broadcast(idf), "word").groupBy("row")
-    rare = rare.agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word"))), 1, RAREST).alias("rare")).select("row", F.col("rare.word").alias("rare"))
-    aligned = placed.join(rare, "row").where(F.array_contains("rare", F.col("word"))).join(F.broadcast(postings), "word")
-    looked_up = aligned.where(F.array_contains("held", F.col("key")))
-    votes = looked_up.groupBy("row", "template", "label", "weight", (F.col("at") - F.col("place")).alias("shift")).agg(F.sum("idf").alias("vote"))
-    # of a template only the words that may be looked up in this text count
-    possible = rare.select("row", F.explode("rare").alias("word")).join(F.broadcast(postings.select("word", "template", "idf")), "word").groupBy("row", "template").agg(F.sum("idf").alias("possible"))
-    scored = votes.join(possible, ["row", "template"]).select("row", "label", F.least(F.lit(1.0), F.col("vote") / F.greatest("possible", F.col("weight") * 0.5)).alias("share"))
+    # only templates whose key phrase stands in the text are aligned, each by the rarest of its own words found there
+    placed = seen.where((F.size("hits") > 1) & (F.size("held") > 0)).select("row", "held", F.explode("hits").alias("hit")).select("row", "held", "hit.word", "hit.at")
+    own = postings.groupBy("word", "template", "key").agg(F.first("idf").alias("idf"), F.count("*").alias("times"))
+    owned = placed.select("row", "held", "word").distinct().join(F.broadcast(own), "word").where(F.array_contains("held", F.col("key"))).groupBy("row", "template")
+    rare = owned.agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("idf")).alias("order"), "word", "times"))), 1, RAREST).alias("rare"))
+    rare = rare.select("row", "template", F.col("rare.word").alias("rare"), F.aggregate("rare", F.lit(0.0), lambda x, r: x - r["order"] * r["times"]).alias("possible"))
+    aligned = placed.join(F.broadcast(postings), "word").where(F.array_contains("held", F.col("key"))).join(rare, ["row", "template"])
+    looked_up = aligned.where(F.array_contains("rare", F.col("word")))
+    votes = looked_up.groupBy("row", "template", "label", "weight", "possible", (F.col("at") - F.col("place")).alias("shift")).agg(F.sum("idf").alias("vote"))
+    scored = votes.select("row", "label", F.least(F.lit(1.0), F.col("vote") / F.greatest("possible", F.col("weight") * 0.5)).alias("share"))
     best = scored.groupBy("row").agg(F.max("share").alias("score"), F.collect_set(F.when(F.col("share") >= ALIGNED, F.col("label"))).alias("more"))
     empty = F.array().cast("array<string>")
     return seen.join(best, "row", "left").select(

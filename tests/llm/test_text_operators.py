@@ -9,7 +9,7 @@ import sentencepiece
 
 from rootweave.llm import chat
 from rootweave.llm.decontaminate import find_contamination
-from rootweave.llm.licenses import scan_licenses
+from rootweave.llm.licenses import TEMPLATES, scan_licenses, vocabulary
 from rootweave.llm.prefix_encode import PrefixEncoder, encode_texts
 from rootweave.llm.surrogates import drawn, entity_pattern, replace_entities
 
@@ -147,3 +147,27 @@ def test_licences(spark):
     assert got[6][4:6] == ("", "bsd") and got[7][1] == 0
     assert all(0 <= x[6] <= 1 for x in got.values())
     assert scan_licenses(corpus.empty(spark)).count() == 0
+
+
+def test_licences_of_many_notices_and_of_very_long_prose(spark):
+    r = random.Random(8)
+    wording = {}
+    for label, _, text in TEMPLATES:
+        wording.setdefault(label, text)
+    words = vocabulary()
+    # licence words stand alone in prose, so that they make no phrase
+    prose = lambda n, share=0.2: " ".join(r.choice(words) if i % 2 and r.random() < share else f"w{r.randint(0, 999)}" for i in range(n))
+    sets = [["mpl", "epl", "isc"], ["bsd", "isc", "mpl"], ["bsd", "mpl", "epl", "cc0", "unlicense"], sorted(wording)]
+    sets += [sorted(r.sample(sorted(wording), r.randint(1, 6))) for _ in range(20)]
+    rows = [(i, " ".join(x for label in s for x in (prose(20, 0), wording[label]))) for i, s in enumerate(sets)]
+    for label in sorted(wording):
+        rows.append((len(rows), f"{prose(10_000)} {wording[label]} {prose(10_000)}"))
+        sets.append([label])
+    rows += [(1000 + i, prose(40, 0.02)) for i in range(600)]
+    got = {x.doc_id: x for x in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    implied = {"lgpl": "gpl", "agpl": "gpl"}  # their wordings hold the base phrase of the other
+    for i, s in enumerate(sets):
+        found = set(got[i].labels.split(","))
+        assert found == {*s, *(implied[x] for x in s if x in implied)}, (s, found)
+        assert got[i].score > 0.99
+    assert all(got[d].score < 0.6 for d, _ in rows[len(sets) :])
