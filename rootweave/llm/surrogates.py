@@ -31,12 +31,16 @@ FAMILY_NAMES = {
     "greek": "Αγγελόπουλος Γεωργίου Δημητρίου Ιωαννίδης Κωνσταντίνου Νικολάου Οικονόμου Παπαδόπουλος Παπαδάκης Χατζής",
 }
 TITLES = {"f": "Mrs Ms Miss Madame Frau Señora Sra Госпожа Κυρία", "m": "Mr Monsieur Herr Señor Sr Господин Κύριος"}
-# What an entity of each type looks like.
+# What introduces a secret, and what an entity of each type looks like.
+INTRODUCED = r"(?i:(?:api[_-]?key|token|secret|password|passwd)['\"]?\s{0,3}[:=]\s{0,3}['\"]?)"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])"
+IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 TYPES = {
-    "secret": r"(?i:(?:api[_-]?key|token|secret|password|passwd)['\"]?\s{0,3}[:=]\s{0,3}['\"]?)[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])",
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@(?:[A-Za-z0-9][A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![\p{L}\p{N}])",
+    # of any length, with dots and padding inside; a dot at its end is the sentence's
+    "secret": rf"{INTRODUCED}(?!{EMAIL}|{IP})[A-Za-z0-9+/_-][A-Za-z0-9+/_.=-]{{10,}}[A-Za-z0-9+/_=-]",
+    "email": EMAIL,
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
+    "ip": IP,
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{0,3})(?![0-9.-]?[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
@@ -66,7 +70,7 @@ def kind_of(entity: Column) -> Column:
 def canonical(kind: Column, entity: Column) -> Column:
     """What makes two spellings one entity: case and separators don't count, nor a title or what introduces a secret."""
     digits = F.regexp_replace(entity, r"[^0-9]", "")
-    secret = F.regexp_extract(entity, r"([A-Za-z0-9+/_-]+)$", 1)
+    secret = F.regexp_extract(entity, rf"^{INTRODUCED}(.+)$", 1)
     name = F.lower(F.regexp_replace(entity, rf"^(?:{'|'.join(' '.join(TITLES.values()).split())})\.? ", ""))
     return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "secret", F.lower(secret)).when(kind == "name", name).when(kind == "iban", F.upper(F.replace(entity, F.lit(" ")))).otherwise(F.lower(entity))
 
@@ -94,7 +98,11 @@ def byte_at(stream: Column, i: Column) -> Column:
 
 def drawn(kind: Column, canon: Column, gender: Column, script: Column, draw: Column, key: str) -> Column:
     """A candidate for a canonical entity: same type, length and kinds of characters."""
-    stream = nibbles(key, kind, canon, draw)
+    # the hashes are bound once: inside a lambda they would be taken anew for each character of a long secret
+    return F.transform(F.array(nibbles(key, kind, canon, draw)), lambda stream: written_by(stream, kind, canon, gender, script, draw))[0]
+
+
+def written_by(stream: Column, kind: Column, canon: Column, gender: Column, script: Column, draw: Column) -> Column:
 
     def other(c: Column, i: Column) -> Column:
         b = byte_at(stream, i)
@@ -135,7 +143,7 @@ def dressed(kind: Column, entity: Column, surrogate: Column) -> Column:
     places = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substr(surrogate, F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1))).otherwise(c))
     grouped = F.transform(F.split(entity, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, F.length(F.replace(F.substr(entity, F.lit(1), i + 1), F.lit(" "))), F.lit(1))))
     upper, lower = entity == F.upper(entity), entity == F.lower(entity)
-    secret = F.regexp_extract(entity, r"([A-Za-z0-9+/_-]+)$", 1)
+    secret = F.regexp_extract(entity, rf"^{INTRODUCED}(.+)$", 1)
     introduced = F.concat(F.substr(entity, F.lit(1), F.length(entity) - F.length(secret)), F.when(secret == F.upper(secret), F.upper(surrogate)).otherwise(surrogate))
     title = F.regexp_extract(entity, rf"^((?:{'|'.join(' '.join(TITLES.values()).split())})\.? )?", 1)
     named = F.concat(title, F.when(upper, F.upper(surrogate)).otherwise(F.regexp_replace(F.initcap(F.replace(surrogate, F.lit("-"), F.lit("- "))), "- ", "-")))

@@ -98,6 +98,25 @@ def test_surrogates(spark):
     assert replace_entities(corpus.empty(spark)).count() == 0
 
 
+def test_secrets_of_any_length(spark):
+    r = random.Random(9)
+    drawn_value = lambda n: "".join(r.choice("abcXYZ0123456789_-") for _ in range(n - 1)) + "k"
+    jwt = ".".join(map(drawn_value, (36, 160, 43)))
+    values = [*map(drawn_value, (12, 128, 129, 300, 1000, 100_000)), jwt, drawn_value(40) + "==", "sk.live." + drawn_value(6), "ab." * 30_000 + "c"]
+    rows = [(i, f'token = "{v}" and secret: {v}. Next') for i, v in enumerate(values)]
+    rows += [(100, "password: anna.schmidt@mail.example.com"), (101, "see anna.schmidt@mail.example.com"), (102, "token: 197.151.117.173"), (103, "see 197.151.117.173"), (104, "token: short.")]
+    got = {x.doc_id: x for x in replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, v in enumerate(values):
+        found = re.fullmatch(r'token = "(.*)" and secret: (.*)\. Next', got[i].text)
+        new = found[1]
+        assert new == found[2] and len(new) == len(v) and got[i].n_entities == 2
+        assert [c for c in new if c in ".=_-"] == [c for c in v if c in ".=_-"]
+        assert all(part not in new for part in re.findall("[A-Za-z0-9]{8,}", v))
+        assert new != v
+    assert got[100].text.split()[-1] == got[101].text.split()[-1] and got[102].text.split()[-1] == got[103].text.split()[-1]
+    assert got[104].text == "token: short."
+
+
 def test_surrogates_stay_distinct(spark):
     rows = [(i, f"Anna {chr(65 + i % 26)}{chr(97 + i // 26)}mann came") for i in range(600)]
     got = replace_entities(spark.createDataFrame(rows, "doc_id long, text string")).collect()
