@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import object_type
+from rootweave.operators import graph
 from rootweave.session import settle
 
 
@@ -34,10 +35,20 @@ def propagate(scenarios: DataFrame, vertices: DataFrame, edges: DataFrame, templ
     front = settle(scenarios.select("scenario_id", F.col("origin").alias("moid"), "alarm_type", F.lit(0).cast("long").alias("place"), F.lit(0).alias("level")), "front")
     done = front
     by_scenario = Window.partitionBy("scenario_id").orderBy("place", "moid", "rule")
-    for level in range(1, depth + 1):
+    near, level = None, 0
+    while True:
+        level += 1
         new = front.join(fires, (front["moid"] == fires["src"]) & (front["alarm_type"] == fires["alarm_type"])).select("scenario_id", F.col("dst").alias("moid"), F.col("effect_alarm").alias("alarm_type"), "place", "rule")
         new = new.groupBy("scenario_id", "moid", "alarm_type").agg(F.min(F.struct("place", "rule")).alias("first")).select("scenario_id", "moid", "alarm_type", "first.*")
         new = new.join(done.select("scenario_id", "moid", "alarm_type"), ["scenario_id", "moid", "alarm_type"], "left_anti")
+        if level > depth:  # objects of earlier levels are no farther than their level
+            if near is None:
+                starts = scenarios.select(F.col("origin").alias("id")).distinct()
+                relations = [r["relation"] for r in rules.select("relation").distinct().collect()]
+                walked = graph.traverse(vertices, edges, starts, relations, depth).select(F.col("start").alias("origin"), F.col("id").alias("moid"))
+                near = walked.unionByName(starts.select(F.col("id").alias("origin"), F.col("id").alias("moid"))).distinct()
+                near = settle(scenarios.select("scenario_id", "origin").distinct().join(near, "origin").select("scenario_id", "moid"), "closure")
+            new = new.join(near, ["scenario_id", "moid"], "left_semi")
         front = settle(new.select("scenario_id", "moid", "alarm_type", (F.row_number().over(by_scenario) - 1).cast("long").alias("place"), F.lit(level).alias("level")), "front")
         if front.isEmpty():
             break

@@ -6,11 +6,13 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from rootweave import queries
 from rootweave.functions import ids
 from rootweave.operators import codebook, graph, rules, tables, trails, validate
 from rootweave.plans import cluster, correlate, enrich, generate, govern, kpi, mining
 from rootweave.plans.correlate import Instance
 from rootweave.sources import files, wire
+from rootweave.sources.adapters import alarms, edges, vertices
 
 SECOND = 1_000_000
 
@@ -98,6 +100,31 @@ def test_propagation_order(spark):
     assert codebook.outside(found, spark.createDataFrame([("FiberFault",)], "alarm_type string")).count() == 3
 
 
+def test_a_long_cascade_goes_on_within_the_closure(spark):
+    # A:0 to A:9 in a row, and a way back from A:8: alarm x turns to y there and goes round again; A:9 is nine steps away
+    edges = spark.createDataFrame([(f"A:{i}", f"A:{i + 1}", "R") for i in range(9)] + [("A:8", "B:0", "S"), ("B:0", "A:0", "R")], "src string, dst string, relation string")
+    vertices = spark.createDataFrame([(f"A:{i}", "A") for i in range(10)] + [("B:0", "B")], "id string, object_type string")
+    rules = [("R", "A", "x", "A", "x"), ("R", "A", "y", "A", "y"), ("S", "A", "x", "B", "x"), ("R", "B", "x", "A", "y")]
+    templates = spark.createDataFrame(rules, "relation string, trigger_type string, trigger_alarm string, effect_type string, effect_alarm string")
+    start = spark.createDataFrame([("sc", "A:0", "x")], "scenario_id string, origin string, alarm_type string")
+    got = lambda depth: [f"{r.alarm_type}@{r.moid}" for r in codebook.propagate(start, vertices, edges, templates, depth).orderBy("position").collect()]
+    assert got(8) == [f"x@A:{i}" for i in range(9)]
+    assert got(9) == [f"x@A:{i}" for i in range(9)] + ["x@A:9", "x@B:0"] + [f"y@A:{i}" for i in range(10)]
+
+
+def test_scenario_trails_and_alarm_states_take_the_whole_tables(spark):
+    d = "/root/testdata/sf0.001"
+    v, e = vertices(spark, d), edges(spark, d)
+    found = codebook.propagate(codebook.scenarios(v, spark.createDataFrame([("Nation", "Down")], "object_type string, alarm_type string")), v, e, queries.templates(spark))
+    members = trails.trails(v, e, ["HOSTED_ON"], "core", "SNAP").select("trail_id", F.explode("members").alias("moid"))
+    wanted = {tuple(r) for r in found.join(members, "moid").select("scenario_id", "trail_id").distinct().collect()}
+    assert found.where("moid like 'Order:%'").count() > 0
+    assert {(r.scenario_id, r.trail_id) for r in queries.scenario_trails(spark, d).collect()} == wanted
+    changed = {r.alarm_id: r.n for r in alarms(spark, d).select(F.substring("alarm_id", 5, 20).cast("long").alias("i")).groupBy((F.col("i") - F.col("i") % 3).alias("i")).agg(F.count("*").alias("n")).select(F.concat(F.lit("ALM-"), "i").alias("alarm_id"), "n").collect()}
+    assert queries.all_changes(spark, d).count() == alarms(spark, d).count() == sum(changed.values())
+    assert {r.alarm_id: r.n_changes for r in queries.alarm_states(spark, d).where("n_changes > 0").collect()} == changed
+
+
 def test_fires_with_one_token_missing_and_expires():
     state = Instance(["A", "B", "C"], "A", 0.9, 30 * SECOND, True)
     assert state.admit("1", "B", 0) is None
