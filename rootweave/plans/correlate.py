@@ -6,11 +6,13 @@ member (gap-based), or window_ms after it opened (fixed). Time is event time, so
 computed. ``Instance`` is the one transition function of the batch and the streaming form.
 
 In the batch form a trail's alarms are first cut where they pause for longer than the window; no instance outlives such
-a pause, so the pieces are independent and a busy trail is many groups.
+a pause, so the pieces are independent. Pieces are dealt to tasks, sorted by time, and streamed through: a task holds one
+instance and one batch of rows, however long a piece is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -20,9 +22,8 @@ from pyspark.sql import functions as F
 from rootweave.functions.ids import incident_id
 
 TOLERANCE, MISSING, SPURIOUS, FLOOR = 1, 1.0, 2.0, 0.5
-#: Pieces of a trail between pauses that one group takes.
-TOGETHER = 256
 EVENT = "kind string, trail_id string, pattern_id string, at_us long, root_alarm_id string, alarm_ids array<string>, confidence double"
+COLUMNS = ["kind", "trail_id", "pattern_id", "at_us", "root_alarm_id", "alarm_ids", "confidence"]
 
 
 @dataclass
@@ -93,25 +94,31 @@ def correlate(alarms: DataFrame, patterns: DataFrame, tolerance: int = TOLERANCE
     rows = relevant(alarms.dropDuplicates(["alarm_id"]), patterns)
     order = Window.partitionBy("trail_id", "pattern_id").orderBy("raised_us", "alarm_id")
     pause = F.when(F.col("raised_us") - F.lag("raised_us").over(order) > F.col("window_us"), 1).otherwise(0)
-    rows = rows.withColumn("pause", pause).withColumn("piece", F.floor(F.sum("pause").over(order) / TOGETHER)).drop("pause")
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["raised_us", "alarm_id"])
-        p = group.iloc[0]
-        state = Instance(list(p.sequence), p.root_type, float(p.confidence), int(p.window_us), bool(p.by_gap), tolerance)
-        out = []
-        event = lambda kind, at, root, ids, c: out.append((kind, p.trail_id, p.pattern_id, at, root, ids, c))
-        for alarm_id, alarm_type, at in zip(group.alarm_id, group.alarm_type, group.raised_us, strict=True):
-            end = state.deadline
-            if gone := state.expire(int(at)):
-                event("reverted", end, None, gone, None)
-            if got := state.admit(alarm_id, alarm_type, int(at)):
-                event(got[0], int(at), got[1], got[2], got[3])
-        if state.members:
-            event("reverted", state.deadline, None, [a for a, _ in state.members.values()], None)
-        return pd.DataFrame(out, columns=["kind", "trail_id", "pattern_id", "at_us", "root_alarm_id", "alarm_ids", "confidence"])
-
-    return rows.groupBy("trail_id", "pattern_id", "piece").applyInPandas(one, EVENT)
+    rows = rows.withColumn("pause", pause).withColumn("piece", F.sum("pause").over(order)).drop("pause")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = p = state = None
+        for batch in batches:
+            out = []
+            event = lambda kind, at, root, ids, c: out.append((kind, p.trail_id, p.pattern_id, at, root, ids, c))  # noqa: E731,B023
+            for row in batch.itertuples(index=False):
+                at = int(row.raised_us)
+                if (row.trail_id, row.pattern_id, row.piece) != key:
+                    if state and state.members:
+                        event("reverted", state.deadline, None, [a for a, _ in state.members.values()], None)
+                    key, p = (row.trail_id, row.pattern_id, row.piece), row
+                    state = Instance(list(p.sequence), p.root_type, float(p.confidence), int(p.window_us), bool(p.by_gap), tolerance)
+                end = state.deadline
+                if gone := state.expire(at):
+                    event("reverted", end, None, gone, None)
+                if got := state.admit(row.alarm_id, row.alarm_type, at):
+                    event(got[0], at, got[1], got[2], got[3])
+            yield pd.DataFrame(out, columns=COLUMNS)
+        if state and state.members:
+            yield pd.DataFrame([("reverted", p.trail_id, p.pattern_id, state.deadline, None, [a for a, _ in state.members.values()], None)], columns=COLUMNS)
+
+    keys = ["trail_id", "pattern_id", "piece"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "raised_us", "alarm_id").mapInPandas(run, EVENT)
 
 
 def incidents(events: DataFrame) -> DataFrame:

@@ -149,6 +149,36 @@ def test_correlation_of_a_table(spark):
     assert [r.alarm_id for r in correlate.uncovered(alarms.dropDuplicates(), correlate.incidents(events)).collect()] == ["3"]
 
 
+def test_a_trail_that_never_pauses_is_streamed(spark):
+    kinds, n = "ABCX", 6000
+    rows = [(f"{i:05}", kinds[i * i % 7 % 4], i * SECOND, ["T"] if i % 3 else ["T", "U"]) for i in range(n)]
+    rows += [(f"z{i:05}", kinds[i % 3], i * 100 * SECOND, ["V"]) for i in range(50)]
+    alarms = spark.createDataFrame(rows, "alarm_id string, alarm_type string, raised_us long, trail_ids array<string>")
+    known = [(f"P{t}{k}", t, list(s), s[0], 0.9, w * SECOND, k % 2 == 0) for t in "TUV" for k, (s, w) in enumerate((("ABC", 30), ("BXA", 5), ("CA", 20)))]
+    patterns = spark.createDataFrame(known, "pattern_id string, trail_id string, sequence array<string>, root_type string, confidence double, window_us long, by_gap boolean")
+    wanted = []
+    for pattern, trail, sequence, root, confidence, window, by_gap in known:
+        state = Instance(sequence, root, confidence, window, by_gap)
+        for alarm, kind, at, on in sorted((r for r in rows if trail in r[3] and r[1] in sequence), key=lambda r: (r[2], r[0])):
+            end = state.deadline
+            if gone := state.expire(at):
+                wanted.append(("reverted", pattern, end, tuple(gone)))
+            if got := state.admit(alarm, kind, at):
+                wanted.append((got[0], pattern, at, tuple(got[2])))
+        if state.members:
+            wanted.append(("reverted", pattern, state.deadline, tuple(a for a, _ in state.members.values())))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = correlate.correlate(alarms, patterns)
+        got = [(r.kind, r.pattern_id, r.at_us, tuple(r.alarm_ids)) for r in found.collect()]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert sorted(got) == sorted(wanted)
+    assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # no group is held as a whole
+
+
 def test_session_window_example(spark):
     row = govern.session_windows(spark.createDataFrame([(3000.0, 1000.0, 2000.0, 500.0)], "timeframe_ms double, median_ms double, max_gap_ms double, stddev_ms double")).first()
     assert (row.window_ms, row.window_type) == (5000, "gap-based")
