@@ -2,7 +2,8 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is then put into its centroid's list with
 the codes of its residual. A query visits the lists of its nearest centroids, ranks their members by distance tables
-over the codes, and the best of each list are scored again on the original vectors in double precision.
+over the codes, and all members that may be among the best by their estimate and its error are scored again on the
+original vectors in double precision.
 
 Equal vectors are one member that carries its smallest ids, as many as a result may need. Lists and the queries that
 visit them are cut into cells of bounded size, so that neither a common vector nor a popular list meets in one task.
@@ -25,7 +26,7 @@ NEAREST = 20
 SAMPLE = 16_384
 #: Lists that a query visits: this share of them, but so many at least. Vectors without clusters need a large share.
 SHARE, LEAST = 0.6, 64
-#: Members of each cell that are scored again, besides as many as a result has.
+#: Members of each cell that are scored again at least, besides as many as a result has.
 AGAIN = 12
 PARTS, CODES = 16, 256
 #: Members and queries of a cell.
@@ -72,6 +73,13 @@ class Quantiser:
         probes = min(probes, products.shape[1])
         return np.argpartition(-products, probes - 1, axis=1)[:, :probes]
 
+    def errors(self, rows: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
+        """Lengths of what the codes of one list's members leave of their vectors."""
+        left = rows - self.coarse[of]
+        for i, ((a, b), book) in enumerate(zip(self.spans, self.books, strict=True)):
+            left[:, a:b] -= book[codes[:, i]]
+        return np.sqrt((left.astype(np.float64) ** 2).sum(1))
+
     def products(self, queries: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Estimated products of queries with members of one list: tables of query parts by codewords, looked up by code."""
         sums = np.repeat((queries @ self.coarse[of])[:, None], len(codes), 1)
@@ -156,11 +164,22 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
             first = np.cumsum(sizes) - sizes
             asking, queries = theirs["id"].to_numpy(), matrix(theirs["vector"])
             guess = quantiser.value.products(queries, mine["list"][0].as_py(), codes)
+            # a product differs from its estimate by the query's norm times the member's error at most, and by rounding
+            norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))[:, None]
+            reach = norm * (quantiser.value.errors(matrix(mine["vector"]), mine["list"][0].as_py(), codes) + 1e-5 * np.sqrt((vectors**2).sum(1).max()))
+            many = min(k + 1, len(codes))
+            cut = -np.partition(reach - guess, many - 1, axis=1)[:, many - 1 : many]
+            may = guess + reach >= cut
             most = min(k + AGAIN, len(codes))
-            some = np.argpartition(-guess, most - 1, axis=1)[:, :most]
+            np.put_along_axis(may, np.argpartition(-guess, most - 1, axis=1)[:, :most], True, axis=1)
+            needed = np.flatnonzero(may.any(0))
             queries = queries.astype(np.float64)
+            exact = np.where(may[:, needed], queries @ vectors[needed].T, -np.inf)
+            last = -np.partition(-exact, many - 1, axis=1)[:, many - 1]
+            last -= 1e-12 * (1 + np.abs(last))  # sums in another order
             out: list[tuple[np.ndarray, ...]] = []
-            for query_id, query, again in zip(asking.tolist(), queries, some, strict=True):
+            for query_id, query, scores, least in zip(asking.tolist(), queries, exact, last, strict=True):
+                again = needed[scores >= least]
                 score = (vectors[again] * query).sum(1)
                 found, score = ids[A.concat_ranges(first[again], sizes[again])], np.repeat(score, sizes[again])
                 best = np.lexsort((found, -score))[: k + 1]

@@ -45,6 +45,23 @@ def test_neighbours(spark):
     assert [(r.query_id, r.rank) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_neighbours_among_jittered_copies(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[5400:] = 2 * x[5400] + 1e-4 * rng.normal(size=(600, 64)).astype(np.float32)  # closer than codes can tell
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in nearest_neighbours(frame, "vec_id >= 5400 and vec_id % 20 = 0", lists=4).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    d = x.astype(np.float64)
+    found = 0
+    for q in range(5400, 6000, 20):
+        s = d @ d[q]
+        s[q] = -np.inf
+        found += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert found >= 0.95 * 20 * 30
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = classify_quality(docs, labels.where("doc_id % 4 <> 0"), rounds=1)
