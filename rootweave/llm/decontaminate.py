@@ -1,9 +1,13 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Every benchmark item of n words is compared with windows of n words (a shorter text is one window). A window's SimHash is looked up in a multi-index
-of the items' ones: eight blocks of eight bits, of which one at least differs in two bits at most if all differ in
-RADIUS at most, so that no fingerprint within the radius is missed. Hits are verified by the exact weighted similarity
-of five-word shingles. Windows that hold no shingle of any item have similarity 0; they are skipped before hashing.
+A benchmark item of n words is compared with all windows of n words (a shorter text is one window). A window's SimHash
+is looked up in a multi-index over the SimHashes of the items of n words: eight blocks of eight bits, each with the items
+by block value; as one block at least differs in two bits at most wherever all differ in RADIUS at most, no fingerprint
+within the radius is missed. Candidates so found are verified by the exact weighted similarity of five-word shingles.
+Windows that hold too few shingles of items of their length for the similarity asked are left out before hashing.
+
+A shingle's weight is its inverse document frequency over the whole benchmark, counted by cells of a table of bounded
+size, so that it doesn't depend on the blocks in which a large benchmark goes to the tasks.
 """
 
 from __future__ import annotations
@@ -17,17 +21,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.llm import arrays as A
-from rootweave.llm.session import documents, small_batches
+from rootweave.llm.session import documents, small_batches, stored
 
 SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 #: Bytes of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
-#: Windows whose votes are summed at once.
-WINDOWS = 4096
+#: Pairs of windows and items that the multi-index lists at once, at most 4096 windows.
+PAIRS, WINDOWS = 1 << 20, 4096
+#: Bits of a shingle's cell in the table of document frequencies.
+CELL_BITS = 22
 
 MATCH = "doc_id long, item_id long, similarity double, first_word long, n_words long, distance int"
 MATCHES = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("distance", pa.int32())])
+#: By value of a block: the values that differ from it in as many bits as a block may.
+NEAR = [[v for v in range(256) if (v ^ x).bit_count() <= RADIUS // BLOCKS] for x in range(256)]
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +52,10 @@ def shingles(sums: np.ndarray, size: int) -> np.ndarray:
     return A.span_hash(sums, at, at + size)
 
 
+def cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> A.U64(64 - CELL_BITS)).astype(np.int64)
+
+
 def votes(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """A row of 64 signed weights for each hash."""
     bits = np.unpackbits(A.mix(hashes).view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32)
@@ -55,173 +67,236 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Items:
-    """A block of the benchmark: all items whose shingles have one size (five words, or all of a shorter item's)."""
-
-    size: int
-    ids: np.ndarray
-    words: np.ndarray
-    grams: list[dict[int, int]]
-    prints: np.ndarray
-    known: np.ndarray
-    holders: list[np.ndarray]
-    weight: np.ndarray
-    rare: float
-
-    @classmethod
-    def of(cls, size: int, ids: list[int], texts: list[np.ndarray], bag: dict[int, int], total: int) -> Items:
-        """``bag``: in how many items of the whole benchmark a shingle stands; weights are inverse document frequencies."""
-        rare = 1 + np.log(1 + total)
-        grams, prints = [], []
-        for words in texts:
-            hashes, counts = np.unique(shingles(A.prefix_hash(words), size), return_counts=True)
-            weights = np.array([1 + np.log((1 + total) / bag[h]) for h in hashes.tolist()]) * counts
-            grams.append(dict(zip(hashes.tolist(), counts.tolist(), strict=True)))
-            prints.append(fingerprint(votes(hashes, weights).sum(0, keepdims=True))[0])
-        known = np.array(sorted({h for g in grams for h in g}), A.U64)
-        at = {h: i for i, h in enumerate(known.tolist())}
-        holders: list[list[int]] = [[] for _ in known]
-        for i, g in enumerate(grams):
-            for h in g:
-                holders[at[h]].append(i)
-        weight = np.array([1 + np.log((1 + total) / bag[h]) for h in known.tolist()])
-        return cls(size, np.array(ids), np.array([len(t) for t in texts]), grams, np.array(prints), known, [np.array(x) for x in holders], weight, rare)
-
-    def near(self, prints: np.ndarray, item: int) -> np.ndarray:
-        """Windows that the multi-index finds for an item, and that lie within the radius of it."""
-        mine = self.prints[item]
-        listed = np.zeros(len(prints), bool)
+class Weights:
+    """Document frequencies of shingles over the whole benchmark, by cell."""
+
+    items: int
+    counts: np.ndarray
+
+    @property
+    def rare(self) -> float:
+        return 1 + float(np.log(1 + self.items))
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        return 1 + np.log((1 + self.items) / np.maximum(1, self.counts[cells(hashes)]))
+
+
+class Length:
+    """The items of one number of words, with the multi-index over their fingerprints."""
+
+    def __init__(self, n: int, size: int, ids: list[int | None], hashes: list[np.ndarray], weights: Weights) -> None:
+        self.n, self.size, self.ids = n, size, ids
+        self.bags = [np.unique(h, return_counts=True) for h in hashes]
+        self.weigh = [weights.of(h) for h, _ in self.bags]
+        self.whole = [float((w * c).sum()) for w, (_, c) in zip(self.weigh, self.bags, strict=True)]
+        self.prints = np.concatenate([fingerprint(votes(h, w * c).sum(0, keepdims=True)) for w, (h, c) in zip(self.weigh, self.bags, strict=True)])
+        self.first, self.listed = [], []
         for b in range(BLOCKS):
-            listed |= NEAR_BYTE[prints[:, b] ^ mine[b]]
-        found = np.flatnonzero(listed)
-        return found[np.bitwise_count(prints[found] ^ mine).sum(1) <= RADIUS]
-
-    def matches(self, words: np.ndarray, similarity: float) -> Iterator[tuple[int, float, int, int, int]]:
-        """(item, similarity, first word, words, distance) of the best window of one text for each item that matches."""
-        sums = A.prefix_hash(words)
-        hashes = shingles(sums, self.size)
-        if not len(hashes):
-            return
-        place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        known = self.known[place] == hashes
-        hits = np.flatnonzero(known)
-        if not len(hits):
-            return
-        by_item: dict[int, list[int]] = {}
-        for k in hits.tolist():
-            for item in self.holders[place[k]].tolist():
-                by_item.setdefault(item, []).append(k)
-        weights = np.where(known, self.weight[place], self.rare)
-        for item, at in by_item.items():
-            n = min(int(self.words[item]), len(words))  # a shorter text is one window
-            width = n - self.size + 1  # shingles of a window
-            # a window as similar as asked holds most of the item's shingles
-            spots = np.array(at)
-            starts = np.unique((spots[:, None] - np.arange(width)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(hashes) - width)]
-            held = np.searchsorted(spots, starts + width) - np.searchsorted(spots, starts)
-            total = sum(self.grams[item].values())
-            starts = starts[held >= min(total, width) * least_share(similarity, self.rare)]
-            best: tuple[float, int, int] | None = None
-            for block in range(0, len(starts), WINDOWS):
-                some = starts[block : block + WINDOWS]
-                low, high = int(some[0]), int(some[-1]) + width
-                ahead = np.zeros((high - low + 1, 64), np.float32)
-                np.cumsum(votes(hashes[low:high], weights[low:high]), axis=0, out=ahead[1:])
-                prints = fingerprint(ahead[some + width - low] - ahead[some - low])
-                for k in self.near(prints, item).tolist():
-                    begin = int(some[k])
-                    alike = self.similarity(hashes[begin : begin + width], weights[begin : begin + width], item)
-                    if alike >= similarity and (best is None or (alike, -begin) > (best[0], -best[1])):
-                        best = alike, begin, int(np.bitwise_count(prints[k] ^ self.prints[item]).sum())
-            if best:
-                yield int(self.ids[item]), best[0], best[1], n, best[2]
-
-    def similarity(self, hashes: np.ndarray, weights: np.ndarray, item: int) -> float:
-        """Weighted Jaccard similarity of two bags of shingles."""
-        mine = dict(self.grams[item])
-        both = window = 0.0
-        for h, w in zip(hashes.tolist(), weights.tolist(), strict=True):
-            window += w
-            if mine.get(h, 0):
-                mine[h] -= 1
-                both += w
-        whole = sum(c * self.weight[np.searchsorted(self.known, A.U64(h))] for h, c in self.grams[item].items())
-        return both / (window + whole - both)
-
-
-NEAR_BYTE = np.array([m.bit_count() <= RADIUS // BLOCKS for m in range(256)])
+            holders: list[list[int]] = [[] for _ in range(256)]
+            for i, value in enumerate(self.prints[:, b].tolist()):
+                for near in NEAR[value]:
+                    holders[near].append(i)
+            self.first.append(np.cumsum([0, *map(len, holders)]))
+            self.listed.append(np.array([i for x in holders for i in x], np.int64))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item, distance) of all fingerprints within the radius."""
+        pairs = []
+        for b in range(BLOCKS):
+            value = prints[:, b].astype(np.int64)
+            start, count = self.first[b][value], self.first[b][value + 1] - self.first[b][value]
+            pairs.append(np.repeat(np.arange(len(prints)), count) * len(self.ids) + self.listed[b][A.concat_ranges(start, count)])
+        found = np.unique(np.concatenate(pairs))
+        window, item = found // len(self.ids), found % len(self.ids)
+        distance = np.bitwise_count(prints[window] ^ self.prints[item]).sum(1)
+        within = distance <= RADIUS
+        return window[within], item[within], distance[within]
+
+    def similarity(self, window: np.ndarray, weight: float, item: int) -> float:
+        """Weighted Jaccard similarity of an item's bag of shingles and a window's, which weighs ``weight`` in all."""
+        hashes, counts = self.bags[item]
+        place = np.minimum(np.searchsorted(hashes, window), len(hashes) - 1)
+        held = np.bincount(place[hashes[place] == window], minlength=len(hashes))
+        both = float((np.minimum(held, counts) * self.weigh[item]).sum())
+        return both / (weight + self.whole[item] - both)
+
+
+class Items:
+    """A block of the benchmark: its items by length, and the lengths of the items that hold a shingle."""
+
+    def __init__(self, ids: list[int | None], texts: list[str], shingle: int, weights: Weights) -> None:
+        words, first = word_hashes(pa.array(texts, pa.string()))
+        by_length: dict[int, list[int]] = {}
+        for i, n in enumerate(np.diff(first).tolist()):
+            if n:
+                by_length.setdefault(n, []).append(i)
+        self.lengths, of = [], []
+        for n, rows in sorted(by_length.items()):
+            size = min(shingle, n)
+            hashes = [shingles(A.prefix_hash(words[first[i] : first[i + 1]]), size) for i in rows]
+            self.lengths.append(Length(n, size, [ids[i] for i in rows], hashes, weights))
+            of.append(np.unique(np.concatenate(hashes)))
+        number = np.repeat(np.arange(len(of)), [len(x) for x in of])
+        every = np.concatenate([*of, np.zeros(0, A.U64)])
+        order = np.argsort(every, kind="stable")
+        self.known, start = np.unique(every[order], return_index=True)
+        self.start, self.holders = np.append(start, len(every)), number[order]
+        self.sizes = sorted({x.size for x in self.lengths})
+        self.weights = weights
+
+    def matches(self, hashes: dict[int, np.ndarray], similarity: float, n_words: int) -> Iterator[tuple[int | None, float, int, int, int]]:
+        """(item, similarity, first word, words, distance) of the best window of one text for each item that matches.
+
+        ``hashes``: the text's shingles by size.
+        """
+        for size, grams in hashes.items():
+            at = np.flatnonzero(self.weights.counts[cells(grams)] > 0)
+            place = np.minimum(np.searchsorted(self.known, grams[at]), max(0, len(self.known) - 1))
+            sure = self.known[place] == grams[at]
+            at, place = at[sure], place[sure]
+            if not len(at):
+                continue
+            count = self.start[place + 1] - self.start[place]
+            spots, length = np.repeat(at, count), self.holders[A.concat_ranges(self.start[place], count)]
+            weight = self.weights.of(grams)
+            for k in np.unique(length).tolist():
+                if self.lengths[k].size == size:
+                    yield from self.of_length(self.lengths[k], grams, weight, spots[length == k], similarity, n_words)
+
+    def of_length(self, items: Length, grams: np.ndarray, weight: np.ndarray, spots: np.ndarray, similarity: float, n_words: int) -> Iterator[tuple[int | None, float, int, int, int]]:
+        n = min(items.n, n_words)  # a shorter text is one window
+        width = n - items.size + 1
+        near = np.zeros(len(grams) + 1, np.int64)  # windows that hold a spot
+        np.add.at(near, np.maximum(spots - width + 1, 0), 1)
+        np.add.at(near, spots + 1, -1)
+        starts = np.flatnonzero(np.cumsum(near)[: len(grams) - width + 1])
+        held = np.searchsorted(spots, starts + width) - np.searchsorted(spots, starts)
+        starts = starts[held >= width * least_share(similarity, self.weights.rare)]
+        best: dict[int, tuple[float, int, int]] = {}
+        step = max(1, min(WINDOWS, PAIRS // len(items.ids)))
+        for block in range(0, len(starts), step):
+            some = starts[block : block + step]
+            low, high = int(some[0]), int(some[-1]) + width
+            ahead = np.zeros((high - low + 1, 64))
+            np.cumsum(votes(grams[low:high], weight[low:high]), axis=0, out=ahead[1:])
+            # weights that cancel out leave rounding errors of sums
+            prints = fingerprint(ahead[some + width - low] - ahead[some - low] - 1e-6)
+            for window, item, distance in zip(*(x.tolist() for x in items.near(prints)), strict=True):
+                begin = int(some[window])
+                alike = items.similarity(grams[begin : begin + width], float(weight[begin : begin + width].sum()), item)
+                if alike >= similarity and (item not in best or (alike, -begin) > (best[item][0], -best[item][1])):
+                    best[item] = alike, begin, distance
+        for item, (alike, begin, distance) in best.items():
+            yield items.ids[item], alike, begin, n, distance
 
 
 def least_share(similarity: float, rare: float) -> float:
-    """A lower bound of the share of shingles that a similar window has in common with the item, whatever their weights.
+    """A lower bound of the share of a window's shingles that a similar item holds, whatever their weights.
 
-    Bags of equal size m with weights from 1 to ``rare``: common weight >= s / (1 + s) * (sum of both) needs common
-    shingles c with c * rare >= s * (c * rare + 2 * (m - c)), hence the share below.
+    For bags of equal size m with weights from 1 to ``rare``: common weight >= s / (1 + s) * (sum of both) needs common
+    shingles c with c * rare >= s * (c * rare + 2 * (m - c)), hence the share below. A text shorter than an item has a
+    smaller bag, which needs a larger share.
     """
     s = similarity
     return 2 * s / (rare * (1 - s) + 2 * s) if s < 1 else 1.0
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+def by_size(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    sums = A.prefix_hash(words)
+    return {s: shingles(sums, s) for s in sizes if len(words) >= s}
+
+
+def weights_of(items: DataFrame, shingle: int) -> Weights:
+    """Counts, for each cell, the items that hold one of its shingles: at most a row for each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in A.slices(batch, "text"):
+                words, first = word_hashes(piece.column("text"))
+                held = [np.zeros(0, np.int64)]
+                for a, b in zip(first, first[1:], strict=False):
+                    if a < b:
+                        held.append(np.unique(cells(shingles(A.prefix_hash(words[a:b]), min(shingle, b - a)))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).astype(np.int32))], ["cell"])
+
+    found = items.mapInArrow(run, "cell int").groupBy("cell").agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << CELL_BITS, np.int32)
+    counts[found["cell"].to_numpy()] = np.minimum(found["n"].to_numpy(), 1 << 30)
+    return Weights(items.count(), counts)
+
+
+def sieved(weights, sizes: list[int]):
+    """For mapInArrow over (doc_id, text): the rows that may hold a shingle of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in A.slices(batch, "text"):
+                words, first = word_hashes(piece.column(1))
+                sums = A.prefix_hash(words)
+                keep = np.zeros(piece.num_rows, bool)
+                for size in sizes:
+                    grams = shingles(sums, size)
+                    keep[np.searchsorted(first, np.flatnonzero(weights.value.counts[cells(grams)] > 0), side="right") - 1] = True
+                yield piece.filter(pa.array(keep))
+
+    return run
+
+
+def searched(items, similarity: float):
+    """For mapInArrow over (doc_id, text): matches with a block of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: Items = items.value
+        for batch in batches:
+            for piece in A.slices(batch, "text"):
+                words, first = word_hashes(piece.column(1))
+                sums = A.prefix_hash(words)
+                ids, rows = piece.column(0).to_pylist(), []
+                maybe = np.zeros(piece.num_rows, bool)
+                for size in block.sizes:
+                    grams = shingles(sums, size)
+                    at = np.flatnonzero(block.weights.counts[cells(grams)] > 0)
+                    at = at[np.isin(grams[at], block.known)]
+                    maybe[np.searchsorted(first, at, side="right") - 1] = True
+                for row in np.flatnonzero(maybe).tolist():
+                    mine = words[first[row] : first[row + 1]]
+                    rows += [(ids[row], *match) for match in block.matches(by_size(mine, block.sizes), similarity, len(mine))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), MATCHES, strict=True)], schema=MATCHES)
+
+    return run
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, pass_bytes: int | None = None) -> DataFrame:
     """Texts that hold a passage as long as a benchmark item and similar to it: one row for each such pair.
 
     Returns doc_id, item_id, similarity (of the best window, the leftmost of equals), first_word, n_words and distance
     (of the SimHashes). Items of fewer than ``shingle`` words are one shingle; items without words match nothing, nor do
-    null and empty texts. A text shorter than an item is one window. Rows without doc_id or item_id take part like all others and carry the null; repeated
-    rows give repeated pairs. Other columns are ignored. The benchmark goes to the tasks in blocks of PASS_BYTES of text,
-    one pass over the documents for each, so that what is broadcast is bounded.
+    null and empty texts. A text shorter than an item is one window. Rows without doc_id or item_id take part like all
+    others and carry the null; repeated rows give repeated pairs. Other columns are ignored, empty tables give no rows.
+
+    The benchmark goes to the tasks in blocks of ``pass_bytes`` of text (PASS_BYTES), one after the other, so that what
+    is broadcast is bounded and the driver holds one block; where there are several, one pass first keeps the texts that
+    may hold any shingle of the benchmark, and each block is then compared with those. The result is the same.
     """
     spark = docs.sparkSession
     small_batches(spark)
     plain = documents(docs)
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
-    passes = max(1, -(-int(size[0]) // PASS_BYTES))
+    size = int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    passes = max(1, -(-size // (pass_bytes or PASS_BYTES)))
+    weights = weights_of(items, shingle)
+    if passes > 1:
+        shared = spark.sparkContext.broadcast(weights)
+        plain = stored(plain.mapInArrow(sieved(shared, list(range(1, shingle + 1))), "doc_id long, text string"), "sieved")
+        shared.destroy()
     found = None
     for part in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == part).collect()
-        some = plain.mapInArrow(searched([r.item_id for r in rows], [r.text for r in rows], similarity, shingle), MATCH)
+        block = spark.sparkContext.broadcast(Items([r.item_id for r in rows], [r.text for r in rows], shingle, weights))
+        some = plain.mapInArrow(searched(block, similarity), MATCH)
+        if passes > 1:
+            some = stored(some, "matches")
+            block.destroy()
         found = some if found is None else found.unionByName(some)
     return found
-
-
-def searched(ids: list[int], texts: list[str], similarity: float, shingle: int):
-    """For mapInArrow over (doc_id, text): matches with a block of items."""
-    words, first = word_hashes(pa.array(texts, pa.string()))
-    split = [words[a:b] for a, b in zip(first, first[1:], strict=False)]
-    sizes: dict[int, list[int]] = {}
-    for i, w in enumerate(split):
-        if len(w):
-            sizes.setdefault(min(shingle, len(w)), []).append(i)
-    sets = []
-    for size, of in sorted(sizes.items()):
-        bag: dict[int, int] = {}
-        for i in of:
-            for h in set(shingles(A.prefix_hash(split[i]), size).tolist()):
-                bag[h] = bag.get(h, 0) + 1
-        sets.append(Items.of(size, [ids[i] for i in of], [split[i] for i in of], bag, len(texts)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = []  # a bit for each 20-bit start of a known hash: few texts pass
-        for items in sets:
-            marks = np.zeros(1 << 20, bool)
-            marks[(items.known >> A.U64(44)).astype(np.int64)] = True
-            marked.append(marks)
-        for batch in batches:
-            for piece in A.slices(batch, "text"):
-                hashes, first = word_hashes(piece.column(1))
-                sums = A.prefix_hash(hashes)
-                ids = piece.column(0).to_pylist()
-                rows = []
-                for items, marks in zip(sets, marked, strict=True):
-                    grams = shingles(sums, items.size)
-                    maybe = np.flatnonzero(marks[(grams >> A.U64(44)).astype(np.int64)])
-                    sure = maybe[np.isin(grams[maybe], items.known)]
-                    for row in np.unique(np.searchsorted(first, sure, side="right") - 1).tolist():
-                        for match in items.matches(hashes[first[row] : first[row + 1]], similarity):
-                            rows.append((ids[row], *match))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), MATCHES, strict=True)], schema=MATCHES)
-
-    return run
