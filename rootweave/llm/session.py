@@ -13,11 +13,13 @@ TEXT_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one is set only where none is, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). On one machine, as in tests, a temporary one where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         folder = context.getCheckpointDir().get()
     return folder.rstrip("/")
@@ -58,3 +60,27 @@ def listed_ids(ids: DataFrame) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """All rows but those whose doc_id is listed."""
     return docs.join(listed_ids(ids), "doc_id", "left_anti").select(docs.columns)
+
+
+#: A key with this share of all rows is common; there can be but 1 / COMMON of them.
+COMMON = 1 / 1000
+
+
+def common_keys(rows: DataFrame, key: str) -> DataFrame:
+    """The keys that have a share of COMMON of all rows: at most a thousand, to be broadcast."""
+    counts = stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1000"), "counts")
+    total = rows.count()
+    return F.broadcast(stored(counts.where(F.col("n") >= COMMON * total).select(key), "common"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left (stored) and right (one small row for each key) by key: no key's rows meet in one task.
+
+    The rows of ``right`` for common keys, a thousand at most, go to all tasks; only the rest is dealt by key.
+    """
+    common = common_keys(left, key)
+    if common.isEmpty():
+        return left.join(right, key)
+    few = stored(right.join(common, key, "left_semi"), "few")
+    often = left.join(F.broadcast(few), key)
+    return often.unionByName(left.join(common, key, "left_anti").join(right, key).select(often.columns))
