@@ -32,7 +32,7 @@ ROUNDS = 2
 SURE, TRUST = 0.98, 0.25
 HELD_OUT = 0.2
 #: Bits of a hashed word, of a hashed word of the toxicity classifier, and of a hashed fact about the page.
-WORD_BITS, TOXIC_BITS, FACT_BITS = 16, 18, 12
+WORD_BITS, TOXIC_BITS, FACT_BITS = 16, 17, 12
 #: What is added to every count.
 SMOOTH = 0.5
 
