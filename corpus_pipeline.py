@@ -1,8 +1,13 @@
-"""A training corpus from ``documents``: each stage works on all that the one before it kept."""
+"""A training corpus from ``documents``: each stage works on all that the one before it kept.
+
+Stages decide on rows. Rows without doc_id, and rows that share one, are different documents: within a stage they have
+numbers of their own above all ids, so that each is judged by itself, and none of them has a label.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +17,35 @@ from rootweave.llm.decontaminate import find_contamination
 from rootweave.llm.near_dedup import near_duplicates
 from rootweave.llm.prefix_encode import encode_texts
 from rootweave.llm.quality import classify_quality
-from rootweave.llm.session import stored, without
+from rootweave.llm.session import listed_ids, stored, without
 from rootweave.llm.surrogates import replace_entities
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def by_row(stage: Stage) -> Stage:
+    """The stage over rows that all have an id of their own; columns are as they were."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+        repeated = stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "repeated")
+        if repeated.isEmpty():
+            return stage(spark, docs, sf_dir)
+        most = ids.agg(F.coalesce(F.max("doc_id"), F.lit(0))).first()[0]
+        again = listed_ids(repeated).withColumn("_again", F.lit(True))
+        kind = dict(docs.dtypes)["doc_id"]
+        rows = docs.join(again, docs["doc_id"].cast("long") == again["doc_id"], "left").select(*[docs[c] for c in docs.columns], "_again")
+        own = F.col("_again").isNotNull() | F.col("doc_id").isNull()
+        # written once, so that a row keeps its number
+        rows = stored(rows.withColumn("_id", F.col("doc_id")).withColumn("doc_id", F.when(own, F.lit(most + 1) + F.monotonically_increasing_id()).otherwise(F.col("doc_id").cast("long"))).drop("_again"), "numbered")
+        return stage(spark, rows, sf_dir).withColumn("doc_id", F.col("_id").cast(kind)).select(docs.columns)
+
+    return run
+
+
+@by_row
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     scores = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -26,15 +56,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 SHINGLE, SIMILAR = 5, 80
 
 
+@by_row
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id are one document."""
-    groups = stored(near_duplicates(docs, shingle=SHINGLE, threshold=SIMILAR), "groups")
-    kept = without(docs, groups.where("not kept"))
-    if groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return without(docs, near_duplicates(docs, shingle=SHINGLE, threshold=SIMILAR).where("not kept"))
 
 
+@by_row
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return without(docs, find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
@@ -54,7 +82,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("quality classifier", quality),
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
