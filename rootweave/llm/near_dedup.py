@@ -4,9 +4,12 @@ Equal shingle sets are one class from the start. Each class has 128 MinHash samp
 buckets, and all samples are folded into a parity bitmap (an odd sketch), whose XOR with another's estimates a high
 similarity from its population count. Links are confirmed on full sets.
 
-Buckets are never expanded into all pairs. Each member is first held against its bucket's smallest one; the confirmed
-links join most of a group of copies. Then only members of different components need comparing: those outside the
-bucket's largest component are compared with the bucket, cell by bounded cell, and give only links that join components.
+Groups of copies are never expanded into all pairs. Each member is first held against its bucket's smallest one, its hub;
+the confirmed links join most of a group. Then only members of different components need comparing: those outside the
+bucket's largest component are compared with the bucket, and give only links that join components. What is compared is
+dealt in cells of bounded size, a hub's members in as many as they need, so that no popular document's near copies and no
+common band meet in one task. Where many texts share a band without being near duplicates, their sketches are compared
+with each other, cell by cell (eight long numbers a pair); full sets are compared only for the pairs that sketches leave.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from rootweave.llm import arrays as A
 from rootweave.llm.components import components
-from rootweave.llm.session import documents, listed_ids, small_batches, stored
+from rootweave.llm.session import documents, listed_ids, small_batches, spread_join, stored
 
 SHINGLE = 3
 THRESHOLD = 85  # per cent
@@ -30,8 +33,8 @@ LONGS = 8
 BITS = 64 * LONGS
 #: An estimate this much below the threshold still goes to confirmation: over five standard deviations.
 SLACK = 0.2
-#: Members and probes of a cell.
-MEMBERS, PROBES = 512, 2048
+#: Members and probes of a cell, and shingles of either that it has on average at most.
+MEMBERS, PROBES, SHINGLES = 512, 2048, 1 << 20
 
 FACTORS = A.mix(np.arange(1, SAMPLES + 1, dtype=A.U64)) | A.U64(1)
 SKETCH = "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"
@@ -159,14 +162,27 @@ def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return stored(docs.join(listed_ids(ids), "doc_id", "left_semi").mapInArrow(listed(size), "doc_id long, shingles array<long>"), "sets")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Pairs whose full sets are as similar as asked."""
-    pairs = stored(pairs.distinct(), "pairs")
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, size)
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    return stored(pairs.join(left, "a").join(right, "b").where(100 * shared >= threshold * (F.size("x") + F.size("y") - shared)).select("a", "b"), "links")
+def parts(rows: str, shingles: str, most: int) -> Column:
+    """Into how many parts so many rows with so many shingles are dealt."""
+    return F.greatest(F.lit(1), F.ceil(F.expr(rows) / most), F.ceil(F.expr(shingles) / SHINGLES)).cast("int")
+
+
+def confirmed(stars: DataFrame, sketch: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Those pairs of a hub and another class (hub, rep, n) whose full sets are as similar as asked: a and b."""
+    stars = stored(stars, "stars")
+    sizes = stored(stars.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumn("wide", parts("m", "all_n", MEMBERS)), "hubs")
+    member = spread_join(stars, sizes.select("hub", "m", "wide"), "hub", "m").select(F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "wide")).alias("cell"), F.lit(0).alias("probe"), "rep")
+    probe = sizes.select(F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), "hub").select(F.xxhash64("hub", F.col("i").cast("long")).alias("cell"), F.lit(1).alias("probe"), F.col("hub").alias("rep"))
+    return compared(member.unionByName(probe).withColumn("comp", F.col("rep")), sketch, docs, size, threshold)
+
+
+def compared(dealt: DataFrame, sketch: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Links that ``across`` finds in cells (cell, probe, rep, comp)."""
+    dealt = stored(dealt, "cells")
+    sets = sets_of(dealt.select(F.col("rep").alias("doc_id")), docs, size)
+    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
+    rows = dealt.join(sketch.join(sets, "rep"), "rep").select("cell", "probe", "rep", "comp", "n", "sketch", "shingles")
+    return stored(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(across(threshold), "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -182,35 +198,34 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     sketches = stored(plain.mapInArrow(sketched(shingle), SKETCH), "sketches")
     named = sketches.where("doc_id is not null and n > 0")
     plain = plain.where("doc_id is not null")
-    classes = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    buckets = classes.select(F.explode("bands").alias("key"), "rep")
-    hubs = buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
-    buckets = stored(buckets.join(hubs, "key"), "buckets")
+    classes = stored(named.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")), "classes")
+    buckets = classes.select(F.explode("bands").alias("key"), "rep", "n")
+    hubs = stored(buckets.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1"), "bands")
+    buckets = stored(spread_join(buckets, hubs, "key", "m"), "buckets")
     sketch = classes.select("rep", "n", "sketch")
     of_hub = sketch.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("sketch").alias("hub_sketch"))
-    stars = buckets.where("rep <> hub").select("hub", "rep").distinct().join(sketch, "rep").join(of_hub, "hub")
-    stars = stars.where(close(F.col("sketch"), F.col("hub_sketch"), F.col("n"), F.col("hub_n"), threshold)).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = confirmed(stars, plain, shingle, threshold)
+    stars = buckets.where("rep <> hub").select("hub", "rep").distinct()
+    stars = spread_join(stored(stars.join(sketch, "rep"), "met"), of_hub, "hub")
+    stars = stars.where(close(F.col("sketch"), F.col("hub_sketch"), F.col("n"), F.col("hub_n"), threshold)).select("hub", "rep", "n")
+    links = confirmed(stars, sketch, plain, shingle, threshold)
     joined = components(links).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
 
     # members of different components of one bucket
-    placed = buckets.select("key", "rep").join(joined, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    cells = F.ceil(F.col("all") / MEMBERS), F.ceil((F.col("all") - F.col("top.m")) / PROBES)
-    open_ = placed.join(largest.select("key", "top.comp", *(c.cast("int").alias(x) for c, x in zip(cells, ("wide", "deep"), strict=True))).withColumnRenamed("comp", "main"), "key").join(sketch, "rep")
-    open_ = stored(open_, "open")
-    sets = sets_of(open_.select(F.col("rep").alias("doc_id")), plain, shingle)
-    sets = sets.groupBy(F.col("doc_id").alias("rep")).agg(F.first("shingles").alias("shingles"))
-    open_ = open_.join(sets, "rep")
+    placed = stored(buckets.select("key", "rep", "n").join(joined, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "placed")
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("part_n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "part_n")).alias("top"), F.sum("m").alias("all"), F.sum("part_n").alias("all_n"), F.count("*").alias("parts")).where("parts > 1")
+    wide, deep = parts("all", "all_n", MEMBERS), parts("all - top.m", "all_n - top.part_n", PROBES)
+    largest = stored(largest.select("key", "all", F.col("top.comp").alias("main"), wide.alias("wide"), deep.alias("deep")), "largest")
+    open_ = stored(spread_join(placed, largest, "key", "all"), "open")
     member = open_.select("*", F.lit(0).alias("probe"), F.pmod(F.xxhash64("rep"), "wide").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("deep") - 1)).alias("j"))
     probe = open_.where("comp <> main").select("*", F.lit(1).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), F.pmod(F.xxhash64("rep"), "deep").cast("int").alias("j"))
-    dealt = member.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("cell"), "probe", "rep", "comp", "n", "sketch", "shingles")
-    more = stored(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(across(threshold), "a long, b long"), "links")
+    dealt = member.unionByName(probe).select(F.xxhash64("key", "i", "j").alias("cell"), "probe", "rep", "comp")
+    more = compared(dealt, sketch, plain, shingle, threshold)
     joined = components(links.unionByName(more)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
 
-    found = classes.join(joined, "rep", "left").select("k1", "k2", "n", F.coalesce("comp", "rep").alias("component_id"))
-    result = named.select("doc_id", "n", "k1", "k2").join(found, ["k1", "k2", "n"])
+    of_class = F.struct("k1", "k2", "n").alias("class")
+    found = classes.join(joined, "rep", "left").select(of_class, "copies", F.coalesce("comp", "rep").alias("component_id"))
+    result = spread_join(named.select("doc_id", "n", of_class), found, "class", "copies")
     rest = sketches.where("doc_id is null or n = 0").withColumn("component_id", F.col("doc_id"))
     every = result.select("doc_id", "n", "component_id").unionByName(rest.select("doc_id", "n", "component_id"))
     return every.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -66,21 +66,28 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 COMMON = 1 / 1000
 
 
-def common_keys(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that have a share of COMMON of all rows: at most a thousand, to be broadcast."""
-    counts = stored(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1000"), "counts")
-    total = rows.count()
-    return F.broadcast(stored(counts.where(F.col("n") >= COMMON * total).select(key), "common"))
+#: Tables with fewer rows are joined as they are.
+FEW_ROWS = 100_000
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """left (stored) and right (one small row for each key) by key: no key's rows meet in one task.
 
-    The rows of ``right`` for common keys, a thousand at most, go to all tasks; only the rest is dealt by key.
+    The rows of ``right`` for common keys, a thousand at most, go to all tasks; only the rest is dealt by key. ``count``
+    is a column of ``right`` with the key's rows in ``left``, if they are counted already.
     """
-    common = common_keys(left, key)
-    if common.isEmpty():
+    total = left.count()
+    if total < FEW_ROWS:
         return left.join(right, key)
-    few = stored(right.join(common, key, "left_semi"), "few")
-    often = left.join(F.broadcast(few), key)
-    return often.unionByName(left.join(common, key, "left_anti").join(right, key).select(often.columns))
+    if count is None:
+        counts = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= COMMON * total)
+        common = F.broadcast(stored(counts.select(key), "common"))
+        few, rest = right.join(common, key, "left_semi"), right
+    else:
+        few, rest = right.where(F.col(count) >= COMMON * total), right.where(F.col(count) < COMMON * total)
+    few = stored(few, "few")
+    if few.isEmpty():
+        return left.join(right, key)
+    few = F.broadcast(few)
+    often = left.join(few, key)
+    return often.unionByName(left.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key).select(often.columns))
