@@ -2,7 +2,7 @@
 
 Texts come in batches of ascending doc_id. The index is a list of immutable runs, each a Parquet table sorted by
 fingerprint with the first text of each. A batch is merge-joined with every run, then becomes a run itself; runs of one
-level are compacted into one of the next. A fingerprint stands for a context: all 50-word windows with one anchor
+level are compacted into one of the next. An index in a folder of its own takes in further batches later. A fingerprint stands for a context: all 50-word windows with one anchor
 (see ``repeats``), so that the index holds about one row for every twenty windows. Windows of contexts that share an
 anchor without being equal are compared word for word at the end.
 """
@@ -34,23 +34,70 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed
 class FingerprintIndex:
     """Runs of (h, c) with the first text that has it; the driver holds their names, never their rows.
 
-    All runs have as many buckets by h, sorted within, so that a merge join of two reads them as they lie.
+    All runs have as many buckets by h, sorted within, so that a merge join of two reads them as they lie. An index with a
+    folder of its own outlives the session: ``save`` writes which runs it has, and opening the folder again finds them,
+    and the texts that they are of, from which later batches are verified.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
+    COLUMNS = "h BIGINT, c BIGINT, doc_id BIGINT, at BIGINT"
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark = spark
+        self.folder = folder.rstrip("/") if folder else f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
+        self.paths: dict[int, str] = {}
+        self.texts: list[str] = []
+        self.version = 0
+        if folder and self.exists(f"{self.folder}/versions"):
+            listed = spark.read.parquet(f"{self.folder}/versions")
+            rows = listed.where(F.col("version") == listed.agg(F.max("version")).first()[0]).orderBy("level", "place").collect()
+            self.version, self.buckets = rows[0]["version"], rows[0]["buckets"]
+            self.texts = [r["path"] for r in rows if r["level"] < 0]
+            for r in rows:
+                if r["level"] >= 0:
+                    self.levels += [[] for _ in range(r["level"] + 1 - len(self.levels))]
+                    self.levels[r["level"]].append(self.opened(r["path"]))
+
+    def exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
+    def save(self, texts: DataFrame) -> None:
+        """Keeps the texts of this session's batches, and a new version of the list of runs."""
+        path = f"{self.folder}/texts-{uuid.uuid4().hex}"
+        texts.write.parquet(path)
+        self.texts.append(path)
+        rows = [(self.version + 1, self.buckets, -1, i, p) for i, p in enumerate(self.texts)]
+        rows += [(self.version + 1, self.buckets, k, i, self.paths[id(run)]) for k, level in enumerate(self.levels) for i, run in enumerate(level)]
+        self.spark.createDataFrame(rows, "version int, buckets int, level int, place int, path string").write.mode("append").parquet(f"{self.folder}/versions")
+        self.version += 1
+
+    def history(self) -> DataFrame | None:
+        """doc_id and text of all batches that were saved."""
+        return self.spark.read.schema("doc_id long, text string").parquet(*self.texts) if self.texts else None
 
     @property
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def opened(self, path: str) -> DataFrame:
+        """A bucketed run; its name in the catalogue goes at once, its files stay."""
+        name = f"run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({self.COLUMNS}) USING parquet CLUSTERED BY (h) SORTED BY (h, c) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.known(name, path)
+
+    def known(self, name: str, path: str) -> DataFrame:
+        run = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        self.paths[id(run)] = path
+        return run
+
     def sorted_table(self, rows: DataFrame) -> DataFrame:
         name = f"run_{uuid.uuid4().hex}"
-        path = f"{shared_dir(self.spark)}/{name}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h", "c").option("path", path).saveAsTable(name)
-        return self.spark.table(name)
+        path = f"{self.folder}/{name}"
+        rows.select("h", "c", "doc_id", "at").write.bucketBy(self.buckets, "h").sortBy("h", "c").option("path", path).saveAsTable(name)
+        return self.known(name, path)
 
     @staticmethod
     def firsts(rows: DataFrame) -> DataFrame:
@@ -81,16 +128,17 @@ class FingerprintIndex:
 
     def drop(self, table: DataFrame) -> None:
         """Removes a table that a compaction or the end of a batch has left without readers."""
-        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(file)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table)))
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    def rivals(self) -> DataFrame:
-        """Contexts that share their anchor with different ones."""
+    def rivals(self, new: DataFrame | None = None) -> DataFrame:
+        """Contexts that share their anchor with different ones, one of them at least of a text in ``new`` (doc_id)."""
         every = reduce(DataFrame.unionByName, self.runs)
         if len(self.runs) > 1:
             every = self.firsts(every)
         several = every.groupBy("h").agg(F.count("*").alias("rivals")).where("rivals > 1")
+        if new is not None:
+            several = several.join(every.join(new, "doc_id", "left_semi").select("h").distinct(), "h", "left_semi")
         return every.join(several, "h").select("h", "doc_id", *located(), "rivals")
 
 
@@ -160,14 +208,17 @@ def remove(width: int):
     return run
 
 
-def dedupe_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, hot: int = R.HOT) -> DataFrame:
+def dedupe_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batches: int = BATCHES, hot: int = R.HOT, folder: str | None = None) -> DataFrame:
     """Each text without the words of every ``width``-word window that a text of smaller doc_id also holds.
 
     Words are runs of characters other than \\x20 and \\x09-\\x0D; windows do not cross texts. Returns doc_id, n_words,
     n_removed, kept_sha256 and kept (the remaining words joined by one space). Null, empty and short texts lose nothing.
     Rows without doc_id have no place in the order: they lose nothing and take nothing from others. Repeats of a row do
     not count as earlier ones; if different texts share a doc_id, each is cut by what was found for either. Other
-    columns are ignored.
+    columns are ignored. An empty table has no rows.
+
+    With a ``folder`` (shared by all executors) the index stays there: a later call with larger doc_ids goes on from it,
+    and its texts lose what any earlier call's texts hold. Texts once returned are not looked at again.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
@@ -177,7 +228,8 @@ def dedupe_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
     at = [k / batches for k in range(1, batches)]
     cuts = named.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), F.lit(1000))).first()[0] if at else None
     edges = sorted({int(x) for x in cuts or []})  # none for an empty table
-    index, known = FingerprintIndex(spark), []
+    index, known = FingerprintIndex(spark, folder), []
+    history = index.history()
     for low, high in zip([None, *edges], [*edges, None], strict=True):
         batch = named
         if low is not None:
@@ -188,11 +240,15 @@ def dedupe_windows(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, batche
         known.append(contexts.where("seen > 0").select("doc_id", "lo", "n", F.when(F.col("seen") == 2, F.col("c")).otherwise(-1).alias("like")))
         copies = index.add(contexts.where("seen = 0").select("h", "c", "doc_id", F.expr(PACKED).alias("at")))
         known.append(copies.select("doc_id", *located()[:2], F.lit(-1).cast("long").alias("like")))
-    wanted = index.rivals().groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "rel", "rivals")).alias("items"))
-    pieces = named.join(wanted, "doc_id").mapInArrow(R.cut(R.word_symbols, R.take_words, width, hot), R.PIECE)
-    partial = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
-    every = partial.withColumn("like", F.lit(-1).cast("long"))
+    rivals = index.rivals(named.select("doc_id") if history is not None else None)
+    wanted = rivals.groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "rel", "rivals")).alias("items"))
+    texts = named if history is None else named.unionByName(history)
+    pieces = stored(texts.join(wanted, "doc_id").mapInArrow(R.cut(R.word_symbols, R.take_words, width, hot), R.PIECE), "pieces")
+    partial = pieces.where("body is not null").repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
+    every = partial.unionByName(R.repeated_windows(pieces, False)).withColumn("like", F.lit(-1).cast("long"))
     for some in known:
         every = every.unionByName(some)
     runs = every.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "like")).alias("runs"))
+    if folder:
+        index.save(named)
     return named.join(runs, "doc_id", "left").unionByName(nameless).mapInArrow(remove(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -4,6 +4,8 @@ A window is ``width`` consecutive symbols (bytes, or words) of one text. Its anc
 ``gram``-symbol pieces with the smallest hash, so equal windows have equal anchors in equal places. All windows
 of one text with one anchor form a context: a run of windows. Contexts need only be compared with contexts of an
 equal anchor, and the anchor's hash deals them out: a couple of rows for every hundred bytes rather than one for each.
+Where an anchor has very many different contexts, as at the edges of a passage that a large part of all texts have in
+common, its windows are settled one by one, by 128 bits of hash: sums by window combine before they are dealt.
 """
 
 from __future__ import annotations
@@ -16,15 +18,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm import arrays as A
+from rootweave.llm.session import spread_join
 
 #: Anchors that a task sorts at once.
 HELD = 1 << 20
-#: Bytes of contexts that a task compares at once, whole anchor groups at least.
+#: Bytes of contexts that a task compares at once, whole anchor groups at least (HOT contexts at most).
 BLOCK_BYTES = 1 << 20
-#: Rows of one anchor above which its contexts are dealt by the symbols common to each run of PART windows.
-HOT, PART = 500, 12
-PIECE = "h long, doc_id long, lo int, rel int, body binary"
-PIECES = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("rel", pa.int32()), ("body", pa.binary())])
+#: Contexts of one anchor above which its windows are settled one by one.
+HOT = 500
+#: A context with its symbols, or, where ``body`` is null, one window with two hashes of it (h and c).
+PIECE = "h long, c long, doc_id long, lo int, rel int, body binary"
+PIECES = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int32()), ("rel", pa.int32()), ("body", pa.binary())])
 INTERVAL = "doc_id long, lo int, n int"
 FOUND = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 ANCHORS = "h long, c long, doc_id long, lo int, n int, rel int, seen int"
@@ -181,11 +185,7 @@ def take_words(data: np.ndarray, offsets: np.ndarray, begin: np.ndarray, size: n
 
 
 def cut(symbols: Callable, take: Callable, width: int, hot: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over (doc_id, text, items): the symbols of each listed context, with the key that deals them out.
-
-    That is the anchor's hash. Contexts of an anchor with over ``hot`` rows are dealt in parts: all windows that start in
-    one cell of PART places before the anchor hold the cell's common symbols, whose hash is then the key.
-    """
+    """For mapInArrow over (doc_id, text, items): the symbols of each listed context, or its windows if the anchor has over ``hot`` contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,30 +197,37 @@ def cut(symbols: Callable, take: Callable, width: int, hot: int) -> Callable[[It
                 flat = items.flatten()
                 h, lo, n, rel, rivals = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5))
                 row = np.repeat(np.arange(len(counts)), counts)
+                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
                 # the text may be another than the one the context is of, where texts share a doc_id
                 fits = lo + n + width - 1 <= np.diff(offsets)[row]
-                h, lo, n, rel, rivals, row = (x[fits] for x in (h, lo, n, rel, rivals, row))
-                cells = np.where(rivals > hot, rel // PART - (rel - n + 1) // PART + 1, 1)
-                of = np.repeat(np.arange(len(h)), cells)
-                split = (rivals > hot)[of]
-                cell = A.concat_ranges((rel - n + 1) // PART, cells)
-                anchor = lo[of] + rel[of]
-                first = np.where(split, anchor - np.minimum(cell * PART + PART - 1, rel[of]), lo[of])
-                last = np.where(split, anchor - np.maximum(cell * PART, rel[of] - n[of] + 1), lo[of] + n[of] - 1)
-                key = A.mix(h[of].view(A.U64))
-                if split.any():
-                    common = np.where(split, offsets[row[of]] + anchor - cell * PART, 0)
-                    edge = np.where(split, common - (PART - 1) + width, 0)
-                    key = np.where(split, A.mix(A.span_hash(A.prefix_hash(symbol), common, edge) + key + cell.astype(A.U64)), key)
-                bodies = take(data, bounds, offsets[row[of]] + first, last - first + width)
-                ids = piece.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row[of]]), pa.array(first.astype(np.int32)), pa.array((anchor - first).astype(np.int32)), bodies], schema=PIECES)
+                some = fits & (rivals <= hot)
+                k, at, size, place, where = h[some], lo[some], n[some] + width - 1, rel[some], row[some]
+                bodies = take(data, bounds, offsets[where] + at, size)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.nulls(len(k), pa.int64()), pa.array(ids[where]), pa.array(at.astype(np.int32)), pa.array(place.astype(np.int32)), bodies], schema=PIECES)
+                many = fits & (rivals > hot)
+                if many.any():
+                    at, where = A.concat_ranges(lo[many], n[many]), np.repeat(row[many], n[many])
+                    begin = offsets[where] + at
+                    first = A.span_hash(A.prefix_hash(symbol), begin, begin + width)
+                    other = A.span_hash(A.prefix_hash(A.mix(symbol)), begin, begin + width)
+                    for k in range(0, len(at), HELD):
+                        part = slice(k, k + HELD)
+                        none = pa.nulls(len(at[part]), pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array(first[part].view(np.int64)), pa.array(other[part].view(np.int64)), pa.array(ids[where[part]]), pa.array(at[part].astype(np.int32)), none, pa.nulls(len(none), pa.binary())], schema=PIECES)
 
     return run
 
 
+def repeated_windows(pieces: DataFrame, same_text: bool) -> DataFrame:
+    """Of pieces (stored) that are single windows: those that an earlier text, or place of the same text, holds."""
+    windows = pieces.where("body is null").select(F.struct("h", "c").alias("window"), "doc_id", "lo")
+    place = F.struct("doc_id", "lo") if same_text else F.col("doc_id")
+    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return spread_join(windows, firsts, "window", "n").where(place > F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
+
+
 def blocks(compare: Callable[[pa.Table, int], pa.RecordBatch], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow over pieces sorted by h: blocks of whole groups through ``compare``."""
+    """For mapInArrow over pieces with symbols sorted by h: blocks of whole groups through ``compare``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

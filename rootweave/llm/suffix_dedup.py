@@ -24,6 +24,8 @@ from rootweave.llm import repeats as R
 from rootweave.llm.session import documents, small_batches, stored
 
 WIDTH, GRAM = 100, 32
+#: Windows before an anchor that are told apart by their common bytes first.
+PART = 12
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
@@ -69,19 +71,19 @@ def equal_neighbours(body: np.ndarray, order: np.ndarray, width: int) -> np.ndar
 def shared_parts(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rel: np.ndarray, group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of the strings in which some window may equal another string's: (string, first window, windows).
 
-    Windows that start in one cell of R.PART places before the anchor all hold the cell's common bytes, so a cell whose
+    Windows that start in one cell of PART places before the anchor all hold the cell's common bytes, so a cell whose
     common bytes no other string of the group has holds no equal windows.
     """
     windows = lengths - width + 1
     sums = A.prefix_hash(body)
     # distance of a window to its anchor: rel - k; cells are aligned to it
     low, high = rel - windows + 1, rel
-    cells = high // R.PART - low // R.PART + 1
+    cells = high // PART - low // PART + 1
     string = np.repeat(np.arange(len(starts)), cells)
-    cell = A.concat_ranges(low // R.PART, cells)
-    far, near = np.minimum(cell * R.PART + R.PART - 1, high[string]), np.maximum(cell * R.PART, low[string])
+    cell = A.concat_ranges(low // PART, cells)
+    far, near = np.minimum(cell * PART + PART - 1, high[string]), np.maximum(cell * PART, low[string])
     anchor = starts[string] + rel[string]
-    begin, end = anchor - cell * R.PART, anchor - cell * R.PART - (R.PART - 1) + width
+    begin, end = anchor - cell * PART, anchor - cell * PART - (PART - 1) + width
     # where a string lacks some of a cell's windows, the bytes common to the whole cell still lie in it
     key = A.mix(A.span_hash(sums, begin, end) + A.mix(group[string].view(A.U64)) + cell.astype(A.U64))
     _, back, count = np.unique(key, return_inverse=True, return_counts=True)
@@ -167,7 +169,8 @@ def dedupe_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot
     anchors = named.mapInArrow(R.scan(R.byte_symbols, width, gram, True), R.ANCHORS).repartition("h")
     found = stored(R.judged(anchors, True), "contexts")
     wanted = found.where("seen = 0").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "rel", "rivals")).alias("items"))
-    pieces = named.join(wanted, "doc_id").mapInArrow(R.cut(R.byte_symbols, R.take_bytes, width, hot), R.PIECE)
-    partial = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
-    runs = R.per_document(found.where("seen = 1").select("doc_id", "lo", "n").unionByName(partial))
+    pieces = stored(named.join(wanted, "doc_id").mapInArrow(R.cut(R.byte_symbols, R.take_bytes, width, hot), R.PIECE), "pieces")
+    partial = pieces.where("body is not null").repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
+    single = R.repeated_windows(pieces, True)
+    runs = R.per_document(found.where("seen = 1").select("doc_id", "lo", "n").unionByName(partial).unionByName(single))
     return named.join(runs, "doc_id", "left").unionByName(nameless).mapInArrow(remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

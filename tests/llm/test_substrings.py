@@ -91,3 +91,29 @@ def test_contexts_cover_each_window_once_and_anchor_equal_windows_equally():
                 assert anchor.setdefault(window, (int(h[i]), int(rel[i] - k))) == (int(h[i]), int(rel[i] - k))
         assert seen == {(k, i) for k in range(2) for i in range(max(0, offsets[k + 1] - offsets[k] - 19))}
         assert int(count.sum()) == len(seen)
+
+
+def common_passage(n=1500):
+    """One passage in ever different surroundings: all contexts at its edges have one anchor."""
+    passage = " ".join(f"p{i}" for i in range(70))
+    return [(d, f"{' '.join(f'a{d}x{i}' for i in range(d % 9))} {passage} {' '.join(f'b{d}x{i}' for i in range(d % 7))}") for d in range(n)]
+
+
+def test_a_passage_in_many_surroundings(spark):
+    rows = common_passage()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (200, 10_000):
+        got = dedupe_windows(frame, hot=hot).drop("kept").collect()
+        assert {tuple(r) for r in got} == {(d, *x) for d, x in windows_by_hand(rows, 50)}
+        got = dedupe_substrings(frame, hot=hot).drop("kept").collect()
+        assert {tuple(r) for r in got} == {(d, *x) for d, x in bytes_by_hand(rows, 100)}
+
+
+def test_an_index_that_outlives_the_call(spark, tmp_path):
+    rows = corpus.rows(5) + [(1000 + d, t) for d, t in common_passage(40)] + [(2000 + d, t) for d, t in corpus.rows(5, 60)]
+    folder, got = f"file://{tmp_path}/index", set()
+    for part in (rows[:50], rows[50:140], rows[140:], []):
+        frame = spark.createDataFrame(part, "doc_id long, text string")
+        got |= {tuple(r) for r in dedupe_windows(frame, batches=2, folder=folder).drop("kept").collect()}
+    assert got == {(d, *x) for d, x in windows_by_hand(rows, 50)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("run_")]
