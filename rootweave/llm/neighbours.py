@@ -3,7 +3,8 @@
 Coarse centroids and codebooks are fitted on a bounded sample; every vector is then put into its centroid's list with
 the codes of its residual. A query visits the lists of its nearest centroids, ranks their members by distance tables
 over the codes, and all members that may be among the best by their estimate and its error are scored again on the
-original vectors in double precision.
+original vectors in double precision. How many lists must be visited is measured on the sample: few where vectors have
+clusters, most of them where they have none.
 
 Equal vectors are one member that carries its smallest ids, as many as a result may need. Lists and the queries that
 visit them are cut into cells of bounded size, so that neither a common vector nor a popular list meets in one task.
@@ -24,16 +25,15 @@ from rootweave.llm.session import stored
 NEAREST = 20
 #: Vectors that centroids and codebooks are fitted on, in the order of a hash of vec_id.
 SAMPLE = 16_384
-#: Lists that a query visits: this share of them, but so many at least. Vectors without clusters need a large share.
-SHARE, LEAST = 0.6, 64
+#: Share of a sampled query's nearest sampled vectors that the visited lists must hold; queries that measure it; lists that
+#: are visited at least.
+COVERAGE, MEASURED, LEAST = 0.95, 512, 8
 #: Members of each cell that are scored again at least, besides as many as a result has.
 AGAIN = 12
 PARTS, CODES = 16, 256
 #: Members and queries of a cell.
 MEMBERS, QUERIES = 2048, 512
 
-CELL = "cell long, kind int, id long, ids array<long>, vector array<float>, codes binary, list int"
-
 
 def k_means(rows: np.ndarray, k: int, rounds: int = 12, seed: int = 0) -> np.ndarray:
     """Centroids of a bounded sample; an empty one takes a random row."""
@@ -73,6 +73,17 @@ class Quantiser:
         probes = min(probes, products.shape[1])
         return np.argpartition(-products, probes - 1, axis=1)[:, :probes]
 
+    def probes(self, sample: np.ndarray, k: int, coverage: float) -> int:
+        """How many lists queries must visit to find this share of their nearest, measured within the sample."""
+        queries = sample[:: max(1, len(sample) // MEASURED)][:MEASURED]
+        place = nearest(sample, self.coarse)
+        products = queries @ sample.T
+        products[np.arange(len(queries)), np.arange(0, len(sample), max(1, len(sample) // MEASURED))[: len(queries)]] = -np.inf
+        near = np.argsort(-products, axis=1)[:, : min(k, len(sample) - 1)]
+        rank = np.argsort(np.argsort(-(queries @ self.coarse.T), axis=1), axis=1)
+        needed = np.sort(np.take_along_axis(rank, place[near], 1).ravel())
+        return int(needed[min(len(needed) - 1, int(np.ceil(coverage * len(needed))))]) + 1 if len(needed) else 1
+
     def errors(self, rows: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Lengths of what the codes of one list's members leave of their vectors."""
         left = rows - self.coarse[of]
@@ -88,30 +99,36 @@ class Quantiser:
         return sums
 
 
-def matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array, kind: type = np.float32) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1)
+
+
+def kind_of(vectors: DataFrame) -> str:
+    """Vectors keep the precision that they have."""
+    return "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
 
 
 def clean(vectors: DataFrame) -> DataFrame:
     """vec_id and vector of those that take part, one for each vec_id."""
     x = F.col("vector")
     usable = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast("array<float>").alias("vector"))
+    rows = vectors.select(vectors["vec_id"].cast("long").alias("vec_id"), vectors["embedding"].cast(kind_of(vectors)).alias("vector"))
     rows = rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & usable)
     return rows.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = NEAREST, share: float = SHARE, lists: int | None = None) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k: int = NEAREST, coverage: float = COVERAGE, lists: int | None = None) -> DataFrame:
     """The ``k`` nearest rows found for each query row: query_id, rank (from 1), vec_id and score.
 
     Nearness is the inner product in double precision on the original vectors; ties go to the smaller vec_id; a query is
     no neighbour of itself. ``queries`` is a condition on vec_id. Vectors that are null, zero, or hold null or non-finite
     components take no part, nor do those of another length than most, or without vec_id; of rows that share a vec_id the
-    smallest vector stays. Fewer candidates give fewer rows, an empty table none. Other columns are ignored.
+    smallest vector stays. Fewer candidates give fewer rows, an empty table none. Other columns are ignored. With a
+    ``coverage`` of 1 or more all lists are visited, which makes the search exact.
     """
-    spark = vectors.sparkSession
+    spark, kind = vectors.sparkSession, kind_of(vectors)
     rows = clean(vectors)
     lengths = rows.groupBy(F.size("vector").alias("length")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "length").first()
     if lengths is None:
@@ -120,8 +137,9 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()["vector"]
     sample = np.stack(sample.to_numpy()).astype(np.float32)
     lists = min(lists or int(2 * lengths["n"] ** 0.5), max(1, len(sample) // 16))
-    probes = max(LEAST, int(share * lists))
-    quantiser = spark.sparkContext.broadcast(Quantiser(sample, lists))
+    fitted = Quantiser(sample, lists)
+    probes = lists if coverage >= 1 else max(LEAST, fitted.probes(sample, k, coverage))
+    quantiser = spark.sparkContext.broadcast(fitted)
 
     same = Window.partitionBy("vector").orderBy("vec_id")
     classes = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
@@ -139,8 +157,8 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
                 of = pa.array(np.repeat(np.arange(len(where)), where.shape[1]))
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(of), batch.column("vector").take(of), pa.array(where.ravel().astype(np.int32))], ["id", "vector", "list"])
 
-    members = stored(classes.mapInArrow(placed, "ids array<long>, vector array<float>, list int, codes binary"), "lists")
-    visits = rows.where(queries).mapInArrow(visiting, "id long, vector array<float>, list int")
+    members = stored(classes.mapInArrow(placed, f"ids array<long>, vector {kind}, list int, codes binary"), "lists")
+    visits = rows.where(queries).mapInArrow(visiting, f"id long, vector {kind}, list int")
     # one row for each list, as many as there are centroids
     wide = members.groupBy("list").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("wide"))
     deep = visits.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("deep"))
@@ -154,18 +172,18 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in A.groups(batches, "cell"):
-            kind = group["kind"].to_numpy()
-            mine, theirs = group.filter(pa.array(kind == 0)), group.filter(pa.array(kind == 1))
+            asks = group["kind"].to_numpy()
+            mine, theirs = group.filter(pa.array(asks == 0)), group.filter(pa.array(asks == 1))
             if not mine.num_rows or not theirs.num_rows:
                 continue
             codes = np.frombuffer(b"".join(mine["codes"].to_pylist()), np.uint8).reshape(mine.num_rows, -1)
-            vectors, copies = matrix(mine["vector"]).astype(np.float64), mine["ids"].combine_chunks()
+            vectors, copies = matrix(mine["vector"], np.float64), mine["ids"].combine_chunks()
             sizes, ids = copies.value_lengths().to_numpy(), copies.flatten().to_numpy()
             first = np.cumsum(sizes) - sizes
-            asking, queries = theirs["id"].to_numpy(), matrix(theirs["vector"])
-            guess = quantiser.value.products(queries, mine["list"][0].as_py(), codes)
+            asking, queries = theirs["id"].to_numpy(), matrix(theirs["vector"], np.float64)
+            guess = quantiser.value.products(queries.astype(np.float32), mine["list"][0].as_py(), codes)
             # a product differs from its estimate by the query's norm times the member's error at most, and by rounding
-            norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))[:, None]
+            norm = np.sqrt((queries**2).sum(1))[:, None]
             reach = norm * (quantiser.value.errors(matrix(mine["vector"]), mine["list"][0].as_py(), codes) + 1e-5 * np.sqrt((vectors**2).sum(1).max()))
             many = min(k + 1, len(codes))
             cut = -np.partition(reach - guess, many - 1, axis=1)[:, many - 1 : many]
@@ -173,7 +191,6 @@ def nearest_neighbours(vectors: DataFrame, queries: str = "vec_id % 20 = 0", k:
             most = min(k + AGAIN, len(codes))
             np.put_along_axis(may, np.argpartition(-guess, most - 1, axis=1)[:, :most], True, axis=1)
             needed = np.flatnonzero(may.any(0))
-            queries = queries.astype(np.float64)
             exact = np.where(may[:, needed], queries @ vectors[needed].T, -np.inf)
             last = -np.partition(-exact, many - 1, axis=1)[:, many - 1]
             last -= 1e-12 * (1 + np.abs(last))  # sums in another order
