@@ -7,7 +7,7 @@ anti-join, as are repeats of a whole conversation. What remains is rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm.session import stored
@@ -39,18 +39,18 @@ def format_chats(conversations: DataFrame) -> DataFrame:
         F.coalesce(conversations["role"].cast("string"), F.lit("")).alias("role"),
         F.coalesce(conversations["text"].cast("string"), F.lit("")).alias("text"),
     ).where("conv_id is not null")
-    # what stands for a turn, so that the rolling hash and its shuffle don't carry texts
-    hashed = turns.select("conv_id", "turn", "role", "text", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")).alias("mark")).distinct()
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "mark")))
-    whole = hashed.groupBy("conv_id").agg(ordered.alias("turns"))
-    rolling = F.aggregate(F.col("turns"), F.array().cast("array<string>"), lambda acc, t: F.concat(acc, F.array(F.md5(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), t["mark"])))))
-    logged = stored(whole.select("conv_id", "turns", rolling.alias("marks")), "conversations")
-    n, last = F.size("marks"), F.element_at("marks", -1)
-    whole_ones = logged.groupBy(last.alias("mark"), n.alias("n")).agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    # a beginning's fingerprint rolls on by one turn: two hashes of each turn at its place, combined
+    marked = turns.distinct().withColumn("at", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("conv_id")))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolling = [F.bit_xor(F.xxhash64(F.lit(seed), "at", "role", "text")).over(so_far).alias(f"mark{seed}") for seed in (1, 2)]
+    logged = stored(marked.select("conv_id", "role", "text", F.col("at").cast("long").alias("at"), "n", *rolling), "conversations")
+    whole_ones = logged.where("at = n").groupBy("mark1", "mark2", "n").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_logged"))
     # beginnings that go on; a very common one is one row a task
-    begun = logged.select(F.posexplode(F.slice("marks", F.lit(1), n - 1)).alias("at", "mark")).select("mark", (F.col("at") + 1).alias("n")).distinct()
-    maximal = whole_ones.join(begun, ["mark", "n"], "left_anti")
-    return logged.join(maximal.select("conv_id", "n_logged"), "conv_id").select("conv_id", n.cast("long").alias("n_turns"), F.col("n_logged").cast("long").alias("n_logged"), rendered(F.col("turns")).alias("chat"))
+    begun = logged.where("at < n").select("mark1", "mark2", F.col("at").alias("n")).distinct()
+    maximal = whole_ones.join(begun, ["mark1", "mark2", "n"], "left_anti").select("conv_id", F.col("n_logged").cast("long").alias("n_logged"))
+    kept = logged.join(maximal, "conv_id").groupBy("conv_id", "n_logged").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
+    return kept.select("conv_id", F.size("turns").cast("long").alias("n_turns"), "n_logged", rendered(F.col("turns")).alias("chat"))
 
 
 SQL = """

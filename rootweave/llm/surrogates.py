@@ -71,7 +71,8 @@ FEISTEL = 4
 
 
 def name_pattern() -> str:
-    firsts = "|".join(sorted({n for names in FIRST_NAMES.values() for n in names.split()}))
+    listed = {n for names in FIRST_NAMES.values() for n in names.split()}
+    firsts = "|".join(sorted(listed | {n.upper() for n in listed}))
     return rf"(?=\p{{Lu}})\b(?:{TITLE}(?: {TITLE})? {NAME}(?: {NAME})?|(?:{firsts}) {NAME}|(?<=\b(?i:{LEADS})\s{{1,3}}){NAME} {NAME}|{NAME} {NAME}(?= (?:{FOLLOWS})\b))"
 
 
@@ -100,7 +101,7 @@ def gender_of(entity: Column) -> Column:
     """f or m by title, else by the list of first names; null if neither tells."""
     titled = {g: rf"^(?:{TITLE} )?(?:{'|'.join(TITLES[g].split())})\b" for g in "fm"}
     listed = {g: [n for (x, _), names in FIRST_NAMES.items() if x == g for n in names.split()] for g in "fm"}
-    first = F.substring_index(bare_name(entity), " ", 1)
+    first = F.initcap(F.substring_index(bare_name(entity), " ", 1))
     return F.when(first.isin(listed["f"]), "f").when(first.isin(listed["m"]), "m").when(entity.rlike(titled["f"]), "f").when(entity.rlike(titled["m"]), "m")
 
 
@@ -346,8 +347,9 @@ def with_repeats(parts: Column) -> Column:
         names = F.filter(p, lambda x, i: (i % 2 == 1) & x.rlike(r"^[\p{L}. -]+$"))
         bare = F.array_distinct(F.transform(names, bare_name))
         family = F.filter(F.transform(bare, lambda x: F.substring_index(x, " ", -1)), lambda x: F.length(x) > 2)
-        # whole names before their family names
-        pattern = F.concat(F.lit(r"(?<![\p{L}-])(?:"), F.array_join(F.array_distinct(F.concat(bare, family)), "|"), F.lit(r")(?![\p{L}-])"))
+        # whole names before their family names, also in capitals
+        listed = F.concat(bare, F.transform(bare, F.upper), family, F.transform(family, F.upper))
+        pattern = F.concat(F.lit(r"(?<![\p{L}-])(?:"), F.array_join(F.array_distinct(listed), "|"), F.lit(r")(?![\p{L}-])"))
         more = bound(pattern, lambda q: F.flatten(F.transform(p, lambda x, i: F.when(i % 2 == 1, F.array(x)).otherwise(F.split(F.regexp_replace(x, q, F.lit(f"{MARK}$0{MARK}")), MARK)))))
         return F.when(F.size(names) > 0, more).otherwise(p)
 

@@ -111,3 +111,33 @@ def test_pipeline_stages(spark, stages):
 def test_pipeline_runs_as_one(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.count() == stages[-1][1].count()
+
+
+def marked(spark, quality, toxic):
+    """40 documents, half of them junk, some with an insult; labels for as many as are given."""
+    rows = [(i, ("%%% !!! ### " * 20 if i % 2 else "a quiet day by the sea and the hills ") + ("idiot" if i % 5 == 0 else "")) for i in range(40)]
+    rows += [(None, "a quiet day"), (41, None), (42, ""), (43, "word " * 20_000), rows[0], (2, "%%% another text of one id")]
+    labels = [(i, q, t) for i, (q, t) in enumerate(zip(quality, toxic, strict=True))]
+    docs = spark.createDataFrame([(*x, *corpus.CLASH) for x in rows], corpus.KIND)
+    return docs, spark.createDataFrame([*labels, *labels[:1], (None, 1, 1), (77, 0, 1), (5, 9, None)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10])
+def test_quality_on_few_labels(spark, n):
+    docs, labels = marked(spark, [1 - i % 2 for i in range(n)], [0] * n)
+    got = classify_quality(docs, labels, rounds=1).collect()
+    assert len(got) == docs.count()
+    assert all((r.score is None) == (n < 2) and r.toxic_score is None for r in got)
+    if n < 2:
+        assert all(r.kept for r in got)
+
+
+def test_quality_with_one_class_only(spark):
+    docs, labels = marked(spark, [1] * 30, [int(i % 5 == 0) for i in range(30)])
+    got = classify_quality(docs, labels, rounds=1).collect()
+    assert all(r.score is None and 0 <= r.toxic_score <= 1 for r in got)
+    docs, labels = marked(spark, [1 - i % 2 for i in range(30)], [None] * 30)
+    got = classify_quality(docs, labels).collect()
+    assert all(r.toxic_score is None and 0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].kept == (i % 2 == 0) for i in range(30, 40))

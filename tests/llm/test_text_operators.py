@@ -137,6 +137,8 @@ def test_chat(spark):
         rows += [(c, *t, "x", 1) for t in turns]
         if c % 3 == 0:
             rows += [(100 + c, *t, "x", 1) for t in turns[: r.randint(1, len(turns))]]
+    long = [(t, "user", f"m{t % 97} " * (1 + 2000 * (t == 7))) for t in range(4000)]
+    rows += [(700, *t, "x", 1) for t in long] + [(701, *t, "x", 1) for t in long[:3999]] + [(702, *t, "x", 1) for t in long]
     rows += [rows[0], (None, 0, "user", "lost", "x", 1), (900, None, None, None, "x", 1), (900, 1, "user", "", "x", 1)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, mark string, n int")
     con = duckdb.connect()
