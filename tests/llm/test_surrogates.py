@@ -93,7 +93,7 @@ def test_names_beyond_lists_and_by_parts(spark):
     assert got[7] == f"Mr {c[1]}"
     d = re.fullmatch(r"Господин (\S+), (\S+) (\S+) и Госпожа (\S+)", got[4]).groups()
     assert d[2] == d[3] != d[0] and d[0].endswith("ов") and d[2].endswith("ова")
-    assert "Quentin" not in got[5] and "Taylor" not in got[5] and got[6] == texts[6]
+    assert "Quentin Zed" not in got[5] and "Sam Taylor" not in got[5] and got[6] == texts[6]
 
 
 def test_very_long_texts_and_prose(spark):
