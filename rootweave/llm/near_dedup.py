@@ -35,6 +35,8 @@ BITS = 64 * LONGS
 SLACK = 0.2
 #: Members and probes of a cell, and shingles of either that it has on average at most.
 MEMBERS, PROBES, SHINGLES = 512, 2048, 1 << 20
+#: Members of a cell that has one probe, a hub.
+STAR = 128
 
 FACTORS = A.mix(np.arange(1, SAMPLES + 1, dtype=A.U64)) | A.U64(1)
 SKETCH = "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"
@@ -170,7 +172,7 @@ def parts(rows: str, shingles: str, most: int) -> Column:
 def confirmed(stars: DataFrame, sketch: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Those pairs of a hub and another class (hub, rep, n) whose full sets are as similar as asked: a and b."""
     stars = stored(stars, "stars")
-    sizes = stored(stars.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumn("wide", parts("m", "all_n", MEMBERS)), "hubs")
+    sizes = stored(stars.groupBy("hub").agg(F.count("*").alias("m"), F.sum("n").alias("all_n")).withColumn("wide", parts("m", "all_n", STAR)), "hubs")
     member = spread_join(stars, sizes.select("hub", "m", "wide"), "hub", "m").select(F.xxhash64("hub", F.pmod(F.xxhash64("rep"), "wide")).alias("cell"), F.lit(0).alias("probe"), "rep")
     probe = sizes.select(F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("i"), "hub").select(F.xxhash64("hub", F.col("i").cast("long")).alias("cell"), F.lit(1).alias("probe"), F.col("hub").alias("rep"))
     return compared(member.unionByName(probe).withColumn("comp", F.col("rep")), sketch, docs, size, threshold)
