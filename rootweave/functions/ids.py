@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The shape of a typed object id, and the namespace for name-based ids (the public DNS namespace).
-OBJECT_ID = r"^[A-Za-z][A-Za-z0-9]*:[^\s:][^\s]*$"
+OBJECT_ID = r"^[A-Za-z][A-Za-z0-9]*:[^:]+\z"
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 FIELD = "\u001f"
 

@@ -30,7 +30,7 @@ def propagate(scenarios: DataFrame, vertices: DataFrame, edges: DataFrame, templ
     rules = templates.withColumn("rule", F.monotonically_increasing_id())
     rules = settle(rules, "rules")
     source, target = kinds.select(F.col("id").alias("src"), F.col("kind").alias("trigger_type")), kinds.select(F.col("id").alias("dst"), F.col("kind").alias("effect_type"))
-    fires = edges.join(F.broadcast(rules), "relation").join(source, ["src", "trigger_type"]).join(target, ["dst", "effect_type"])
+    fires = edges.join(rules, "relation").join(source, ["src", "trigger_type"]).join(target, ["dst", "effect_type"])
     fires = settle(fires.select("src", F.col("trigger_alarm").alias("alarm_type"), "dst", "effect_alarm", "rule"), "fires")
     front = settle(scenarios.select("scenario_id", F.col("origin").alias("moid"), "alarm_type", F.lit(0).cast("long").alias("place"), F.lit(0).alias("level")), "front")
     done = front

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rootweave.functions.ids import edge_parts
 from rootweave.session import settle
 
 
@@ -73,3 +74,43 @@ def edges_among(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 def hierarchy_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+
+
+def counts_by_snapshot(vertices: DataFrame, edges: DataFrame, area: str = "area") -> DataFrame:
+    """snapshot, nodes, edges, interfaces, sites and areas (distinct, those that are known) of each snapshot."""
+    kind = F.col("object_type")
+    nodes = vertices.groupBy("snapshot").agg(F.count("*").alias("nodes"), F.count_if(kind == "Interface").alias("interfaces"), F.countDistinct(F.when(kind == "Site", F.col("id"))).alias("sites"), F.countDistinct(area).alias("areas"))
+    return nodes.join(edges.groupBy("snapshot").agg(F.count("*").alias("edges")), "snapshot", "left").na.fill(0, ["edges"]).select("snapshot", "nodes", "edges", "interfaces", "sites", "areas")
+
+
+def edge(edges: DataFrame, snapshot: str, wanted: DataFrame) -> DataFrame:
+    """edge_id, src, dst and relation of the edges with the ids in ``wanted`` (edge_id); an id of another snapshot has none."""
+    parts = wanted.select("edge_id", edge_parts(F.col("edge_id")).alias("p")).where(F.col("p.snapshot") == snapshot).select("edge_id", "p.src", "p.relation", "p.dst")
+    return edges.join(parts, ["src", "relation", "dst"]).select("edge_id", "src", "dst", "relation")
+
+
+def site_view(vertices: DataFrame, edges: DataFrame, sites: DataFrame) -> DataFrame:
+    """site, objects, ties and relations (their sorted names): what lies at each site (id), and the edges among it."""
+    there = at_site(vertices, edges, sites)
+    inner = edges.join(there.select("site", F.col("id").alias("src")), "src")
+    known = there.select("site", F.col("id").alias("dst"), F.lit(True).alias("known"))
+    ties = inner.join(known, ["site", "dst"], "left").where("known or relation = 'LOCATED_AT'")
+    sizes = ties.groupBy("site").agg(F.count("*").alias("ties"), F.array_sort(F.collect_set("relation")).alias("relations"))
+    return there.groupBy("site").agg(F.count("*").alias("objects")).join(sizes, "site", "left").na.fill(0, ["ties"])
+
+
+def around(vertices: DataFrame, edges: DataFrame, kinds: list[str], relations: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Vertices and edges that seeds of the given types reach over the relations in either direction, each once.
+
+    All seeds advance together; a vertex is walked from once.
+    """
+    some = edges.where(F.col("relation").isin(relations)).dropDuplicates(["src", "dst", "relation"])
+    walk = settle(steps(some, [], "both").select("here", "there").distinct(), "walk")
+    front = settle(vertices.where(F.col("object_type").isin(kinds)).select("id").distinct(), "front")
+    seen = front
+    while not front.isEmpty():
+        new = front.join(walk, F.col("id") == F.col("here")).select(F.col("there").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = settle(new, "front")
+        seen = seen.unionByName(front)
+    seen = settle(seen, "seen")
+    return vertices.join(seen, "id", "left_semi"), some.join(seen.select(F.col("id").alias("src")), "src", "left_semi").select(edges.columns)

@@ -41,3 +41,14 @@ def retained(trails: DataFrame, keep: int) -> DataFrame:
 def upsert(rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """rows with those of equal keys replaced by changes (which have one row a key)."""
     return rows.join(changes, keys, "left_anti").select(rows.columns).unionByName(changes.select(rows.columns))
+
+
+def exist(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted with found: whether any row has its keys."""
+    there = rows.select(*keys).distinct().withColumn("found", F.lit(True))
+    return wanted.join(there, keys, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def with_active(books: DataFrame, keys: list[str], at: str, key: str) -> DataFrame:
+    """books with active: of each key the one that was compiled last supersedes all others."""
+    return ranked(books, keys, F.desc(at), F.desc(key)).withColumn("active", F.col("rank") == 1).drop("rank")

@@ -31,3 +31,14 @@ def state(lifecycle: DataFrame, roles: DataFrame) -> DataFrame:
 def transitions(changes: DataFrame) -> DataFrame:
     """alarm_id and its statuses in the order of their change."""
     return changes.dropDuplicates(["event_id"]).groupBy("alarm_id").agg(F.array_sort(F.collect_list(F.struct("changed_us", "event_id", "new_status"))).alias("t")).select("alarm_id", F.col("t.new_status").alias("statuses"))
+
+
+def opened_once(alarms: DataFrame) -> DataFrame:
+    """The live rows that raises open: each alarm_id once, at its first raise; clears open nothing."""
+    return alarms.where("state = 'raised'").groupBy("alarm_id").agg(F.min(F.struct("raised_us", "moid", "alarm_type")).alias("first")).select("alarm_id", "first.*", F.lit("open").alias("status"))
+
+
+def clears(alarms: DataFrame) -> DataFrame:
+    """event_id, alarm_id, new_status and changed_us of clears on the wire: they change an alarm's state like any status event."""
+    event = F.concat(F.lit("clear/"), "alarm_id", F.lit("/"), F.col("raised_us").cast("string"))
+    return alarms.where("state = 'cleared'").select(event.alias("event_id"), "alarm_id", F.lit("cleared").alias("new_status"), F.col("raised_us").alias("changed_us"))

@@ -95,3 +95,8 @@ def promoted(observed: DataFrame, listed: DataFrame) -> DataFrame:
 def filter_noise(alarms: DataFrame, window_us: int = WINDOW_US, eps_us: int = EPS_US, fewest: int = FEWEST) -> DataFrame:
     """Alarms to clustered rows: fan-out, windows, density."""
     return clustered(windowed(alarms, window_us), eps_us, fewest)
+
+
+def with_snapshot(transactions: DataFrame, trails: DataFrame) -> DataFrame:
+    """transactions with the snapshot that their trail (trail_id, snapshot) comes from; null where it isn't known."""
+    return transactions.join(trails.select("trail_id", "snapshot"), "trail_id", "left")

@@ -170,3 +170,34 @@ def resolved(candidates: DataFrame) -> DataFrame:
     """Incidents that win all their alarms: incident_id."""
     won = winners(candidates).groupBy("incident_id").agg(F.count("*").alias("won"))
     return won.join(candidates.groupBy("incident_id").agg(F.count("*").alias("all")), "incident_id").where("won = all").select("incident_id")
+
+
+def members(incidents: DataFrame, alarms: DataFrame) -> DataFrame:
+    """incident_id, role and the alarm of every member that is known; members without a row of their own drop out."""
+    child = F.transform("child_alarm_ids", lambda c: F.struct(c.alias("alarm_id"), F.lit("child").alias("role")))
+    listed = incidents.select("incident_id", F.explode(F.concat(F.array(F.struct(F.col("root_alarm_id").alias("alarm_id"), F.lit("root").alias("role"))), child)).alias("m"))
+    return listed.select("incident_id", "m.role", "m.alarm_id").distinct().join(alarms, "alarm_id")
+
+
+def children(incidents: DataFrame, alarms: DataFrame) -> DataFrame:
+    """Alarms that are a child of any incident."""
+    return alarms.join(incidents.select(F.explode("child_alarm_ids").alias("alarm_id")), "alarm_id", "left_semi")
+
+
+def leftover_sets(alarms: DataFrame, patterns: DataFrame, events: DataFrame, tick_us: int) -> DataFrame:
+    """set_id, trail_id and token of what the codebook decodes: alarms that no pattern of their trail takes in, by trail and
+    tick, and the alarms of every instance that ended unfired."""
+    fanned = alarms.select("alarm_id", "alarm_type", "raised_us", F.explode("trail_ids").alias("trail_id"))
+    taken = events.where("kind <> 'reverted'").select("trail_id", F.explode("alarm_ids").alias("alarm_id")).distinct()
+    free = fanned.join(taken, ["trail_id", "alarm_id"], "left_anti")
+    tick = F.floor(F.col("raised_us") / tick_us).cast("string")
+    buffered = free.select(F.concat_ws("/", F.lit("tick"), "trail_id", tick).alias("set_id"), "trail_id", F.col("alarm_type").alias("token"))
+    ended = events.where("kind = 'reverted'").select(F.concat_ws("/", F.lit("expired"), "trail_id", "pattern_id", F.col("at_us").cast("string")).alias("set_id"), "trail_id", F.explode("alarm_ids").alias("alarm_id"))
+    salvaged = ended.join(alarms.select("alarm_id", F.col("alarm_type").alias("token")), "alarm_id").select("set_id", "trail_id", "token")
+    return buffered.unionByName(salvaged)
+
+
+def latest_codebook(signatures: DataFrame) -> DataFrame:
+    """Signatures (snapshot, trail_id, codebook_id, compiled_us, ...) of the codebook that came last for each snapshot and trail."""
+    last = signatures.groupBy("snapshot", "trail_id").agg(F.max(F.struct("compiled_us", "codebook_id")).alias("last"))
+    return signatures.join(last.select("snapshot", "trail_id", F.col("last.codebook_id").alias("codebook_id")), ["snapshot", "trail_id", "codebook_id"], "left_semi")

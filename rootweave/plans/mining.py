@@ -46,12 +46,13 @@ def frequent_sequences(rows: DataFrame, support: float = SUPPORT, longest: int =
     place = Window.partitionBy("trail_id", "session").orderBy("raised_us", "alarm_id")
     tokens = settle(rows.select("trail_id", "session", F.row_number().over(place).alias("place"), F.col("alarm_type").alias("token")), "tokens")
     totals = tokens.groupBy("trail_id").agg(F.countDistinct("session").alias("sessions"))
-    # the first place of each token after each place is all that growth needs
+    # growth takes the first place of a token after the pattern's end: a row for each token of a session, not for each alarm
+    places = settle(tokens.groupBy("trail_id", "session", "token").agg(F.array_sort(F.collect_list("place")).alias("places")), "places")
     held = tokens.select("trail_id", "session", F.array().cast("array<string>").alias("prefix"), F.lit(0).alias("end")).distinct()
     found = None
     for length in range(1, longest + 1):
-        grown = held.join(tokens, ["trail_id", "session"]).where("place > end")
-        grown = grown.groupBy("trail_id", "session", "prefix", "token").agg(F.min("place").alias("end"))
+        after = F.array_min(F.filter("places", lambda p: p > F.col("end")))
+        grown = held.join(places, ["trail_id", "session"]).select("trail_id", "session", "prefix", "token", after.alias("next")).where("next is not null").withColumnRenamed("next", "end")
         counts = grown.groupBy("trail_id", "prefix", "token").agg(F.count("*").alias("freq")).join(totals, "trail_id").where(F.col("freq") >= support * F.col("sessions"))
         counts = settle(counts, "frequent")
         if counts.isEmpty():
@@ -97,3 +98,24 @@ def anchors(patterns: DataFrame, scenarios: DataFrame, least: float = 0.5) -> Da
     scored = common.withColumn("overlap", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).where(F.col("overlap") >= least)
     best = F.row_number().over(Window.partitionBy("pattern_id").orderBy(F.desc("overlap"), "scenario_id"))
     return scored.withColumn("_n", best).where("_n = 1").select("pattern_id", "scenario_id", "overlap")
+
+
+def occurrences(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern_id, trail_id, session and the alarms (raised_us, alarm_id, at: place in the pattern) of a pattern's leftmost
+    occurrence in every session of its trail that holds it. rows: as for ``frequent_sequences``; patterns: pattern_id,
+    trail_id and sequence."""
+    place = Window.partitionBy("trail_id", "session").orderBy("raised_us", "alarm_id")
+    tokens = settle(rows.select("trail_id", "session", "raised_us", "alarm_id", F.row_number().over(place).alias("place"), F.col("alarm_type").alias("token")), "tokens")
+    longest = patterns.agg(F.max(F.size("sequence"))).first()[0] or 0
+    held = patterns.join(tokens.select("trail_id", "session").distinct(), "trail_id").select("pattern_id", "trail_id", "session", "sequence", F.lit(0).alias("end"))
+    found = None
+    for at in range(longest):
+        done = held.where(F.size("sequence") <= at)
+        step = held.where(F.size("sequence") > at).withColumn("token", F.get("sequence", F.lit(at))).join(tokens, ["trail_id", "session", "token"]).where("place > end")
+        first = step.groupBy("pattern_id", "trail_id", "session", "sequence").agg(F.min(F.struct("place", "raised_us", "alarm_id")).alias("f"))
+        first = settle(first, "matched")
+        new = first.select("pattern_id", "trail_id", "session", F.lit(at).alias("at"), "f.raised_us", "f.alarm_id")
+        found = new if found is None else found.unionByName(new)
+        held = settle(done.unionByName(first.select("pattern_id", "trail_id", "session", "sequence", F.col("f.place").alias("end"))), "held")
+    whole = held.select("pattern_id", "session")
+    return found.join(whole, ["pattern_id", "session"], "left_semi")

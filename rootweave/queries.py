@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rootweave.functions import ids
 from rootweave.operators import codebook, graph, rules, tables, trails, validate
 from rootweave.plans import alarms as live
-from rootweave.plans import cluster, correlate, enrich, generate, govern, kpi, layers, mining
+from rootweave.plans import cluster, correlate, enrich, govern, kpi, layers, mining
 from rootweave.sources import wire
 from rootweave.sources.adapters import ALARMS_SQL, GRAPH_SQL, SECOND, alarms, edges, table, vertices
 
@@ -129,11 +129,11 @@ def without_flapping(spark: SparkSession, d: str) -> DataFrame:
     return enrich.without_flapping(alarms(spark, d), 48 * HOUR, 1).select("alarm_id")
 
 
-@query(""", members AS (SELECT DISTINCT moid, unnest(trail_ids) AS trail_id FROM alarms WHERE moid < 'Node:u5')
+@query(""", members AS (SELECT DISTINCT moid, unnest(trail_ids) AS trail_id FROM alarms)
   SELECT a.alarm_id, coalesce(array_to_string(t.trails, ','), '') AS trails FROM alarms a LEFT JOIN (SELECT moid, list(trail_id ORDER BY trail_id) AS trails FROM members GROUP BY moid) t USING (moid)""")
 def trail_tagging(spark: SparkSession, d: str) -> DataFrame:
     rows = alarms(spark, d)
-    members = rows.where("moid < 'Node:u5'").select("moid", F.explode("trail_ids").alias("trail_id")).distinct()
+    members = rows.select("moid", F.explode("trail_ids").alias("trail_id")).distinct()
     return enrich.tagged(rows, members).select("alarm_id", F.array_join("trail_ids", ",").alias("trails"))
 
 
@@ -162,19 +162,41 @@ def session_sequences(spark: SparkSession, d: str) -> DataFrame:
     return sessions(spark, d).groupBy("trail_id", "session").agg(order.alias("s"), F.count("*").alias("alarms")).select("trail_id", "session", F.array_join(F.col("s.alarm_type"), " ").alias("sequence"), "alarms")
 
 
-@query(SESSIONS + """, placed AS (SELECT trail_id, session, alarm_type AS t, row_number() OVER (PARTITION BY trail_id, session ORDER BY raised_us, alarm_id) AS p FROM sessioned
-), totals AS (SELECT trail_id, count(DISTINCT session) AS n FROM placed GROUP BY trail_id
-), one AS (SELECT trail_id, t, count(DISTINCT session) AS f FROM placed GROUP BY ALL
-), two AS (SELECT a.trail_id, a.t AS t1, b.t AS t2, count(DISTINCT a.session) AS f FROM placed a JOIN placed b ON a.trail_id = b.trail_id AND a.session = b.session AND a.p < b.p GROUP BY ALL
-), three AS (SELECT a.trail_id, a.t AS t1, b.t AS t2, c.t AS t3, count(DISTINCT a.session) AS f FROM placed a JOIN placed b ON a.trail_id = b.trail_id AND a.session = b.session AND a.p < b.p
-    JOIN placed c ON c.trail_id = b.trail_id AND c.session = b.session AND b.p < c.p GROUP BY ALL
-), every AS (SELECT trail_id, t AS sequence, f, 1.0 * f / n AS confidence, 1.0 AS lift, n FROM one JOIN totals USING (trail_id)
-  UNION ALL SELECT trail_id, t1 || ' ' || t2, two.f, two.f / a.f, two.f / a.f / (b.f / n), n FROM two JOIN one a USING (trail_id) JOIN one b USING (trail_id) JOIN totals USING (trail_id) WHERE a.t = t1 AND b.t = t2
-  UNION ALL SELECT trail_id, three.t1 || ' ' || three.t2 || ' ' || three.t3, three.f, three.f / a.f, three.f / a.f / (b.f / n), n FROM three JOIN two a USING (trail_id) JOIN one b USING (trail_id) JOIN totals USING (trail_id) WHERE a.t1 = three.t1 AND a.t2 = three.t2 AND b.t = three.t3)
-SELECT trail_id, sequence, f AS freq, round(f / n, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM every WHERE f >= 0.05 * n""")
+SUPPORT, LONGEST = 0.3, 10
+
+
+def sequences_sql() -> str:
+    """Frequent sequences level by level: a sequence grows by each token that stands after its earliest end in a session."""
+    levels = [
+        f""", tokens AS (SELECT trail_id, session, alarm_type AS t, row_number() OVER (PARTITION BY trail_id, session ORDER BY raised_us, alarm_id) AS p FROM sessioned
+), totals AS (SELECT trail_id, count(DISTINCT session) AS n FROM tokens GROUP BY trail_id
+), h1 AS (SELECT trail_id, session, '' AS prefix, t, t AS sequence, min(p) AS e FROM tokens GROUP BY ALL
+), f1 AS (SELECT trail_id, prefix, t, sequence, count(*) AS f, n FROM h1 JOIN totals USING (trail_id) GROUP BY ALL HAVING count(*) >= {SUPPORT} * n)"""
+    ]
+    for k in range(2, LONGEST + 1):
+        levels.append(
+            f""", h{k} AS (SELECT h.trail_id, h.session, h.sequence AS prefix, x.t, h.sequence || ' ' || x.t AS sequence, min(x.p) AS e
+  FROM h{k - 1} h SEMI JOIN f{k - 1} g ON g.trail_id = h.trail_id AND g.sequence = h.sequence JOIN tokens x ON x.trail_id = h.trail_id AND x.session = h.session AND x.p > h.e GROUP BY ALL
+), f{k} AS (SELECT trail_id, prefix, t, sequence, count(*) AS f, n FROM h{k} JOIN totals USING (trail_id) GROUP BY ALL HAVING count(*) >= {SUPPORT} * n)"""
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, LONGEST + 1))
+    return "".join(levels) + f""", every AS ({every}), mined AS (
+  SELECT e.trail_id, e.sequence, e.f AS freq, e.f / e.n AS support, e.f / coalesce(b.f, e.n) AS confidence,
+    CASE WHEN e.prefix = '' THEN 1.0 ELSE e.f / b.f / (o.f / e.n) END AS lift
+  FROM every e LEFT JOIN every b ON b.trail_id = e.trail_id AND b.sequence = e.prefix LEFT JOIN f1 o ON o.trail_id = e.trail_id AND o.sequence = e.t
+) """
+
+
+MINED = SESSIONS + sequences_sql()
+
+
+def mined_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return mining.frequent_sequences(sessions(spark, d), SUPPORT, LONGEST)
+
+
+@query(MINED + "SELECT trail_id, sequence, freq, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM mined")
 def frequent_sequences(spark: SparkSession, d: str) -> DataFrame:
-    found = mining.frequent_sequences(sessions(spark, d), 0.05, 3)
-    return found.select("trail_id", F.array_join("sequence", " ").alias("sequence"), "freq", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
+    return mined_sequences(spark, d).select("trail_id", F.array_join("sequence", " ").alias("sequence"), "freq", *[F.round(c, 9).alias(c) for c in ("support", "confidence", "lift")])
 
 
 TIMING = SESSIONS + """, spaced AS (SELECT *, (raised_us - lag(raised_us) OVER (PARTITION BY trail_id, session ORDER BY raised_us, alarm_id)) / 1000 AS g FROM sessioned
@@ -205,28 +227,8 @@ def patterns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pattern_id string, trail_id string, sequence array<string>, root_type string, confidence double, window_us long, by_gap boolean")
 
 
-@query()
-def correlation_events(spark: SparkSession, d: str) -> DataFrame:
-    events = correlate.correlate(alarms(spark, d), patterns(spark))
-    return events.select("kind", "trail_id", "pattern_id", "at_us", "root_alarm_id", F.array_join("alarm_ids", " ").alias("alarm_ids"), F.round("confidence", 9).alias("confidence"))
 
 
-@query()
-def incidents(spark: SparkSession, d: str) -> DataFrame:
-    rows = correlate.incidents(correlate.correlate(alarms(spark, d), patterns(spark)))
-    return rows.withColumn("child_alarm_ids", F.array_join("child_alarm_ids", " ")).withColumn("confidence", F.round("confidence", 9))
-
-
-@query()
-def uncovered_alarms(spark: SparkSession, d: str) -> DataFrame:
-    return correlate.uncovered(alarms(spark, d), correlate.incidents(correlate.correlate(alarms(spark, d), patterns(spark)))).select("alarm_id", "alarm_type")
-
-
-@query()
-def resolved_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    found = correlate.incidents(correlate.correlate(alarms(spark, d), patterns(spark)))
-    members = F.explode(F.array_union(F.array("root_alarm_id"), "child_alarm_ids")).alias("alarm_id")
-    return correlate.resolved(found.select("incident_id", members, (F.size("child_alarm_ids") + 1).alias("size"), "confidence"))
 
 
 SCENARIOS = ", scenarios AS (SELECT concat('S', k) AS scenario_id, concat('T', t) AS trail_id, unnest(CASE k WHEN 0 THEN ['click', 'view', 'error'] WHEN 1 THEN ['purchase', 'purchase'] ELSE ['signup'] END) AS token FROM range(12) r(t), range(3) q(k)) "
@@ -255,7 +257,7 @@ def bag_difference(spark: SparkSession, d: str) -> DataFrame:
 
 # alarm state and figures
 CHANGES = """, changes AS (SELECT concat('E', event_id) AS event_id, concat('ALM-', event_id - event_id % 3) AS alarm_id,
-  CASE event_id % 3 WHEN 0 THEN 'in-progress' WHEN 1 THEN 'correlated' ELSE 'reverted-open' END AS new_status, epoch_us(ts) AS changed_us FROM events WHERE event_id % 5 <> 4) """
+  CASE event_id % 3 WHEN 0 THEN 'in-progress' WHEN 1 THEN 'correlated' ELSE 'reverted-open' END AS new_status, epoch_us(ts) AS changed_us FROM events) """
 
 
 def all_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -264,32 +266,19 @@ def all_changes(spark: SparkSession, d: str) -> DataFrame:
     return alarms(spark, d).select(F.concat(F.lit("E"), number).alias("event_id"), F.concat(F.lit("ALM-"), number - number % 3).alias("alarm_id"), status.alias("new_status"), F.col("raised_us").alias("changed_us"))
 
 
-def changes(spark: SparkSession, d: str) -> DataFrame:
-    """Those that the SQL of the next two queries takes."""
-    return all_changes(spark, d).where(F.substring("event_id", 2, 20).cast("long") % 5 != 4)
-
-
 @query(CHANGES + """, last AS (SELECT *, row_number() OVER (PARTITION BY alarm_id ORDER BY changed_us DESC, event_id DESC) AS n, count(*) OVER (PARTITION BY alarm_id) AS c FROM changes)
   SELECT a.alarm_id, CASE WHEN new_status = 'reverted-open' THEN 'open' ELSE coalesce(new_status, 'open') END AS status, coalesce(changed_us, raised_us) AS since_us, coalesce(c, 0) AS n_changes
   FROM alarms a LEFT JOIN last l ON l.alarm_id = a.alarm_id AND n = 1""")
 def alarm_lifecycle(spark: SparkSession, d: str) -> DataFrame:
-    return live.lifecycle(alarms(spark, d), changes(spark, d))
+    return live.lifecycle(alarms(spark, d), all_changes(spark, d))
 
 
 @query(CHANGES + "SELECT alarm_id, string_agg(new_status, ' ' ORDER BY changed_us, event_id) AS statuses FROM changes GROUP BY alarm_id")
 def alarm_transitions(spark: SparkSession, d: str) -> DataFrame:
-    return live.transitions(changes(spark, d)).withColumn("statuses", F.array_join("statuses", " "))
-
+    return live.transitions(all_changes(spark, d)).withColumn("statuses", F.array_join("statuses", " "))
 
-@query()
-def alarm_roles(spark: SparkSession, d: str) -> DataFrame:
-    return live.roles(correlate.incidents(correlate.correlate(alarms(spark, d), patterns(spark))))
 
 
-@query()
-def alarm_states(spark: SparkSession, d: str) -> DataFrame:
-    return live.state(live.lifecycle(alarms(spark, d), all_changes(spark, d)), alarm_roles(spark, d))
-
 
 #: Baskets of one supplier's lines of an order as incidents: the largest line is the root.
 BASKETS = """, incidents AS (SELECT concat('I', l_orderkey) AS incident_id, round(least(1.0, max(l_quantity) / 50), 9) AS confidence, CASE WHEN l_orderkey % 2 = 0 THEN 'P' END AS pattern_id FROM lineitem GROUP BY l_orderkey) """
@@ -304,11 +293,6 @@ def confidence_histogram(spark: SparkSession, d: str) -> DataFrame:
     return kpi.confidence_histogram(baskets(spark, d))
 
 
-@query()
-def incident_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = alarms(spark, d)
-    return kpi.incident_stats(correlate.incidents(correlate.correlate(rows, patterns(spark))), rows)
-
 
 @query(CLUSTERS + """, kept AS (SELECT DISTINCT alarm_id FROM clustered WHERE cluster IS NOT NULL), truth AS (SELECT alarm_id, severity = 'warning' AS is_noise FROM alarms)
   SELECT round(count(*) FILTER (is_noise AND k.alarm_id IS NULL) / count(*) FILTER (is_noise), 9) AS removal, round(count(*) FILTER (NOT is_noise AND k.alarm_id IS NOT NULL) / count(*) FILTER (NOT is_noise), 9) AS retention
@@ -400,7 +384,7 @@ def decoded_envelopes(spark: SparkSession, d: str) -> DataFrame:
     return wire.decode(raw).groupBy("reject_reason").agg(F.count("*").alias("events"))
 
 
-@query("""SELECT moid, split_part(moid, ':', 1) AS object_type, regexp_full_match(moid, '[A-Za-z][A-Za-z0-9]*:[^ :][^ ]*') AS is_valid, sha256(concat_ws('|', moid, 'P', array_to_string(list(alarm_id ORDER BY alarm_id), '|'))) AS incident_id,
+@query("""SELECT moid, split_part(moid, ':', 1) AS object_type, regexp_full_match(moid, '[A-Za-z][A-Za-z0-9]*:[^:]+') AS is_valid, sha256(concat_ws('|', moid, 'P', array_to_string(list(alarm_id ORDER BY alarm_id), '|'))) AS incident_id,
   'trail-' || sha256(concat_ws('|', 'core', 'SNAP', array_to_string(list(alarm_id ORDER BY alarm_id), '|')))[1:24] AS trail_id FROM alarms GROUP BY moid""")
 def identifiers(spark: SparkSession, d: str) -> DataFrame:
     members = alarms(spark, d).groupBy("moid").agg(F.collect_list("alarm_id").alias("a"))
@@ -503,32 +487,6 @@ def fault_signatures(spark: SparkSession, d: str) -> DataFrame:
     return codebook.propagate(codebook.scenarios(v, origins), v, edges(spark, d), templates(spark)).select("scenario_id", "alarm_type", "moid")
 
 
-@query()
-def scenario_trails(spark: SparkSession, d: str) -> DataFrame:
-    v, e = vertices(spark, d), edges(spark, d)
-    origins = spark.createDataFrame([("Nation", "Down")], "object_type string, alarm_type string")
-    signatures = codebook.propagate(codebook.scenarios(v, origins), v, e, templates(spark))
-    found = trails.trails(v, e, ["HOSTED_ON"], "core", "SNAP")
-    return codebook.by_trail(codebook.tagged(signatures, found))
-
-
-@query()
-def pattern_anchors(spark: SparkSession, d: str) -> DataFrame:
-    mined = mining.frequent_sequences(sessions(spark, d), 0.05, 3).select(govern.pattern_id(F.lit("core"), F.col("trail_id"), F.col("sequence")).alias("pattern_id"), F.lit("core").alias("domain"), "sequence")
-    known = spark.createDataFrame([("S0", "core", ["click", "view", "error"]), ("S1", "core", ["purchase", "signup"])], "scenario_id string, domain string, symptoms array<string>")
-    return mining.anchors(mined, known).withColumn("overlap", F.round("overlap", 9))
-
-
-@query()
-def generated_corpus(spark: SparkSession, d: str) -> DataFrame:
-    v, e = generate.topology(spark, 20, 10, 3, 2)
-    kinds = spark.createDataFrame([("fiber", "FiberSpan", "FiberFault"), ("card", "LineCard", "CardDown")], "scenario_type string, origin_type string, alarm_type string")
-    effects = spark.createDataFrame([("RIDES_ON", "LinkDown", 800.0, 100.0), ("HOSTS", "PortDown", 300.0, 50.0), ("TERMINATES", "LinkDown", 500.0, 100.0)], "relation string, effect_alarm string, delay_ms double, spread_ms double")
-    starts = generate.instances(v, kinds, 6, HOUR, 1234)
-    signal = generate.cascade(starts, e, effects, 1234)
-    return signal.select("alarm_id", "moid", "alarm_type", "raised_us").unionByName(generate.noise(v, signal, ["Chatter", "Flap"], 40, HOUR, 1234, 0.25).select("alarm_id", "moid", "alarm_type", "raised_us"))
-
-
 # rules, structure and conflicts
 @query("SELECT DISTINCT moid AS record_id, alarm_type AS term FROM alarms WHERE alarm_type NOT IN ('click', 'view', 'error')")
 def unknown_references(spark: SparkSession, d: str) -> DataFrame:
@@ -595,3 +553,7 @@ def clears_with_latest(spark: SparkSession, d: str) -> DataFrame:
     rows = alarms(spark, d)
     latest = rows.groupBy("moid").agg(F.max_by("alarm_id", F.struct("raised_us", "alarm_id")).alias("latest"))
     return rows.where("state = 'cleared'").join(latest, "moid").select("moid", "alarm_id", "latest")
+
+
+# further queries register themselves
+from rootweave import live_queries, store_queries  # noqa: E402, F401

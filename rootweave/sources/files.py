@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rootweave.functions.ids import is_object_id
+from rootweave.sources.wire import REQUIRED
+
 SNAPSHOT = (
     "schemaVersion int, snapshotId string, domain string, "
     "nodes array<struct<managedObjectId: string, objectType: string, name: string, attributes: map<string, string>>>, "
@@ -41,22 +44,64 @@ def without_snapshot(rows: DataFrame, snapshot: str) -> DataFrame:
     return rows.where(F.col("snapshot") != snapshot)
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """seq, topic and envelope (JSON text) of a recorded corpus, in the order of seq; the header line is skipped."""
-    lines = spark.read.text(path).where(F.get_json_object("value", "$.corpusVersion").isNull())
-    seq = F.coalesce(F.get_json_object("value", "$.seq").cast("long"), F.lit(0))
-    return lines.select(seq.alias("seq"), F.get_json_object("value", "$.topic").alias("topic"), F.get_json_object("value", "$.envelope").alias("envelope")).orderBy("seq")
+def delete_snapshot(spark: SparkSession, path: str, snapshot: str) -> int:
+    """Removes a snapshot's partitions of all domains from a written graph; returns how many there were."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/domain=*/snapshot={snapshot}")
+    folder = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in folder.globStatus(where) or []]
+    for part in found:
+        folder.delete(part, True)
+    return len(found)
+
+
+#: How our own lines begin; what follows up to the last brace is the envelope as it was written.
+LINE = r'^\{"seq":[0-9]+,"topic":"[^"\\\\]*","envelope":(.*)\}$'
+
+
+def read_corpus(spark: SparkSession, path: str, checked: bool = False) -> DataFrame:
+    """seq, topic and envelope (JSON text) of a recorded corpus, in the order of seq; header and blank lines are skipped.
+
+    ``checked``: the read fails at a line that is no JSON, or whose envelope has no sound alarm as its payload.
+    """
+    line = F.col("value")
+    lines = spark.read.text(path).where((F.trim(line) != "") & F.get_json_object(line, "$.corpusVersion").isNull())
+    seq = F.coalesce(F.get_json_object(line, "$.seq").cast("long"), F.lit(0))
+    own = F.regexp_extract(line, LINE, 1)
+    rows = lines.select("value", seq.alias("seq"), F.get_json_object(line, "$.topic").alias("topic"), F.when(own != "", own).otherwise(F.get_json_object(line, "$.envelope")).alias("envelope"))
+    if checked:
+        payload = F.get_json_object("envelope", "$.payload")
+        held = F.json_object_keys(payload)
+        lacks = F.array_except(F.array(*map(F.lit, REQUIRED["AlarmEvent"])), F.coalesce(held, F.array().cast("array<string>")))
+        wrong = (
+            F.when(F.json_object_keys("value").isNull(), "bad JSON")
+            .when(held.isNull(), "missing envelope.payload")
+            .when(F.size(lacks) > 0, F.concat(F.lit("payload lacks "), F.get(lacks, 0)))
+            .when(~is_object_id(F.get_json_object(payload, "$.managedObjectId")), "bad managed object id")
+        )
+        failure = F.raise_error(F.concat(F.lit("corpus line "), F.col("seq").cast("string"), F.lit(": "), wrong)).cast("string")
+        rows = rows.withColumn("envelope", F.when(wrong.isNotNull(), failure).otherwise(F.col("envelope")))
+    return rows.drop("value").orderBy("seq")
 
 
 def corpus_lines(events: DataFrame, run: str, phase: str) -> DataFrame:
-    """Lines of a corpus file: a header with the count, then events numbered in the order of (raised_us, alarm_id) by topic."""
+    """Lines of a corpus file: a header with the count, then events numbered in the order of (raised_us, alarm_id) by topic.
+
+    An event's envelope stands in its line as it is.
+    """
     order = Window.partitionBy("topic").orderBy("raised_us", "alarm_id")
     body = events.withColumn("seq", F.row_number().over(order) - 1)
-    lines = body.select("topic", F.col("seq").cast("long").alias("line"), F.to_json(F.struct("seq", "topic", F.from_json("envelope", "map<string,string>").alias("envelope"))).alias("value"))
+    text = F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"topic":"'), F.col("topic"), F.lit('","envelope":'), F.col("envelope"), F.lit("}"))
+    lines = body.select("topic", F.col("seq").cast("long").alias("line"), text.alias("value"))
     header = body.groupBy("topic").agg(F.count("*").alias("count")).select("topic", F.lit(-1).cast("long").alias("line"), F.to_json(F.struct(F.lit(1).alias("corpusVersion"), F.lit(run).alias("sourceRunId"), F.lit(phase).alias("phase"), "topic", "count")).alias("value"))
     return header.unionByName(lines)
 
 
+def write_corpus(events: DataFrame, path: str, run: str, phase: str) -> None:
+    """Writes corpus lines as text, a folder for each topic; the files of a topic are in the order of its lines."""
+    lines = corpus_lines(events, run, phase).repartitionByRange("topic", "line").sortWithinPartitions("topic", "line")
+    lines.select("topic", "value").write.mode("overwrite").partitionBy("topic").text(path)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABEL).json(path)
 

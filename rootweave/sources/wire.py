@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rootweave.functions.ids import is_object_id
+
 # Payload types with their required fields, the only version, and the topics with their partitions.
 REQUIRED = {
     "AlarmEvent": ["alarmId", "managedObjectId", "eventType", "alarmType", "perceivedSeverity", "raisedAt", "state"],
@@ -23,7 +25,10 @@ ENVELOPE = ["eventId", "type", "schemaVersion", "occurredAt", "source", "traceId
 VERSION = 1
 TOPICS = {
     "topology.changed": 3, "trails.built": 3, "codebook.generated": 3, "knowledge.updated": 3, "alarms.history": 3, "alarms.live": 3,
-    "alarms.enriched": 3, "alarms.status": 3, "transactions": 3, "patterns.mined": 3, "patterns.approved": 3, "correlation.results": 3,
+    "alarms.enriched": 3, "alarms.enriched.live": 3, "alarms.persisted.live": 3, "alarms.status.changed": 3, "transactions.clean": 3,
+    "patterns.mined": 3, "patterns.discovered": 3, "patterns.approved": 3, "correlation.results": 3,
+    "topology.changed.dlq": 1, "trails.built.dlq": 1, "transactions.clean.dlq": 1, "alarms.history.dlq": 1, "alarms.live.dlq": 1,
+    "alarms.enriched.live.dlq": 1, "alarms.persisted.live.dlq": 1, "alarms.status.changed.dlq": 1, "correlation.results.dlq": 1,
 }
 
 
@@ -50,7 +55,7 @@ def decode(raw: DataFrame, column: str = "value") -> DataFrame:
         .when(~F.coalesce(fields["schemaVersion"].try_cast("int") == VERSION, F.lit(False)), "unsupported version")
         .when(~kind.isin(list(REQUIRED)), "unknown type")
         .when(F.size(lacking) > 0, F.concat(F.lit("payload lacks "), F.get(lacking, 0)))
-        .when((kind == "AlarmEvent") & ~F.coalesce(ids.rlike(r"^[A-Za-z][A-Za-z0-9]*:[^\s:][^\s]*$"), F.lit(False)), "bad managed object id")
+        .when((kind == "AlarmEvent") & ~is_object_id(ids), "bad managed object id")
     )
     return raw.select("*", *[fields[f].alias(f) for f in ENVELOPE], reason.alias("reject_reason"))
 
@@ -80,6 +85,18 @@ def write_topic(rows: DataFrame, servers: str, topic: str, checkpoint: str):
     return rows.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
+def catalogue(spark: SparkSession) -> DataFrame:
+    """topic, partitions and whether it holds dead letters."""
+    return spark.createDataFrame([(t, n, t.endswith(".dlq")) for t, n in TOPICS.items()], "topic string, partitions int, is_dlq boolean")
+
+
+def keyed(events: DataFrame, topic: Column, key: Column) -> DataFrame:
+    """events with topic, key (text) and the partition that the key is dealt to; an unknown topic has none."""
+    sizes = catalogue(events.sparkSession).select("topic", "partitions")
+    rows = events.withColumn("topic", topic).withColumn("key", key.cast("string"))
+    return rows.join(sizes, "topic", "left").withColumn("partition", F.pmod(F.xxhash64("key"), F.col("partitions").cast("long")).cast("int")).drop("partitions")
+
+
 def replay(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
     """Recorded batches as a stream, a few files a trigger."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)

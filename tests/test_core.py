@@ -27,15 +27,15 @@ def test_identifiers(spark):
         ids.trail_id(F.lit("core-ip"), F.lit("snap"), F.array(F.lit("b"), F.lit("a"))).alias("trail"),
         ids.name_uuid(F.lit("x|y")).alias("uuid"),
         ids.object_type(F.lit("Port:a:b")).alias("kind"),
-        ids.is_object_id(F.lit("Port:a:b")).alias("good"),
-        ids.is_object_id(F.lit("nothing")).alias("bad"),
+        ids.is_object_id(F.lit("Node:a b")).alias("good"),
+        F.array(*[ids.is_object_id(F.lit(x)) for x in ("nothing", "Port:a:b", "Port:", ":a", "9:a", "Port:a:")]).alias("bad"),
         ids.edge_id(F.lit("s"), F.lit("A:1"), F.lit("RIDES_ON"), F.lit("Ü:2")).alias("edge"),
         ids.edge_rank(F.lit("a"), F.lit("b"), F.lit("c")).alias("rank"),
         ids.half_even(F.lit(2.5)).alias("half"),
     )
     assert row.trail == "trail-" + hashlib.sha256(b"core-ip|snap|a|b").hexdigest()[:24] == "trail-7d555f76364a0728c7a29ec2"
     assert row.uuid == str(uuid.uuid5(uuid.NAMESPACE_DNS, "x|y"))
-    assert (row.kind, row.good, row.bad, row.half) == ("Port", True, False, 2.0) and row.rank >= 0
+    assert (row.kind, row.good, row.bad, row.half) == ("Port", True, [False] * 6, 2.0) and row.rank >= 0
     assert not set("+/=") & set(row.edge)
     parts = one(spark, ids.edge_parts(F.lit(row.edge)).alias("p"), ids.edge_parts(F.lit("%%%")).alias("q"))
     assert tuple(parts.p) == ("s", "A:1", "RIDES_ON", "Ü:2") and parts.q is None
@@ -119,10 +119,10 @@ def test_scenario_trails_and_alarm_states_take_the_whole_tables(spark):
     members = trails.trails(v, e, ["HOSTED_ON"], "core", "SNAP").select("trail_id", F.explode("members").alias("moid"))
     wanted = {tuple(r) for r in found.join(members, "moid").select("scenario_id", "trail_id").distinct().collect()}
     assert found.where("moid like 'Order:%'").count() > 0
-    assert {(r.scenario_id, r.trail_id) for r in queries.scenario_trails(spark, d).collect()} == wanted
+    assert {(r.scenario_id, r.trail_id) for r in queries.QUERIES["scenario_trails"](spark, d).collect()} == wanted
     changed = {r.alarm_id: r.n for r in alarms(spark, d).select(F.substring("alarm_id", 5, 20).cast("long").alias("i")).groupBy((F.col("i") - F.col("i") % 3).alias("i")).agg(F.count("*").alias("n")).select(F.concat(F.lit("ALM-"), "i").alias("alarm_id"), "n").collect()}
     assert queries.all_changes(spark, d).count() == alarms(spark, d).count() == sum(changed.values())
-    assert {r.alarm_id: r.n_changes for r in queries.alarm_states(spark, d).where("n_changes > 0").collect()} == changed
+    assert {r.alarm_id: r.n_changes for r in queries.QUERIES["alarm_states"](spark, d).where("n_changes > 0").collect()} == changed
 
 
 def test_fires_with_one_token_missing_and_expires():
