@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from rootweave.plans.correlate import EVENT, TOLERANCE, Instance
+from rootweave.plans.correlate import COLUMNS, EVENT, TOLERANCE, Instance
 
 STATE = "opened long, last long, places array<int>, ids array<string>, types array<string>"
 
@@ -31,7 +31,11 @@ def counts_by_window(alarms: DataFrame, width: str = "60 seconds") -> DataFrame:
 
 
 class Correlator(StatefulProcessor):
-    """An instance for each trail and pattern; a timer at its deadline reverts what has not fired."""
+    """An instance for each trail and pattern, advanced by timers in the order of event time.
+
+    Alarms wait until the watermark has passed them, so that one that comes late, but within the watermark, takes its place
+    among the others whatever batch brings it; a timer at the instance's deadline reverts what has not fired.
+    """
 
     def __init__(self, tolerance: int = TOLERANCE) -> None:
         self.tolerance = tolerance
@@ -39,6 +43,7 @@ class Correlator(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.progress = handle.getValueState("progress", STATE)
+        self.waiting = handle.getListState("waiting", "at long, alarm_id string, alarm_type string")
         self.pattern = handle.getValueState("pattern", "sequence array<string>, root_type string, confidence double, window_us long, by_gap boolean")
 
     def restored(self) -> Instance:
@@ -50,37 +55,55 @@ class Correlator(StatefulProcessor):
         return instance
 
     def keep(self, instance: Instance) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         if instance.opened is None:
             self.progress.clear()
             return
-        places = sorted(instance.members)
+        places = list(instance.members)  # in the order of admission
         self.progress.update((instance.opened, instance.last, places, [instance.members[p][0] for p in places], [instance.members[p][1] for p in places]))
-        self.handle.registerTimer(instance.deadline // 1000 + 1)
+
+    def schedule(self, rows: list[tuple[int, str, str]], deadline: int | None) -> None:
+        """One timer, at what is due first."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = [-(-min(rows)[0] // 1000)] if rows else []
+        due += [deadline // 1000 + 1] if deadline is not None else []
+        if due:
+            self.handle.registerTimer(min(due))
+
+    def held(self) -> list[tuple[int, str, str]]:
+        return sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["raised_us", "alarm_id"])
+        batch = pd.concat(list(rows))
         first = batch.iloc[0]
         if not self.pattern.exists():
             self.pattern.update((list(first.sequence), first.root_type, float(first.confidence), int(first.window_us), bool(first.by_gap)))
-        instance, out = self.restored(), []
-        for alarm_id, alarm_type, at in zip(batch.alarm_id, batch.alarm_type, batch.raised_us, strict=True):
-            end = instance.deadline
-            if gone := instance.expire(int(at)):
-                out.append(("reverted", *key, end, None, gone, None))
-            if got := instance.admit(alarm_id, alarm_type, int(at)):
-                out.append((got[0], *key, int(at), *got[1:]))
-        self.keep(instance)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+        self.waiting.appendList([(int(at), a, t) for at, a, t in zip(batch.raised_us, batch.alarm_id, batch.alarm_type, strict=True)])
+        self.schedule(self.held(), self.restored().deadline)
+        yield pd.DataFrame([], columns=COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        instance = self.restored()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        instance, held, out = self.restored(), self.held(), []
+        ripe = [r for r in held if r[0] <= now]
+        for at, alarm_id, alarm_type in ripe:
+            end = instance.deadline
+            if gone := instance.expire(at):
+                out.append(("reverted", *key, end, None, gone, None))
+            if got := instance.admit(alarm_id, alarm_type, at):
+                out.append((got[0], *key, at, *got[1:]))
         end = instance.deadline
-        gone = [a for a, _ in instance.members.values()]
-        instance.clear()
+        if gone := instance.expire(now):
+            out.append(("reverted", *key, end, None, gone, None))
+        rest = held[len(ripe) :]
+        if ripe:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
         self.keep(instance)
-        yield pd.DataFrame([("reverted", *key, end, None, gone, None)] if gone else [], columns=[c.split()[0] for c in EVENT.split(", ")])
+        self.schedule(rest, instance.deadline)
+        yield pd.DataFrame(out, columns=COLUMNS)
 
     def close(self) -> None:
         pass
