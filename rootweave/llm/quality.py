@@ -32,7 +32,9 @@ ROUNDS = 2
 SURE, TRUST = 0.98, 0.25
 HELD_OUT = 0.2
 #: Bits of a hashed word, of a hashed word of the toxicity classifier, and of a hashed fact about the page.
-WORD_BITS, TOXIC_BITS, FACT_BITS = 16, 17, 12
+WORD_BITS, TOXIC_BITS, FACT_BITS = 16, 18, 12
+#: In how many sampled documents a word must stand to have a weight for toxicity.
+FEWEST = 4
 #: What is added to every count.
 SMOOTH = 0.5
 
@@ -262,14 +264,26 @@ def train_toxic(sample: DataFrame) -> tuple[np.ndarray, float] | None:
                 words = pa.ListArray.from_arrays(pa.array(cuts), pa.array(texts.word.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([words, piece.column("toxic"), piece.column("held")], ["words", "toxic", "held"])
 
-    sparse = F.udf(lambda words: SparseVector(1 << TOXIC_BITS, words, [1.0] * len(words)), VectorUDT())
     held = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) < 1000 * HELD_OUT
     read = stored(known.withColumn("held", held).mapInArrow(run, "words array<int>, toxic double, held boolean"), "toxic")
-    rows = read.select(sparse("words").alias("x"), "toxic", "held")
+    # only words that stand in a few documents of the sample have a weight: its number of words bounds the model
+    fewest = min(FEWEST, 1 + read.count() // 10)
+    often = read.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
+    vocabulary = np.sort(often.select("word").toArrow()["word"].to_numpy())
+    if not len(vocabulary):
+        return None
+
+    def vector(words: list[int]) -> SparseVector:
+        at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+        at = at[vocabulary[at] == words]
+        return SparseVector(len(vocabulary), at, np.ones(len(at)))
+
+    rows = read.select(F.udf(vector, VectorUDT())("words").alias("x"), "toxic", "held")
     train, rest = rows.where("not held"), read.where("held")
     split = has_two(read.where("not held"), "toxic")
     model = line(train if split else rows, "toxic", 0.002, 1.0, False)
-    weights, shift = model.coefficients.toArray(), float(model.intercept)
+    weights, shift = np.zeros(1 << TOXIC_BITS), float(model.intercept)
+    weights[vocabulary] = model.coefficients.toArray()
     if split and has_two(rest, "toxic"):
         score = F.udf(lambda words: float(weights[np.array(words, np.int64)].sum() + shift) if words else shift, DoubleType())
         again = line(rest.select(array_to_vector(F.array(score("words"))).alias("x"), "toxic"), "toxic", 1e-3)
