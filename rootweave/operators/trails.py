@@ -59,9 +59,14 @@ def trails(vertices: DataFrame, edges: DataFrame, relations: list[str], domain:
     here, there = placed.select("area", F.col("id").alias("a")), placed.select("area", F.col("id").alias("b"))
     bounded = components_by(ties.join(here, "a").join(there, ["area", "b"]).select("area", "a", "b"), placed)
     lost = vertices.join(placed.select("id").distinct(), "id", "left_anti").select("id")
-    whole = components_by(ties.withColumn("area", F.lit("")), vertices.select(F.lit("").alias("area"), "id"))
-    seeds = whole.join(lost.where(~F.col("id").startswith(f"{GROUP}:")), "id", "left_semi").select("root").distinct()
-    every = bounded.unionByName(whole.join(seeds, "root", "left_semi"))
+    lost = settle(lost.where(~F.col("id").startswith(f"{GROUP}:")), "lost")
+    tied = lost.join(ties.select(F.col("a").alias("id")), "id", "left_semi")
+    # most of them stand alone; components of the whole graph are needed only where one doesn't
+    every = bounded.unionByName(lost.join(tied, "id", "left_anti").select(F.lit("").alias("area"), "id", F.col("id").alias("root")))
+    if not tied.isEmpty():
+        linked = ties.select(F.lit("").alias("area"), F.col("a").alias("id")).distinct()
+        whole = components_by(ties.withColumn("area", F.lit("")), linked)
+        every = every.unionByName(whole.join(whole.join(tied, "id", "left_semi").select("root").distinct(), "root", "left_semi"))
     members = every.select(F.concat_ws("|", "area", "root").alias("trail"), "id").distinct()
     if groups is not None:
         large = groups.groupBy("group").agg(F.countDistinct("member").alias("n")).where("n >= 2").select("group")
