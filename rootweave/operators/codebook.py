@@ -80,3 +80,10 @@ def by_trail(codebook: DataFrame, trail: str | None = None) -> DataFrame:
     """One row for each scenario and trail of (scenario_id, trail_ids, ...), or for one trail only."""
     rows = codebook.withColumn("trail_id", F.explode("trail_ids")).drop("trail_ids")
     return rows if trail is None else rows.where(F.col("trail_id") == trail)
+
+
+def trail_signatures(signatures: DataFrame, scenarios: DataFrame, trails: DataFrame, trail: str | None = None) -> DataFrame:
+    """trail_id, scenario_id, root_alarm and symptoms (in order) of every scenario on every trail that it touches, or on one."""
+    ordered = signatures.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("position", "alarm_type", "moid"))).alias("symptoms"))
+    whole = tagged(signatures, trails).join(root_tokens(signatures, scenarios), "scenario_id").join(ordered, "scenario_id")
+    return by_trail(whole, trail).select("trail_id", "scenario_id", "root_alarm", "symptoms")

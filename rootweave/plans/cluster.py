@@ -22,9 +22,13 @@ def windowed(alarms: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     return alarms.withColumn("trail_id", F.explode("trail_ids")).drop("trail_ids").withColumn("window_us", F.col("raised_us") - F.pmod("raised_us", F.lit(window_us)))
 
 
-def clustered(rows: DataFrame, eps_us: int = EPS_US, fewest: int = FEWEST) -> DataFrame:
-    """Adds cluster (from 0 within trail and window; null for noise). A point counts itself."""
-    group = ["trail_id", "window_us"]
+def clustered(rows: DataFrame, eps_us: int = EPS_US, fewest: int = FEWEST, alike: tuple[str, ...] = ()) -> DataFrame:
+    """Adds cluster (from 0 within trail and window; null for noise). A point counts itself.
+
+    ``alike``: features in which neighbours must not differ. A differing feature adds 1 to a distance, so below an eps of 1
+    (in units of the time scale) only points that are alike can be neighbours; clusters are then numbered by their first time.
+    """
+    group = ["trail_id", "window_us", *alike]
     order = Window.partitionBy(*group).orderBy("raised_us")
     near = order.rangeBetween(-eps_us, eps_us)
     dense = rows.withColumn("_core", F.count("*").over(near) >= fewest)
@@ -35,7 +39,12 @@ def clustered(rows: DataFrame, eps_us: int = EPS_US, fewest: int = FEWEST) -> Da
     places = dense.withColumn("_new", F.when(fresh & first, 1).otherwise(0))
     starts = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))
     chained = places.withColumn("_chain", F.when(F.col("_core"), starts - 1))
-    return chained.withColumn("cluster", F.min("_chain").over(near)).drop("_core", "_new", "_chain")
+    found = chained.withColumn("cluster", F.min("_chain").over(near)).drop("_core", "_new", "_chain")
+    if not alike:
+        return found
+    started = found.withColumn("_start", F.min("raised_us").over(Window.partitionBy(*group, "cluster")))
+    number = F.dense_rank().over(Window.partitionBy("trail_id", "window_us").orderBy(F.col("cluster").isNull(), "_start", *alike, "cluster"))
+    return started.withColumn("cluster", F.when(F.col("cluster").isNotNull(), number - 1)).drop("_start")
 
 
 def clustered_by_features(rows: DataFrame, features: list[str], eps: float, fewest: int, scale_us: int, schema: str) -> DataFrame:

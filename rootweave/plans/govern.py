@@ -47,6 +47,25 @@ def unconnected(members: DataFrame, reached: DataFrame) -> DataFrame:
     return members.where("root <> moid").join(ok, ["root", "moid"], "left_anti")
 
 
+def verdicts(members: DataFrame, reached: DataFrame, strict: bool) -> DataFrame:
+    """pattern_id, unconnected (members that the root does not reach) and verdict: 'ok', else 'reject' if strict, else 'flag'."""
+    loose = unconnected(members, reached).groupBy("pattern_id").agg(F.countDistinct("moid").alias("unconnected"))
+    every = members.select("pattern_id").distinct().join(loose, "pattern_id", "left").na.fill(0, ["unconnected"])
+    return every.withColumn("verdict", F.when(F.col("unconnected") == 0, "ok").otherwise("reject" if strict else "flag"))
+
+
+#: What a pattern's state may become.
+MOVES = {"draft": ("approved", "rejected"), "approved": ("deprecated",), "rejected": (), "deprecated": ()}
+
+
+def forbidden_moves(audit: DataFrame) -> DataFrame:
+    """pattern_id, was, state and changed_us of changes that no pattern may make; repeats of a state are none."""
+    order = Window.partitionBy("pattern_id").orderBy("changed_us", "state")
+    moves = audit.withColumn("was", F.lag("state").over(order)).where(F.col("was").isNotNull() & (F.col("was") != F.col("state")))
+    allowed = [F.lit(f"{a}>{b}") for a, to in MOVES.items() for b in to]
+    return moves.where(~F.concat_ws(">", "was", "state").isin(*allowed)).select("pattern_id", "was", "state", "changed_us")
+
+
 def lifecycle(audit: DataFrame) -> DataFrame:
     """pattern_id, state and changes of an audit log (pattern_id, state, changed_us): the latest state holds."""
     return audit.where(F.col("state").isin(list(STATES))).groupBy("pattern_id").agg(F.max_by("state", F.struct("changed_us", "state")).alias("state"), F.count("*").alias("changes"))

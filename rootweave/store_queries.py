@@ -11,7 +11,7 @@ from rootweave.functions import ids
 from rootweave.operators import codebook, graph, ingest, records, rules, tables, trails, validate
 from rootweave.plans import cluster, enrich, generate, govern, kpi, layers, mining
 from rootweave.session import shared_dir
-from rootweave.queries import BUILT, CLUSTERS, HOUR, MINED, SESSIONS, VERSIONS, built, clusters, mined_sequences, query, sessions, templates, versions
+from rootweave.queries import BUILT, CLUSTERS, EPS_US, FEWEST, HOUR, MINED, SESSIONS, VERSIONS, WINDOW_US, built, clusters, mined_sequences, query, sessions, templates, versions
 from rootweave.sources import files, wire
 from rootweave.sources.adapters import alarms, edges, table, vertices
 
@@ -317,6 +317,65 @@ def scenario_roots(spark: SparkSession, d: str) -> DataFrame:
     return codebook.root_tokens(signatures, known).join(foreign, "scenario_id", "left").na.fill(0, ["foreign_symptoms"])
 
 
+@query(
+    """SELECT concat('sc-', v.id) AS scenario_id, 'Down' AS root_alarm, 1 + (SELECT count(*) FROM edges e WHERE e.relation = 'HOSTED_ON' AND e.src = v.id) AS symptoms, 'Down' AS first_
+  FROM vertices v WHERE object_type = 'Nation'""",
+    True,
+)
+def trail_signatures(spark: SparkSession, d: str) -> DataFrame:
+    v, e = vertices(spark, d), edges(spark, d)
+    known = codebook.scenarios(v, spark.createDataFrame([("Nation", "Down")], "object_type string, alarm_type string"))
+    found = codebook.propagate(known, v, e, templates(spark).where("relation = 'HOSTED_ON'"))
+    nations = e.where("relation = 'HOSTED_ON'").groupBy(F.col("src").alias("trail_id")).agg(F.collect_set("dst").alias("members"))
+    rows = codebook.trail_signatures(found, known, nations)
+    return rows.select("scenario_id", "root_alarm", F.size("symptoms").cast("long").alias("symptoms"), F.col("symptoms")[0]["alarm_type"].alias("first_"))
+
+
+@query(
+    """SELECT concat('P', c_custkey) AS pattern_id, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS unconnected, strict, CASE WHEN c_custkey % 5 > 0 THEN 'ok' WHEN strict THEN 'reject' ELSE 'flag' END AS verdict
+  FROM customer, (VALUES (true), (false)) s(strict)""",
+    True,
+)
+def structural_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    v = vertices(spark, d)
+    root = F.when(F.col("c_custkey") % 5 == 0, (F.col("c_nationkey") + 1) % 25).otherwise(F.col("c_nationkey"))
+    members = table(spark, d, "customer").select(F.concat(F.lit("P"), "c_custkey").alias("pattern_id"), F.concat(F.lit("Nation:"), root).alias("root"), F.concat(F.lit("Customer:"), "c_custkey").alias("moid"))
+    reached = graph.traverse(v, edges(spark, d), graph.nodes_of(v, "Nation").select("id"), ["HOSTED_ON"], 4)
+    both = [govern.verdicts(members, reached, strict).withColumn("strict", F.lit(strict)) for strict in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+@query(
+    """, audit AS (SELECT moid AS pattern_id, CASE source WHEN 'src0' THEN 'draft' WHEN 'src1' THEN 'approved' ELSE 'deprecated' END AS state, raised_us AS changed_us FROM alarms
+), moved AS (SELECT *, lag(state) OVER (PARTITION BY pattern_id ORDER BY changed_us, state) AS was FROM audit)
+SELECT pattern_id, was, state, changed_us FROM moved WHERE was <> state AND concat(was, '>', state) NOT IN ('draft>approved', 'draft>rejected', 'approved>deprecated')"""
+)
+def forbidden_moves(spark: SparkSession, d: str) -> DataFrame:
+    state = F.expr("case source when 'src0' then 'draft' when 'src1' then 'approved' else 'deprecated' end")
+    return govern.forbidden_moves(alarms(spark, d).select(F.col("moid").alias("pattern_id"), state.alias("state"), F.col("raised_us").alias("changed_us")))
+
+
+@query("SELECT alarm_id FROM alarms ORDER BY raised_us, alarm_id LIMIT 1000 OFFSET 0")
+def long_page(spark: SparkSession, d: str) -> DataFrame:
+    return tables.page(alarms(spark, d).select("alarm_id", "raised_us"), F.col("raised_us"), F.col("alarm_id"), limit=1000, most=1000).select("alarm_id")
+
+
+ALIKE = CLUSTERS.replace("PARTITION BY trail_id, window_us", "PARTITION BY trail_id, window_us, alarm_type, severity").replace("PARTITION BY d.trail_id, d.window_us", "PARTITION BY d.trail_id, d.window_us, d.alarm_type, d.severity")
+ALIKE = ALIKE.replace("SELECT DISTINCT trail_id, window_us, raised_us", "SELECT DISTINCT trail_id, window_us, alarm_type, severity, raised_us").replace("SELECT trail_id, window_us, raised_us, sum", "SELECT trail_id, window_us, alarm_type, severity, raised_us, sum")
+ALIKE = ALIKE.replace("c.window_us = d.window_us", "c.window_us = d.window_us AND c.alarm_type = d.alarm_type AND c.severity = d.severity")
+
+
+@query(
+    ALIKE
+    + """, started AS (SELECT *, min(raised_us) OVER (PARTITION BY trail_id, window_us, alarm_type, severity, cluster) AS start FROM clustered)
+SELECT trail_id, window_us, alarm_id, CASE WHEN cluster IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY trail_id, window_us ORDER BY cluster IS NULL, start, alarm_type, severity, cluster) - 1 AS INTEGER) END AS cluster
+FROM started"""
+)
+def feature_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = cluster.clustered(cluster.windowed(alarms(spark, d), WINDOW_US), EPS_US, FEWEST, ("alarm_type", "severity"))
+    return rows.select("trail_id", "window_us", "alarm_id", F.col("cluster").cast("int").alias("cluster"))
+
+
 @query(
     """, pulled AS (SELECT c.id AS seed, list_sort(list_distinct(list_concat([c.id], coalesce(list(e.dst) FILTER (e.dst IS NOT NULL), [])))) AS own FROM vertices c LEFT JOIN edges e ON e.src = c.id AND e.relation = 'HOSTS' WHERE c.object_type = 'Customer' GROUP BY c.id
 ), sets AS (SELECT CASE WHEN list_contains(own, 'Customer:1') OR list_contains(own, 'Supplier:1') THEN list_sort(list_distinct(list_concat(own, ['Customer:1', 'Supplier:1', 'SRLG:g']))) ELSE own END AS members FROM pulled
