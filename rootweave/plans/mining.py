@@ -17,23 +17,46 @@ FAST_US, SLOW_US = SECOND // 2, 30 * SECOND
 SUPPORT, LONGEST, MOST = 0.3, 10, 1000
 
 
+#: A key's rows are put in order within stretches of time; what crosses their edges is one row for each stretch.
+STRETCH_US = 24 * 3600 * SECOND
+
+
+def with_previous(rows: DataFrame, keys: list[str], stretch_us: int = STRETCH_US) -> DataFrame:
+    """rows with _stretch and _before, the time of the row before in the order of (raised_us, alarm_id) within the keys.
+
+    No task sorts all rows of a key: the last time of a stretch is carried over to the next one that has rows.
+    """
+    rows = rows.withColumn("_stretch", F.floor(F.col("raised_us") / stretch_us))
+    ends = rows.groupBy(*keys, "_stretch").agg(F.max("raised_us").alias("_end"))
+    carried = ends.withColumn("_carried", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_stretch"))).drop("_end")
+    order = Window.partitionBy(*keys, "_stretch").orderBy("raised_us", "alarm_id")
+    return rows.join(carried, [*keys, "_stretch"]).withColumn("_before", F.coalesce(F.lag("raised_us").over(order), "_carried")).drop("_carried")
+
+
+def running_total(rows: DataFrame, keys: list[str], flag: str, to: str) -> DataFrame:
+    """rows (with _stretch) with the sum of ``flag`` up to each row, in the same order."""
+    sums = rows.groupBy(*keys, "_stretch").agg(F.sum(flag).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_carried", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    order = Window.partitionBy(*keys, "_stretch").orderBy("raised_us", "alarm_id").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(carried, [*keys, "_stretch"]).withColumn(to, F.col("_carried") + F.sum(flag).over(order)).drop("_carried")
+
+
 def closing_gaps(rows: DataFrame, factor: float = FACTOR, percent: int = PERCENT, floor_us: int = FAST_US, ceiling_us: int = SLOW_US, base_us: int = BASE_US) -> DataFrame:
     """trail_id and gap_us: a percentile of the trail's gaps times a factor, between the fast and the slow profile.
 
     A trail with one alarm has the base gap.
     """
-    gap = F.col("raised_us") - F.lag("raised_us").over(Window.partitionBy("trail_id").orderBy("raised_us", "alarm_id"))
-    gaps = rows.withColumn("gap", gap).groupBy("trail_id").agg(F.percentile("gap", F.lit(percent / 100)).alias("p"))
+    gaps = with_previous(rows, ["trail_id"]).withColumn("gap", F.col("raised_us") - F.col("_before")).groupBy("trail_id").agg(F.percentile("gap", F.lit(percent / 100)).alias("p"))
     limited = F.greatest(F.lit(float(floor_us)), F.least(F.lit(float(ceiling_us)), F.col("p") * factor))
     return gaps.select("trail_id", F.coalesce(limited, F.lit(float(base_us))).alias("gap_us"))
 
 
 def sessions(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     """rows with session (from 0 in each trail): a new one begins after a gap larger than the trail's."""
-    order = Window.partitionBy("trail_id").orderBy("raised_us", "alarm_id")
-    joined = rows.join(gaps, "trail_id")
-    begins = F.when(F.col("raised_us") - F.lag("raised_us").over(order) > F.col("gap_us"), 1).otherwise(0)
-    return joined.withColumn("_new", begins).withColumn("session", F.sum("_new").over(order)).drop("_new", "gap_us")
+    joined = with_previous(rows, ["trail_id"]).join(gaps, "trail_id")
+    begins = F.when(F.col("raised_us") - F.col("_before") > F.col("gap_us"), 1).otherwise(0)
+    return running_total(joined.withColumn("_new", begins), ["trail_id"], "_new", "session").drop("_new", "gap_us", "_before", "_stretch")
 
 
 def frequent_sequences(rows: DataFrame, support: float = SUPPORT, longest: int = LONGEST, most: int = MOST) -> DataFrame:
