@@ -14,7 +14,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = U64(pow(int(BASE), -1, 1 << 64))
-SLICE_BYTES = 2 << 20
+#: One less than a power of two: ``Powers`` keeps a power for each place of a slice, in sizes of powers of two.
+SLICE_BYTES = (1 << 20) - 1
 
 #: \x20\x09-\x0D separate words.
 SPACE = np.zeros(256, bool)
