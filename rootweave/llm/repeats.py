@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.llm import arrays as A
-from rootweave.llm.session import spread_join
 
 #: Anchors that a task sorts at once.
 HELD = 1 << 20
@@ -219,11 +218,14 @@ def cut(symbols: Callable, take: Callable, width: int, hot: int) -> Callable[[It
 
 
 def repeated_windows(pieces: DataFrame, same_text: bool) -> DataFrame:
-    """Of pieces (stored) that are single windows: those that an earlier text, or place of the same text, holds."""
-    windows = pieces.where("body is null").select(F.struct("h", "c").alias("window"), "doc_id", "lo")
-    place = F.struct("doc_id", "lo") if same_text else F.col("doc_id")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return spread_join(windows, firsts, "window", "n").where(place > F.col("first")).select("doc_id", "lo", F.lit(1).alias("n"))
+    """Of pieces (stored) that are single windows: those that an earlier text, or place of the same text, holds.
+
+    These are all but the first of each window. The anti-join is dealt by window and place, which no two texts share.
+    """
+    windows = pieces.where("body is null").select("h", "c", "doc_id", "lo")
+    place = ["doc_id", "lo"] if same_text else ["doc_id"]
+    firsts = windows.groupBy("h", "c").agg(F.min(F.struct(*place)).alias("first")).select("h", "c", "first.*")
+    return windows.join(firsts, ["h", "c", *place], "left_anti").select("doc_id", "lo", F.lit(1).alias("n"))
 
 
 def blocks(compare: Callable[[pa.Table, int], pa.RecordBatch], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
