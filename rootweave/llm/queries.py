@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rootweave.llm import chat
+from rootweave.llm import chat, secret_scan
 from rootweave.llm.decontaminate import find_contamination
 from rootweave.llm.fingerprint_index import dedupe_windows
 from rootweave.llm.licenses import scan_licenses
@@ -61,6 +61,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_sentencepiece,
         op10_suffix_array_dedup,
+        op13_secret_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL, "op13_secret_scan": secret_scan.SQL}
