@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rootweave.llm import chat, prefix_trie, secret_scan
+from rootweave.llm import chat, collocations, prefix_trie, secret_scan
 from rootweave.llm.decontaminate import find_contamination
 from rootweave.llm.fingerprint_index import dedupe_windows
 from rootweave.llm.licenses import scan_licenses
@@ -61,6 +61,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_substrings(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turn_sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(turns))
@@ -83,8 +87,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_sentencepiece,
         op10_suffix_array_dedup,
+        op11_collocations,
         op12_prefix_trie,
         op13_secret_scan,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_secret_scan": secret_scan.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat_formatting": chat.SQL, "op11_collocations": collocations.SQL, "op12_prefix_trie": prefix_trie.SQL, "op13_secret_scan": secret_scan.SQL}
