@@ -1,7 +1,7 @@
 """Pattern mining: adaptive sessions for each trail, and frequent ordered sequences by pattern growth.
 
-A pattern grows by one token where a session holds that token after the pattern's earliest end. Only patterns frequent
-in their trail grow on, so that the work follows what is frequent; all trails grow at once, and no session is collected.
+A pattern grows by one token where a session holds that token after the pattern's earliest end. Only patterns that are
+among the most supported of their trail so far grow on; all trails grow at once.
 """
 
 from __future__ import annotations
@@ -59,42 +59,74 @@ def sessions(rows: DataFrame, gaps: DataFrame) -> DataFrame:
     return running_total(joined.withColumn("_new", begins), ["trail_id"], "_new", "session").drop("_new", "gap_us", "_before", "_stretch")
 
 
+def next_places(rows: DataFrame) -> DataFrame:
+    """trail_id, session and places: for each token an array whose n-th entry is the first place of the token after place n.
+
+    Places count from 1 in the order of (raised_us, alarm_id). A session is one row: an integer for each token and alarm.
+    """
+    order = Window.partitionBy("trail_id", "session").orderBy("raised_us", "alarm_id")
+    placed = rows.select("trail_id", "session", F.row_number().over(order).alias("place"), F.col("alarm_type").alias("token"))
+    before = F.lag("place", 1, 0).over(Window.partitionBy("trail_id", "session", "token").orderBy("place"))
+    steps = placed.withColumn("step", F.struct("place", (F.col("place") - before).alias("width")))
+    # up to a place, it is the next one: as often as places passed since the one before
+    after = F.flatten(F.transform(F.array_sort(F.collect_list("step")), lambda s: F.array_repeat(s["place"], s["width"])))
+    return steps.groupBy("trail_id", "session", "token").agg(after.alias("after")).groupBy("trail_id", "session").agg(F.map_from_entries(F.collect_list(F.struct("token", "after"))).alias("places"))
+
+
+#: Trails whose prefixes (``most`` at most, of one row) may go to all tasks.
+FEW_TRAILS = 500
+
+
 def frequent_sequences(rows: DataFrame, support: float = SUPPORT, longest: int = LONGEST, most: int = MOST) -> DataFrame:
-    """trail_id, sequence, freq, support, confidence and lift of the frequent sequences of each trail.
+    """trail_id, sequence, freq, support, confidence and lift of the most supported sequences of each trail.
 
     rows: trail_id, session, raised_us, alarm_id, alarm_type. support is a share of the trail's sessions, confidence the
     share of those with the sequence but for its last token, lift confidence by that token's support; a single token has
-    its support as confidence and lift 1. ``most`` keeps a trail's most supported sequences (ties in their order).
+    its support as confidence and lift 1. Of a trail's sequences with at least ``support``, the first ``most`` stay: by
+    freq, falling, then by their tokens in order.
+
+    What grows from a sequence has no more support, and is greater token by token, so that it always stands behind it. A
+    sequence behind the first ``most`` of those found so far therefore never grows: a level has ``most`` prefixes a trail,
+    however alike the sessions are.
     """
-    place = Window.partitionBy("trail_id", "session").orderBy("raised_us", "alarm_id")
-    tokens = settle(rows.select("trail_id", "session", F.row_number().over(place).alias("place"), F.col("alarm_type").alias("token")), "tokens")
-    totals = tokens.groupBy("trail_id").agg(F.countDistinct("session").alias("sessions"))
-    # growth takes the first place of a token after the pattern's end: a row for each token of a session, not for each alarm
-    places = settle(tokens.groupBy("trail_id", "session", "token").agg(F.array_sort(F.collect_list("place")).alias("places")), "places")
-    held = tokens.select("trail_id", "session", F.array().cast("array<string>").alias("prefix"), F.lit(0).alias("end")).distinct()
-    found = None
+    start = F.array(F.lit(0)).alias("ends")  # the earliest end of each prefix of the level in this session, null if it has none
+    held = settle(next_places(rows).select("trail_id", "session", "places", start), "held")
+    totals = held.groupBy("trail_id").agg(F.count("*").alias("sessions"))
+    found = single = None
+    prefixes = totals.select("trail_id", F.lit(0).alias("at"), F.array().cast("array<string>").alias("prefix"))
     for length in range(1, longest + 1):
-        after = F.array_min(F.filter("places", lambda p: p > F.col("end")))
-        grown = held.join(places, ["trail_id", "session"]).select("trail_id", "session", "prefix", "token", after.alias("next")).where("next is not null").withColumnRenamed("next", "end")
-        counts = grown.groupBy("trail_id", "prefix", "token").agg(F.count("*").alias("freq")).join(totals, "trail_id").where(F.col("freq") >= support * F.col("sessions"))
-        counts = settle(counts, "frequent")
-        if counts.isEmpty():
+        reached = held.select("trail_id", "places", F.posexplode("ends").alias("at", "end")).where("end is not null")
+        grown = reached.select("trail_id", "at", "end", F.explode("places").alias("token", "after")).where(F.get("after", F.col("end")).isNotNull())
+        counts = grown.groupBy("trail_id", "at", "token").agg(F.count("*").alias("freq")).join(totals, "trail_id").where(F.col("freq") >= support * F.col("sessions"))
+        level = counts.join(prefixes, ["trail_id", "at"]).select("trail_id", F.concat("prefix", F.array("token")).alias("sequence"), "prefix", "token", "freq", "sessions", F.lit(length).alias("length"))
+        level = settle(level, "level")
+        if level.isEmpty():
+            break
+        if single is None:
+            single = level.select("trail_id", "token", F.col("freq").alias("alone"))
+        rank = F.row_number().over(Window.partitionBy("trail_id").orderBy(F.desc("freq"), "sequence"))
+        every = level if found is None else found.unionByName(level)
+        found = settle(every.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank"), "found")
+        if length == longest:
+            break
+        old = prefixes.select("trail_id", "prefix", F.col("at").alias("from"))
+        fresh = found.where(F.col("length") == length).withColumn("at", F.row_number().over(Window.partitionBy("trail_id").orderBy("sequence")) - 1)
+        fresh = settle(fresh.join(old, ["trail_id", "prefix"]).select("trail_id", "at", "from", "token", F.col("sequence").alias("prefix")), "prefixes")
+        steps = fresh.groupBy("trail_id").agg(F.array_sort(F.collect_list(F.struct("at", "from", "token"))).alias("steps"))
+        steps = settle(steps, "steps")
+        if steps.isEmpty():
             break
-        level = counts.withColumn("length", F.lit(length))
-        found = level if found is None else found.unionByName(level)
-        if length < longest:
-            grown = grown.join(counts.select("trail_id", "prefix", "token"), ["trail_id", "prefix", "token"], "left_semi")
-            held = settle(grown.select("trail_id", "session", F.concat("prefix", F.array("token")).alias("prefix"), "end"), "held")
+        steps = F.broadcast(steps) if steps.count() <= FEW_TRAILS else steps
+        ends = F.transform("steps", lambda s: F.get(F.element_at(F.col("places"), s["token"]), F.get(F.col("ends"), s["from"])))
+        held = settle(held.join(steps, "trail_id").select("trail_id", "session", "places", ends.alias("ends")), "held")
+        prefixes = fresh.select("trail_id", "at", "prefix")
     if found is None:
         return rows.sparkSession.createDataFrame([], "trail_id string, sequence array<string>, freq long, support double, confidence double, lift double")
-    every = found.select("trail_id", F.concat("prefix", F.array("token")).alias("sequence"), "prefix", "token", "freq", "sessions", "length")
-    shorter = every.select("trail_id", F.col("sequence").alias("prefix"), F.col("freq").alias("before"))
-    single = every.where("length = 1").select("trail_id", "token", F.col("freq").alias("alone"))
-    joined = every.join(shorter, ["trail_id", "prefix"], "left").join(single, ["trail_id", "token"])
+    shorter = found.select("trail_id", F.col("sequence").alias("prefix"), F.col("freq").alias("before"))
+    joined = found.join(shorter, ["trail_id", "prefix"], "left").join(single, ["trail_id", "token"])
     confidence = F.col("freq") / F.coalesce("before", "sessions")
-    scored = joined.select("trail_id", "sequence", "freq", (F.col("freq") / F.col("sessions")).alias("support"), confidence.alias("confidence"), F.when(F.col("length") == 1, 1.0).otherwise(confidence / (F.col("alone") / F.col("sessions"))).alias("lift"))
-    rank = F.row_number().over(Window.partitionBy("trail_id").orderBy(F.desc("freq"), "sequence"))
-    return scored.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+    lift = F.when(F.col("length") == 1, 1.0).otherwise(confidence / (F.col("alone") / F.col("sessions")))
+    return joined.select("trail_id", "sequence", "freq", (F.col("freq") / F.col("sessions")).alias("support"), confidence.alias("confidence"), lift.alias("lift"))
 
 
 def timing(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -162,7 +162,7 @@ def session_sequences(spark: SparkSession, d: str) -> DataFrame:
     return sessions(spark, d).groupBy("trail_id", "session").agg(order.alias("s"), F.count("*").alias("alarms")).select("trail_id", "session", F.array_join(F.col("s.alarm_type"), " ").alias("sequence"), "alarms")
 
 
-SUPPORT, LONGEST = 0.3, 10
+SUPPORT, LONGEST, MOST = 0.3, 10, 1000
 
 
 def sequences_sql() -> str:
@@ -184,6 +184,7 @@ def sequences_sql() -> str:
   SELECT e.trail_id, e.sequence, e.f AS freq, e.f / e.n AS support, e.f / coalesce(b.f, e.n) AS confidence,
     CASE WHEN e.prefix = '' THEN 1.0 ELSE e.f / b.f / (o.f / e.n) END AS lift
   FROM every e LEFT JOIN every b ON b.trail_id = e.trail_id AND b.sequence = e.prefix LEFT JOIN f1 o ON o.trail_id = e.trail_id AND o.sequence = e.t
+  QUALIFY row_number() OVER (PARTITION BY e.trail_id ORDER BY e.f DESC, e.sequence) <= {MOST}
 ) """
 
 
@@ -191,7 +192,7 @@ MINED = SESSIONS + sequences_sql()
 
 
 def mined_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return mining.frequent_sequences(sessions(spark, d), SUPPORT, LONGEST)
+    return mining.frequent_sequences(sessions(spark, d), SUPPORT, LONGEST, MOST)
 
 
 @query(MINED + "SELECT trail_id, sequence, freq, round(support, 9) AS support, round(confidence, 9) AS confidence, round(lift, 9) AS lift FROM mined")

@@ -3,6 +3,8 @@
 import hashlib
 import uuid
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,6 +213,35 @@ def test_frequent_sequences(spark):
     assert got == {"a": (3, 0.75, 1.0), "b": (4, 1.0, 1.0), "c": (3, 0.75, 1.0), "ab": (3, 1.0, 1.0), "ac": (3, 1.0, 1.333333), "bc": (2, 0.5, 0.666667), "abc": (2, 0.666667, 0.888889)}
 
 
+def plain_sequences(sessions, support, longest, most):
+    """All sequences of a trail up to ``longest`` that enough sessions hold, then the first ``most``."""
+    tokens, out, level = sorted({t for s in sessions for t in s}), {}, [()]
+    for _ in range(longest):
+        grown = {}
+        for seq in (p + (t,) for p in level for t in tokens):
+            held = 0
+            for s in sessions:
+                rest = iter(s)
+                held += all(t in rest for t in seq)
+            if held and held >= support * len(sessions):
+                grown[seq] = held
+        out |= grown
+        level = list(grown)
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))[:most]
+
+
+@pytest.mark.parametrize("most", [3, 40, 100_000])
+def test_frequent_sequences_where_the_cap_binds(spark, most):
+    r = random.Random(most)
+    sessions = {(t, s): [r.choice("abc") for _ in range(r.randint(1, 14))] for t in range(3) for s in range(9)}
+    sessions |= {(3, s): list("abcab" * 3) for s in range(4)}  # all alike: every sequence has the same support
+    rows = [(f"T{t}", s, i // 2, f"{s}-{i:03}", x) for (t, s), xs in sessions.items() for i, x in enumerate(xs)]
+    found = mining.frequent_sequences(spark.createDataFrame(rows, "trail_id string, session int, raised_us int, alarm_id string, alarm_type string"), 0.4, 5, most).collect()
+    for t in range(4):
+        expected = plain_sequences([x for (u, _), x in sessions.items() if u == t], 0.4, 5, most)
+        assert sorted((-x.freq, tuple(x.sequence)) for x in found if x.trail_id == f"T{t}") == sorted((-f, s) for s, f in expected)
+
+
 def test_tables(spark):
     rows = spark.createDataFrame([("d", "s1", 1, "t1"), ("d", "s2", 2, "t2"), ("d", "s3", 3, "t3")], "domain string, snapshot string, built_at int, trail_id string")
     assert {r.trail_id for r in rules.retained(rows, 2).collect()} == {"t2", "t3"}
