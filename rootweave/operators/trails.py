@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import trail_id
+from rootweave.operators.components import components
 from rootweave.session import settle
 
 GROUP = "SRLG"
@@ -35,17 +36,8 @@ def areas_of(vertices: DataFrame, ties: DataFrame) -> DataFrame:
 
 def components_by(ties: DataFrame, nodes: DataFrame) -> DataFrame:
     """area, id and root (the smallest id) of the components that (area, a, b) form among (area, id)."""
-    label = settle(nodes.select("area", "id", F.col("id").alias("root")), "labels")
-    ties = settle(ties, "ties")
-    while True:
-        near = ties.join(label.select("area", F.col("id").alias("b"), "root"), ["area", "b"]).groupBy("area", F.col("a").alias("id")).agg(F.min("root").alias("least"))
-        lower = label.join(near, ["area", "id"], "left").select("area", "id", "root", F.least("root", F.coalesce("least", "root")).alias("least"))
-        # a label is itself a node: follow it once more
-        jump = lower.select("area", F.col("id").alias("least"), F.col("least").alias("far"))
-        new = settle(lower.join(jump, ["area", "least"]).select("area", "id", "root", F.col("far").alias("next")), "labels")
-        label = new.select("area", "id", F.col("next").alias("root"))
-        if new.where("root <> next").isEmpty():
-            return label
+    linked = components(ties.select("area", "a", "b"), ["area"]).withColumnRenamed("node", "id")
+    return settle(nodes.select("area", "id").join(linked, ["area", "id"], "left").select("area", "id", F.coalesce("root", "id").alias("root")), "labels")
 
 
 def trails(vertices: DataFrame, edges: DataFrame, relations: list[str], domain: str, snapshot: str, groups: DataFrame | None = None) -> DataFrame:

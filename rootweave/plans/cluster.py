@@ -2,16 +2,16 @@
 
 On one axis, time, density clusters need no pairs: a range window counts neighbours, core points chain while gaps stay
 within eps, and a border point joins the earliest cluster with a core point within eps. With further features the same
-definition runs over each bounded group in numpy.
+definition holds between cells of equal features, each with the time that the difference of the features leaves.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootweave.operators.components import components
+from rootweave.session import settle
 from rootweave.sources.adapters import SECOND
 
 EPS_US, FEWEST, WINDOW_US = SECOND // 2, 3, 60 * SECOND
@@ -47,32 +47,72 @@ def clustered(rows: DataFrame, eps_us: int = EPS_US, fewest: int = FEWEST, alike
     return started.withColumn("cluster", F.when(F.col("cluster").isNotNull(), number - 1)).drop("_start")
 
 
-def clustered_by_features(rows: DataFrame, features: list[str], eps: float, fewest: int, scale_us: int, schema: str) -> DataFrame:
-    """Density clusters over time / scale plus 1 for each differing feature, within trail and window (bounded groups)."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["raised_us", "alarm_id"], ignore_index=True)
-        at = group["raised_us"].to_numpy() / scale_us
-        apart = np.abs(at[:, None] - at)
-        for f in features:
-            codes = group[f].astype("category").cat.codes.to_numpy()
-            apart = apart + (codes[:, None] != codes)
-        near = apart <= eps
-        core = near.sum(1) >= fewest
-        label = np.full(len(group), -1)
-        for start in range(len(group)):
-            if not core[start] or label[start] >= 0:
-                continue
-            name = label.max() + 1
-            front = np.zeros(len(group), bool)
-            front[start] = True
-            while front.any():
-                label[front] = name
-                front = near[front & core].any(0) & (label < 0) if (front & core).any() else np.zeros(len(group), bool)
-        group["cluster"] = pd.array(np.where(label < 0, None, label), dtype="Int64")
-        return group
-
-    return rows.groupBy("trail_id", "window_us").applyInPandas(one, schema)
+def clustered_by_features(rows: DataFrame, kinds: dict[str, float], eps: float, fewest: int, scale_us: int, numbers: dict[str, float] | None = None) -> DataFrame:
+    """Adds cluster (from 0 within trail and window; null for noise): density clusters over time and further features.
+
+    A distance is time apart / ``scale_us``, plus a weight for each of ``kinds`` (layer, event type, severity) that
+    differs, plus weight * difference for each of ``numbers`` (hop distance). Points within ``eps`` are neighbours; a
+    point with ``fewest``, itself included, is a core point. Clusters are numbered by their first core point in the order
+    of (raised_us, alarm_id); a border point joins the first cluster that has a core point near it. Null is a kind, and
+    differs from every number by more than any distance but from null by nothing.
+
+    No pairs of points are made. Rows with equal features form a cell; two cells that are within eps leave some time in
+    which their points are neighbours. Counts within that time are differences of running counts; chains of core points of
+    one cell, and the nearest core points of other cells before and after a point, give the links of which clusters are
+    components. Work grows with the rows times the cells near them, so with the features' values, not with pairs of rows.
+    """
+    numbers = numbers or {}
+    group, features = ["trail_id", "window_us"], [*kinds, *numbers]
+    rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", F.struct(*features)), "rows")
+    cells = rows.select(*group, "_cell").distinct()
+    other = cells.select(*group, F.col("_cell").alias("_near"))
+    apart = F.lit(0.0)
+    for f, weight in kinds.items():
+        apart = apart + F.when(F.col(f"_cell.{f}").eqNullSafe(F.col(f"_near.{f}")), 0.0).otherwise(float(weight))
+    for f, weight in numbers.items():
+        x, y = F.col(f"_cell.{f}"), F.col(f"_near.{f}")
+        apart = apart + F.when(x.isNull() & y.isNull(), 0.0).otherwise(F.coalesce(F.abs(x - y) * float(weight), F.lit(float("inf"))))
+    # how far apart in time points of the two cells may be
+    reach = cells.join(other, group).withColumn("_apart", apart).where(F.col("_apart") <= eps).select(*group, "_cell", "_near", F.floor((F.lit(float(eps)) - F.col("_apart")) * scale_us).cast("long").alias("_reach"))
+    points = rows.select(*group, "_row", F.col("raised_us").alias("at"), "alarm_id", "_cell")
+    probes = settle(points.join(reach, [*group, "_cell"]).select(*group, "_row", "at", "_near", "_reach"), "probes")
+
+    # neighbours: points up to the end of the reach, less points before its beginning
+    place = Window.partitionBy(*group, "_near").orderBy("_at", "_turn")
+    stand = points.select(*group, F.lit(None).cast("long").alias("_row"), F.col("_cell").alias("_near"), F.col("at").alias("_at"), F.lit(1).alias("_turn"))
+    begin = probes.select(*group, "_row", "_near", (F.col("at") - F.col("_reach")).alias("_at"), F.lit(0).alias("_turn"))
+    end = probes.select(*group, "_row", "_near", (F.col("at") + F.col("_reach")).alias("_at"), F.lit(2).alias("_turn"))
+    so_far = F.count(F.when(F.col("_turn") == 1, 1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    counted = stand.unionByName(begin).unionByName(end).withColumn("_n", so_far).where("_row is not null")
+    near = counted.groupBy("_row").agg(F.sum(F.when(F.col("_turn") == 2, F.col("_n")).otherwise(-F.col("_n"))).alias("_n"))
+    core = settle(points.join(near.where(F.col("_n") >= fewest).select("_row"), "_row"), "core")
+
+    # chains: core points of one cell with no gap beyond eps; a chain is named by its first row
+    line = Window.partitionBy(*group, "_cell").orderBy("at", "_row")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(line) > int(eps * scale_us), F.lit(True))
+    core = core.withColumn("_fresh", F.when(fresh, F.col("_row"))).withColumn("chain", F.last("_fresh", ignorenulls=True).over(line)).drop("_fresh")
+    core = settle(core, "chains")
+
+    # the nearest core points of each near cell, before and after
+    sides = []
+    ask = probes.select(*group, "_row", "_near", "at", "_reach", F.lit(None).cast("long").alias("chain"))
+    have = core.select(*group, F.lit(None).cast("long").alias("_row"), F.col("_cell").alias("_near"), "at", F.lit(None).cast("long").alias("_reach"), "chain")
+    for direction in (F.asc, F.desc):
+        seen = Window.partitionBy(*group, "_near").orderBy(direction("at"), F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        found = F.last(F.when(F.col("chain").isNotNull(), F.struct("at", "chain")), ignorenulls=True).over(seen)
+        both = have.unionByName(ask).withColumn("_core", found).where("_row is not null and _core is not null")
+        sides.append(both.where(F.abs(F.col("_core.at") - F.col("at")) <= F.col("_reach")).select(*group, "_row", F.col("_core.chain").alias("chain")))
+    touching = settle(sides[0].unionByName(sides[1]).distinct(), "touching")
+    own = core.select("_row", F.col("chain").alias("_own"))
+    links = touching.join(own, "_row").where("_own <> chain").select(*group, F.col("_own").alias("a"), F.col("chain").alias("b")).distinct()
+    roots = components(links, group).select(F.col("node").alias("chain"), "root")
+    whole = core.join(roots, "chain", "left").withColumn("root", F.coalesce("root", "chain"))
+    first = whole.groupBy(*group, "root").agg(F.min(F.struct("at", "alarm_id")).alias("first"))
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("first", "root")) - 1
+    numbered = whole.select("chain", "root").distinct().join(first.withColumn("cluster", number), "root").select("chain", "cluster")
+    found = touching.select("_row", "chain").unionByName(core.select("_row", "chain")).join(numbered, "chain").groupBy("_row").agg(F.min("cluster").alias("cluster"))
+    # a core point touches only its own cluster, so that the first one is its own
+    return rows.join(found, "_row", "left").drop("_row", "_cell")
 
 
 def run_stats(rows: DataFrame) -> DataFrame:

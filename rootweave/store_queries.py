@@ -376,6 +376,24 @@ def feature_clusters(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("trail_id", "window_us", "alarm_id", F.col("cluster").cast("int").alias("cluster"))
 
 
+@query(
+    f"""RECURSIVE , fanned AS (SELECT alarm_id, alarm_type, severity, CAST(moid[7:] AS BIGINT) % 4 AS hops, raised_us, unnest(trail_ids) AS trail_id, raised_us - raised_us % {WINDOW_US} AS window_us FROM alarms
+), near AS (SELECT trail_id, window_us, a.alarm_id AS x, b.alarm_id AS y FROM fanned a JOIN fanned b USING (trail_id, window_us)
+  WHERE abs(a.raised_us - b.raised_us) / {EPS_US} + CASE WHEN a.alarm_type <> b.alarm_type THEN 1 ELSE 0 END + CASE WHEN a.severity <> b.severity THEN 0.75 ELSE 0 END + 0.25 * abs(a.hops - b.hops) <= 1.5
+), core AS (SELECT trail_id, window_us, x FROM near GROUP BY ALL HAVING count(*) >= {FEWEST}
+), links AS (SELECT n.* FROM near n SEMI JOIN core c ON c.trail_id = n.trail_id AND c.window_us = n.window_us AND c.x = n.x SEMI JOIN core d ON d.trail_id = n.trail_id AND d.window_us = n.window_us AND d.x = n.y
+), walked AS (SELECT trail_id, window_us, x, x AS y FROM core UNION SELECT w.trail_id, w.window_us, w.x, l.y FROM walked w JOIN links l ON l.trail_id = w.trail_id AND l.window_us = w.window_us AND l.x = w.y
+), firsts AS (SELECT w.trail_id, w.window_us, w.x, min(row(raised_us, y)) AS f FROM walked w JOIN fanned a ON a.trail_id = w.trail_id AND a.window_us = w.window_us AND a.alarm_id = w.y GROUP BY ALL
+), numbered AS (SELECT *, dense_rank() OVER (PARTITION BY trail_id, window_us ORDER BY f) - 1 AS n FROM firsts
+), joined AS (SELECT m.trail_id, m.window_us, m.x, min(n) AS n FROM near m JOIN numbered k ON k.trail_id = m.trail_id AND k.window_us = m.window_us AND k.x = m.y GROUP BY ALL)
+SELECT trail_id, window_us, alarm_id, CAST(n AS INTEGER) AS cluster FROM (SELECT *, alarm_id AS x FROM fanned) LEFT JOIN joined USING (trail_id, window_us, x)"""
+)
+def mixed_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = cluster.windowed(alarms(spark, d), WINDOW_US).withColumn("hops", F.substring("moid", 7, 20).cast("long") % 4)
+    found = cluster.clustered_by_features(rows, {"alarm_type": 1.0, "severity": 0.75}, 1.5, FEWEST, EPS_US, {"hops": 0.25})
+    return found.select("trail_id", "window_us", "alarm_id", F.col("cluster").cast("int").alias("cluster"))
+
+
 @query(
     """, pulled AS (SELECT c.id AS seed, list_sort(list_distinct(list_concat([c.id], coalesce(list(e.dst) FILTER (e.dst IS NOT NULL), [])))) AS own FROM vertices c LEFT JOIN edges e ON e.src = c.id AND e.relation = 'HOSTS' WHERE c.object_type = 'Customer' GROUP BY c.id
 ), sets AS (SELECT CASE WHEN list_contains(own, 'Customer:1') OR list_contains(own, 'Supplier:1') THEN list_sort(list_distinct(list_concat(own, ['Customer:1', 'Supplier:1', 'SRLG:g']))) ELSE own END AS members FROM pulled

@@ -1,9 +1,8 @@
 """Operators against worked examples and brute force."""
 
 import hashlib
-import uuid
-
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from rootweave import queries
 from rootweave.functions import ids
 from rootweave.operators import codebook, graph, rules, tables, trails, validate
+from rootweave.operators.components import components
 from rootweave.plans import cluster, correlate, enrich, generate, govern, kpi, mining
 from rootweave.plans.correlate import Instance
 from rootweave.sources import files, wire
@@ -190,7 +190,7 @@ def test_density_forms_agree(spark):
     rows = [("T", 0, f"a{i}", t, "x") for i, t in enumerate([0, 1, 2, 3, 50, 51, 52, 54, 80, 100, 102, 103])]
     frame = spark.createDataFrame([(t, w, a, u * SECOND, k) for t, w, a, u, k in rows], "trail_id string, window_us long, alarm_id string, raised_us long, kind string")
     by_time = {r.alarm_id: r.cluster for r in cluster.clustered(frame, 2 * SECOND, 3).collect()}
-    general = cluster.clustered_by_features(frame, ["kind"], 2.0, 3, SECOND, "trail_id string, window_us long, alarm_id string, raised_us long, kind string, cluster long")
+    general = cluster.clustered_by_features(frame, {"kind": 1.0}, 2.0, 3, SECOND)
     assert by_time == {r.alarm_id: r.cluster for r in general.collect()}
     assert by_time["a8"] is None and len(set(by_time.values()) - {None}) == 3
 
@@ -242,6 +242,58 @@ def test_frequent_sequences_where_the_cap_binds(spark, most):
         assert sorted((-x.freq, tuple(x.sequence)) for x in found if x.trail_id == f"T{t}") == sorted((-f, s) for s, f in expected)
 
 
+def plain_clusters(rows, eps, fewest, scale, kinds, numbers):
+    """Every pair of a group, components of its core points, border points to the first."""
+
+    def apart(x, y):
+        d = abs(x["raised_us"] - y["raised_us"]) / scale + sum(w for f, w in kinds.items() if x[f] != y[f])
+        for f, w in numbers.items():
+            d += w * abs(x[f] - y[f]) if None not in (x[f], y[f]) else (0 if x[f] is y[f] else 1e9)
+        return d
+
+    out = {}
+    for group in {(r["trail_id"], r["window_us"]) for r in rows}:
+        some = sorted((r for r in rows if (r["trail_id"], r["window_us"]) == group), key=lambda r: (r["raised_us"], r["alarm_id"]))
+        near = [[j for j, y in enumerate(some) if apart(x, y) <= eps] for x in some]
+        label, n = {}, 0
+        for i in range(len(some)):
+            if len(near[i]) >= fewest and i not in label:
+                front = [i]
+                label[i] = n
+                while front:
+                    front = [j for k in front for j in near[k] if len(near[j]) >= fewest and label.setdefault(j, None) is None and not label.update({j: n})]
+                n += 1
+        for i, x in enumerate(some):
+            found = [label[j] for j in near[i] if j in label]
+            out[(*group, x["alarm_id"])] = label[i] if i in label else min(found, default=None)
+    return out
+
+
+@pytest.mark.parametrize(("eps", "fewest", "numbers"), [(1.5, 3, {}), (2.0, 4, {"hops": 0.5}), (0.5, 2, {"hops": 0.25}), (3.5, 5, {"hops": 1.0})])
+def test_clusters_over_mixed_features(spark, eps, fewest, numbers):
+    r = random.Random(int(eps * 10))
+    rows = []
+    for i in range(420):
+        at = r.randrange(0, 60, 2) * SECOND // 4 if i % 3 else r.randrange(60 * SECOND)
+        rows.append({"trail_id": r.choice("AAB"), "window_us": r.choice([0, 60]), "alarm_id": f"{i:04}", "raised_us": at, "kind": r.choice(["x", "y", None]), "layer": r.choice(["l1", "l2"]), "hops": r.choice([0, 1, 2, 5, None])})
+    kinds = {"kind": 1.0, "layer": 0.75}
+    frame = spark.createDataFrame([tuple(x.values()) for x in rows], "trail_id string, window_us long, alarm_id string, raised_us long, kind string, layer string, hops int")
+    found = cluster.clustered_by_features(frame, kinds, eps, fewest, SECOND, numbers).collect()
+    assert {(x.trail_id, x.window_us, x.alarm_id): x.cluster for x in found} == plain_clusters(rows, eps, fewest, SECOND, kinds, numbers)
+    assert len(found) == 420
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = spark.range(1000).selectExpr("'c' s", "format_string('n%05d', id) a", "format_string('n%05d', id + 1) b")
+    back = spark.range(300).selectExpr("'c' s", "format_string('m%05d', 999 - id) a", "format_string('m%05d', 998 - id) b")
+    star = spark.range(100_000).selectExpr("'d' s", "'hub' a", "concat('leaf', id) b")
+    same = spark.createDataFrame([("e", "n00001", "n00000"), ("e", "x", "x"), ("f", "a", "b"), ("f", "b", "a")], "s string, a string, b string")
+    found = components(chain.union(back).union(star).union(same), ["s"])
+    got = found.groupBy("s", "root").count().collect()
+    assert {tuple(x) for x in got} == {("c", "n00000", 1001), ("c", "m00699", 301), ("d", "hub", 100_001), ("e", "n00000", 2), ("f", "a", 2)}
+    assert components(same.limit(0), ["s"]).collect() == []
+
+
 def test_tables(spark):
     rows = spark.createDataFrame([("d", "s1", 1, "t1"), ("d", "s2", 2, "t2"), ("d", "s3", 3, "t3")], "domain string, snapshot string, built_at int, trail_id string")
     assert {r.trail_id for r in rules.retained(rows, 2).collect()} == {"t2", "t3"}
