@@ -228,6 +228,19 @@ def repeated_windows(pieces: DataFrame, same_text: bool) -> DataFrame:
     return windows.join(firsts, ["h", "c", *place], "left_anti").select("doc_id", "lo", F.lit(1).alias("n"))
 
 
+def repeated_places(pieces: DataFrame) -> DataFrame:
+    """doc_id and runs: as ``repeated_windows`` with ``same_text``, gathered by text.
+
+    The first place of each window belongs to one text. A text's windows and the places that it owns meet as two lists, one
+    row for each text, however many texts share its windows.
+    """
+    windows = pieces.where("body is null")
+    owned = windows.groupBy("h", "c").agg(F.min(F.struct("doc_id", "lo")).alias("first")).groupBy("first.doc_id").agg(F.collect_list("first.lo").alias("own"))
+    every = windows.groupBy("doc_id").agg(F.collect_set("lo").alias("all"))
+    later = F.array_except("all", F.coalesce("own", F.array().cast("array<int>")))
+    return every.join(owned, "doc_id", "left").select("doc_id", F.transform(later, lambda x: F.struct(x.alias("lo"), F.lit(1).alias("n"))).alias("runs"))
+
+
 def blocks(compare: Callable[[pa.Table, int], pa.RecordBatch], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow over pieces with symbols sorted by h: blocks of whole groups through ``compare``."""
 

@@ -171,6 +171,6 @@ def dedupe_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, hot
     wanted = found.where("seen = 0").groupBy("doc_id").agg(F.collect_list(F.struct("h", "lo", "n", "rel", "rivals")).alias("items"))
     pieces = stored(named.join(wanted, "doc_id").mapInArrow(R.cut(R.byte_symbols, R.take_bytes, width, hot), R.PIECE), "pieces")
     partial = pieces.where("body is not null").repartition("h").sortWithinPartitions("h").mapInArrow(R.blocks(later_windows, width), R.INTERVAL)
-    single = R.repeated_windows(pieces, True)
-    runs = R.per_document(found.where("seen = 1").select("doc_id", "lo", "n").unionByName(partial).unionByName(single))
+    runs = R.per_document(found.where("seen = 1").select("doc_id", "lo", "n").unionByName(partial)).unionByName(R.repeated_places(pieces))
+    runs = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     return named.join(runs, "doc_id", "left").unionByName(nameless).mapInArrow(remove(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
