@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import incident_id
+from rootweave.plans.enrich import deduped
 from rootweave.plans.mining import running_total, with_previous
 
 TOLERANCE, MISSING, SPURIOUS, FLOOR = 1, 1.0, 2.0, 0.5
@@ -92,7 +93,7 @@ def relevant(alarms: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def correlate(alarms: DataFrame, patterns: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Events of all instances: kind 'in-progress', 'incident' or 'reverted' with trail, pattern, time and alarms."""
-    rows = relevant(alarms.dropDuplicates(["alarm_id"]), patterns)
+    rows = relevant(deduped(alarms), patterns)
     pause = F.when(F.col("raised_us") - F.col("_before") > F.col("window_us"), 1).otherwise(0)
     rows = with_previous(rows, ["trail_id", "pattern_id"]).withColumn("pause", pause)
     rows = running_total(rows, ["trail_id", "pattern_id"], "pause", "piece").drop("pause", "_before", "_stretch")

@@ -90,11 +90,37 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, n, t.endswith(".dlq")) for t, n in TOPICS.items()], "topic string, partitions int, is_dlq boolean")
 
 
+def murmur2(text: Column) -> Column:
+    """The unsigned 32-bit hash by which producers deal keys to partitions (public MurmurHash2, seed 0x9747b28c), of the UTF-8 bytes.
+
+    Products of two 32-bit numbers fit into a long, as the multiplier has 31 bits.
+    """
+    data = F.hex(text.cast("binary"))
+    size = F.length(data) / 2
+    whole = F.floor(size / 4).cast("int")
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    times = lambda x: low(x * F.lit(0x5BD1E995))
+    byte = lambda i: F.conv(F.substring(data, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    begin = low(F.lit(0x9747B28C).bitwiseXOR(size.cast("long")))
+
+    def mixed(h: Column, i: Column) -> Column:
+        k = times(F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0).cast("long"), lambda s, j: s + byte(4 * i + j) * F.pow(F.lit(256), j).cast("long")))
+        return times(h).bitwiseXOR(times(k.bitwiseXOR(F.shiftrightunsigned(k, 24))))
+
+    chunks = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
+    h = F.aggregate(chunks, begin, mixed)
+    rest = F.when(size.cast("int") > 4 * whole, F.sequence(F.lit(0), size.cast("int") - 4 * whole - 1)).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(rest, F.lit(0).cast("long"), lambda s, j: s + byte(4 * whole + j) * F.pow(F.lit(256), j).cast("long"))
+    h = F.when(F.size(rest) > 0, times(h.bitwiseXOR(tail))).otherwise(h)
+    h = times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)))
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 15))
+
+
 def keyed(events: DataFrame, topic: Column, key: Column) -> DataFrame:
-    """events with topic, key (text) and the partition that the key is dealt to; an unknown topic has none."""
+    """events with topic, key (text) and the partition that a producer deals the key to; an unknown topic has none."""
     sizes = catalogue(events.sparkSession).select("topic", "partitions")
     rows = events.withColumn("topic", topic).withColumn("key", key.cast("string"))
-    return rows.join(sizes, "topic", "left").withColumn("partition", F.pmod(F.xxhash64("key"), F.col("partitions").cast("long")).cast("int")).drop("partitions")
+    return rows.join(sizes, "topic", "left").withColumn("partition", (murmur2(F.col("key")).bitwiseAND(F.lit(0x7FFFFFFF)) % F.col("partitions")).cast("int")).drop("partitions")
 
 
 def replay(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Streaming forms: enrichment, run statistics, correlation with state, live alarm state."""
+"""Streaming forms: run statistics, correlation with state, rejects; ``ordered`` has enrichment, ``state`` live alarm state."""
 
 from __future__ import annotations
 

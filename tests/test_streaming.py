@@ -1,11 +1,15 @@
 """Streams of recorded files give what the batch forms give."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
-from rootweave.plans import correlate
+from rootweave.plans import alarms as alarm_plans
+from rootweave.plans import correlate, enrich
 from rootweave.queries import patterns
 from rootweave.sources import adapters, wire
-from rootweave.streaming import live
+from rootweave.streaming import live, ordered, state
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,3 +56,98 @@ def test_rejects_are_split(spark, tmp_path):
     decoded = wire.decode(wire.replay(spark, str(tmp_path / "in"), "value string"))
     live.split_rejects(decoded, str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "good")).count() == spark.read.parquet(str(tmp_path / "bad")).count() == 1
+
+
+SECOND = 1_000_000
+ALARM = "alarm_id string, moid string, alarm_type string, state string, raised_us long, trail_ids array<string>"
+
+
+def shuffled(spark, rows, schema, path, files=6, seed=1):
+    """Rows in files in any order, then a last one long after all others, so that the watermark passes them."""
+    r = random.Random(seed)
+    rows = list(rows)
+    r.shuffle(rows)
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], schema).coalesce(1).write.mode("append").parquet(str(path))
+    end = [("end", "end", "x", "raised", 10**15, [])]
+    for i in range(2):
+        spark.createDataFrame([(f"end{i}", *end[0][1:4], 10**15 + i * 10**14, []) + (None,) * (len(schema.split(", ")) - 6)], schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.createDataFrame(rows, schema), live.timed(wire.replay(spark, str(path), schema, 1), "5000 days")
+
+
+def flaps(seed, n=300):
+    r = random.Random(seed)
+    return [(f"a{i:04}", f"N:{r.randrange(6)}", r.choice("xy"), r.choice(["raised", "raised", "cleared"]), r.randrange(400) * SECOND // 2, [] if i % 2 else ["T"]) for i in range(n)]
+
+
+def test_hold_down_and_flapping_equal_batch(spark, tmp_path):
+    live.use_state_store(spark)
+    batch, stream = shuffled(spark, flaps(3), ALARM, tmp_path / "a")
+    key = lambda f: sorted((r.alarm_id, r.moid, r.state, r.raised_us, tuple(r.trail_ids)) for r in f.where("moid <> 'end'").collect())
+    expected = key(enrich.without_self_clears(batch, 3 * SECOND))
+    assert key(run(ordered.without_self_clears(stream, 3 * SECOND), "held")) == expected and 0 < len(expected) < 300
+    expected = key(enrich.without_flapping(batch, 20 * SECOND, 4))
+    assert key(run(ordered.without_flapping(stream, 20 * SECOND, 4), "damped")) == expected and 0 < len(expected) < 300
+
+
+def test_first_deliveries_equal_batch(spark, tmp_path):
+    """Repeated deliveries of one alarm differ; poison goes aside with its reason."""
+    live.use_state_store(spark)
+    rows = [(*x, None) for x in flaps(4, 80)]
+    r = random.Random(9)
+    rows += [(a, r.choice([m, "N:9", None]), t, s, at + r.choice([0, 0, 5, -5]), p, None) for a, m, t, s, at, p, _ in r.sample(rows, 50)]
+    rows += [("bad", None, None, None, 5, None, "not an alarm")] * 2
+    batch, stream = shuffled(spark, rows, f"{ALARM}, reject_reason string", tmp_path / "d")
+    found = run(ordered.first_deliveries(stream.withColumn("state", F.coalesce("state", F.lit("raised")))), "first").where("coalesce(moid, '') <> 'end'").collect()
+    best = enrich.deduped(batch.where("reject_reason is null"))
+    assert sorted((x.alarm_id, x.raised_us, x.moid or "", x.state) for x in found if x.outcome == "kept") == sorted((x.alarm_id, x.raised_us, x.moid or "", x.state) for x in best.collect())
+    assert sum(x.outcome == "duplicate" for x in found) == 50 and sum(x.outcome == "not an alarm" for x in found) == 2
+
+
+class Killed(state.LiveTable):
+    """Dies once, after the state is written and before the manifest is."""
+
+    left = 1
+
+    def commit(self, manifest, number):
+        if number == 3 and self.left:
+            self.left -= 1
+            raise RuntimeError("killed")
+        super().commit(manifest, number)
+
+
+def test_live_state_after_a_restart_equals_batch(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(f"a{r.randrange(60)}", "N:1", r.choice("xy"), r.choice(["raised", "cleared"]), r.randrange(1000), []) for _ in range(200)]  # raises and clears of one alarm
+    events = [(f"e{r.randrange(90)}", f"a{r.randrange(70)}", r.choice(["in-progress", "correlated", "reverted-open"]), r.randrange(1000)) for _ in range(90)]
+    events = list({e[0]: e for e in events}.values())
+    events += r.sample(events, 20)  # delivered again
+    kind = "event_id string, alarm_id string, new_status string, changed_us long"
+    for i in range(6):
+        spark.createDataFrame(rows[i::6], ALARM).coalesce(1).write.mode("append").parquet(str(tmp_path / "alarms"))
+        spark.createDataFrame(events[i::6], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+    table = Killed(spark, str(tmp_path / "live"), 4)
+
+    def once():
+        changes = state.changes_of(wire.replay(spark, str(tmp_path / "alarms"), ALARM, 1), wire.replay(spark, str(tmp_path / "events"), kind, 1))
+        state.follow(changes, table, str(tmp_path / "cp")).awaitTermination(240)
+
+    with pytest.raises(Exception, match="killed"):
+        once()
+    halfway = table.manifest()
+    assert set(halfway.values()) <= {0, 1, 2}
+    once()
+    alarms, changes = spark.createDataFrame(rows, ALARM), spark.createDataFrame(events, kind).distinct()
+    every = changes.unionByName(alarm_plans.clears(alarms).distinct())
+    opened = alarm_plans.opened_once(alarms)
+    key = lambda f: sorted(map(tuple, f.collect()))
+    assert key(table.lifecycle()) == key(alarm_plans.lifecycle(opened, every.join(opened.select("alarm_id"), "alarm_id", "left_semi").select(every.columns)))
+    assert key(table.transitions().select("alarm_id", F.array_join("statuses", ","))) == key(alarm_plans.transitions(every).select("alarm_id", F.array_join("statuses", ",")))
+    assert key(table.published().select("alarm_id")) == key(opened.select("alarm_id"))  # each once, though one batch ran twice
+
+
+def test_keys_go_where_producers_send_them(spark):
+    """Known values of the hash, signed."""
+    known = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "a-little-bit-longer-string": -1486304829, "lkjh234lh9fiuh90y23oiuhsafujhadof229phr9h19h89h8": -58897971, "abc": 479470107}
+    found = spark.createDataFrame([(k,) for k in known], "k string").select("k", wire.murmur2(F.col("k")).alias("h")).collect()
+    assert {x.k: x.h for x in found} == {k: h % 2**32 for k, h in known.items()}
