@@ -6,14 +6,21 @@ pattern, one a round, with the instance's state in its columns.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.operators import rules, tables
 from rootweave.plans import alarms as live
 from rootweave.plans import correlate, enrich, kpi, shapes
-from rootweave.queries import AUDIT, CLUSTERS, HOUR, SCENARIOS, all_changes, clusters, patterns, query
+from rootweave.queries import AUDIT, CLUSTERS, HOUR, ORACLE_SQL, SCENARIOS, all_changes, clusters, patterns, query
+from rootweave.session import shared_dir
+from rootweave.sources import wire
 from rootweave.sources.adapters import SECOND, alarms
+from rootweave.streaming import live as live_streams
+from rootweave.streaming import ordered, state
 
 #: The patterns of ``patterns``: two for each of twelve trails.
 PATTERNS = f""", patterns AS (
@@ -422,3 +429,67 @@ def shaped_alarms(spark: SparkSession, d: str) -> DataFrame:
     token = F.expr("case alarm_type when 'error' then 'LOS' when 'view' then 'LineCardFault' when 'click' then 'QueueDrop' else alarm_type end")
     rows = shapes.shaped(alarms(spark, d).withColumn("alarm_type", token))
     return rows.groupBy(F.col("alarm_type").alias("token"), "event_type", "probable_cause", "perceived_severity").agg(F.count("*").alias("alarms"))
+
+
+SHARED_IDS = """, shared AS (SELECT * REPLACE (concat('ALM-', moid) AS alarm_id) FROM alarms
+), opened AS (SELECT alarm_id, min(raised_us) AS raised_us FROM shared WHERE state = 'raised' GROUP BY alarm_id
+), cleared AS (SELECT DISTINCT alarm_id, raised_us, concat('clear/', alarm_id, '/', raised_us) AS event_id FROM shared WHERE state = 'cleared'
+), newest AS (SELECT alarm_id, count(*) AS c, max(raised_us) AS cleared_us FROM cleared GROUP BY alarm_id) """
+
+
+@query(SHARED_IDS + """SELECT alarm_id, CASE WHEN c IS NULL THEN 'open' ELSE 'cleared' END AS status, coalesce(cleared_us, raised_us) AS since_us, coalesce(c, 0) AS n_changes, 1 AS published
+  FROM opened LEFT JOIN newest USING (alarm_id)""")
+def live_state(spark: SparkSession, d: str) -> DataFrame:
+    """An object's alarms as one alarm: raises and clears of it, merged in three batches, the second of them twice."""
+    rows = alarms(spark, d).withColumn("alarm_id", F.concat(F.lit("ALM-"), "moid"))
+    none = spark.createDataFrame([], "event_id string, alarm_id string, new_status string, changed_us long")
+    live_table = state.LiveTable(spark, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}")
+    part = F.pmod(F.xxhash64("raised_us"), F.lit(3))
+    for number, k in enumerate((0, 1, 1, 2)):
+        live_table.merge(state.changes_of(rows.where(part == k), none), number - (number > 1))
+    published = live_table.published().groupBy("alarm_id").agg(F.count("*").alias("published"))
+    return live_table.lifecycle().join(published, "alarm_id", "left")
+
+
+def streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows as a stream of files in no order, through a step; what comes out, without the rows that end the stream."""
+    folder = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    last = rows.agg(F.max("raised_us")).first()[0]
+    rows.repartition(3, "alarm_id").write.parquet(f"{folder}/in")
+    for k in (1, 2):  # long after all others: only then has the watermark passed them
+        rows.limit(1).withColumn("moid", F.lit("end")).withColumn("raised_us", F.lit(last + k * 2 * 10**14)).write.mode("append").parquet(f"{folder}/in")
+    live_streams.use_state_store(spark)
+    stream = live_streams.timed(wire.replay(spark, f"{folder}/in", rows.schema, 1), "2000 days")
+    sink = step(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out").where("moid <> 'end'")
+
+
+@query()
+def streamed_self_clears(spark: SparkSession, d: str) -> DataFrame:
+    rows = alarms(spark, d).withColumn("state", F.when(F.col("alarm_type") == "error", "cleared").otherwise("raised")).withColumn("alarm_type", F.lit("any"))
+    return streamed(spark, rows, lambda s: ordered.without_self_clears(s, 4 * HOUR)).select("alarm_id", "state")
+
+
+@query()
+def streamed_flapping(spark: SparkSession, d: str) -> DataFrame:
+    return streamed(spark, alarms(spark, d), lambda s: ordered.without_flapping(s, 48 * HOUR, 1)).select("alarm_id")
+
+
+# the streams give what the batch forms give
+ORACLE_SQL |= {"streamed_self_clears": ORACLE_SQL["without_self_clears"], "streamed_flapping": ORACLE_SQL["without_flapping"]}
+
+# the hash by which producers deal keys, four bytes at a time; moids are ASCII
+WORD = "list_sum(list_transform(range(0, 4), lambda j: b[4 * i + j + 1] * (256 ** j)::BIGINT))::BIGINT"
+TIMES = lambda x: f"(({x} * 1540483477::BIGINT) & 4294967295)"
+
+
+@query(f""", keys AS (SELECT moid, list_transform(string_split(moid, ''), lambda c: ascii(c)::BIGINT) AS b, length(moid) AS n, count(*) AS events FROM alarms GROUP BY moid
+), body AS (SELECT *, list_reduce(list_prepend(xor(2538058380::BIGINT, n::BIGINT), list_transform(range(0, n // 4), lambda i: {TIMES(WORD)})),
+    lambda h, k: xor({TIMES("h")}, {TIMES("xor(k, k >> 24)")})) AS h, list_sum(list_transform(range(0, n % 4), lambda j: b[(n - n % 4) + j + 1] * (256 ** j)::BIGINT))::BIGINT AS tail FROM keys
+), hashed AS (SELECT *, CASE WHEN n % 4 > 0 THEN {TIMES("xor(h, tail)")} ELSE h END AS g FROM body
+), last AS (SELECT *, {TIMES("xor(g, g >> 13)")} AS f FROM hashed)
+SELECT moid, CAST((xor(f, f >> 15) & 2147483647) % 3 AS INTEGER) AS partition, events FROM last""")
+def key_partitions(spark: SparkSession, d: str) -> DataFrame:
+    rows = wire.keyed(alarms(spark, d), F.lit("alarms.live"), F.col("moid"))
+    return rows.groupBy("moid", "partition").agg(F.count("*").alias("events"))
