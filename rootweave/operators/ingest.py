@@ -89,21 +89,33 @@ def words(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return missing.select("key", F.col("term").alias("place"), F.concat(F.col("kind"), F.lit("-in-vocabulary")).alias("rule"))
 
 
-def ingest(raw: DataFrame, vocabulary: DataFrame, at: Column, change: str = "full", trace: str = "trace") -> dict[str, DataFrame]:
-    """vertices, edges, pointers, events and rejects of snapshot texts (key, value).
-
-    A snapshot without an id of its own gets one from its key. pointers: domain, snapshot and built_at of what is current
-    from now on; events: the topology.changed payloads; rejects: key, place and rule of the first step that fails.
-    """
+def checked(raw: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Snapshot texts (key, value) that no step refuses, and rejects: key, place and rule of the first step that fails."""
     bad = structure(raw)
     shaped = raw.join(bad.select("key").distinct(), "key", "left_anti")
     worse = meaning(shaped)
     sound = shaped.join(worse.select("key").distinct(), "key", "left_anti")
     foreign = words(sound, vocabulary)
-    taken = sound.join(foreign.select("key").distinct(), "key", "left_anti")
+    return sound.join(foreign.select("key").distinct(), "key", "left_anti"), bad.unionByName(worse).unionByName(foreign)
+
+
+def lifted(taken: DataFrame, at: Column, change: str = "full", trace: str = "trace") -> dict[str, DataFrame]:
+    """vertices, edges, snapshots, pointers and events of checked texts, as for ``ingest``."""
     snapshots = parsed(taken).select("key", "s.*").withColumn("snapshotId", F.coalesce("snapshotId", F.concat(F.lit("SNAP-"), F.substring(F.sha2("key", 256), 1, 12))))
     vertices, edges = lift(snapshots)
     pointers = snapshots.groupBy("domain").agg(F.max(F.struct(at.alias("built_at"), F.col("snapshotId").alias("snapshot"))).alias("p")).select("domain", "p.snapshot", "p.built_at")
     sizes = [F.size("nodes").alias("nodes"), F.size("edges").alias("edges")]
     events = snapshots.select(F.col("snapshotId").alias("snapshotId"), F.lit(change).alias("changeType"), *sizes, F.lit(trace).alias("traceId"))
-    return {"vertices": vertices, "edges": edges, "pointers": pointers, "events": events, "rejects": bad.unionByName(worse).unionByName(foreign)}
+    heads = snapshots.select("domain", F.col("snapshotId").alias("snapshot"), at.cast("long").alias("built_at"), *sizes)
+    heads = heads.groupBy("domain", "snapshot").agg(F.max(F.struct("built_at", "nodes", "edges")).alias("h")).select("domain", "snapshot", "h.*")
+    return {"vertices": vertices, "edges": edges, "snapshots": heads, "pointers": pointers, "events": events}
+
+
+def ingest(raw: DataFrame, vocabulary: DataFrame, at: Column, change: str = "full", trace: str = "trace") -> dict[str, DataFrame]:
+    """vertices, edges, snapshots, pointers, events and rejects of snapshot texts (key, value).
+
+    A snapshot without an id of its own gets one from its key. pointers: domain, snapshot and built_at of what is current
+    from now on; events: the topology.changed payloads; rejects: key, place and rule of the first step that fails.
+    """
+    taken, rejects = checked(raw, vocabulary)
+    return {**lifted(taken, at, change, trace), "rejects": rejects}

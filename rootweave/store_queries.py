@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rootweave.functions import ids
-from rootweave.operators import codebook, graph, ingest, records, rules, tables, trails, validate
+from rootweave.operators import codebook, commit, graph, ingest, records, rules, tables, trails, validate
 from rootweave.plans import cluster, enrich, generate, govern, kpi, layers, mining
 from rootweave.session import shared_dir
 from rootweave.queries import BUILT, CLUSTERS, EPS_US, FEWEST, HOUR, MINED, SESSIONS, VERSIONS, WINDOW_US, built, clusters, mined_sequences, query, sessions, templates, versions
@@ -104,11 +104,13 @@ def snapshot_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.concat(F.lit("f"), "c_custkey").alias("key"), F.coalesce(odd, whole).alias("value"))
 
 
-def onboarded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def snapshot_words(spark: SparkSession) -> DataFrame:
     words = [(f"d{i}", k, t) for i in range(3) for k, t in (("objectType", "Nation"), ("objectType", "Customer"), ("objectType", "Client"), ("relation", "HOSTED_ON"))]
-    vocabulary = spark.createDataFrame(words, "domain string, kind string, term string")
-    at = F.substring("snapshotId", 2, 20).try_cast("long")
-    return ingest.ingest(snapshot_texts(spark, d), vocabulary, at)
+    return spark.createDataFrame(words, "domain string, kind string, term string")
+
+
+def onboarded(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    return ingest.ingest(snapshot_texts(spark, d), snapshot_words(spark), F.substring("snapshotId", 2, 20).try_cast("long"))
 
 
 @query(RULES.replace("SELECT concat('f', k)", ", broken AS (SELECT concat('f', k)", 1) + ") SELECT * FROM broken")
@@ -134,6 +136,42 @@ def ingested_events(spark: SparkSession, d: str) -> DataFrame:
     return onboarded(spark, d)["events"]
 
 
+class Halfway(commit.SnapshotStore):
+    """Fails before its first commit of a second ingest."""
+
+    failed = False
+
+    def publish(self, kept: DataFrame, number: int) -> None:
+        if number and not self.failed:
+            self.failed = True
+            raise InterruptedError("between the data and the manifest")
+        super().publish(kept, number)
+
+
+@query(
+    SOUND
+    + """, kept AS (SELECT *, CAST(k % 2 AS BIGINT) AS version, row_number() OVER (PARTITION BY domain ORDER BY k DESC) AS age FROM sound QUALIFY age <= 3
+), events AS (SELECT count(*) AS n FROM (SELECT k, row_number() OVER (PARTITION BY domain, k % 2 ORDER BY k DESC) AS a, row_number() OVER (PARTITION BY domain ORDER BY k DESC) AS b, k % 2 AS v FROM sound) WHERE CASE v WHEN 0 THEN a <= 3 ELSE b <= 3 END)
+SELECT domain, concat('S', k) AS snapshot, k AS built_at, version, age = 1 AS current, CASE WHEN age = 1 THEN 2 ELSE 0 END AS vertices, events.n AS events FROM kept, events"""
+)
+def committed_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Two ingests: customers with even numbers; the odd ones, which fail half-way and are repeated; then the first again."""
+    store, texts = Halfway(spark, f"{files_folder(spark)}/commits", 3), snapshot_texts(spark, d)
+    odd = F.substring("key", 2, 20).cast("long") % 2 == 1
+    built = F.substring("snapshotId", 2, 20).try_cast("long")
+    store.commit(texts.where(~odd), snapshot_words(spark), built)
+    for _ in range(2):
+        try:
+            store.commit(texts.where(odd), snapshot_words(spark), built)
+        except InterruptedError:
+            continue
+    store.commit(texts.where(~odd).join(store.manifest().select(F.concat(F.lit("f"), F.substring("snapshot", 2, 20)).alias("key")), "key", "left_semi"), snapshot_words(spark), built)
+    held = store.graph("vertices", "domain string, snapshot string, id string").groupBy("domain", "snapshot").agg(F.count("*").alias("vertices"))
+    events = store.events().agg(F.count("*").alias("events"))
+    rows = store.manifest().join(held, ["domain", "snapshot"], "left").na.fill(0, ["vertices"]).join(events, F.lit(True))
+    return rows.select("domain", "snapshot", "built_at", "version", "current", F.col("vertices").cast("int").alias("vertices"), "events")
+
+
 @query(SOUND + "SELECT domain, concat('S', k) AS snapshot, concat('Nation:', n) AS src, concat('Customer:', k) AS dst, 'HOSTED_ON' AS relation FROM sound WHERE k % 2 = 1")
 def stored_graph(spark: SparkSession, d: str) -> DataFrame:
     """Written by domain and snapshot, snapshots with even numbers deleted again."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rootweave import queries
 from rootweave.functions import ids
-from rootweave.operators import codebook, graph, rules, tables, trails, validate
+from rootweave.operators import codebook, commit, graph, rules, tables, trails, validate
 from rootweave.operators.components import components
 from rootweave.plans import cluster, correlate, enrich, generate, govern, kpi, mining
 from rootweave.plans.correlate import Instance
@@ -320,3 +320,29 @@ def test_generator_is_deterministic_and_its_roots_come_first(spark):
     assert all(r.root_alarm_type == "FiberFault" and len(r.children) == 1 for r in truth)
     with pytest.raises(ValueError):
         generate.settings(nodes=5)
+
+
+def test_snapshots_count_from_their_commit_on(spark, tmp_path):
+    class Fails(commit.SnapshotStore):
+        def publish(self, kept, number):
+            raise InterruptedError
+
+    text = '{"schemaVersion":1,"snapshotId":"%s","domain":"d","nodes":[{"managedObjectId":"Node:%s","objectType":"Node"}],"edges":[]}'
+    texts = lambda *names: spark.createDataFrame([(n, text % (n, n)) for n in names], "key string, value string")
+    words = spark.createDataFrame([("d", "objectType", "Node")], "domain string, kind string, term string")
+    at = F.substring("snapshotId", 2, 9).cast("long")
+    store = commit.SnapshotStore(spark, str(tmp_path), 2)
+    held = lambda: (sorted((r.snapshot, r.version, r.current) for r in store.manifest().collect()), [r.id for r in store.graph("vertices", "domain string, snapshot string, id string").collect()], sorted(r.snapshotId for r in store.events().collect()))
+    assert held() == ([], [], [])
+    assert [r.rule for r in store.commit(texts("S5").unionByName(spark.createDataFrame([("x", "{")], "key string, value string")), words, at).collect()] == ["json"]
+    first = held()
+    assert first == ([("S5", 0, True)], ["Node:S5"], ["S5"])
+    with pytest.raises(InterruptedError):
+        Fails(spark, str(tmp_path), 2).commit(texts("S9"), words, at)
+    assert held() == first
+    store.commit(texts("S5"), words, at)  # known already
+    assert held() == first and store.newest() == 0
+    store.commit(texts("S3"), words, at)  # built before the current one
+    assert held() == ([("S3", 1, False), ("S5", 0, True)], ["Node:S5"], ["S3", "S5"])
+    store.commit(texts("S9"), words, at)
+    assert held() == ([("S5", 0, False), ("S9", 2, True)], ["Node:S9"], ["S3", "S5", "S9"])  # S3 is evicted, its event stays
