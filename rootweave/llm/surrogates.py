@@ -55,16 +55,25 @@ TYPES = {
     "email": EMAIL,
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": IP,
+    "ipv6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[0-9]{0,3})(?![0-9.-]?[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9])|(?<![0-9][ .-]|[0-9])[0-9]{3} [0-9]{3} [0-9]{4}(?![ .-]?[0-9])",
 }
 #: Characters one of which an entity of each type begins with, so that most places of a text are passed over at once.
-BEGINS = {"secret": "[aAtTsSpP]", "iban": "[A-Z]{2}[0-9]", **dict.fromkeys(("ip", "ssn", "card", "phone"), "[0-9+(]")}
-NAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
+BEGINS = {"secret": "[aAtTsSpP]", "ipv6": "[0-9A-Fa-f]{1,4}:", "iban": "[A-Z]{2}[0-9]", **dict.fromkeys(("ip", "ssn", "card", "phone"), "[0-9+(]")}
+NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
+PARTICLES = "al bin da de del della den der di dos du el la le ten ter van von y zu"
+#: A further part of a name, with what may stand before it.
+PART = rf"(?: (?:{'|'.join(PARTICLES.split())})){{0,3}} {NAME}"
+#: Places and institutions begin with these; before a verb of speech they are no first names.
+NO_NAMES = "Associated Bank Black Blue British Central City Court East Federal General Grand Great Green High Los National New North Red Royal Saint San Santa South State Supreme The This That United Universal University West White"
 TITLE = rf"(?:{'|'.join(sorted(' '.join(TITLES.values()).split()))})\.?"
 MARK, ESCAPE = "﷐", "﷑"  # noncharacters; texts that hold them are escaped meanwhile
-KEY = "rootweave-demo-key"
+#: The key's setting. The value that stands here is public: with it, formats can be turned back by anybody.
+SETTING, KEY = "spark.rootweave.surrogates.key", "rootweave-demo-key"
+#: Letters beyond a to z that are moved within their own alphabet; others stay.
+ALPHABETS = ("àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω")
 #: How often a surrogate is drawn before a format counts as exhausted.
 DRAWS = 6
 FEISTEL = 4
@@ -73,7 +82,11 @@ FEISTEL = 4
 def name_pattern() -> str:
     listed = {n for names in FIRST_NAMES.values() for n in names.split()}
     firsts = "|".join(sorted(listed | {n.upper() for n in listed}))
-    return rf"(?=\p{{Lu}})\b(?:{TITLE}(?: {TITLE})? {NAME}(?: {NAME})?|(?:{firsts}) {NAME}|(?<=\b(?i:{LEADS})\s{{1,3}}){NAME} {NAME}|{NAME} {NAME}(?= (?:{FOLLOWS})\b))"
+    places = "|".join(NO_NAMES.split())
+    return (
+        rf"(?=\p{{Lu}})\b(?:{TITLE}(?: {TITLE})? {NAME}(?:{PART}){{0,3}}|(?:{firsts})(?:-{NAME})?(?:{PART}){{1,3}}"
+        rf"|(?<=\b(?i:{LEADS})\s{{1,3}}){NAME}(?:{PART}){{1,3}}|(?!(?:{places})\b){NAME} {NAME}(?= (?:{FOLLOWS})\b))"
+    )
 
 
 def entity_pattern(emails: bool = True) -> str:
@@ -101,7 +114,7 @@ def gender_of(entity: Column) -> Column:
     """f or m by title, else by the list of first names; null if neither tells."""
     titled = {g: rf"^(?:{TITLE} )?(?:{'|'.join(TITLES[g].split())})\b" for g in "fm"}
     listed = {g: [n for (x, _), names in FIRST_NAMES.items() if x == g for n in names.split()] for g in "fm"}
-    first = F.initcap(F.substring_index(bare_name(entity), " ", 1))
+    first = F.initcap(F.substring_index(F.substring_index(bare_name(entity), " ", 1), "-", 1))
     return F.when(first.isin(listed["f"]), "f").when(first.isin(listed["m"]), "m").when(entity.rlike(titled["f"]), "f").when(entity.rlike(titled["m"]), "m")
 
 
@@ -135,7 +148,11 @@ def shifted(text: Column, stream: Column, letters: Column) -> Column:
         digit, letter = c.rlike("[0-9]"), c.rlike("[a-z]")
         b = byte_at(stream, i)
         moved = F.chr(97 + F.pmod(F.ascii(c) - 97 + b, letters))
-        return F.when(digit, F.pmod(F.ascii(c) - 48 + b, F.lit(10)).cast("string")).when(letter, moved).when(c.rlike(r"\p{L}"), F.chr(97 + b % 26)).otherwise(c)
+        own = c
+        for alphabet in ALPHABETS:
+            at = F.instr(F.lit(alphabet), c)
+            own = F.when(at > 0, F.substr(F.lit(alphabet), F.pmod(at - 1 + b, F.lit(len(alphabet))) + 1, F.lit(1))).otherwise(own)
+        return F.when(digit, F.pmod(F.ascii(c) - 48 + b, F.lit(10)).cast("string")).when(letter, moved).when(c < "\x80", c).otherwise(own)
 
     return F.array_join(F.transform(F.split(text, ""), other), "")
 
@@ -195,7 +212,7 @@ def drawn(kind: Column, canon: Column, gender: Column, script: Column, draw: int
     """A candidate for a canonical entity: same type, length and kinds of characters; for a part of a name same gender and script."""
     tweak = (kind, F.lit(str(draw)))
     plain = permuted(canon, F.lit(26), key, *tweak)
-    secret = permuted(canon, F.when(canon.rlike("^[0-9a-f]+$"), 6).otherwise(26), key, *tweak)
+    secret = permuted(canon, F.when((kind == "ipv6") | canon.rlike("^[0-9a-f]+$"), 6).otherwise(26), key, *tweak)
     top = F.concat(F.lit("."), F.substring_index(canon, ".", -1))
     email = F.concat(permuted(F.substr(canon, F.lit(1), F.length(canon) - F.length(top)), F.lit(26), key, *tweak), top)
     iban = F.concat(F.substring(canon, 1, 2), permuted(F.substr(canon, F.lit(3)), F.lit(26), key, *tweak))
@@ -205,7 +222,7 @@ def drawn(kind: Column, canon: Column, gender: Column, script: Column, draw: int
         .when(kind == "ip", permuted_ip(canon, key, *tweak))
         .when(kind == "card", permuted_card(canon, key, *tweak))
         .when(kind == "email", email)
-        .when(kind == "secret", secret)
+        .when(kind.isin("secret", "ipv6"), secret)
         .when(kind == "iban", iban)
         .otherwise(plain)
     )
@@ -294,14 +311,17 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
             return done
 
 
-def replace_entities(docs: DataFrame, key: str = KEY, carry: Sequence[str] = ()) -> DataFrame:
+def replace_entities(docs: DataFrame, key: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
     """Texts with every detected entity replaced by its surrogate.
 
     Returns one row for each row of ``docs``: doc_id, text, n_entities (places replaced) and the columns named in
     ``carry``; others are left out, so that they can't clash. Equal entities get equal surrogates all over the corpus,
-    different ones of a type different ones; a first or family name is replaced alike wherever it is part of a name. A
+    different ones of a type different ones; a first or family name is replaced alike wherever it is part of a name (of a
+    name of more parts the first is the first name; all others but particles are family names). ``key`` is that of the
+    session's setting spark.rootweave.surrogates.key where none is given. A
     null text stays null, an empty one empty; doc_id may be null or repeat, and rows may. An empty table has no rows.
     """
+    key = key or docs.sparkSession.conf.get(SETTING, KEY)
     carried = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
     plain = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), carried.alias("carried"))
     escaped = F.col("text").contains(MARK) | F.col("text").contains(ESCAPE)
@@ -319,19 +339,21 @@ def replace_entities(docs: DataFrame, key: str = KEY, carry: Sequence[str] = ())
     formed = spelled.where("kind <> 'name'").withColumn("canon", canonical(kind, entity))
     bare = bare_name(entity)
     people = spelled.where("kind = 'name'").select("entity", F.substr(entity, F.lit(1), F.length(entity) - F.length(bare)).alias("title"), bare.alias("bare"), gender_of(entity).alias("gender"), script_of(entity).alias("script"))
-    people = people.withColumn("first", F.when(F.instr("bare", " ") > 0, F.substring_index("bare", " ", 1))).withColumn("family", F.substring_index("bare", " ", -1))
+    particle = F.col("part").isin(PARTICLES.split())
+    role = F.when(particle, "particle").when((F.col("at") == 0) & F.col("bare").contains(" "), "first").otherwise("family")
+    people = people.select("entity", "title", "bare", "gender", "script", F.posexplode(F.split("bare", " ")).alias("at", "part")).withColumn("role", role)
     none = F.lit(None).cast("string")
     entities = formed.select("kind", "canon", none.alias("gender"), none.alias("script"))
-    for part in ("first", "family"):
-        entities = entities.unionByName(people.where(F.col(part).isNotNull()).select(F.lit(part).alias("kind"), F.lower(part).alias("canon"), "gender", "script"))
+    entities = entities.unionByName(people.where("role <> 'particle'").select(F.col("role").alias("kind"), F.lower("part").alias("canon"), "gender", "script"))
     entities = entities.groupBy("kind", "canon").agg(F.coalesce(F.min("gender"), F.lit("u")).alias("gender"), F.min("script").alias("script"))
     table = surrogate_table(stored(entities, "parts"), key).select("kind", "canon", "surrogate")
 
     replaced = formed.join(table, ["kind", "canon"]).select("entity", dressed(kind, entity, F.col("surrogate")).alias("surrogate"))
-    new = {p: table.where(F.col("kind") == p).select(F.col("canon").alias(f"{p}_canon"), F.col("surrogate").alias(f"{p}_new")) for p in ("first", "family")}
-    named = people.join(new["family"], F.lower("family") == F.col("family_canon")).join(new["first"], F.lower("first") == F.col("first_canon"), "left")
-    whole = F.concat_ws(" ", capitalised(F.col("first"), F.col("first_new")), capitalised(F.col("family"), F.col("family_new")))
-    replaced = stored(replaced.unionByName(named.select("entity", F.concat("title", whole).alias("surrogate"))), "surrogates")
+    parts_new = table.where("kind in ('first', 'family')").select(F.col("kind").alias("role"), F.col("canon").alias("low"), F.col("surrogate").alias("new"))
+    named = people.withColumn("low", F.lower("part")).join(parts_new, ["role", "low"], "left")
+    part = F.struct("at", F.coalesce(capitalised(F.col("part"), F.col("new")), "part").alias("new"))
+    named = named.groupBy("entity", "title").agg(F.array_join(F.array_sort(F.collect_list(part))["new"], " ").alias("whole"))
+    replaced = stored(replaced.unionByName(named.select("entity", F.concat("title", "whole").alias("surrogate"))), "surrogates")
 
     listed = spread_join(stored(found, "found"), replaced, "entity").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate"))).alias("new"))
     joined = F.array_join(F.transform("parts", lambda x, i: F.when(i % 2 == 1, F.get(F.col("new.surrogate"), ((i - 1) / 2).cast("int"))).otherwise(x)), "")
@@ -344,7 +366,7 @@ def with_repeats(parts: Column) -> Column:
     """Marked parts (every second one an entity) in which names found once are also entities where they are repeated."""
 
     def again(p: Column) -> Column:
-        names = F.filter(p, lambda x, i: (i % 2 == 1) & x.rlike(r"^[\p{L}. -]+$"))
+        names = F.filter(p, lambda x, i: (i % 2 == 1) & x.rlike(r"^[\p{L}.'’ -]+$"))
         bare = F.array_distinct(F.transform(names, bare_name))
         family = F.filter(F.transform(bare, lambda x: F.substring_index(x, " ", -1)), lambda x: F.length(x) > 2)
         # whole names before their family names, also in capitals

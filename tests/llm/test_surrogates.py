@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from rootweave.llm.surrogates import entity_pattern, replace_entities
+from rootweave.llm.surrogates import ALPHABETS, entity_pattern, replace_entities
 
 from . import corpus
 
@@ -105,3 +105,46 @@ def test_very_long_texts_and_prose(spark):
     assert got[1].n_entities == 1 and got[1].text.startswith(prose) and "jo@mail" not in got[1].text
     assert got[2].text == rows[2][1] and got[3].text == rows[3][1]
     assert spark.range(1).select(F.lit("Ann met him").rlike(entity_pattern())).first()[0] is False
+
+
+def test_names_of_many_parts_other_alphabets_and_addresses(spark):
+    texts = [
+        "Mary Jane Watson left. Mrs Watson wrote; Mary-Jane Watson too.",
+        "Dr Ludwig van der Berg and Mr Berg",
+        "my name is Juan de la Cruz Ortega and",
+        "Sam O'Brien, then O'Brien again",
+        "New York said no, Red Cross wrote and United Nations replied",
+        "mail josé.müller@web.example.com or иван@пример.example.com",
+        "call 555 123 4567 or 2001:db8:0:0:8:800:200c:417a or fe80::1:2ab at 12:30:45, 1 234 567 8901",
+    ]
+    got = {x.doc_id: x.text for x in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    a = re.fullmatch(r"(\S+) (\S+) (\S+) left\. Mrs (\S+) wrote; (\S+) (\S+) too\.", got[0]).groups()
+    assert a[2] == a[3] == a[5] and "Watson" not in got[0] and "Jane" not in got[0] and "Mary" not in got[0]
+    b = re.fullmatch(r"Dr (\S+) van der (\S+) and Mr (\S+)", got[1]).groups()
+    assert b[1] == b[2] != "Berg" and b[0] != "Ludwig"
+    c = re.fullmatch(r"my name is (\S+) de la (\S+) (\S+) and", got[2]).groups()
+    assert not {"Juan", "Cruz", "Ortega"} & set(c)
+    assert "Brien" not in got[3] and got[4] == texts[4]
+    d = re.fullmatch(r"mail (\S+)@\S+ or \S+", got[5])[1]
+    assert re.sub("[a-z]", "a", re.sub("[à-ÿ]", "é", d)) == "aaaé.aéaaaa" and d != "josé.müller"
+    e = re.fullmatch(r"call (\d{3} \d{3} \d{4}) or ([0-9a-f:]+) or ([0-9a-f:]+) at 12:30:45, 1 234 567 8901", got[6]).groups()
+    assert e[0] != "555 123 4567" and [len(x) for x in e[1].split(":")] == [4, 3, 1, 1, 1, 3, 4, 4] and "::" in e[2] and e[1:] != ("2001:db8:0:0:8:800:200c:417a", "fe80::1:2ab")
+
+
+def test_the_key_is_a_setting(spark):
+    docs = spark.createDataFrame([(1, "at 10.20.30.40")], "doc_id long, text string")
+    usual = replace_entities(docs).first().text
+    spark.conf.set("spark.rootweave.surrogates.key", "another")
+    try:
+        assert replace_entities(docs).first().text not in (usual, "at 10.20.30.40")
+    finally:
+        spark.conf.unset("spark.rootweave.surrogates.key")
+    assert replace_entities(docs).first().text == usual
+
+
+def test_shifts_within_alphabets_are_one_to_one(spark):
+    """Every letter of an alphabet, each as an address of its own: as many different surrogates."""
+    letters = [c for a in ALPHABETS for c in a]
+    docs = spark.createDataFrame([(i, f"to {c}x@mail.example.com") for i, c in enumerate(letters)], "doc_id long, text string")
+    got = [x.text for x in replace_entities(docs).collect()]
+    assert len(set(got)) == len(letters)
