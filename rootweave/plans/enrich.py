@@ -43,8 +43,8 @@ def normalised_fields(alarms: DataFrame, mapping: DataFrame, name: str = "enrich
 
 
 def deduped(alarms: DataFrame, key: str = "alarm_id") -> DataFrame:
-    """The earliest row of each key."""
-    order = Window.partitionBy(key).orderBy("raised_us", "moid", "alarm_type", "state")
+    """The earliest row of each key; of equal times the first by moid, type and state, as far as there are such columns."""
+    order = Window.partitionBy(key).orderBy("raised_us", *[c for c in ("moid", "alarm_type", "state") if c in alarms.columns])
     return alarms.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
