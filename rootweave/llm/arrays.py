@@ -5,6 +5,7 @@ Everything here works on one slice of a batch (``slices`` bounds its bytes), nev
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Python workers serve one task after the other, of all stages of a session, and
+    would keep the most that any of them has held. Without glibc only Arrow's own memory is returned."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have ``size`` bytes at most (one row at least)."""
     column = batch.column(batch.schema.get_field_index(text))
@@ -84,6 +94,12 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         yield batch.slice(start)
 
 
+def lean_slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The same for stages that follow one another in a session: after a batch, freed memory is given back."""
+    yield from slices(batch, text)
+    give_back()
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of word bytes, and for each text the index of its first word."""
     if not len(data):

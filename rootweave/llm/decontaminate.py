@@ -27,8 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 RADIUS, BLOCKS = 23, 8
 #: Bytes of benchmark text that one pass over the documents takes; a larger benchmark takes more passes.
 PASS_BYTES = 16 << 20
-#: Pairs of windows and items that the multi-index lists at once, at most 4096 windows.
-PAIRS, WINDOWS = 1 << 20, 4096
+#: Pairs of windows and items that the multi-index lists at once, at most 4096 windows, whose starts lie within SPAN words.
+PAIRS, WINDOWS, SPAN = 1 << 20, 4096, 1 << 14
 #: Bits of a shingle's cell in the table of document frequencies.
 CELL_BITS = 22
 
@@ -174,8 +174,11 @@ class Items:
         starts = starts[held >= width * least_share(similarity, self.weights.rare)]
         best: dict[int, tuple[float, int, int]] = {}
         step = max(1, min(WINDOWS, PAIRS // len(items.ids)))
-        for block in range(0, len(starts), step):
-            some = starts[block : block + step]
+        block = 0
+        while block < len(starts):
+            # sums of votes take 512 bytes a word from the first window of a block to its last
+            end = min(block + step, int(np.searchsorted(starts, starts[block] + SPAN)))
+            some, block = starts[block:end], end
             low, high = int(some[0]), int(some[-1]) + width
             ahead = np.zeros((high - low + 1, 64))
             np.cumsum(votes(grams[low:high], weight[low:high]), axis=0, out=ahead[1:])
@@ -211,7 +214,7 @@ def weights_of(items: DataFrame, shingle: int) -> Weights:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 words, first = word_hashes(piece.column("text"))
                 held = [np.zeros(0, np.int64)]
                 for a, b in zip(first, first[1:], strict=False):
@@ -230,7 +233,7 @@ def sieved(weights, sizes: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 words, first = word_hashes(piece.column(1))
                 sums = A.prefix_hash(words)
                 keep = np.zeros(piece.num_rows, bool)
@@ -248,7 +251,7 @@ def searched(items, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: Items = items.value
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 words, first = word_hashes(piece.column(1))
                 sums = A.prefix_hash(words)
                 ids, rows = piece.column(0).to_pylist(), []

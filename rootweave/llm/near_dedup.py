@@ -69,7 +69,7 @@ def sketched(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 sets = shingle_sets(piece.column(1), size)
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
@@ -101,7 +101,7 @@ def listed(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 sets = shingle_sets(piece.column(1), size)
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate([*sets, np.zeros(0, A.U64)]).view(np.int64)

@@ -148,7 +148,7 @@ class QualityModel:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for piece in A.slices(batch, "text"):
+                for piece in A.lean_slices(batch, "text"):
                     texts, read, known = self.inputs(piece)
                     none = pa.nulls(piece.num_rows, pa.float64())
                     scores = [none] * 3
@@ -194,7 +194,7 @@ def sums(rows: DataFrame, judge) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros((2, (1 << bits) + 1)) for bits in (WORD_BITS, FACT_BITS)]
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 texts, words, page, weight = judge(piece)
                 if (words >= 0).any():
                     row, word = distinct_prefixes(texts)
@@ -235,7 +235,7 @@ def calibrate(model: QualityModel, sample: DataFrame) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 own = piece.column("quality").to_numpy().astype(np.int64)
                 _, read, known = model.inputs(piece, own)
                 yield pa.RecordBatch.from_arrays([pa.array(list(read)), pa.array(list(known)), piece.column("quality")], ["read", "known", "quality"])
@@ -258,7 +258,7 @@ def train_toxic(sample: DataFrame) -> tuple[np.ndarray, float] | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in A.slices(batch, "text"):
+            for piece in A.lean_slices(batch, "text"):
                 texts = Texts.of(piece.column("text"))
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(texts.row, minlength=piece.num_rows))]).astype(np.int32)
                 words = pa.ListArray.from_arrays(pa.array(cuts), pa.array(texts.word.astype(np.int32)))
