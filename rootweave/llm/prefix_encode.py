@@ -19,6 +19,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from rootweave.llm.arrays import give_back
 from rootweave.llm.session import documents, small_batches
 
 SPACE = "▁"
@@ -195,6 +196,11 @@ class PrefixEncoder:
             self.words[text] = found
         return found
 
+    def forget(self) -> None:
+        """Drops the words and stretches of a task; the tables of the model stay."""
+        for held in (self.words, self.older, self.parts):
+            held.clear()
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """All ids with begin and end, as little-endian 32-bit numbers, and the decoded text."""
         ids, decoded = [np.array([self.bos], "<u4").tobytes()], []
@@ -213,7 +219,7 @@ ENCODERS: dict[int, PrefixEncoder] = {}
 
 
 def encoder(model: bytes) -> PrefixEncoder:
-    """One encoder a worker process, so that its words last from task to task."""
+    """One encoder a worker process, so that its tables are built once."""
     if (key := hash(model)) not in ENCODERS:
         ENCODERS.clear()
         ENCODERS[key] = PrefixEncoder(model)
@@ -235,17 +241,21 @@ def encode_texts(docs: DataFrame, model_path: str, ids: bool = True) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(model.value)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 32):
-                piece = batch.slice(start, 32)
-                rows = []
-                for text in piece.column(1).to_pylist():
-                    packed, plain = coder.encode(text or "")
-                    row = len(packed) // 4, hashlib.sha256(packed).hexdigest()
-                    again = plain, hashlib.sha256(plain.encode()).hexdigest()
-                    rows.append((np.frombuffer(packed, "<u4").astype(np.int32), *row, *again) if ids else (*row, again[1]))
-                schema = ENCODED if ids else DIGEST
-                yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 32):
+                    piece = batch.slice(start, 32)
+                    rows = []
+                    for text in piece.column(1).to_pylist():
+                        packed, plain = coder.encode(text or "")
+                        row = len(packed) // 4, hashlib.sha256(packed).hexdigest()
+                        again = plain, hashlib.sha256(plain.encode()).hexdigest()
+                        rows.append((np.frombuffer(packed, "<u4").astype(np.int32), *row, *again) if ids else (*row, again[1]))
+                    schema = ENCODED if ids else DIGEST
+                    yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
+        finally:  # the worker goes on to other stages
+            coder.forget()
+            give_back()
 
     kind = "doc_id long, ids array<int>, n_tokens long, ids_sha256 string, decoded string, decoded_sha256 string" if ids else "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return documents(docs).mapInArrow(run, kind)
