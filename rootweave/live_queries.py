@@ -185,6 +185,12 @@ LEFTOVER = (
 )
 
 
+def known_scenarios(spark: SparkSession) -> DataFrame:
+    """scenario_id, trail_id and token of three scenarios on each trail, as SCENARIOS has them."""
+    tokens = [(f"S{k}", f"T{t}", x) for t in range(12) for k, ts in enumerate((["click", "view", "error"], ["purchase", "purchase"], ["signup"])) for x in ts]
+    return spark.createDataFrame(tokens, "scenario_id string, trail_id string, token string")
+
+
 @query(
     LEFTOVER
     + """SELECT set_id, scenario_id, CAST(distance AS DOUBLE) AS distance, round(CAST(score AS DOUBLE), 9) AS score FROM (
@@ -192,10 +198,49 @@ LEFTOVER = (
 )
 def leftover_decoding(spark: SparkSession, d: str) -> DataFrame:
     rows = alarms(spark, d)
-    tokens = [(f"S{k}", f"T{t}", x) for t in range(12) for k, ts in enumerate((["click", "view", "error"], ["purchase", "purchase"], ["signup"])) for x in ts]
-    known = spark.createDataFrame(tokens, "scenario_id string, trail_id string, token string")
     sets = correlate.leftover_sets(rows, patterns(spark), correlated(spark, d), TICK_US)
-    return correlate.decode(sets, known).withColumn("score", F.round("score", 9))
+    return correlate.decode(sets, known_scenarios(spark)).withColumn("score", F.round("score", 9))
+
+
+NEWEST = f""", due AS (
+  SELECT DISTINCT set_id, trail_id, CASE WHEN set_id LIKE 'tick/%' THEN (CAST(regexp_extract(set_id, '([0-9]+)$', 1) AS BIGINT) + 1) * {TICK_US}
+    ELSE CAST(regexp_extract(set_id, '([0-9]+)$', 1) AS BIGINT) END AS due_us FROM sets
+), span AS (
+  SELECT trail_id, min(raised_us) AS low, max(raised_us) AS high FROM (SELECT raised_us, unnest(trail_ids) AS trail_id FROM alarms) GROUP BY trail_id
+), editions AS (
+  SELECT trail_id, 'cb-1' AS codebook_id, low AS compiled_us FROM span UNION ALL SELECT trail_id, 'cb-2', (low + high) // 2 FROM span
+), chosen AS (
+  SELECT d.set_id, d.trail_id, max(struct_pack(a := compiled_us, b := codebook_id)).b AS codebook_id
+  FROM due d JOIN editions e ON e.trail_id = d.trail_id AND e.compiled_us <= d.due_us GROUP BY d.set_id, d.trail_id
+), contents AS (
+  SELECT e.codebook_id, s.trail_id, s.scenario_id, s.token, count(*) AS s FROM scenarios s JOIN editions e USING (trail_id)
+  WHERE e.codebook_id = 'cb-1' OR s.scenario_id <> 'S0' GROUP BY ALL
+), shared AS (
+  SELECT o.set_id, c.codebook_id, c.trail_id, c.scenario_id, sum(least(o.o, c.s)) AS c FROM o JOIN chosen h ON h.set_id = o.set_id
+  JOIN contents c ON c.trail_id = o.trail_id AND c.codebook_id = h.codebook_id AND c.token = o.token GROUP BY ALL
+), rated AS (
+  SELECT set_id, codebook_id, scenario_id, n_s, 1.0 * (n_s - c) + 2.0 * (n_o - c) AS distance, greatest(0, 1 - (1.0 * (n_s - c) + 2.0 * (n_o - c)) / (1.0 * n_s + 2.0 * n_o)) AS score
+  FROM shared JOIN (SELECT set_id, sum(o) AS n_o FROM o GROUP BY ALL) USING (set_id)
+  JOIN (SELECT codebook_id, trail_id, scenario_id, sum(s) AS n_s FROM contents GROUP BY ALL) USING (codebook_id, trail_id, scenario_id)
+)
+"""
+
+
+@query(
+    LEFTOVER
+    + NEWEST
+    + """SELECT set_id, codebook_id, scenario_id, CAST(distance AS DOUBLE) AS distance, round(CAST(score AS DOUBLE), 9) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, n_s DESC, scenario_id) AS n FROM rated WHERE score > 0.5) WHERE n = 1"""
+)
+def newest_decoding(spark: SparkSession, d: str) -> DataFrame:
+    """A trail's second codebook, compiled halfway, lacks a scenario of its first."""
+    rows = alarms(spark, d)
+    span = rows.select("raised_us", F.explode("trail_ids").alias("trail_id")).groupBy("trail_id").agg(F.min("raised_us").alias("low"), F.max("raised_us").alias("high"))
+    first = span.select("trail_id", F.lit("cb-1").alias("codebook_id"), F.col("low").alias("compiled_us"))
+    editions = first.unionByName(span.select("trail_id", F.lit("cb-2").alias("codebook_id"), F.expr("(low + high) div 2").alias("compiled_us")))
+    contents = editions.join(known_scenarios(spark), "trail_id").where("codebook_id = 'cb-1' or scenario_id <> 'S0'")
+    sets = correlate.leftover_sets(rows, patterns(spark), correlated(spark, d), TICK_US)
+    return correlate.decode_newest(sets, contents).withColumn("score", F.round("score", 9))
 
 
 BOOKS = """, books AS (

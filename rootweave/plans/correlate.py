@@ -187,15 +187,15 @@ def children(incidents: DataFrame, alarms: DataFrame) -> DataFrame:
 
 
 def leftover_sets(alarms: DataFrame, patterns: DataFrame, events: DataFrame, tick_us: int) -> DataFrame:
-    """set_id, trail_id and token of what the codebook decodes: alarms that no pattern of their trail takes in, by trail and
+    """set_id, trail_id, due_us (the end of the tick or instance) and token of what the codebook decodes: alarms that no pattern of their trail takes in, by trail and
     tick, and the alarms of every instance that ended unfired."""
     fanned = alarms.select("alarm_id", "alarm_type", "raised_us", F.explode("trail_ids").alias("trail_id"))
     taken = events.where("kind <> 'reverted'").select("trail_id", F.explode("alarm_ids").alias("alarm_id")).distinct()
     free = fanned.join(taken, ["trail_id", "alarm_id"], "left_anti")
-    tick = F.floor(F.col("raised_us") / tick_us).cast("string")
-    buffered = free.select(F.concat_ws("/", F.lit("tick"), "trail_id", tick).alias("set_id"), "trail_id", F.col("alarm_type").alias("token"))
-    ended = events.where("kind = 'reverted'").select(F.concat_ws("/", F.lit("expired"), "trail_id", "pattern_id", F.col("at_us").cast("string")).alias("set_id"), "trail_id", F.explode("alarm_ids").alias("alarm_id"))
-    salvaged = ended.join(alarms.select("alarm_id", F.col("alarm_type").alias("token")), "alarm_id").select("set_id", "trail_id", "token")
+    tick = F.floor(F.col("raised_us") / tick_us)
+    buffered = free.select(F.concat_ws("/", F.lit("tick"), "trail_id", tick.cast("string")).alias("set_id"), "trail_id", ((tick + 1) * tick_us).alias("due_us"), F.col("alarm_type").alias("token"))
+    ended = events.where("kind = 'reverted'").select(F.concat_ws("/", F.lit("expired"), "trail_id", "pattern_id", F.col("at_us").cast("string")).alias("set_id"), "trail_id", F.col("at_us").alias("due_us"), F.explode("alarm_ids").alias("alarm_id"))
+    salvaged = ended.join(alarms.select("alarm_id", F.col("alarm_type").alias("token")), "alarm_id").select("set_id", "trail_id", "due_us", "token")
     return buffered.unionByName(salvaged)
 
 
@@ -203,3 +203,18 @@ def latest_codebook(signatures: DataFrame) -> DataFrame:
     """Signatures (snapshot, trail_id, codebook_id, compiled_us, ...) of the codebook that came last for each snapshot and trail."""
     last = signatures.groupBy("snapshot", "trail_id").agg(F.max(F.struct("compiled_us", "codebook_id")).alias("last"))
     return signatures.join(last.select("snapshot", "trail_id", F.col("last.codebook_id").alias("codebook_id")), ["snapshot", "trail_id", "codebook_id"], "left_semi")
+
+
+def decode_newest(sets: DataFrame, books: DataFrame) -> DataFrame:
+    """set_id, codebook_id, scenario_id, distance and score: sets decoded against the codebook compiled last when they are due.
+
+    sets: set_id, trail_id, due_us, token; books: trail_id, compiled_us, codebook_id, scenario_id, token. Of codebooks compiled
+    at one time the largest id is the newest. A set without a codebook has no row.
+    """
+    editions = books.select("trail_id", "compiled_us", "codebook_id").distinct()
+    due = sets.select("set_id", "trail_id", "due_us").distinct().join(editions, "trail_id").where("compiled_us <= due_us")
+    newest = due.groupBy("set_id", "trail_id").agg(F.max(F.struct("compiled_us", "codebook_id")).alias("book"))
+    edition = F.to_json(F.struct("trail_id", "compiled_us", "codebook_id"))
+    observed = sets.join(newest.select("set_id", "trail_id", "book.*"), ["set_id", "trail_id"]).select("set_id", edition.alias("trail_id"), "token", "codebook_id")
+    found = decode(observed, books.select(edition.alias("trail_id"), "scenario_id", "token"))
+    return found.join(newest.select("set_id", "book.codebook_id"), "set_id").select("set_id", "codebook_id", "scenario_id", "distance", "score")

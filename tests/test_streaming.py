@@ -9,7 +9,7 @@ from rootweave.plans import alarms as alarm_plans
 from rootweave.plans import correlate, enrich
 from rootweave.queries import patterns
 from rootweave.sources import adapters, wire
-from rootweave.streaming import live, ordered, state
+from rootweave.streaming import decoding, live, ordered, state
 
 SF = "/root/testdata/sf0.001"
 
@@ -151,3 +151,27 @@ def test_keys_go_where_producers_send_them(spark):
     known = {"21": -973932308, "foobar": -790332482, "a-little-bit-long-string": -985981536, "a-little-bit-longer-string": -1486304829, "lkjh234lh9fiuh90y23oiuhsafujhadof229phr9h19h89h8": -58897971, "abc": 479470107}
     found = spark.createDataFrame([(k,) for k in known], "k string").select("k", wire.murmur2(F.col("k")).alias("h")).collect()
     assert {x.k: x.h for x in found} == {k: h % 2**32 for k, h in known.items()}
+
+
+def test_decoding_against_the_newest_codebook_equals_batch(spark, tmp_path):
+    """Sets and codebooks in any order of files; a codebook replaces the one before it for sets that are due later."""
+    live.use_state_store(spark)
+    r = random.Random(8)
+    tick = 100 * SECOND
+    tokens = [(f"t{r.randrange(3)}", at * SECOND, r.choice("abcd")) for at in (r.randrange(1000) for _ in range(160))]
+    tokens = [(trail, at, (at // tick + 1) * tick, f"{trail}/{at // tick}", x) for trail, at, x in tokens]
+    books = [(f"t{t}", at * SECOND, f"cb{k}", [(f"s{i}", r.choices("abcd", k=r.randrange(1, 9))) for i in range(4)]) for t in range(3) for k, at in enumerate((150, 400, 400, 700))]
+    shape = "trail_id string, happened_us long, due_us long, set_id string, token string", f"trail_id string, compiled_us long, codebook_id string, scenarios {decoding.SCENARIOS}"
+    both = decoding.inputs(spark.createDataFrame(tokens, shape[0]), spark.createDataFrame(books, shape[1]))
+    rows = both.collect()
+    r.shuffle(rows)
+    for i in range(5):
+        spark.createDataFrame(rows[i::5], both.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for i in range(2):
+        spark.createDataFrame([("end", 10**15 + i * 10**14, 10**16, "end", "a", None, None)], both.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run(decoding.decoded(wire.replay(spark, str(tmp_path / "in"), both.schema, 1), "5000 days"), "decoded").collect()
+    sets = spark.createDataFrame(tokens, shape[0]).select("set_id", "trail_id", "due_us", "token")
+    contents = spark.createDataFrame(books, shape[1]).select("trail_id", "compiled_us", "codebook_id", F.explode("scenarios").alias("s")).select("trail_id", "compiled_us", "codebook_id", "s.scenario_id", F.explode("s.tokens").alias("token"))
+    expected = correlate.decode_newest(sets, contents).collect()
+    key = lambda rows: sorted((x.set_id, x.codebook_id, x.scenario_id, x.distance, round(x.score, 9)) for x in rows)
+    assert key(got) == key(expected) and {x.codebook_id for x in got} >= {"cb0", "cb2", "cb3"} and "cb1" not in {x.codebook_id for x in got}
