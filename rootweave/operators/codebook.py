@@ -9,6 +9,9 @@ from rootweave.functions.ids import object_type
 from rootweave.operators import graph
 from rootweave.session import settle
 
+#: Foreign alarm types that the error of a compile names.
+NAMED = 20
+
 
 def scenarios(vertices: DataFrame, origins: DataFrame) -> DataFrame:
     """scenario_id, origin and alarm_type: one for each vertex of a fault-origin type (object_type, alarm_type)."""
@@ -62,6 +65,15 @@ def outside(signatures: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return signatures.join(vocabulary.select("alarm_type").distinct(), "alarm_type", "left_anti")
 
 
+def complete(signatures: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The signatures, if the vocabulary has all their alarm types; else the compile stops and names those it lacks."""
+    foreign = outside(signatures, vocabulary).select("alarm_type").distinct().orderBy("alarm_type").limit(NAMED + 1)
+    names = [str(r.alarm_type) for r in foreign.collect()]
+    if names:
+        raise ValueError("alarm types outside the vocabulary: " + ", ".join(names[:NAMED]) + (", ..." if len(names) > NAMED else ""))
+    return signatures
+
+
 def tagged(signatures: DataFrame, trails: DataFrame) -> DataFrame:
     """scenario_id and trail_ids: trails of its symptoms' objects, in the order in which the symptoms reach them."""
     members = trails.select("trail_id", F.explode("members").alias("moid"))

@@ -61,7 +61,8 @@ LINE = r'^\{"seq":[0-9]+,"topic":"[^"\\\\]*","envelope":(.*)\}$'
 def read_corpus(spark: SparkSession, path: str, checked: bool = False) -> DataFrame:
     """seq, topic and envelope (JSON text) of a recorded corpus, in the order of seq; header and blank lines are skipped.
 
-    ``checked``: the read fails at a line that is no JSON, or whose envelope has no sound alarm as its payload.
+    ``checked``: a pass over all lines comes first, and the call fails with the first line, by seq and text, that is no JSON
+    (its seq is 0), or whose envelope has no sound alarm as its payload.
     """
     line = F.col("value")
     lines = spark.read.text(path).where((F.trim(line) != "") & F.get_json_object(line, "$.corpusVersion").isNull())
@@ -78,8 +79,9 @@ def read_corpus(spark: SparkSession, path: str, checked: bool = False) -> DataFr
             .when(F.size(lacks) > 0, F.concat(F.lit("payload lacks "), F.get(lacks, 0)))
             .when(~is_object_id(F.get_json_object(payload, "$.managedObjectId")), "bad managed object id")
         )
-        failure = F.raise_error(F.concat(F.lit("corpus line "), F.col("seq").cast("string"), F.lit(": "), wrong)).cast("string")
-        rows = rows.withColumn("envelope", F.when(wrong.isNotNull(), failure).otherwise(F.col("envelope")))
+        bad = rows.where(wrong.isNotNull()).agg(F.min(F.struct("seq", "value", wrong.alias("why"))).alias("bad")).first().bad
+        if bad:
+            raise ValueError(f"corpus line {bad.seq}: {bad.why}")
     return rows.drop("value").orderBy("seq")
 
 

@@ -346,3 +346,27 @@ def test_snapshots_count_from_their_commit_on(spark, tmp_path):
     assert held() == ([("S3", 1, False), ("S5", 0, True)], ["Node:S5"], ["S3", "S5"])
     store.commit(texts("S9"), words, at)
     assert held() == ([("S5", 0, False), ("S9", 2, True)], ["Node:S9"], ["S3", "S5", "S9"])  # S3 is evicted, its event stays
+
+
+def test_checked_corpus_names_its_first_bad_line(spark, tmp_path):
+    payload = '{"alarmId":"a","managedObjectId":"Node:n1","eventType":"e","alarmType":"t","perceivedSeverity":"major","raisedAt":"x","state":"raised"}'
+    good = [f'{{"seq":{i},"topic":"t","envelope":{{"payload":{payload}}}}}' for i in range(40)]
+    read = lambda lines, name: (spark.createDataFrame([(x,) for x in lines], "value string").repartition(4).write.text(str(tmp_path / name)), files.read_corpus(spark, str(tmp_path / name), checked=True))[1]
+    assert [r.seq for r in read(['{"corpusVersion":1,"count":40}', "", *good], "good").collect()] == list(range(40))
+    lacking = [x.replace('"state":"raised"', '"other":1') if i in (33, 12, 27) else x for i, x in enumerate(good)]
+    with pytest.raises(ValueError, match="corpus line 12: payload lacks state"):
+        read(lacking, "lacking")
+    with pytest.raises(ValueError, match="corpus line 5: missing envelope.payload"):
+        read([*lacking[:5], '{"seq":5,"topic":"t","envelope":{}}', *lacking[6:]], "empty")
+    with pytest.raises(ValueError, match="corpus line 0: bad JSON"):
+        read([*lacking, '{"seq":3,'], "broken")
+
+
+def test_compile_stops_at_foreign_alarm_types(spark):
+    signatures = spark.createDataFrame([("s", i, f"t{i:02}", "o") for i in range(30)], "scenario_id string, position int, alarm_type string, moid string")
+    every = signatures.select("alarm_type")
+    assert codebook.complete(signatures, every).count() == 30
+    with pytest.raises(ValueError, match="vocabulary: t03, t07$"):
+        codebook.complete(signatures, every.where("alarm_type not in ('t03', 't07')"))
+    with pytest.raises(ValueError, match=r"t00, .*t19, \.\.\.$"):
+        codebook.complete(signatures, every.where("false"))
