@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rootweave.operators.ranks import exact_percentile
 from rootweave.session import settle
 from rootweave.sources.adapters import SECOND
 
@@ -47,7 +48,8 @@ def closing_gaps(rows: DataFrame, factor: float = FACTOR, percent: int = PERCENT
 
     A trail with one alarm has the base gap.
     """
-    gaps = with_previous(rows, ["trail_id"]).withColumn("gap", F.col("raised_us") - F.col("_before")).groupBy("trail_id").agg(F.percentile("gap", F.lit(percent / 100)).alias("p"))
+    gaps = with_previous(rows, ["trail_id"]).select("trail_id", (F.col("raised_us") - F.col("_before")).alias("gap"))
+    gaps = exact_percentile(gaps, ["trail_id"], "gap", percent / 100, "p")
     limited = F.greatest(F.lit(float(floor_us)), F.least(F.lit(float(ceiling_us)), F.col("p") * factor))
     return gaps.select("trail_id", F.coalesce(limited, F.lit(float(base_us))).alias("gap_us"))
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import is_object_id
+from rootweave.operators.ranks import numbered
 from rootweave.sources.wire import REQUIRED
 
 SNAPSHOT = (
@@ -90,8 +91,7 @@ def corpus_lines(events: DataFrame, run: str, phase: str) -> DataFrame:
 
     An event's envelope stands in its line as it is.
     """
-    order = Window.partitionBy("topic").orderBy("raised_us", "alarm_id")
-    body = events.withColumn("seq", F.row_number().over(order) - 1)
+    body = numbered(events, ["topic"], ["raised_us", "alarm_id"], "seq")
     text = F.concat(F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"topic":"'), F.col("topic"), F.lit('","envelope":'), F.col("envelope"), F.lit("}"))
     lines = body.select("topic", F.col("seq").cast("long").alias("line"), text.alias("value"))
     header = body.groupBy("topic").agg(F.count("*").alias("count")).select("topic", F.lit(-1).cast("long").alias("line"), F.to_json(F.struct(F.lit(1).alias("corpusVersion"), F.lit(run).alias("sourceRunId"), F.lit(phase).alias("phase"), "topic", "count")).alias("value"))

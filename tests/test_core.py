@@ -11,6 +11,7 @@ from rootweave import queries
 from rootweave.functions import ids
 from rootweave.operators import codebook, commit, graph, rules, tables, trails, validate
 from rootweave.operators.components import components
+from rootweave.operators.ranks import exact_percentile, numbered
 from rootweave.plans import cluster, correlate, enrich, generate, govern, kpi, mining
 from rootweave.plans.correlate import Instance
 from rootweave.sources import files, wire
@@ -370,3 +371,36 @@ def test_compile_stops_at_foreign_alarm_types(spark):
         codebook.complete(signatures, every.where("alarm_type not in ('t03', 't07')"))
     with pytest.raises(ValueError, match=r"t00, .*t19, \.\.\.$"):
         codebook.complete(signatures, every.where("false"))
+
+
+@pytest.mark.parametrize(("share", "different"), [(0.0, 20), (0.37, 20), (0.9, 20), (1.0, 20), (0.37, 100_000)])
+def test_percentiles_by_ranges_are_exact(spark, share, different):
+    draw = random.Random(5)
+    values = {"hot": [draw.choice([draw.randrange(50), draw.randrange(2**20), draw.randrange(2**41)]) for _ in range(1500)]}
+    values |= {"near": [2**40 + draw.randrange(40) for _ in range(300)], "few": [3, 3, 9], "one": [7], "none": [], "same": [5] * 90}
+    rows = [(k, v) for k, some in values.items() for v in some] + [("none", None), ("hot", None), (None, 4), (None, 6)]
+    frame = spark.createDataFrame(rows, "k string, v long").repartition(7)
+    got = {r.k: r.p for r in exact_percentile(frame, ["k"], "v", share, "p", different).collect()}
+    assert set(got) == set(values) | {None}
+    for key, some in (values | {None: [4, 6]}).items():
+        place, ordered = (len(some) - 1) * share, sorted(some)
+        if not some:
+            assert got[key] is None
+            continue
+        low, high = int(place), min(int(place) + 1, len(some) - 1)
+        # the formula of the built-in function, so that results are equal to the last bit
+        expected = float(ordered[low]) if place == low or ordered[low] == ordered[high] else (low + 1 - place) * ordered[low] + (place - low) * ordered[high]
+        assert got[key] == expected
+    assert exact_percentile(frame.limit(0), ["k"], "v", share, "p", different).isEmpty()
+
+
+def test_numbers_across_ranges(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), draw.randrange(200), i) for i in range(900)]
+    frame = spark.createDataFrame(rows, "k string, t long, i long").repartition(5)
+    got = [tuple(r) for r in numbered(frame, ["k"], ["t"], "n").collect()]
+    assert sorted(g[2] for g in got) == list(range(900))
+    for key in ("a", "b", None):
+        mine = sorted((n, t) for k, t, _, n in got if k == key)
+        assert [n for n, _ in mine] == list(range(len(mine))) and [t for _, t in mine] == sorted(t for _, t in mine)
+    assert numbered(frame.limit(0), ["k"], ["t"], "n").isEmpty()
