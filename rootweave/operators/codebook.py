@@ -60,6 +60,11 @@ def propagate(scenarios: DataFrame, vertices: DataFrame, edges: DataFrame, templ
     return done.select("scenario_id", (F.row_number().over(order) - 1).alias("position"), "alarm_type", "moid")
 
 
+def relations_of(templates: DataFrame) -> DataFrame:
+    """relations: the different relations that the templates use, sorted, in one row."""
+    return templates.agg(F.array_sort(F.collect_set("relation")).alias("relations"))
+
+
 def outside(signatures: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Symptoms whose alarm_type the vocabulary lacks; any stops the compile."""
     return signatures.join(vocabulary.select("alarm_type").distinct(), "alarm_type", "left_anti")

@@ -76,6 +76,11 @@ def hierarchy_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
 
 
+def area_count(vertices: DataFrame, area: str = "area") -> DataFrame:
+    """areas: how many different ones there are; vertices without area don't count."""
+    return vertices.agg(F.countDistinct(area).alias("areas"))
+
+
 def counts_by_snapshot(vertices: DataFrame, edges: DataFrame, area: str = "area") -> DataFrame:
     """snapshot, nodes, edges, interfaces, sites and areas (distinct, those that are known) of each snapshot."""
     kind = F.col("object_type")

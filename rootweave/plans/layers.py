@@ -27,6 +27,11 @@ def node_role(i: Column) -> Column:
     return F.when(i % 7 == 6, "edge").when(i % 7 == 5, "border").otherwise("core")
 
 
+def policy_attribute(key: Column, policy: dict[str, str]) -> Column:
+    """What the policy names for a key; null for a key that it doesn't have."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in policy.items() for x in pair]), key)
+
+
 def site_of(attributes: Column, name: Column) -> Column:
     """name, lat and lon of a site: the name or that in the attributes (JSON text); unreadable coordinates are null."""
     get = lambda k: F.get_json_object(attributes, f"$.{k}")

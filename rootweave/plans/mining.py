@@ -138,6 +138,23 @@ def timing(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("gap", gap).groupBy(*keys).agg(((F.max("raised_us") - F.min("raised_us")) / 1000).alias("timeframe_ms"), F.percentile("gap", F.lit(0.5)).alias("median_ms"), F.max("gap").alias("max_gap_ms"), F.stddev_pop("gap").alias("stddev_ms"))
 
 
+def gaps_before(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with gap_us, the time since the row before within the keys in the order of (raised_us, alarm_id); null at the first."""
+    return with_previous(rows, keys).withColumn("gap_us", F.col("raised_us") - F.col("_before")).drop("_before", "_stretch")
+
+
+def pattern_timing(found: DataFrame) -> DataFrame:
+    """pattern_id, sessions, and median_ms, max_gap_ms and stddev_ms of the gaps within occurrences (pattern_id, session, at, raised_us).
+
+    Medians are exact also where one pattern has a large part of all occurrences.
+    """
+    order = Window.partitionBy("pattern_id", "session").orderBy("at")
+    gaps = found.withColumn("gap", F.col("raised_us") - F.lag("raised_us").over(order))
+    sizes = gaps.groupBy("pattern_id").agg(F.countDistinct("session").alias("sessions"), (F.max("gap") / 1000).alias("max_gap_ms"), F.stddev_pop(F.col("gap") / 1000).alias("stddev_ms"))
+    medians = exact_percentile(gaps, ["pattern_id"], "gap", 0.5, "median").select("pattern_id", (F.col("median") / 1000).alias("median_ms"))
+    return sizes.join(medians, "pattern_id").select("pattern_id", "sessions", "median_ms", "max_gap_ms", "stddev_ms")
+
+
 def samples(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each key."""
     order = Window.partitionBy(*keys).orderBy("raised_us", "alarm_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootweave.functions import ids
@@ -77,8 +77,8 @@ def object_layers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT moid, source, CASE source WHEN 'src0' THEN 'isis.area' WHEN 'src1' THEN 'ospf.area' END AS attribute FROM (SELECT DISTINCT moid, source FROM alarms)")
 def policy_attributes(spark: SparkSession, d: str) -> DataFrame:
-    policy = F.create_map(*[F.lit(x) for pair in (("src0", "isis.area"), ("src1", "ospf.area")) for x in pair])
-    return alarms(spark, d).select("moid", "source").distinct().select("moid", "source", F.try_element_at(policy, F.col("source")).alias("attribute"))
+    policy = {"src0": "isis.area", "src1": "ospf.area"}
+    return alarms(spark, d).select("moid", "source").distinct().select("moid", "source", layers.policy_attribute(F.col("source"), policy).alias("attribute"))
 
 
 # snapshots
@@ -251,8 +251,8 @@ def records_that_exist(spark: SparkSession, d: str) -> DataFrame:
 
 @query(", templates(relation) AS (VALUES ('HOSTED_ON'), ('HOSTED_ON'), ('HOSTS'), ('TERMINATES')) SELECT array_to_string(list_sort(list_distinct(list(relation))), ' ') AS relations, (SELECT count(DISTINCT area) FROM vertices) AS areas FROM templates", True)
 def template_relations(spark: SparkSession, d: str) -> DataFrame:
-    row = templates(spark).agg(F.array_join(F.array_sort(F.collect_set("relation")), " ").alias("relations"))
-    return row.join(vertices(spark, d).agg(F.countDistinct("area").alias("areas")), F.lit(True))
+    row = codebook.relations_of(templates(spark)).select(F.array_join("relations", " ").alias("relations"))
+    return row.join(graph.area_count(vertices(spark, d)), F.lit(True))
 
 
 @query("SELECT moid AS \"key\", moid AS violation FROM alarms WHERE false UNION ALL SELECT concat('t', depth), message FROM (VALUES (0, 'depth must be from 1 to 32'), (33, 'depth must be from 1 to 32'), (1, NULL), (32, NULL)) v(depth, message)")
@@ -313,8 +313,7 @@ def envelopes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT alarm_id, moid, raised_us - lag(raised_us) OVER (PARTITION BY moid ORDER BY raised_us, alarm_id) AS gap_us FROM alarms")
 def replay_gaps(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("moid").orderBy("raised_us", "alarm_id")
-    return alarms(spark, d).select("alarm_id", "moid", (F.col("raised_us") - F.lag("raised_us").over(order)).alias("gap_us"))
+    return mining.gaps_before(alarms(spark, d), ["moid"]).select("alarm_id", "moid", "gap_us")
 
 
 @query(VERSIONS + "SELECT record_id, record_type, version FROM versions WHERE domain = 'src1' AND version IN ('v1', 'v2')")
@@ -509,10 +508,7 @@ def pair_occurrences(spark: SparkSession, d: str) -> DataFrame:
 
 @query(SESSIONS + PAIRS + "SELECT 'P-' || trail_id AS pattern_id, count(DISTINCT session) AS sessions, round(quantile_cont(g, 0.5), 6) AS median_ms, round(max(g), 3) AS max_gap_ms, round(stddev_pop(g), 3) AS stddev_ms FROM spaced GROUP BY trail_id")
 def pattern_timing(spark: SparkSession, d: str) -> DataFrame:
-    rows = pair_occurrences(spark, d)
-    order = Window.partitionBy("pattern_id", "session").orderBy("at")
-    gaps = rows.withColumn("gap", (F.col("raised_us") - F.lag("raised_us").over(order)) / 1000)
-    times = gaps.groupBy("pattern_id").agg(F.countDistinct("session").alias("sessions"), F.percentile("gap", F.lit(0.5)).alias("median_ms"), F.max("gap").alias("max_gap_ms"), F.stddev_pop("gap").alias("stddev_ms"))
+    times = mining.pattern_timing(pair_occurrences(spark, d))
     return times.select("pattern_id", "sessions", F.round("median_ms", 6).alias("median_ms"), F.round("max_gap_ms", 3).alias("max_gap_ms"), F.round("stddev_ms", 3).alias("stddev_ms"))
 
 
