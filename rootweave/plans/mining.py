@@ -139,7 +139,10 @@ def timing(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def gaps_before(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with gap_us, the time since the row before within the keys in the order of (raised_us, alarm_id); null at the first."""
+    """rows with gap_us, the time since the row before within the keys in the order of (raised_us, alarm_id); null at the first.
+
+    Rows that lack a key drop out.
+    """
     return with_previous(rows, keys).withColumn("gap_us", F.col("raised_us") - F.col("_before")).drop("_before", "_stretch")
 
 
