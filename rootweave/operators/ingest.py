@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import is_object_id, object_type
-from rootweave.sources.files import SNAPSHOT, lift, small_enough
+from rootweave.session import settle
+from rootweave.sources.files import SNAPSHOT, lift, small_enough, unnested
 
 # Fields of a snapshot file, of its nodes and its edges; those that must be there.
 FIELDS = {"": ["schemaVersion", "snapshotId", "domain", "nodes", "edges"], "nodes": ["managedObjectId", "objectType", "name", "attributes"], "edges": ["from", "to", "relation", "attributes"]}
@@ -50,9 +51,9 @@ def structure(raw: DataFrame, most: int = LARGEST) -> DataFrame:
         *[(empty(text, f), "minLength", F.lit(f"$.{f}")) for f in ("domain", "snapshotId")],
         *[(F.get_json_object(text, f"$.{p}").isNotNull() & F.json_array_length(F.get_json_object(text, f"$.{p}")).isNull(), "type", F.lit(f"$.{p}")) for p in ("nodes", "edges")],
     ]
-    out = raw.select("key", F.explode(found(whole)).alias("v")).select("key", "v.*")
+    out = unnested(raw, found(whole), "v", "key").select("key", "v.*")
     for part in ("nodes", "edges"):
-        items = raw.select("key", F.posexplode(F.from_json(F.get_json_object(text, f"$.{part}"), "array<string>")).alias("i", "item"))
+        items = unnested(raw, F.from_json(F.get_json_object(text, f"$.{part}"), "array<string>"), "item", "key")
         item, place = F.col("item"), F.concat(F.lit(f"$.{part}["), F.col("i").cast("string"), F.lit("]"))
         checks = keys_of(item, part, place)
         if part == "nodes":
@@ -69,11 +70,11 @@ def parsed(raw: DataFrame) -> DataFrame:
 def meaning(raw: DataFrame) -> DataFrame:
     """key, place and rule of nodes whose type differs from their id, and of edge ends that are no node of the file."""
     s = parsed(raw)
-    nodes = s.select("key", F.posexplode("s.nodes").alias("i", "n"))
+    nodes = unnested(s, F.col("s.nodes"), "n", "key")
     wrong = nodes.where(object_type(F.col("n.managedObjectId")) != F.col("n.objectType"))
     out = [wrong.select("key", F.concat(F.lit("$.nodes["), F.col("i").cast("string"), F.lit("].objectType")).alias("place"), F.lit("objectType-prefix").alias("rule"))]
     ids = nodes.select("key", F.col("n.managedObjectId").alias("id")).distinct()
-    edges = s.select("key", F.posexplode("s.edges").alias("i", "e"))
+    edges = unnested(s, F.col("s.edges"), "e", "key")
     for end in ("from", "to"):
         gone = edges.withColumn("id", F.col(f"e.{end}")).join(ids, ["key", "id"], "left_anti")
         out.append(gone.select("key", F.concat(F.lit("$.edges["), F.col("i").cast("string"), F.lit(f"].{end}")).alias("place"), F.lit("dangling-reference").alias("rule")))
@@ -83,19 +84,22 @@ def meaning(raw: DataFrame) -> DataFrame:
 def words(raw: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """key, place (the word) and rule of types and relations that the domain's vocabulary (domain, kind, term) lacks."""
     s = parsed(raw).select("key", F.col("s.domain").alias("domain"), "s")
-    types = s.select("key", "domain", F.lit("objectType").alias("kind"), F.explode("s.nodes.objectType").alias("term"))
-    relations = s.select("key", "domain", F.lit("relation").alias("kind"), F.explode("s.edges.relation").alias("term"))
+    types = unnested(s, F.col("s.nodes.objectType"), "term", "key", "domain", F.lit("objectType").alias("kind")).drop("i")
+    relations = unnested(s, F.col("s.edges.relation"), "term", "key", "domain", F.lit("relation").alias("kind")).drop("i")
     missing = types.unionByName(relations).distinct().join(vocabulary, ["domain", "kind", "term"], "left_anti")
     return missing.select("key", F.col("term").alias("place"), F.concat(F.col("kind"), F.lit("-in-vocabulary")).alias("rule"))
 
 
 def checked(raw: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Snapshot texts (key, value) that no step refuses, and rejects: key, place and rule of the first step that fails."""
-    bad = structure(raw)
+    """Snapshot texts (key, value) that no step refuses, and rejects: key, place and rule of the first step that fails.
+
+    Each step's violations are written once, so that the next one doesn't find them anew; texts aren't written.
+    """
+    bad = settle(structure(raw), "structure")
     shaped = raw.join(bad.select("key").distinct(), "key", "left_anti")
-    worse = meaning(shaped)
+    worse = settle(meaning(shaped), "meaning")
     sound = shaped.join(worse.select("key").distinct(), "key", "left_anti")
-    foreign = words(sound, vocabulary)
+    foreign = settle(words(sound, vocabulary), "words")
     return sound.join(foreign.select("key").distinct(), "key", "left_anti"), bad.unionByName(worse).unionByName(foreign)
 
 

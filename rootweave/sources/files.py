@@ -27,11 +27,20 @@ def small_enough(text: Column, most: int) -> Column:
     return F.octet_length(text) <= most
 
 
+def unnested(rows: DataFrame, items: Column, name: str, *keep: str | Column) -> DataFrame:
+    """``keep``, i and ``name``: a row for each item of an array, null items too.
+
+    The outer form leaves the test for empty arrays here; else Spark puts it, and all parsing that it takes, before the
+    shuffle that deals the texts over tasks.
+    """
+    return rows.select(*keep, F.posexplode_outer(items).alias("i", name)).where("i is not null")
+
+
 def lift(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges of snapshots, stamped with domain and snapshot; one of each key."""
-    nodes = snapshots.select("domain", F.col("snapshotId").alias("snapshot"), F.explode("nodes").alias("n"))
+    nodes = unnested(snapshots, F.col("nodes"), "n", "domain", F.col("snapshotId").alias("snapshot"))
     vertices = nodes.select("domain", "snapshot", F.col("n.managedObjectId").alias("id"), F.col("n.objectType").alias("object_type"), F.col("n.name").alias("name"), F.col("n.attributes").alias("attributes"))
-    ties = snapshots.select("domain", F.col("snapshotId").alias("snapshot"), F.explode("edges").alias("e"))
+    ties = unnested(snapshots, F.col("edges"), "e", "domain", F.col("snapshotId").alias("snapshot"))
     edges = ties.select("domain", "snapshot", F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.col("e.relation").alias("relation"), F.col("e.attributes").alias("attributes"))
     return vertices.dropDuplicates(["domain", "snapshot", "id"]), edges.dropDuplicates(["domain", "snapshot", "src", "dst", "relation"])
 

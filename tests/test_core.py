@@ -7,9 +7,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from rootweave import queries
+from rootweave import queries, store_queries
 from rootweave.functions import ids
-from rootweave.operators import codebook, commit, graph, rules, tables, trails, validate
+from rootweave.operators import codebook, commit, graph, ingest, rules, tables, trails, validate
 from rootweave.operators.components import components
 from rootweave.operators.ranks import exact_percentile, numbered
 from rootweave.plans import cluster, correlate, enrich, generate, govern, kpi, mining
@@ -404,3 +404,22 @@ def test_numbers_across_ranges(spark):
         mine = sorted((n, t) for k, t, _, n in got if k == key)
         assert [n for n, _ in mine] == list(range(len(mine))) and [t for _, t in mine] == sorted(t for _, t in mine)
     assert numbered(frame.limit(0), ["k"], ["t"], "n").isEmpty()
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_snapshot_texts_are_dealt_over_tasks_before_they_are_parsed(spark, monkeypatch):
+    monkeypatch.setattr(store_queries, "TEXTS", 20)
+    texts = store_queries.snapshot_texts(spark, "/root/testdata/sf0.001")
+    sizes = [r["count"] for r in texts.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 150 and max(sizes) < 60
+    vertices, edges = files.lift(ingest.parsed(texts).select("s.*"))
+    for frame in (ingest.structure(texts), ingest.meaning(texts), ingest.words(texts, store_queries.snapshot_words(spark)), vertices, edges):
+        dealt = None
+        for line in plan_of(frame).splitlines():
+            depth = len(line) - len(line.lstrip(" :+-"))
+            dealt = None if dealt is not None and depth <= dealt else dealt
+            assert dealt is None or "json" not in line  # what lies under the shuffle runs before it
+            dealt = depth if "RepartitionByExpression" in line else dealt
