@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootweave.functions.ids import is_object_id, object_type
+from rootweave.session import settle
 
 
 def violations(rows: DataFrame, key: Column, checks: dict[str, Column]) -> DataFrame:
@@ -22,9 +23,13 @@ def prefix_violations(vertices: DataFrame) -> DataFrame:
 
 
 def dangling(edges: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Each edge end that is no vertex: src, dst, relation and end ('src' or 'dst')."""
-    ids = vertices.select("id").distinct()
-    ends = [edges.join(ids, edges[end] == ids["id"], "left_anti").select("src", "dst", "relation", F.lit(end).alias("end")) for end in ("src", "dst")]
+    """Each edge end that is no vertex: src, dst, relation and end ('src' or 'dst').
+
+    Different ends are looked up, not edges; those that are missing, hardly any in a sound graph, then pick the edges.
+    """
+    named = reduce(DataFrame.unionByName, [edges.select(F.col(end).alias("id")).distinct() for end in ("src", "dst")])
+    missing = settle(named.distinct().join(vertices.select("id").distinct(), "id", "left_anti"), "missing")
+    ends = [edges.join(missing, edges[end].eqNullSafe(missing["id"]), "left_semi").select("src", "dst", "relation", F.lit(end).alias("end")) for end in ("src", "dst")]
     return reduce(DataFrame.unionByName, ends)
 
 

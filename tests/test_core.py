@@ -423,3 +423,12 @@ def test_snapshot_texts_are_dealt_over_tasks_before_they_are_parsed(spark, monke
             dealt = None if dealt is not None and depth <= dealt else dealt
             assert dealt is None or "json" not in line  # what lies under the shuffle runs before it
             dealt = depth if "RepartitionByExpression" in line else dealt
+
+
+def test_missing_edge_ends_are_looked_up_by_end(spark):
+    vertices = spark.createDataFrame([("a",), ("b",)], "id string")
+    rows = [("a", "b", "R"), ("a", "x", "R"), ("a", "x", "R"), ("y", "x", "R"), (None, "b", "R")]
+    out = validate.dangling(spark.createDataFrame(rows, "src string, dst string, relation string"), vertices)
+    wanted = [("a", "x", "dst"), ("a", "x", "dst"), ("y", "x", "dst"), ("y", "x", "src"), (None, "b", "src")]
+    assert sorted(map(str, ((r.src, r.dst, r.end) for r in out.collect()))) == sorted(map(str, wanted))
+    assert "LeftAnti" not in plan_of(out)  # edges meet the missing ends, not all vertices
