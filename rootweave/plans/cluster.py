@@ -1,12 +1,15 @@
 """Noise filter: alarms by trail and tumbling window, clustered by density; what belongs to no cluster is noise.
 
-On one axis, time, density clusters need no pairs: a range window counts neighbours, core points chain while gaps stay
+On one axis, time, density clusters need no pairs: differences of running counts are neighbours, core points chain while gaps stay
 within eps, and a border point joins the earliest cluster with a core point within eps. With further features the same
 definition holds between cells of equal features, each with the time that the difference of the features leaves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +32,25 @@ def clustered(rows: DataFrame, eps_us: int = EPS_US, fewest: int = FEWEST, alike
     (in units of the time scale) only points that are alike can be neighbours; clusters are then numbered by their first time.
     """
     group = ["trail_id", "window_us", *alike]
+    # equal times are one place; sliding frames would read all rows near each row, running ones read each place once
+    places = rows.groupBy(*group, "raised_us").agg(F.count("*").alias("_n"))
+    mark = lambda shift, turn, n: places.select(*group, "raised_us", (F.col("raised_us") + shift).alias("_at"), F.lit(turn).alias("_turn"), n.alias("_n"))
+    marks = mark(-eps_us, 0, F.lit(0)).unionByName(mark(0, 1, F.col("_n"))).unionByName(mark(eps_us, 2, F.lit(0)))
+    so_far = F.sum("_n").over(Window.partitionBy(*group).orderBy("_at", "_turn").rowsBetween(Window.unboundedPreceding, 0))
+    sign = F.when(F.col("_turn") == 2, 1).when(F.col("_turn") == 0, -1).otherwise(0)
+    near = marks.withColumn("_so_far", so_far).groupBy(*group, "raised_us").agg(F.sum(sign * F.col("_so_far")).alias("_near"))
     order = Window.partitionBy(*group).orderBy("raised_us")
-    near = order.rangeBetween(-eps_us, eps_us)
-    dense = rows.withColumn("_core", F.count("*").over(near) >= fewest)
-    # the last core point before, for core points; equal times are one place
-    before = F.max(F.when(F.col("_core"), F.col("raised_us"))).over(order.rangeBetween(Window.unboundedPreceding, -1))
-    fresh = F.col("_core") & (before.isNull() | (F.col("raised_us") - before > eps_us))
-    first = F.coalesce(F.lag("raised_us").over(order) != F.col("raised_us"), F.lit(True))
-    places = dense.withColumn("_new", F.when(fresh & first, 1).otherwise(0))
-    starts = F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))
-    chained = places.withColumn("_chain", F.when(F.col("_core"), starts - 1))
-    found = chained.withColumn("cluster", F.min("_chain").over(near)).drop("_core", "_new", "_chain")
+    fresh = F.coalesce(F.col("raised_us") - F.lag("raised_us").over(order) > eps_us, F.lit(True))
+    chain = F.sum(F.col("_fresh").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    core = near.where(F.col("_near") >= fewest).withColumn("_fresh", fresh).withColumn("_chain", chain)
+    # the earliest core point that is near: the first one from eps before on
+    have = core.select(*group, F.lit(None).cast("long").alias("raised_us"), F.col("raised_us").alias("_at"), F.lit(0).alias("_turn"), F.struct(F.col("raised_us").alias("at"), "_chain").alias("_core"))
+    ask = places.select(*group, "raised_us", (F.col("raised_us") - eps_us).alias("_at"), F.lit(1).alias("_turn"), F.lit(None).alias("_core"))
+    onward = Window.partitionBy(*group).orderBy(F.desc("_at"), "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    met = have.unionByName(ask).withColumn("_core", F.last("_core", ignorenulls=True).over(onward)).where("_turn = 1")
+    met = met.where(F.col("_core.at") <= F.col("raised_us") + eps_us).select(*[F.col(c).alias(f"_{c}") for c in (*group, "raised_us")], F.col("_core._chain").alias("cluster"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*group, "raised_us")])
+    found = rows.join(met, same, "left").select(*rows.columns, "cluster")
     if not alike:
         return found
     started = found.withColumn("_start", F.min("raised_us").over(Window.partitionBy(*group, "cluster")))

@@ -432,3 +432,21 @@ def test_missing_edge_ends_are_looked_up_by_end(spark):
     wanted = [("a", "x", "dst"), ("a", "x", "dst"), ("y", "x", "dst"), ("y", "x", "src"), (None, "b", "src")]
     assert sorted(map(str, ((r.src, r.dst, r.end) for r in out.collect()))) == sorted(map(str, wanted))
     assert "LeftAnti" not in plan_of(out)  # edges meet the missing ends, not all vertices
+
+
+def test_time_clusters_read_no_frame_again_for_each_row(spark):
+    rng = random.Random(5)
+    points = [(t, rng.choice(["x", None]), rng.randrange(60)) for t in ("T1", "T2") for _ in range(40)]
+    rows = spark.createDataFrame([(i, t, 0, k, at) for i, (t, k, at) in enumerate(points)], "alarm_id int, trail_id string, window_us long, kind string, raised_us long")
+    out = cluster.clustered(rows, 2, 4)
+    near = lambda p, q: p[0] == q[0] and abs(p[2] - q[2]) <= 2
+    cores = sorted({(p[0], p[2]) for p in points if sum(near(p, q) for q in points) >= 4})
+    chains, number = {}, {}
+    for t, at in cores:
+        number[t] = number.get(t, -1) + (not any((t, at - x) in chains for x in (1, 2)))
+        chains[t, at] = number[t]
+    wanted = {i: min((chains[t, x] for x in range(at - 2, at + 3) if (t, x) in chains), default=None) for i, (t, _, at) in enumerate(points)}
+    assert {r.alarm_id: r.cluster for r in out.collect()} == wanted and len(set(wanted.values())) > 2
+    assert "RangeFrame" not in plan_of(out)
+    alike = cluster.clustered(rows, 2, 2, ("kind",))
+    assert alike.count() == 80 and alike.where("kind is null and cluster is not null").count() > 0
