@@ -36,7 +36,7 @@ def traverse(vertices: DataFrame, edges: DataFrame, starts: DataFrame, relations
 
     A start is among its own results only if a cycle leads back to it. All starts advance together, level by level.
     """
-    walk = steps(edges, relations, direction).select("here", "there").distinct()
+    walk = settle(steps(edges, relations, direction).select("here", "there"), "walk")
     front = settle(starts.select(F.col("id").alias("start"), F.col("id").alias("here")).distinct(), "front")
     reached = None
     for hops in range(1, depth + 1):
