@@ -21,8 +21,29 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
+def test_leaves_take_no_part_in_rounds(spark, written):
+    links = [("h", f"n{i:02}") for i in range(40)] + [("p", "q"), ("q", "p"), ("n03", "h")]
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()}
+    assert got == {"h": "h", "p": "p", "q": "p"} | {f"n{i:02}": "h" for i in range(40)}
+    assert "pointers" not in written
+    # two hubs on a circle, each with a leaf; the least node is a leaf
+    links = [("b", "c"), ("c", "d"), ("d", "b"), ("d", "a"), ("c", "e")]
+    assert {r.root for r in components.components(spark.createDataFrame(links, "a string, b string")).collect()} == {"a"}
+    assert "pointers" in written
+
+
 def test_traversal_reads_edges_once(spark, written):
     edges = spark.createDataFrame([("A", "B", "R"), ("A", "B", "R"), ("B", "C", "R")], "src string, dst string, relation string")
     vertices = spark.createDataFrame([(x,) for x in "ABC"], "id string")
     got = graph.traverse(vertices, edges, vertices.where("id = 'A'"), ["R"], 3).collect()
     assert sorted(tuple(r) for r in got) == [("A", "B", 1), ("A", "C", 2)] and written.count("walk") == 1
+
+
+def test_lost_nodes_alone_need_no_whole_graph_and_free_ones_do(spark, written):
+    vertices = spark.createDataFrame([("N:1", "0"), ("N:2", "0"), ("L:1", None), ("L:2", None), ("L:3", None), ("SRLG:g", None)], "id string, area string")
+    edges = spark.createDataFrame([("N:1", "N:2", "R"), ("L:1", "L:2", "R"), ("L:2", "L:1", "R")], "src string, dst string, relation string")
+    sets = lambda groups=None: {(tuple(r.members), r.area, r.risk_group) for r in trails.trails(vertices, edges, ["R"], "d", "s", groups).collect()}
+    assert sets() == {(("N:1", "N:2"), "0", None), (("L:1", "L:2"), None, None), (("L:3",), None, None)}
+    assert "linked" in written and "ties" not in written
+    groups = spark.createDataFrame([("SRLG:g", "L:3"), ("SRLG:g", "N:1")], "group string, member string")
+    assert sets(groups) == {(("L:3", "N:1", "N:2", "SRLG:g"), "0", "SRLG:g"), (("L:3", "N:1", "SRLG:g"), "0", "SRLG:g"), (("L:1", "L:2"), None, None)}
