@@ -29,33 +29,51 @@ def propagate(scenarios: DataFrame, vertices: DataFrame, edges: DataFrame, templ
     one alarm is worked on once for a scenario; its symptom keeps its first place: by level, place of its cause, target
     and rule.
     """
-    kinds = vertices.select("id", F.coalesce("object_type", object_type(F.col("id"))).alias("kind"))
-    rules = templates.withColumn("rule", F.monotonically_increasing_id())
-    rules = settle(rules, "rules")
-    source, target = kinds.select(F.col("id").alias("src"), F.col("kind").alias("trigger_type")), kinds.select(F.col("id").alias("dst"), F.col("kind").alias("effect_type"))
-    fires = edges.join(rules, "relation").join(source, ["src", "trigger_type"]).join(target, ["dst", "effect_type"])
-    fires = settle(fires.select("src", F.col("trigger_alarm").alias("alarm_type"), "dst", "effect_alarm", "rule"), "fires")
-    front = settle(scenarios.select("scenario_id", F.col("origin").alias("moid"), "alarm_type", F.lit(0).cast("long").alias("place"), F.lit(0).alias("level")), "front")
-    done = front
+    kinds = settle(vertices.select("id", F.coalesce("object_type", object_type(F.col("id"))).alias("kind")).distinct(), "kinds")
+    rules = settle(templates.withColumn("rule", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("long")), "rules")
+    pack = rules.collect()
+    relations, many = sorted({r.relation for r in pack if r.relation is not None}), max(1, len(pack))
+    walk = settle(edges.where(F.col("relation").isin(relations)).select("src", "dst", "relation"), "walk")
+    alarms = {r.alarm_type for r in scenarios.join(rules, F.col("alarm_type") == F.col("trigger_alarm"), "left_semi").select("alarm_type").distinct().collect()}
+    met = set(alarms)
+    front = scenarios.select("scenario_id", F.col("origin").alias("moid"), "alarm_type", F.lit(0).cast("long").alias("place"), F.lit(0).alias("level"))
+    triggers = {r.trigger_type for r in pack if r.trigger_alarm in alarms}
+    known = kinds.where(F.col("kind").isin(triggers)).groupBy(F.col("id").alias("moid")).agg(F.collect_set("kind").alias("kinds"))
+    done = settle(front, "front")
+    front = done.join(known, "moid")
     by_scenario = Window.partitionBy("scenario_id").orderBy("place", "moid", "rule")
     near, level = None, 0
     while True:
         level += 1
-        new = front.join(fires, (front["moid"] == fires["src"]) & (front["alarm_type"] == fires["alarm_type"])).select("scenario_id", F.col("dst").alias("moid"), F.col("effect_alarm").alias("alarm_type"), "place", "rule")
-        new = new.groupBy("scenario_id", "moid", "alarm_type").agg(F.min(F.struct("place", "rule")).alias("first")).select("scenario_id", "moid", "alarm_type", "first.*")
-        new = new.join(done.select("scenario_id", "moid", "alarm_type"), ["scenario_id", "moid", "alarm_type"], "left_anti")
+        # only rules that the last level can set off, and only edges and types that these ask for
+        live = [r for r in pack if r.trigger_alarm in alarms]
+        alarms = {r.effect_alarm for r in live}
+        if not live:
+            break
+        triggers = {r.trigger_type for r in pack if r.trigger_alarm in alarms}
+        some = F.broadcast(rules.where(F.col("rule").isin([r.rule for r in live])).withColumnRenamed("relation", "by"))
+        set_off = front.join(some, (F.col("alarm_type") == F.col("trigger_alarm")) & F.array_contains("kinds", F.col("trigger_type"))).select("scenario_id", F.col("moid").alias("src"), "by", "effect_type", "effect_alarm", (F.col("place") * many + F.col("rule")).alias("turn"))
+        crossed = walk.where(F.col("relation").isin(sorted({r.relation for r in live if r.relation is not None})))
+        new = set_off.join(crossed, "src").where("relation = by").groupBy("scenario_id", F.col("dst").alias("moid"), F.col("effect_alarm").alias("alarm_type"), "effect_type").agg(F.min("turn").alias("turn"))
+        typed = kinds.where(F.col("kind").isin({r.effect_type for r in live} | triggers)).withColumnRenamed("id", "moid")
+        first, goes_on = F.min(F.when(F.col("kind") == F.col("effect_type"), F.col("turn"))), F.collect_set(F.when(F.col("kind").isin(triggers), F.col("kind")))
+        new = new.join(typed, "moid").groupBy("scenario_id", "moid", "alarm_type").agg(first.alias("turn"), goes_on.alias("kinds")).where("turn is not null")
+        if met & alarms:
+            earlier = done.where(F.col("alarm_type").isin(met & alarms)).select("scenario_id", "moid", "alarm_type")
+            new = new.join(earlier, ["scenario_id", "moid", "alarm_type"], "left_anti")
+        met |= alarms
+        new = new.select("scenario_id", "moid", "alarm_type", "kinds", F.expr(f"turn div {many}").alias("place"), (F.col("turn") % many).alias("rule"))
         if level > depth:  # objects of earlier levels are no farther than their level
             if near is None:
                 starts = scenarios.select(F.col("origin").alias("id")).distinct()
-                relations = [r["relation"] for r in rules.select("relation").distinct().collect()]
                 walked = graph.traverse(vertices, edges, starts, relations, depth).select(F.col("start").alias("origin"), F.col("id").alias("moid"))
                 near = walked.unionByName(starts.select(F.col("id").alias("origin"), F.col("id").alias("moid"))).distinct()
                 near = settle(scenarios.select("scenario_id", "origin").distinct().join(near, "origin").select("scenario_id", "moid"), "closure")
             new = new.join(near, ["scenario_id", "moid"], "left_semi")
-        front = settle(new.select("scenario_id", "moid", "alarm_type", (F.row_number().over(by_scenario) - 1).cast("long").alias("place"), F.lit(level).alias("level")), "front")
+        front = settle(new.select("scenario_id", "moid", "alarm_type", "kinds", (F.row_number().over(by_scenario) - 1).cast("long").alias("place"), F.lit(level).alias("level")), "front")
         if front.isEmpty():
             break
-        done = done.unionByName(front)
+        done = done.unionByName(front.drop("kinds"))
     order = Window.partitionBy("scenario_id").orderBy("level", "place")
     return done.select("scenario_id", (F.row_number().over(order) - 1).alias("position"), "alarm_type", "moid")
 

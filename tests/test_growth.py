@@ -39,6 +39,16 @@ def test_traversal_reads_edges_once(spark, written):
     assert sorted(tuple(r) for r in got) == [("A", "B", 1), ("A", "C", 2)] and written.count("walk") == 1
 
 
+def test_propagation_stops_where_no_rule_goes_on(spark, written):
+    templates = spark.createDataFrame([("R", "A", "x", "B", "y"), ("S", "B", "y", "C", "z")], "relation string, trigger_type string, trigger_alarm string, effect_type string, effect_alarm string")
+    edges = spark.createDataFrame([("a1", "b1", "R"), ("a1", "b2", "R"), ("b1", "c1", "S"), ("b2", "c1", "S"), ("a1", "c1", "R"), ("c1", "a1", "R")], "src string, dst string, relation string")
+    vertices = spark.createDataFrame([("a1", "A"), ("b1", "B"), ("b2", "B"), ("b2", "D"), ("c1", "C")], "id string, object_type string")  # b2 has two types
+    start = spark.createDataFrame([("sc", "a1", "x")], "scenario_id string, origin string, alarm_type string")
+    got = codebook.propagate(start, vertices, edges, templates).orderBy("position").collect()
+    assert [(r.position, r.alarm_type, r.moid) for r in got] == [(0, "x", "a1"), (1, "y", "b1"), (2, "y", "b2"), (3, "z", "c1")]
+    assert written.count("front") == 3 and "fires" not in written  # no level after the last rule
+
+
 def test_lost_nodes_alone_need_no_whole_graph_and_free_ones_do(spark, written):
     vertices = spark.createDataFrame([("N:1", "0"), ("N:2", "0"), ("L:1", None), ("L:2", None), ("L:3", None), ("SRLG:g", None)], "id string, area string")
     edges = spark.createDataFrame([("N:1", "N:2", "R"), ("L:1", "L:2", "R"), ("L:2", "L:1", "R")], "src string, dst string, relation string")
