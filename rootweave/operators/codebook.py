@@ -97,11 +97,15 @@ def complete(signatures: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return signatures
 
 
+def reached(signatures: DataFrame, trails: DataFrame) -> DataFrame:
+    """scenario_id, trail_id and position of every trail that a scenario reaches, with its first symptom there."""
+    members = trails.select("trail_id", F.explode("members").alias("moid"))
+    return signatures.join(members, "moid").groupBy("scenario_id", "trail_id").agg(F.min("position").alias("position"))
+
+
 def tagged(signatures: DataFrame, trails: DataFrame) -> DataFrame:
     """scenario_id and trail_ids: trails of its symptoms' objects, in the order in which the symptoms reach them."""
-    members = trails.select("trail_id", F.explode("members").alias("moid"))
-    first = signatures.join(members, "moid").groupBy("scenario_id", "trail_id").agg(F.min("position").alias("position"))
-    return first.groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("position", "trail_id"))).alias("t")).select("scenario_id", F.col("t.trail_id").alias("trail_ids"))
+    return reached(signatures, trails).groupBy("scenario_id").agg(F.array_sort(F.collect_list(F.struct("position", "trail_id"))).alias("t")).select("scenario_id", F.col("t.trail_id").alias("trail_ids"))
 
 
 def root_tokens(signatures: DataFrame, scenarios: DataFrame) -> DataFrame:

@@ -57,3 +57,10 @@ def test_lost_nodes_alone_need_no_whole_graph_and_free_ones_do(spark, written):
     assert "linked" in written and "ties" not in written
     groups = spark.createDataFrame([("SRLG:g", "L:3"), ("SRLG:g", "N:1")], "group string, member string")
     assert sets(groups) == {(("L:3", "N:1", "N:2", "SRLG:g"), "0", "SRLG:g"), (("L:3", "N:1", "SRLG:g"), "0", "SRLG:g"), (("L:1", "L:2"), None, None)}
+
+
+def test_reached_trails_are_rows(spark):
+    signatures = spark.createDataFrame([("s", 0, "a"), ("s", 1, "b"), ("t", 0, "b")], "scenario_id string, position int, moid string")
+    found = spark.createDataFrame([("T1", ["b"]), ("T2", ["a", "b"])], "trail_id string, members array<string>")
+    assert {tuple(r) for r in codebook.reached(signatures, found).collect()} == {("s", "T1", 1), ("s", "T2", 0), ("t", "T1", 0), ("t", "T2", 0)}
+    assert {r.scenario_id: r.trail_ids for r in codebook.tagged(signatures, found).collect()} == {"s": ["T2", "T1"], "t": ["T1", "T2"]}
