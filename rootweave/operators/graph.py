@@ -73,7 +73,11 @@ def edges_among(edges: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def hierarchy_counts(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    """relation, edges, sources and targets (different ones, null not counted); each end is counted by itself, so no edge is tripled."""
+    none = F.lit(0).cast("long")
+    by_source = edges.groupBy("relation", "src").agg(F.count("*").alias("edges")).select("relation", "edges", F.col("src").isNotNull().cast("long").alias("sources"), none.alias("targets"))
+    by_target = edges.select("relation", "dst").distinct().select("relation", none.alias("edges"), none.alias("sources"), F.col("dst").isNotNull().cast("long").alias("targets"))
+    return by_source.unionByName(by_target).groupBy("relation").agg(*[F.sum(c).alias(c) for c in ("edges", "sources", "targets")])
 
 
 def area_count(vertices: DataFrame, area: str = "area") -> DataFrame:

@@ -64,3 +64,10 @@ def test_reached_trails_are_rows(spark):
     found = spark.createDataFrame([("T1", ["b"]), ("T2", ["a", "b"])], "trail_id string, members array<string>")
     assert {tuple(r) for r in codebook.reached(signatures, found).collect()} == {("s", "T1", 1), ("s", "T2", 0), ("t", "T1", 0), ("t", "T2", 0)}
     assert {r.scenario_id: r.trail_ids for r in codebook.tagged(signatures, found).collect()} == {"s": ["T2", "T1"], "t": ["T1", "T2"]}
+
+
+def test_counts_of_ends_triple_no_edge(spark):
+    rows = [("a", "x", "R"), ("a", "x", "R"), ("b", None, "R"), (None, "y", None), ("a", "y", None)]
+    counts = graph.hierarchy_counts(spark.createDataFrame(rows, "src string, dst string, relation string"))
+    assert {tuple(r) for r in counts.collect()} == {("R", 3, 2, 1), (None, 2, 1, 1)}
+    assert "Expand" not in plan(counts)
