@@ -71,3 +71,8 @@ def test_counts_of_ends_triple_no_edge(spark):
     counts = graph.hierarchy_counts(spark.createDataFrame(rows, "src string, dst string, relation string"))
     assert {tuple(r) for r in counts.collect()} == {("R", 3, 2, 1), (None, 2, 1, 1)}
     assert "Expand" not in plan(counts)
+
+
+def test_conflict_candidates_are_dealt_once_before_the_winners(spark):
+    found = plan(conflict_winners(spark, "/root/testdata/sf0.001"))
+    assert found.count("Exchange hashpartitioning") == 2 and "HashAggregate" not in found
