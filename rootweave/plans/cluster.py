@@ -8,7 +8,7 @@ definition holds between cells of equal features, each with the time that the di
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,64 +68,99 @@ def clustered_by_features(rows: DataFrame, kinds: dict[str, float], eps: float,
     differs from every number by more than any distance but from null by nothing.
 
     No pairs of points are made. Rows with equal features form a cell; two cells that are within eps leave some time in
-    which their points are neighbours. Counts within that time are differences of running counts; chains of core points of
-    one cell, and the nearest core points of other cells before and after a point, give the links of which clusters are
-    components. Work grows with the rows times the cells near them, so with the features' values, not with pairs of rows.
+    which their points are neighbours. A point that is core by the points of its own cell asks no other cell. For the rest,
+    counts within that time are differences of running counts. Core points of one cell form chains; the nearest core points
+    of other cells before and after a chain's start link it to theirs, and only chains that overlap in time and are not in
+    one component by then are compared point by point. So work grows with the rows, and with the cells near those rows
+    that have few of their own cell around them.
     """
     numbers = numbers or {}
     group, features = ["trail_id", "window_us"], [*kinds, *numbers]
     rows = settle(rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", F.struct(*features)), "rows")
-    cells = rows.select(*group, "_cell").distinct()
-    other = cells.select(*group, F.col("_cell").alias("_near"))
+    # cells have numbers, so that what is sorted and dealt is short; a row without trail or window has no neighbours
+    cells = settle(rows.where("trail_id is not null and window_us is not null").select(*group, "_cell").distinct().withColumn("_id", F.monotonically_increasing_id()), "cells")
+    other = cells.select(*group, F.col("_cell").alias("_other"), F.col("_id").alias("_near"))
     apart = F.lit(0.0)
     for f, weight in kinds.items():
-        apart = apart + F.when(F.col(f"_cell.{f}").eqNullSafe(F.col(f"_near.{f}")), 0.0).otherwise(float(weight))
+        apart = apart + F.when(F.col(f"_cell.{f}").eqNullSafe(F.col(f"_other.{f}")), 0.0).otherwise(float(weight))
     for f, weight in numbers.items():
-        x, y = F.col(f"_cell.{f}"), F.col(f"_near.{f}")
+        x, y = F.col(f"_cell.{f}"), F.col(f"_other.{f}")
         apart = apart + F.when(x.isNull() & y.isNull(), 0.0).otherwise(F.coalesce(F.abs(x - y) * float(weight), F.lit(float("inf"))))
     # how far apart in time points of the two cells may be
-    reach = cells.join(other, group).withColumn("_apart", apart).where(F.col("_apart") <= eps).select(*group, "_cell", "_near", F.floor((F.lit(float(eps)) - F.col("_apart")) * scale_us).cast("long").alias("_reach"))
-    points = rows.select(*group, "_row", F.col("raised_us").alias("at"), "alarm_id", "_cell")
-    probes = settle(points.join(reach, [*group, "_cell"]).select(*group, "_row", "at", "_near", "_reach"), "probes")
+    reach = cells.join(other, group).withColumn("_apart", apart).where(F.col("_apart") <= eps)
+    reach = settle(reach.select("_id", "_near", F.floor((F.lit(float(eps)) - F.col("_apart")) * scale_us).cast("long").alias("_reach")), "reach")
+    own = cells.join(reach.where("_id = _near").select("_id", F.col("_reach").alias("_own")), "_id", "left")
+    points = rows.join(own, [*group, "_cell"]).select("_row", F.col("raised_us").alias("at"), "alarm_id", "_id", "_own")
+    # core by its own cell: some so many before and the rest of the fewest after it are near enough; sufficient, and cheap
+    line, before = Window.partitionBy("_id").orderBy("at"), max(fewest, 1) - 1
+    fits = [(F.lead("at", before - k).over(line) - F.col("at") <= F.col("_own")) & (F.col("at") - F.lag("at", k).over(line) <= F.col("_own")) for k in {0, before // 2, before}]
+    points = settle(points.withColumn("_sure", F.coalesce(reduce(or_, [F.coalesce(x, F.lit(False)) for x in fits]), F.lit(False))), "points")
+    probes = settle(points.where("not _sure").join(reach, "_id").select("_row", "at", "_near", "_reach"), "probes")
 
     # neighbours: points up to the end of the reach, less points before its beginning
-    place = Window.partitionBy(*group, "_near").orderBy("_at", "_turn")
-    stand = points.select(*group, F.lit(None).cast("long").alias("_row"), F.col("_cell").alias("_near"), F.col("at").alias("_at"), F.lit(1).alias("_turn"))
-    begin = probes.select(*group, "_row", "_near", (F.col("at") - F.col("_reach")).alias("_at"), F.lit(0).alias("_turn"))
-    end = probes.select(*group, "_row", "_near", (F.col("at") + F.col("_reach")).alias("_at"), F.lit(2).alias("_turn"))
+    place = Window.partitionBy("_near").orderBy("_at", "_turn")
+    stand = points.select(F.lit(None).cast("long").alias("_row"), F.col("_id").alias("_near"), F.col("at").alias("_at"), F.lit(1).alias("_turn"))
+    begin = probes.select("_row", "_near", (F.col("at") - F.col("_reach")).alias("_at"), F.lit(0).alias("_turn"))
+    end = probes.select("_row", "_near", (F.col("at") + F.col("_reach")).alias("_at"), F.lit(2).alias("_turn"))
     so_far = F.count(F.when(F.col("_turn") == 1, 1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
     counted = stand.unionByName(begin).unionByName(end).withColumn("_n", so_far).where("_row is not null")
     near = counted.groupBy("_row").agg(F.sum(F.when(F.col("_turn") == 2, F.col("_n")).otherwise(-F.col("_n"))).alias("_n"))
-    core = settle(points.join(near.where(F.col("_n") >= fewest).select("_row"), "_row"), "core")
-
-    # chains: core points of one cell with no gap beyond eps; a chain is named by its first row
-    line = Window.partitionBy(*group, "_cell").orderBy("at", "_row")
-    fresh = F.coalesce(F.col("at") - F.lag("at").over(line) > int(eps * scale_us), F.lit(True))
-    core = core.withColumn("_fresh", F.when(fresh, F.col("_row"))).withColumn("chain", F.last("_fresh", ignorenulls=True).over(line)).drop("_fresh")
-    core = settle(core, "chains")
-
-    # the nearest core points of each near cell, before and after
-    sides = []
-    ask = probes.select(*group, "_row", "_near", "at", "_reach", F.lit(None).cast("long").alias("chain"))
-    have = core.select(*group, F.lit(None).cast("long").alias("_row"), F.col("_cell").alias("_near"), "at", F.lit(None).cast("long").alias("_reach"), "chain")
-    for direction in (F.asc, F.desc):
-        seen = Window.partitionBy(*group, "_near").orderBy(direction("at"), F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last(F.when(F.col("chain").isNotNull(), F.struct("at", "chain")), ignorenulls=True).over(seen)
-        both = have.unionByName(ask).withColumn("_core", found).where("_row is not null and _core is not null")
-        sides.append(both.where(F.abs(F.col("_core.at") - F.col("at")) <= F.col("_reach")).select(*group, "_row", F.col("_core.chain").alias("chain")))
-    touching = settle(sides[0].unionByName(sides[1]).distinct(), "touching")
-    own = core.select("_row", F.col("chain").alias("_own"))
-    links = touching.join(own, "_row").where("_own <> chain").select(*group, F.col("_own").alias("a"), F.col("chain").alias("b")).distinct()
-    roots = components(links, group).select(F.col("node").alias("chain"), "root")
-    whole = core.join(roots, "chain", "left").withColumn("root", F.coalesce("root", "chain"))
-    first = whole.groupBy(*group, "root").agg(F.min(F.struct("at", "alarm_id")).alias("first"))
+    core = points.where("_sure").unionByName(points.where("not _sure").join(near.where(F.col("_n") >= fewest).select("_row"), "_row"))
+
+    # chains: core points of one cell with no gap beyond their reach; a chain is named by its first row
+    line = Window.partitionBy("_id").orderBy("at", "_row")
+    fresh = F.coalesce(F.col("at") - F.lag("at").over(line) > F.col("_own"), F.lit(True))
+    core = core.withColumn("_fresh", F.when(fresh, F.col("_row"))).withColumn("chain", F.last("_fresh", ignorenulls=True).over(line))
+    core = settle(core.select("_row", "_id", "at", "alarm_id", "chain"), "core")
+    chains = settle(core.groupBy("_id", "chain").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.min(F.struct("at", "alarm_id")).alias("first")), "chains")
+
+    def nearest(asks: DataFrame) -> DataFrame:
+        """asks (at, _near and more) with the nearest core points of the cell asked, before and after, and whether each is in reach."""
+        more = [c for c in asks.columns if c not in ("at", "_near")]
+        have = core.select("at", F.col("_id").alias("_near"), *[F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in more], "chain")
+        both = have.unionByName(asks.withColumn("chain", F.lit(None).cast("long")))
+        sides = []
+        for direction in (F.asc, F.desc):
+            seen = Window.partitionBy("_near").orderBy(direction("at"), F.col("chain").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+            found = F.last(F.when(F.col("chain").isNotNull(), F.struct("at", "chain")), ignorenulls=True).over(seen)
+            met = both.withColumn("_core", found).where("chain is null and _core is not null")
+            within = F.abs(F.col("_core.at") - F.col("at")) <= F.col("_reach")
+            sides.append(met.select(*asks.columns, F.col("_core.chain").alias("chain"), within.alias("within"), F.lit(direction is F.asc).alias("before")))
+        return sides[0].unionByName(sides[1])
+
+    # what is not core asks all near cells; so does each chain, at its start
+    loose = probes.join(core.select("_row"), "_row", "left_anti").withColumn("begun", F.lit(None).cast("long"))
+    starts = chains.join(reach, "_id").where("_id <> _near").select(F.lit(None).cast("long").alias("_row"), F.col("start").alias("at"), "_near", "_reach", F.col("chain").alias("begun"))
+    asked = settle(nearest(loose.unionByName(starts)).where("within or (before and begun is not null)"), "asked")
+    links = asked.where("within and begun is not null").select(F.col("begun").alias("a"), F.col("chain").alias("b")).distinct()
+    tops = rooted(chains, "chain", components(links))
+
+    # of two chains in touch, the one that starts first still lasts at the other's start, or ends within reach before it
+    top = tops.select("chain", "end", "root")
+    pairs = asked.where("not within and begun is not null").join(top, "chain").where(F.col("end") > F.col("at")).drop("at")
+    pairs = pairs.join(tops.select(F.col("chain").alias("begun"), F.col("root").alias("_root")), "begun").where("root <> _root")
+    pairs = settle(pairs.select("begun", "_near", "_reach", (F.col("end") + F.col("_reach")).alias("_last")), "pairs")
+    if not pairs.isEmpty():
+        late = core.select("at", F.col("chain").alias("begun")).join(pairs, "begun").where(F.col("at") <= F.col("_last")).select("at", "_near", "_reach", "begun").distinct()
+        met = nearest(late).where("within").select("begun", "chain").distinct()
+        met = met.join(tops.select(F.col("chain").alias("begun"), F.col("root").alias("a")), "begun").join(tops.select("chain", F.col("root").alias("b")), "chain")
+        tops = rooted(tops.withColumnRenamed("root", "_was"), "_was", components(met.where("a <> b").select("a", "b").distinct())).drop("_was")
+
+    tops = tops.join(cells.select("_id", *group), "_id")
+    first = tops.groupBy(*group, "root").agg(F.min("first").alias("first"))
     number = F.row_number().over(Window.partitionBy(*group).orderBy("first", "root")) - 1
-    numbered = whole.select("chain", "root").distinct().join(first.withColumn("cluster", number), "root").select("chain", "cluster")
-    found = touching.select("_row", "chain").unionByName(core.select("_row", "chain")).join(numbered, "chain").groupBy("_row").agg(F.min("cluster").alias("cluster"))
-    # a core point touches only its own cluster, so that the first one is its own
+    numbered = tops.select("chain", "root").join(first.select("root", number.alias("cluster")), "root").select("chain", "cluster")
+    # a core point touches only its own cluster; others join the first one that they touch
+    found = asked.where("within and begun is null").select("_row", "chain").unionByName(core.select("_row", "chain")).join(numbered, "chain").groupBy("_row").agg(F.min("cluster").alias("cluster"))
     return rows.join(found, "_row", "left").drop("_row", "_cell")
 
 
+def rooted(chains: DataFrame, by: str, roots: DataFrame) -> DataFrame:
+    """chains with root: that of ``by``, which is its own root where it has no links."""
+    found = chains.join(roots.select(F.col("node").alias(by), "root"), by, "left")
+    return settle(found.withColumn("root", F.coalesce("root", by)), "tops")
+
+
 def run_stats(rows: DataFrame) -> DataFrame:
     """trail_id, window_us, alarms_in, clusters, alarms_kept, alarms_dropped, noise_ratio and storm_reduction (null without clusters)."""
     stats = rows.groupBy("trail_id", "window_us").agg(

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rootweave.operators import codebook, components, graph, trails
+from rootweave.plans import cluster
 from rootweave.queries import conflict_winners
 
 
@@ -76,3 +77,24 @@ def test_counts_of_ends_triple_no_edge(spark):
 def test_conflict_candidates_are_dealt_once_before_the_winners(spark):
     found = plan(conflict_winners(spark, "/root/testdata/sf0.001"))
     assert found.count("Exchange hashpartitioning") == 2 and "HashAggregate" not in found
+
+
+def test_points_among_their_own_kind_ask_no_other_cell(spark, monkeypatch):
+    sizes = {}
+    real = cluster.settle
+
+    def counted(frame, name):
+        sizes[name] = (done := real(frame, name)).count()
+        return done
+
+    monkeypatch.setattr(cluster, "settle", counted)
+    shape = "trail_id string, window_us long, alarm_id string, raised_us long, kind string"
+    mixed = lambda rows: {r.alarm_id: r.cluster for r in cluster.clustered_by_features(spark.createDataFrame([("T", 0, *x) for x in rows], shape), {"kind": 1.0}, 1.5, 3, 100).collect()}
+    dense = [(f"{k}{i:03}", 10 * i, k) for k in "abcd" for i in range(100)]
+    assert set(mixed([*dense, ("lone", 5000, "a")]).values()) == {0, None}
+    assert sizes["probes"] == 4 and sizes["asked"] < 40 and sizes["pairs"] == 0  # once 1,604 probes
+    # two chains overlap, are apart (by over 50) where the later one starts, and touch later on
+    far = [(f"a{i}", 140 * i, "a") for i in range(8)] + [(f"A{i}", 140 * i + 1, "a") for i in range(8)]
+    touch = [("b0", 210, "b"), ("b1", 212, "b"), ("b2", 214, "b"), ("b3", 330, "b"), ("b4", 380, "b")]
+    assert set(mixed(far + touch).values()) == {0} and sizes["pairs"] == 1
+    assert set(mixed(far + touch[:3]).values()) == {0, 1}
