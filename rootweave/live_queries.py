@@ -500,11 +500,12 @@ def streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame], D
     """rows as a stream of files in no order, through a step; what comes out, without the rows that end the stream."""
     folder = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
     last = rows.agg(F.max("raised_us")).first()[0]
-    rows.repartition(3, "alarm_id").write.parquet(f"{folder}/in")
+    files = spark.sparkContext.defaultParallelism  # of a batch, so that all cores write and read it; three batches
+    rows.repartition(3 * files, "alarm_id").write.parquet(f"{folder}/in")
     for k in (1, 2):  # long after all others: only then has the watermark passed them
         rows.limit(1).withColumn("moid", F.lit("end")).withColumn("raised_us", F.lit(last + k * 2 * 10**14)).write.mode("append").parquet(f"{folder}/in")
     live_streams.use_state_store(spark)
-    stream = live_streams.timed(wire.replay(spark, f"{folder}/in", rows.schema, 1), "2000 days")
+    stream = live_streams.timed(wire.replay(spark, f"{folder}/in", rows.schema, files), "2000 days")
     sink = step(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     sink.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").where("moid <> 'end'")

@@ -3,6 +3,9 @@
 Rows of one key wait in state until the watermark has passed them; then they are worked off in the order of event time, so
 that the result does not depend on which batch brought which row. Rows behind the watermark are dropped before they
 get here. Streams need event time in ``raised_at`` (``live.timed``) and the state store of ``live.use_state_store``.
+
+Keys are dealt to buckets. A call for each key costs far more than its few rows, so state, timer and output are a bucket's:
+what one batch brings it waits as one Arrow block. What is remembered is still kept by key.
 """
 
 from __future__ import annotations
@@ -10,24 +13,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from rootweave.plans.enrich import FLAP_WINDOW_US, FLAPS, HOLD_US
 
+#: Buckets of keys. A bucket's waiting rows are in memory when its timer fires.
+BUCKETS = 4096
+
 Row = tuple[int, str, str, str]  # at, rank, state, body
+WAITING = pa.schema([("at", pa.int64()), *[(c, pa.string()) for c in ("key", "rank", "state", "body")]])
+
+
+def packed(rows: pa.Table) -> tuple[int, bytes]:
+    """The first time in rows, and rows as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, WAITING, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(rows)
+    return pc.min(rows["at"]).as_py(), sink.getvalue().to_pybytes()
 
 
 class InOrder(StatefulProcessor):
-    """Base: ``advance`` takes rows in order with what is remembered of the key, and gives outcomes and the new memory."""
+    """Base: ``advance`` takes a key's rows in order with what is remembered of it, and gives outcomes and the new memory."""
 
     MEMORY = ""
+    #: Whether every memory has a deadline, so that it doesn't last.
+    PENDING = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, rank string, state string, body string")
-        self.memory = handle.getValueState("memory", self.MEMORY)
+        self.waiting = handle.getListState("waiting", "first long, rows binary")
+        self.memory = handle.getMapState("memory", "key string", self.MEMORY)
 
     def advance(self, rows: list[Row], memory: tuple | None) -> tuple[list[tuple[str, str]], tuple | None]:
         raise NotImplementedError
@@ -40,9 +59,8 @@ class InOrder(StatefulProcessor):
         """When ``overdue`` is to be asked, in microseconds."""
         return None
 
-    def wake(self, at: list[int]) -> None:
+    def wake(self, at: list[int], timers: list[int]) -> None:
         """One timer, at the first of the given times and those set before."""
-        timers = list(self.handle.listTimers())
         due = min([-(-t // 1000) for t in at] + timers, default=None)
         if due is not None and due not in timers:
             for timer in timers:
@@ -50,31 +68,53 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = []
         for part in rows:
-            new = list(zip(part["at"].astype(int).tolist(), part["rank"], part["state"], part["body"], strict=True))
-            self.waiting.appendList(new)
-            self.wake([min(new)[0]])
+            block = packed(pa.Table.from_pandas(part[WAITING.names], WAITING, preserve_index=False))
+            self.waiting.appendValue(block)
+            first.append(block[0])
+        self.wake(first, list(self.handle.listTimers()))
         yield pd.DataFrame([], columns=["body", "outcome"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted(tuple(r) for r in self.waiting.get()) if self.waiting.exists() else []
-        ripe, rest = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
-        memory = tuple(self.memory.get()) if self.memory.exists() else None
-        out, memory = self.advance(ripe, memory)
-        more, memory = self.overdue(now, memory)
-        if ripe:
-            if rest:
-                self.waiting.put(rest)
+    def ripe(self, now: int) -> tuple[dict[str, list[Row]], int | None]:
+        """Rows up to ``now`` by key, in order, which are taken from what waits; and the first time that still waits."""
+        held = [(first, bytes(rows)) for first, rows in self.waiting.get()] if self.waiting.exists() else []
+        left, found = [block for block in held if block[0] > now], {}
+        if len(left) < len(held):
+            rows = pa.concat_tables([pa.ipc.open_stream(rows).read_all() for first, rows in held if first <= now])
+            due = rows.filter(pc.less_equal(rows["at"], now)).sort_by([(c, "ascending") for c in ("at", "rank", "state", "body")])
+            for of, *row in zip(*[due[c].to_pylist() for c in ("key", "at", "rank", "state", "body")], strict=True):
+                found.setdefault(of, []).append(tuple(row))
+            rest = rows.filter(pc.greater(rows["at"], now))
+            left += [packed(rest)] if len(rest) else []
+            if left:
+                self.waiting.put(left)
             else:
                 self.waiting.clear()
-        if memory is None:
-            self.memory.clear()
-        else:
-            self.memory.update(memory)
-        end = self.deadline(memory)
-        self.wake([r[0] for r in rest[:1]] + ([end] if end is not None else []))
-        yield pd.DataFrame(out + more, columns=["body", "outcome"])
+        return found, min([block[0] for block in left], default=None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        found, first = self.ripe(now)
+        known, out = self.memory.exists(), []
+        memories = {k[0]: tuple(m) for k, m in self.memory.iterator()} if known and self.PENDING else {}
+        if known and not self.PENDING:
+            memories = {k: tuple(self.memory.getValue((k,))) for k in found if self.memory.containsKey((k,))}
+        ends = []
+        for k in dict.fromkeys([*found, *memories]):
+            was = memories.get(k)
+            got, memory = self.advance(found.get(k, []), was)
+            more, memory = self.overdue(now, memory)
+            out += got + more
+            if memory is not None and memory != was:
+                self.memory.updateValue((k,), memory)
+            elif memory is None and was is not None:
+                self.memory.removeKey((k,))
+            end = self.deadline(memory)
+            ends += [end] if end is not None else []
+        # the timer that fires is still listed, and goes when this is done
+        self.wake(ends + ([first] if first is not None else []), [t for t in self.handle.listTimers() if t * 1000 > now])
+        yield pd.DataFrame(out, columns=["body", "outcome"])
 
     def close(self) -> None:
         pass
@@ -92,7 +132,7 @@ class FirstDelivery(InOrder):
 class HoldDown(InOrder):
     """A raise is held until the next row of its key, or until the hold time is over; a clear in time takes it away with itself."""
 
-    MEMORY = "at long, body string"
+    MEMORY, PENDING = "at long, body string", True
 
     def __init__(self, hold_us: int) -> None:
         self.hold_us = hold_us
@@ -149,8 +189,9 @@ def in_order(alarms: DataFrame, keys: list[str], rank: Column, processor: InOrde
     """alarms with outcome, through a processor, key by key; columns are as they were."""
     columns = [c for c in alarms.columns if c != "raised_at"]
     schema = alarms.select(*columns).schema
-    rows = alarms.select(*[F.col(k).alias(f"_{k}") for k in keys], "raised_at", F.col("raised_us").alias("at"), rank.alias("rank"), "state", F.to_json(F.struct(*columns)).alias("body"))
-    found = rows.groupBy(*[f"_{k}" for k in keys]).transformWithStateInPandas(processor, outputStructType="body string, outcome string", outputMode="append", timeMode="EventTime")
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
+    rows = alarms.select(bucket.alias("bucket"), "raised_at", F.col("raised_us").alias("at"), F.to_json(F.struct(*keys)).alias("key"), rank.alias("rank"), "state", F.to_json(F.struct(*columns)).alias("body"))
+    found = rows.groupBy("bucket").transformWithStateInPandas(processor, outputStructType="body string, outcome string", outputMode="append", timeMode="EventTime")
     return found.select(F.from_json("body", schema).alias("row"), "outcome").select("row.*", "outcome")
 
 

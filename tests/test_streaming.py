@@ -104,6 +104,26 @@ def test_first_deliveries_equal_batch(spark, tmp_path):
     assert sum(x.outcome == "duplicate" for x in found) == 50 and sum(x.outcome == "not an alarm" for x in found) == 2
 
 
+def test_keys_share_state_and_timers(spark, tmp_path, monkeypatch):
+    """Two buckets of 40 objects; the watermark passes a few rows at a time, and most objects have no more rows by then."""
+    live.use_state_store(spark)
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    r = random.Random(6)
+    rows = [(f"a{i:04}", f"N:{i // 20 + r.randrange(10)}" if i % 9 else None, r.choice("xy"), r.choice(["raised", "raised", "cleared"]), (i + 1) * SECOND // 4, []) for i in range(600)]
+    rows += [(f"z{i}", "end", "x", "raised", (160 + i * 10**4) * SECOND, []) for i in range(2)]
+    batch = spark.createDataFrame(rows, ALARM)
+    for i in range(0, len(rows), 100):
+        spark.createDataFrame(r.sample(rows[i : i + 100], len(rows[i : i + 100])), ALARM).coalesce(1).write.mode("append").parquet(str(tmp_path / "k"))
+    stream = lambda: live.timed(wire.replay(spark, str(tmp_path / "k"), ALARM, 1), "40 seconds")
+    key = lambda f: sorted((x.alarm_id, x.moid or "", x.state, x.raised_us) for x in f.where("coalesce(moid, '') <> 'end'").collect())
+    for step, plain, parameters in ((ordered.without_self_clears, enrich.without_self_clears, (3 * SECOND,)),):
+        frame, name = step(stream(), *parameters), f"shared_{step.__name__}"
+        q = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination(240)
+        assert key(spark.table(name)) == key(plain(batch, *parameters))
+        assert q.recentProgress[0].stateOperators[0].numRowsTotal <= 12  # blocks, counts and timers of two buckets; once three rows or more an alarm
+
+
 class Killed(state.LiveTable):
     """Dies once, after the state is written and before the manifest is."""
 
