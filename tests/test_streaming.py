@@ -116,7 +116,7 @@ def test_keys_share_state_and_timers(spark, tmp_path, monkeypatch):
         spark.createDataFrame(r.sample(rows[i : i + 100], len(rows[i : i + 100])), ALARM).coalesce(1).write.mode("append").parquet(str(tmp_path / "k"))
     stream = lambda: live.timed(wire.replay(spark, str(tmp_path / "k"), ALARM, 1), "40 seconds")
     key = lambda f: sorted((x.alarm_id, x.moid or "", x.state, x.raised_us) for x in f.where("coalesce(moid, '') <> 'end'").collect())
-    for step, plain, parameters in ((ordered.without_self_clears, enrich.without_self_clears, (3 * SECOND,)),):
+    for step, plain, parameters in ((ordered.without_self_clears, enrich.without_self_clears, (3 * SECOND,)), (ordered.without_flapping, enrich.without_flapping, (20 * SECOND, 2))):
         frame, name = step(stream(), *parameters), f"shared_{step.__name__}"
         q = frame.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination(240)
