@@ -496,17 +496,31 @@ def live_state(spark: SparkSession, d: str) -> DataFrame:
     return live_table.lifecycle().join(published, "alarm_id", "left")
 
 
-def streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows as a stream of files in no order, through a step; what comes out, without the rows that end the stream."""
+#: Rows of a bucket and buckets of a state partition at which a stream of known size aims.
+BUCKET_ROWS, PARTITION_BUCKETS = 16_384, 32
+
+
+def streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """rows as a stream of files in no order, through a step; what comes out, without the rows that end the stream.
+
+    Buckets and state partitions come from the number of rows: each of them costs a call or a commit a batch, however few rows it has.
+    """
     folder = f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
-    last = rows.agg(F.max("raised_us")).first()[0]
+    last, n = rows.agg(F.max("raised_us"), F.count("*")).first()
     files = spark.sparkContext.defaultParallelism  # of a batch, so that all cores write and read it; three batches
+    buckets = max(8 * files, n // BUCKET_ROWS)
     rows.repartition(3 * files, "alarm_id").write.parquet(f"{folder}/in")
     for k in (1, 2):  # long after all others: only then has the watermark passed them
         rows.limit(1).withColumn("moid", F.lit("end")).withColumn("raised_us", F.lit(last + k * 2 * 10**14)).write.mode("append").parquet(f"{folder}/in")
     live_streams.use_state_store(spark)
     stream = live_streams.timed(wire.replay(spark, f"{folder}/in", rows.schema, files), "2000 days")
-    sink = step(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    writer = step(stream, buckets).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # a started stream has its settings to itself
+        spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), max(2 * files, buckets // PARTITION_BUCKETS))))
+        sink = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
     sink.awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out").where("moid <> 'end'")
 
@@ -514,12 +528,12 @@ def streamed(spark: SparkSession, rows: DataFrame, step: Callable[[DataFrame], D
 @query()
 def streamed_self_clears(spark: SparkSession, d: str) -> DataFrame:
     rows = alarms(spark, d).withColumn("state", F.when(F.col("alarm_type") == "error", "cleared").otherwise("raised")).withColumn("alarm_type", F.lit("any"))
-    return streamed(spark, rows, lambda s: ordered.without_self_clears(s, 4 * HOUR)).select("alarm_id", "state")
+    return streamed(spark, rows, lambda s, buckets: ordered.without_self_clears(s, 4 * HOUR, buckets)).select("alarm_id", "state")
 
 
 @query()
 def streamed_flapping(spark: SparkSession, d: str) -> DataFrame:
-    return streamed(spark, alarms(spark, d), lambda s: ordered.without_flapping(s, 48 * HOUR, 1)).select("alarm_id")
+    return streamed(spark, alarms(spark, d), lambda s, buckets: ordered.without_flapping(s, 48 * HOUR, 1, buckets)).select("alarm_id")
 
 
 # the streams give what the batch forms give

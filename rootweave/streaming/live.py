@@ -115,8 +115,9 @@ def correlated(rows: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
 
 
 def use_state_store(spark: SparkSession) -> None:
-    """Timers and value states need this store."""
+    """Timers and value states need this store. A commit writes what has changed; whole snapshots are written beside the batches."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def split_rejects(decoded: DataFrame, good: str, bad: str, checkpoint: str):

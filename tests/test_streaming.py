@@ -1,13 +1,16 @@
 """Streams of recorded files give what the batch forms give."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from rootweave import live_queries
 from rootweave.plans import alarms as alarm_plans
 from rootweave.plans import correlate, enrich
 from rootweave.queries import patterns
+from rootweave.session import shared_dir
 from rootweave.sources import adapters, wire
 from rootweave.streaming import decoding, live, ordered, state
 
@@ -124,6 +127,40 @@ def test_keys_share_state_and_timers(spark, tmp_path, monkeypatch):
         assert q.recentProgress[0].stateOperators[0].numRowsTotal <= 12  # blocks, counts and timers of two buckets; once three rows or more an alarm
 
 
+def test_memory_of_many_keys_is_a_few_rows(spark, tmp_path, monkeypatch):
+    """200 objects in two buckets, over three firings: a row and a call an object, as it was, grow with the objects."""
+    live.use_state_store(spark)
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    r = random.Random(12)
+    rows = [(f"a{i:04}", f"N:{r.randrange(200)}", "x", r.choice(["raised", "cleared"]), (i + 1) * SECOND // 4, []) for i in range(2400)]
+    rows += [(f"z{i}", "end", "x", "raised", (10**4 + i * 10**4) * SECOND, []) for i in range(2)]
+    for i in range(0, len(rows), 801):
+        spark.createDataFrame(r.sample(rows[i : i + 801], len(rows[i : i + 801])), ALARM).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    stream = live.timed(wire.replay(spark, str(tmp_path / "m"), ALARM, 1), "250 seconds")
+    q = ordered.without_flapping(stream, 200 * SECOND, 2).writeStream.format("memory").queryName("many").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    key = lambda f: sorted(x.alarm_id for x in f.where("moid <> 'end'").collect())
+    expected = key(enrich.without_flapping(spark.createDataFrame(rows, ALARM), 200 * SECOND, 2))
+    assert key(spark.table("many")) == expected and 0 < len(expected) < 2400
+    assert q.lastProgress.stateOperators[0].numRowsTotal <= 12  # four pieces of memory and what waits, in two buckets; once over 200
+
+
+def test_state_partitions_follow_the_rows(spark):
+    """Each partition costs a commit a batch: few rows don't pay for the partitions that a session has for its largest shuffles."""
+    folders = lambda: set(Path(shared_dir(spark)).glob("streamed-*"))
+    was, partitions = folders(), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        found = live_queries.streamed_flapping(spark, SF)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    expected = enrich.without_flapping(adapters.alarms(spark, SF), 48 * 3600 * SECOND, 1)
+    assert sorted(x.alarm_id for x in found.collect()) == sorted(x.alarm_id for x in expected.collect())
+    (folder,) = folders() - was
+    assert len([x for x in (folder / "checkpoint/state/0").iterdir() if x.name.isdigit()]) == 2 * spark.sparkContext.defaultParallelism  # once 40
+
+
 class Killed(state.LiveTable):
     """Dies once, after the state is written and before the manifest is."""
 
