@@ -349,6 +349,45 @@ def test_snapshots_count_from_their_commit_on(spark, tmp_path):
     assert held() == ([("S5", 0, False), ("S9", 2, True)], ["Node:S9"], ["S3", "S5", "S9"])  # S3 is evicted, its event stays
 
 
+def test_repeated_ingest_knows_its_evicted_snapshots(spark, tmp_path):
+    text = '{"schemaVersion":1,"snapshotId":"%s","domain":"d","nodes":[{"managedObjectId":"Node:%s","objectType":"Node"}],"edges":[]}'
+    texts = lambda *names: spark.createDataFrame([(n, text % (n, n)) for n in names], "key string, value string")
+    words = spark.createDataFrame([("d", "objectType", "Node")], "domain string, kind string, term string")
+    at = F.substring("snapshotId", 2, 9).cast("long")
+    store = commit.SnapshotStore(spark, str(tmp_path), 2)
+    held = lambda: (sorted((r.snapshot, r.built_at, r.version, r.current) for r in store.manifest().collect()), sorted(r.snapshotId for r in store.events().collect()))
+    every = texts("S1", "S2", "S3", "S4", "S5")
+    store.commit(every, words, at)
+    first = held()
+    assert first == ([("S4", 4, 0, False), ("S5", 5, 0, True)], ["S4", "S5"])
+    store.commit(every, words, at)
+    assert held() == first and store.newest() == 0 and sorted(x.name for x in (tmp_path / "vertices").iterdir()) == ["ingest=0"]
+    store.commit(texts("S9"), words, at)
+    store.commit(every.unionByName(texts("S9")), words, at)
+    assert held()[0] == [("S5", 5, 0, False), ("S9", 9, 1, True)] and store.newest() == 1
+    store.commit(every.unionByName(texts("S6")), words, at)  # only what is new
+    assert held() == ([("S6", 6, 2, False), ("S9", 9, 1, True)], ["S4", "S5", "S6", "S9"])
+    assert [r.id for r in store.read("vertices", "domain string, snapshot string, id string").where("ingest = 2").collect()] == ["Node:S6"]
+    store.commit(texts("S9"), words, F.lit(1).cast("long"))  # built earlier than was said
+    assert held()[0] == [("S6", 6, 2, True), ("S9", 1, 3, False)]
+    store.commit(every, words, at)  # S5 would be kept now
+    assert held()[0] == [("S5", 5, 4, False), ("S6", 6, 2, True)]
+    store.commit(texts("S9"), words, F.lit(1).cast("long"))
+    assert store.newest() == 4
+    store.commit(texts("S9"), words, at)  # with its old time, which is not the last that it came with
+    assert held()[0] == [("S6", 6, 2, False), ("S9", 9, 5, True)]
+
+
+def test_committed_snapshots_ingests_each_half_whole(spark, tmp_path, monkeypatch):
+    taken, whole = [], commit.SnapshotStore.commit
+    monkeypatch.setattr(commit.SnapshotStore, "commit", lambda self, raw, *rest: (taken.append({r.key for r in raw.select("key").collect()}), whole(self, raw, *rest))[1])
+    spark.range(10, 70).selectExpr("id as c_custkey", "id % 5 as c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = store_queries.committed_snapshots(spark, str(tmp_path)).collect()
+    even, odd = ({f"f{k}" for k in range(first, 70, 2)} for first in (10, 11))
+    assert taken == [even, odd, odd, even]
+    assert {(r.snapshot, r.version) for r in rows} == {(f"S{k}", k % 2) for k in range(61, 70)}
+
+
 def test_checked_corpus_names_its_first_bad_line(spark, tmp_path):
     payload = '{"alarmId":"a","managedObjectId":"Node:n1","eventType":"e","alarmType":"t","perceivedSeverity":"major","raisedAt":"x","state":"raised"}'
     good = [f'{{"seq":{i},"topic":"t","envelope":{{"payload":{payload}}}}}' for i in range(40)]
